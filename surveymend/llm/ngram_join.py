@@ -5,9 +5,9 @@ A document is its set of distinct hashed word shingles; two link at a Jaccard si
 2. Linked sets share one of their first shingles in any common order (a fifth of a set, plus one). The order is that of
    hashes, but shingles that very many documents list first come last, so that popular passages don't make large blocks.
    Which shingles those are changes the cost, never the result.
-3. In each block, a document is checked against one partner, with whom it shares most first shingles; this joins
-   groups of copies by about one comparison a document.
-4. Where a block still holds more than one component, its documents' count vectors (shingles hashed into a power of two
+3. In each block, a document is checked against one partner, with whom it shares most first shingles, if their count
+   vectors allow a link; this joins groups of copies by about one comparison a document.
+4. Where blocks of one least id still hold more than one component, their documents' count vectors (shingles hashed into a power of two
    of groups, counted) go into an R-tree: a node's largest counts bound the overlap of everything below it, by summed
    coordinate minima. Pairs of different components that survive the bound are compared on their whole sets.
 
@@ -33,8 +33,10 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: A shingle is popular where more documents than this, and than rows / POPULAR_SHARE, have it among their first.
 POPULAR, POPULAR_SHARE = 128, 2000
-#: Children of an R-tree node.
+#: Children of an R-tree node; blocks of up to two nodes are compared without one.
 NODE = 16
+#: Pairs that a task remembers before it starts anew.
+SEEN_PAIRS = 500_000
 #: Bits of the bounded filter that keeps texts without candidates out of the second shuffle: 1 MB.
 FILTER_BITS = 1 << 23
 
@@ -74,17 +76,20 @@ def prefix_length(n: int) -> int:
 
 
 def groups_of(n: int) -> int:
-    """Groups of a count vector: the power of two near a quarter of the set's size, from 16 to 4096."""
-    return 1 << min(12, max(4, (n // 4).bit_length()))
+    """Groups of a count vector: the least power of two above the set's size, from 16 to 16384, so that counts stay small."""
+    return 1 << min(14, max(4, n.bit_length()))
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(20)).astype(np.int64) & (groups_of(len(s)) - 1), minlength=groups_of(len(s))).astype(np.uint16)
+    """Counts of a set's shingles by group; 255 stands for any larger count."""
+    size = groups_of(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size), 255).astype(np.uint8)
 
 
 def folded(v: np.ndarray, size: int) -> np.ndarray:
-    """A count vector over fewer groups; sums keep every bound valid."""
-    return v.reshape(-1, size).sum(axis=0, dtype=np.int32) if len(v) > size else v.astype(np.int32)
+    """A count vector over fewer groups; sums keep every bound valid, and a count that is only known as large bounds nothing."""
+    v = np.where(v == 255, 1 << 24, v).astype(np.int64)
+    return v.reshape(-1, size).sum(axis=0) if len(v) > size else v
 
 
 class RTree:
@@ -115,20 +120,53 @@ class RTree:
         return self.order[nodes]
 
 
-def block_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of a block that are in different components and survive the bound; one tree for each size band."""
+def block_pairs(ids: list[int], comps: list[int], sizes: list[int], raw: list[bytes], seen: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs of a block that are in different components and survive the bound; large blocks have a tree for each size band.
+
+    seen: pairs settled in earlier blocks, which are not looked at again.
+    """
+    order = sorted(range(len(ids)), key=lambda i: sizes[i])
+    vectors: dict[int, np.ndarray] = {}
     out = []
-    band = (np.log(np.maximum(sizes, 1)) / np.log(1.25)).astype(np.int64)
+
+    def vector(i: int) -> np.ndarray:
+        if i not in vectors:
+            vectors[i] = np.frombuffer(raw[i], np.uint8)
+        return vectors[i]
+
+    def offer(i: int, j: int, known: bool) -> None:
+        if comps[i] == comps[j]:
+            return
+        pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+        if pair in seen:
+            return
+        seen.add(pair)
+        if not known:
+            v, w = vector(i), vector(j)
+            size = min(len(v), len(w))
+            if np.minimum(folded(v, size), folded(w, size)).sum() < need(sizes[i], sizes[j]):
+                return
+        out.append(pair)
+
+    if len(order) <= 2 * NODE:
+        for k, i in enumerate(order):
+            for j in order[k + 1 :]:
+                if sizes[i] * DENOMINATOR < sizes[j] * NUMERATOR:
+                    break
+                offer(i, j, False)
+        return out
+    size = np.array(sizes)
+    band = (np.log(np.maximum(size, 1)) / np.log(1.25)).astype(np.int64)
     for k in np.unique(band):
-        mine = np.flatnonzero(band == k)
-        if len(np.unique(comps[np.isin(band, (k - 1, k))])) < 2:
+        mine, near = np.flatnonzero(band == k), np.flatnonzero((band == k) | (band == k - 1))
+        if len({comps[i] for i in near}) < 2:
             continue
-        width = min(len(vectors[i]) for i in np.flatnonzero((band == k) | (band == k - 1)))
-        tree = RTree(sizes[mine], np.stack([folded(vectors[i], width) for i in mine]))
-        for i in np.flatnonzero((band == k) | (band == k - 1)):
-            for j in mine[tree.search(int(sizes[i]), folded(vectors[i], width))]:
-                if comps[i] != comps[j] and (band[i] != k or i < j) and min(sizes[i], sizes[j]) * DENOMINATOR >= max(sizes[i], sizes[j]) * NUMERATOR:
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        width = min(len(vector(i)) for i in near)
+        tree = RTree(size[mine], np.stack([folded(vector(i), width) for i in mine]))
+        for i in near:
+            for j in mine[tree.search(sizes[i], folded(vector(i), width))]:
+                if i != j and min(sizes[i], sizes[j]) * DENOMINATOR >= max(sizes[i], sizes[j]) * NUMERATOR:
+                    offer(i, int(j), True)
     return out
 
 
@@ -180,6 +218,17 @@ _SET = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose overlap bound allows a link."""
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+            v, w = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            size = min(len(v), len(w))
+            keep.append(int(np.minimum(folded(v, size), folded(w, size)).sum()) >= need(n, m))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _sets_where(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,27 +252,47 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks arrive one after another, sorted by shingle; only the open block is held."""
-    h, held = None, []
+    """Blocks arrive one after another, sorted by their least id; only the open block, and a bounded set of settled pairs, is held."""
+    least, held = None, []
+    seen: set[tuple[int, int]] = set()
 
     def close() -> pa.RecordBatch:
-        rows = list(zip(*held, strict=True))
-        found = block_pairs(np.array(rows[0]), np.array(rows[1]), np.array(rows[2]), [np.frombuffer(v, np.uint16) for v in rows[3]])
+        if len(seen) > SEEN_PAIRS:
+            seen.clear()
+        found = block_pairs(*(list(x) for x in zip(*held, strict=True)), seen)
         return out_batch(_PAIR, {"a": [p[0] for p in found], "b": [p[1] for p in found]})
 
     for batch in batches:
-        for x, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "component", "n", "vector")), strict=True):
-            if x != h and held:
+        for x, *row in zip(*(batch.column(c).to_pylist() for c in ("least", "id", "component", "n", "vector")), strict=True):
+            if x != least and held:
                 yield close()
                 held = []
-            h = x
+            least = x
             held.append(row)
     if held:
         yield close()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets link; salted, as one document may be in very many pairs."""
+def _possible(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose fine count vectors allow a link."""
+    one = pairs.join(vectors.select(F.col("id").alias("a"), "n", F.col("vector").alias("x")), "a")
+    return one.join(vectors.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("vector").alias("y")), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_bounded, "a long, b long")
+
+
+def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose whole sets link.
+
+    Sets are made again from the texts, rather than kept for all documents. A bounded filter of the ids in pairs keeps
+    most other texts out of the shuffle; it passes some too many, and all of them once it is full, but never too few.
+    """
+    active = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    maps = active.select(place("id").alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps.collect():
+        bits[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    sets = text.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("bit")).mapInArrow(_sets_where(bits), "id long, hashes binary")
+    sets = cut(sets.join(active, "id", "left_semi").dropDuplicates(["id"]))
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     return one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
@@ -259,29 +328,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = listed.filter("least < id").filter(close("least_n")).select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(2).alias("w"))
     chain = listed.filter("before > least").filter(close("before_n")).select(F.col("before").alias("a"), F.col("id").alias("b"), F.lit(1).alias("w"))
     partner = star.unionByName(chain).groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    partner = cut(partner)
-    # Sets of all documents that share a block with another; texts are read again rather than kept.
-    active = listed.select("id").distinct()
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    maps = active.select(place("id").alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in maps.collect():
-        bits[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
-    sets = text.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("bit")).mapInArrow(_sets_where(bits), "id long, hashes binary")
-    sets = cut(sets.join(active, "id", "left_semi").dropDuplicates(["id"]))
-    first = cut(_verified(partner, sets))
+    vectors = nodes.select("id", "n", "vector").join(listed.select("id").distinct(), "id", "left_semi")
+    partner = cut(_possible(partner, vectors))
+    first = cut(_verified(partner, text))
     joined = components(first).select(F.col("node").alias("id"), "component")
+    # Blocks of one least id are searched together, so that a vector is sent once for all of them.
+    block = W.partitionBy("least")
     open_blocks = (
-        listed.select("h", "id", "n")
+        listed.select("least", "id", "n")
+        .distinct()
         .join(joined, "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
-        .withColumns({"lo": F.min("component").over(W.partitionBy("h")), "hi": F.max("component").over(W.partitionBy("h"))})
+        .withColumns({"lo": F.min("component").over(block), "hi": F.max("component").over(block)})
         .filter("lo < hi")
-        .join(nodes.select("id", "vector"), "id")
-        .select("h", "id", "component", "n", "vector")
+        .join(vectors.select("id", "vector"), "id")
+        .select("least", "id", "component", "n", "vector")
     )
-    found = open_blocks.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_searched, "a long, b long").distinct().join(partner, ["a", "b"], "left_anti")
-    return members, first.unionByName(cut(_verified(found, sets)))
+    found = open_blocks.repartition("least").sortWithinPartitions("least", "id").mapInArrow(_searched, "a long, b long").distinct().join(partner, ["a", "b"], "left_anti")
+    return members, first.unionByName(cut(_verified(cut(found), text)))
 
 
 def join(docs: DataFrame) -> DataFrame:
