@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a group of the tree, and levels above the first: 256**4 documents of one source before groups grow.
 FAN, LEVELS = 256, 3
 MOST = 3
+#: Sources up to which their totals are broadcast: a few MB.
+BROADCAST_SOURCES = 20_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -96,8 +98,10 @@ def mix(docs: DataFrame, seed: int = 20, sized: DataFrame | None = None) -> Data
     An empty table gives no rows. A source without words has target 0 and is taken 0 times.
     """
     sized = cut(sizes(docs)) if sized is None else sized
-    share = targets(sized)
-    # The small side is joined as it comes: Spark broadcasts it while it is below its own threshold.
+    share = cut(targets(sized))
+    # One row for each source is broadcast where there are few; Spark chooses for more.
+    if share.count() <= BROADCAST_SOURCES:
+        share = F.broadcast(share)
     rows = sized.withColumn("nil", F.col("source").isNull()).withColumn("key", F.coalesce("source", F.lit(""))).join(
         share.select(F.col("source").isNull().alias("nil"), F.coalesce("source", F.lit("")).alias("key"), "source_size", "n", "target"), ["nil", "key"], "left"
     )
