@@ -1,7 +1,8 @@
 """Encoding and decoding by a merge-type SentencePiece vocabulary: a score-ordered agenda of adjacent symbol pairs.
 
-No piece joins a word to the space after it, so a text falls apart into units, a run of spaces and the word after it,
-which are encoded on their own and kept in a bounded table. Every unit that enters the table is checked against the
+No piece joins a word to the space after it, nor a letter to certain marks (which ones is read from the vocabulary), so a
+text falls apart into units, such as a run of spaces and the letters after it, which are encoded on their own and kept in
+a bounded table. Every unit that enters the table is checked against the
 sentencepiece library, a batch at a time; should one differ, the library's ids are kept. Vocabularies for which units
 can't be told apart, or which normalise texts, are encoded by the library alone.
 Null texts count as empty, which encodes to the begin and end ids and decodes to an empty text.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,10 +25,11 @@ from .common import out_batch, ready
 
 SPACE = "▁"
 #: Units kept by a worker; the table is emptied when it is full.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 600_000
 #: Symbols up to which the agenda is a plain list, searched from the left; longer units use a heap.
 SHORT = 48
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Letters that units are told apart by; others are treated as marks are that can follow them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 def merge_short(symbols: list[str], score) -> list[str]:
@@ -87,75 +90,79 @@ class Pieces:
         self.bytes = {int(lib.id_to_piece(i)[3:5], 16): i for i in range(len(lib)) if lib.is_byte(i)}
         self.begin, self.end, self.unknown = lib.bos_id(), lib.eos_id(), lib.unk_id()
         probe = "  Abéﬁ ①\t c  "
+        # No piece of several characters has a line end, and none has one of these marks behind a letter, so units end there.
+        pairs = {x + y for p in self.id for x, y in zip(p, p[1:])}  # noqa: B905
+        after_letter = {y for x, y in pairs if re.match(f"[{_LETTERS}]", x)}
+        marks = re.escape("".join([c for c in map(chr, range(33, 127)) if not c.isalpha() and c not in after_letter]))
+        alone = "".join({c for x in pairs for c in x} & {"\n"})
+        other, rest = f"[^{SPACE}\n{_LETTERS}]", f"[^{SPACE}\n{_LETTERS}{marks}]"
+        self.unit = re.compile(f"\n|{SPACE}*{other}*(?:[{_LETTERS}]+{rest}{other}*)*[{_LETTERS}]*")
+        self.lead = len(lib.encode("\n"))
         self.own = (
             len(self.bytes) == 256
             and lib.decode(lib.encode(probe)) == probe
             and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
+            and not alone
             and not any(lib.is_unused(i) for i in range(len(lib)))
         )
+        self.code = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
         self.word: dict[str, bytes] = {}
-        self.said: dict[str, str] = {}
-
-    def encode_unit(self, unit: str) -> list[int]:
-        symbols = list(unit)
-        symbols = merge_short(symbols, self.score.get) if len(symbols) <= SHORT else merge_long(symbols, self.score.get)
-        out: list[int] = []
-        for s in symbols:
-            i = self.id.get(s)
-            if i is None:
-                out.extend(self.bytes[b] for b in s.encode())
-            else:
-                out.append(i)
-        return out
-
-    def surface(self, ids: list[int]) -> str:
-        """What pieces stand for; a run of byte pieces is UTF-8."""
-        out = bytearray()
-        for i in ids:
-            p = self.pieces[i]
-            out += bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(SPACE, " ").encode()
-        return out.decode("utf-8", "replace")
-
-    def learn(self, units: set[str]) -> None:
-        """Encode units that aren't in the table, and check them against the library."""
+        #: What units decode to where that isn't their own text.
+        self.odd: dict[str, str] = {}
+
+    def encode_unit(self, unit: str) -> bytes:
+        symbols = merge_short(list(unit), self.score.get) if len(unit) <= SHORT else merge_long(list(unit), self.score.get)
+        code = self.code
+        try:
+            return b"".join([code[s] for s in symbols])
+        except KeyError:  # characters without a piece become bytes
+            return b"".join([code[s] if s in code else b"".join([self.bytes[x].to_bytes(4, "little") for x in s.encode()]) for s in symbols])
+
+    def learn(self, units: list[str]) -> None:
+        """Encode units that aren't in the table, and check them, and what they decode to, against the library."""
         if len(self.word) + len(units) > KEPT_UNITS:
             self.word.clear()
-            self.said.clear()
-        todo = [u for u in units if u not in self.word]
-        # The library puts one space before a text, as the unit has.
-        checked = self.library.encode([u[1:].replace(SPACE, " ") for u in todo], num_threads=1)
-        for u, theirs in zip(todo, checked, strict=True):
-            ids = self.encode_unit(u)
-            # Alone, one space stands for an empty text, to which the library gives no ids.
-            if ids != theirs and u != SPACE:
-                ids = theirs
-            self.word[u] = b"".join([i.to_bytes(4, "little") for i in ids])
-            self.said[u] = self.surface(ids)
+            self.odd.clear()
+        # The library puts one space before a text, as most units have; others are checked behind a line end, which
+        # joins nothing. Alone, one space stands for an empty text.
+        texts = [u[1:].replace(SPACE, " ") if u[0] == SPACE else "\n" + u for u in units]
+        theirs = self.library.encode(texts, num_threads=1)
+        for u, t, ids, back in zip(units, texts, theirs, self.library.decode(theirs), strict=True):
+            mine = self.encode_unit(u)
+            if u != SPACE:
+                own = u[0] == SPACE
+                checked = array("I", ids if own else ids[self.lead :]).tobytes()
+                if mine != checked:
+                    mine = checked
+                if back != t:
+                    self.odd[u] = " " + back if own else back[1:]
+            self.word[u] = mine
 
     def units(self, text: str) -> list[str]:
-        whole = SPACE + text.replace(" ", SPACE)
-        return [SPACE + w for w in text.split(" ")] if SPACE * 2 not in whole and SPACE not in text and text[-1:] != " " else _UNIT.findall(whole)
+        return [u for u in self.unit.findall(SPACE + text.replace(" ", SPACE)) if u]
 
-    def ids(self, text: str) -> tuple[bytes, str]:
+    def ids(self, text: str, units: list[str] | None = None) -> tuple[bytes, str]:
         """The ids of a text, and what they decode to."""
         if not text:
             return b"", ""
         if not self.own:
             ids = self.library.encode(text, num_threads=1)
-            return b"".join([i.to_bytes(4, "little") for i in ids]), self.library.decode(ids)
-        units = self.units(text)
+            return array("I", ids).tobytes(), self.library.decode(ids)
+        units = self.units(text) if units is None else units
+        word = self.word
         try:
-            return b"".join([self.word[u] for u in units]), "".join([self.said[u] for u in units])[1:]
+            out = b"".join([word[u] for u in units])
         except KeyError:
-            pass
-        # A text may have more units than the table holds.
-        out, said = [], []
-        for k in range(0, len(units), KEPT_UNITS // 2):
-            part = units[k : k + KEPT_UNITS // 2]
-            self.learn(set(part))
-            out += [self.word[u] for u in part]
-            said += [self.said[u] for u in part]
-        return b"".join(out), "".join(said)[1:]
+            parts = []
+            # A text may have more units than the table holds.
+            for k in range(0, len(units), KEPT_UNITS // 2):
+                part = units[k : k + KEPT_UNITS // 2]
+                self.learn([u for u in set(part) if u not in self.word])
+                parts += [self.word[u] for u in part]
+            out = b"".join(parts)
+        if self.odd and not self.odd.keys().isdisjoint(units):
+            return out, "".join([self.odd.get(u) or u.replace(SPACE, " ") for u in units])[1:]
+        return out, text.replace(SPACE, " ")
 
 
 _open: dict[str, Pieces] = {}
@@ -172,16 +179,17 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 def _texts(batch: pa.RecordBatch, p: Pieces) -> Iterator[tuple[bytes, str]]:
     texts = [t or "" for t in batch.column("text").to_pylist()]
+    units: list[list[str] | None] = [None] * len(texts)
     if p.own:
-        known = p.word.keys()
         fresh: set[str] = set()
-        for t in texts:
+        for k, t in enumerate(texts):
             if t and len(t) < 1 << 20:
-                fresh |= set(p.units(t)) - known
+                units[k] = p.units(t)
+                fresh.update([u for u in units[k] if u not in p.word])
         if 0 < len(fresh) < KEPT_UNITS // 2:
-            p.learn(fresh)
-    for t in texts:
-        yield p.ids(t)
+            p.learn(list(fresh))
+    for t, u in zip(texts, units, strict=True):
+        yield p.ids(t, u)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
