@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, head_hashes, held_out, out_batch, ready, word_hashes
+from .common import chunks, head_hashes, held_out, mapped, out_batch, ready, word_hashes
 
 FIT_DOCS = 12_000
 BUCKETS = 1 << 18
@@ -59,78 +59,114 @@ def noisy_or(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(row, weights=np.log1p(-np.clip(p, 0, 1 - 1e-9)), minlength=n))
 
 
-def train(words: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Weights of buckets, then the bias: maximises the documents' likelihood under noisy-or, with a ridge penalty.
-
-    words and sentence: of each word; doc: of each sentence; toxic: of each document. Only buckets that toxic documents
-    hold more often than others get a weight; others would explain a label by a sentence's length.
-    """
-    n = len(toxic)
-    weights = np.zeros(BUCKETS + 1)
-    if not n or not len(words) or toxic.all() or not toxic.any():
-        weights[-1] = -50.0 if not (n and toxic.all()) else 50.0
-        return weights
-    seen = np.unique(words * n + doc[sentence])
-    in_doc, which = seen // n, seen % n
-    pos = np.bincount(in_doc, weights=toxic[which], minlength=BUCKETS)
-    neg = np.bincount(in_doc, minlength=BUCKETS) - pos
-    odds = np.log((pos + 0.3) / (toxic.sum() + 0.6)) - np.log((neg + 0.3) / ((~toxic).sum() + 0.6))
+def useful(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that toxic documents hold more often than others, on evidence, and their log odds; counts are of documents."""
+    odds = np.log((pos + 0.3) / (n_pos + 0.6)) - np.log((neg + 0.3) / (n_neg + 0.6))
     # The log-likelihood ratio of a bucket's count among toxic documents against their share of all.
-    rate, both = toxic.mean(), np.maximum(pos + neg, 1)
+    rate, both = n_pos / (n_pos + n_neg), np.maximum(pos + neg, 1)
     ratio = 2 * (pos * np.log(np.maximum(pos, 1e-9) / (both * rate)) + neg * np.log(np.maximum(neg, 1e-9) / (both * (1 - rate))))
-    useful = (odds > 0.7) & (ratio >= EVIDENCE)
-    once = np.unique(sentence[useful[words]] * BUCKETS + words[useful[words]])
-    word, sent = once % BUCKETS, once // BUCKETS
-    vocabulary, word = np.unique(word, return_inverse=True)
-    w = np.minimum(odds[vocabulary], 6.0) * 0.7
-    bias = -7.0
+    keep = np.flatnonzero((odds > 0.7) & (ratio >= EVIDENCE))
+    return keep, odds[keep]
+
+
+def train(word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.ndarray, start: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias that maximise the documents' likelihood under noisy-or, with a ridge penalty.
+
+    word (a place in ``start``) and sentence: of each distinct pair; doc: of each sentence; toxic: of each document.
+    """
+    n, w, bias = len(toxic), np.minimum(start, 6.0) * 0.7, -7.0
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
-        z = bias + np.bincount(sent, weights=w[word], minlength=len(doc))
+        z = bias + np.bincount(sentence, weights=w[word], minlength=len(doc))
         p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
         none = np.bincount(doc, weights=np.log1p(-p), minlength=n)
-        pos_doc = np.clip(1 - np.exp(none), 1e-9, 1)
+        any_toxic = np.clip(1 - np.exp(none), 1e-9, 1)
         # d log-likelihood / d log(1 - p): -1 for clean documents, (1 - P) / P for toxic ones.
-        g = np.where(toxic, (1 - pos_doc) / pos_doc, -1.0)[doc] * p
-        grad = np.append(np.bincount(word, weights=g[sent], minlength=len(w)) - RIDGE * w, g.sum())
+        g = np.where(toxic, (1 - any_toxic) / any_toxic, -1.0)[doc] * p
+        grad = np.append(np.bincount(word, weights=g[sentence], minlength=len(w)) - RIDGE * w, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = 0.2 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, bias = w + move[:-1], min(bias + move[-1], -2.0)
-    weights[vocabulary], weights[-1] = w, bias
-    return weights
+    return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> np.ndarray:
-    """Weights learned from (doc_id, text) and (doc_id, toxic); repeated labels of a document count once, the larger."""
-    ready(docs.sparkSession)
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = known.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(limit)
+_DF = pa.schema([("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
+_BAG = pa.schema([("toxic", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("sentences", pa.binary())])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each label by bucket; BUCKETS stands for all of them."""
+    pos, neg = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+    for batch in batches:
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+        pos[BUCKETS] += toxic.sum()
+        neg[BUCKETS] += (~toxic).sum()
+        for lo, hi, data, offsets in chunks(batch.column("text")):
+            word, sent, row, _, _ = sentences(data, offsets)
+            if len(word):
+                once = np.unique(row[sent] * BUCKETS + word)
+                hit = toxic[lo:hi][once // BUCKETS]
+                pos += np.bincount(once[hit] % BUCKETS, minlength=BUCKETS + 1)
+                neg += np.bincount(once[~hit] % BUCKETS, minlength=BUCKETS + 1)
+    some = np.flatnonzero(pos + neg)
+    yield out_batch(_DF, {"bucket": some.astype(np.int32), "pos": pos[some], "neg": neg[some]})
+
+
+def _bags(vocabulary: np.ndarray):
+    """Of each document: label, number of sentences, and its distinct (vocabulary place, sentence) pairs."""
+    place = np.full(BUCKETS, -1, np.int32)
+    place[vocabulary] = np.arange(len(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("toxic", pa.int32()), ("words", pa.binary()), ("sentences", pa.binary())])
         for batch in batches:
             toxic = batch.column("toxic").to_pylist()
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 word, sent, row, _, _ = sentences(data, offsets)
-                order = np.argsort(sent, kind="stable")
-                word, sent = word[order], sent[order]
-                at = np.searchsorted(row[sent] if len(row) else row, np.arange(hi - lo + 1))
-                part = [slice(at[i], at[i + 1]) for i in range(hi - lo)]
-                yield out_batch(schema, {"toxic": toxic[lo:hi], "words": [word[s].astype(np.int32).tobytes() for s in part], "sentences": [(sent[s] - sent[s][:1]).astype(np.int32).tobytes() for s in part]})
-
-    # A bounded number of documents: their word numbers are what the driver trains on.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, words binary, sentences binary").toArrow()
-    toxic = np.array(rows.column("toxic").to_pylist(), bool)
-    words, sent, doc, base = [], [], [], 0
-    for i, (w, s) in enumerate(zip(rows.column("words").to_pylist(), rows.column("sentences").to_pylist(), strict=True)):
-        s = np.frombuffer(s, np.int32).astype(np.int64)
-        if len(s):
-            words.append(np.frombuffer(w, np.int32).astype(np.int64))
-            sent.append(s + base)
-            doc.append(np.full(s[-1] + 1, i))
-            base += s[-1] + 1
-    z = [np.zeros(0, np.int64)]
-    return train(np.concatenate(words or z), np.concatenate(sent or z), np.concatenate(doc or z), toxic)
+                known = place[word] >= 0
+                once = np.unique(sent[known] * len(vocabulary) + place[word[known]]) if len(vocabulary) else sent[:0]
+                s, v = once // max(len(vocabulary), 1), once % max(len(vocabulary), 1)
+                first = np.searchsorted(row, np.arange(hi - lo + 1))
+                at = np.searchsorted(s, first)
+                yield out_batch(
+                    _BAG,
+                    {
+                        "toxic": toxic[lo:hi],
+                        "n": np.diff(first).astype(np.int32),
+                        "words": [v[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)],
+                        "sentences": [(s[at[i] : at[i + 1]] - first[i]).astype(np.int32).tobytes() for i in range(hi - lo)],
+                    },
+                )
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> np.ndarray:
+    """Weights of buckets, then the bias, from (doc_id, text) and (doc_id, toxic).
+
+    Repeated labels of a document count once, the larger. Word counts are made by the executors; the driver gets one row
+    for each bucket, and the weighted words of at most ``limit`` documents.
+    """
+    ready(docs.sparkSession)
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = known.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(limit)
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    weights = np.zeros(BUCKETS + 1)
+    counts = mapped(sample, _frequencies, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    bucket = counts.column("bucket").to_numpy()
+    pos[bucket], neg[bucket] = counts.column("pos").to_numpy(), counts.column("neg").to_numpy()
+    if not pos[-1] or not neg[-1]:
+        weights[-1] = 50.0 if pos[-1] else -50.0
+        return weights
+    vocabulary, odds = useful(pos[:-1], neg[:-1], int(pos[-1]), int(neg[-1]))
+    rows = mapped(sample, _bags(vocabulary), "toxic int, n int, words binary, sentences binary").toArrow()
+    n = rows.column("n").to_numpy().astype(np.int64)
+    base = np.cumsum(n) - n
+    part = [(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32) + b) for w, s, b in zip(rows.column("words").to_pylist(), rows.column("sentences").to_pylist(), base, strict=True)]
+    z = np.zeros(0, np.int64)
+    w, bias = train(np.concatenate([z, *[x for x, _ in part]]), np.concatenate([z, *[x for _, x in part]]), np.repeat(np.arange(len(n)), n), rows.column("toxic").to_numpy() > 0, odds)
+    weights[vocabulary], weights[-1] = w, bias
+    return weights
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("offending", pa.string())])
@@ -161,4 +197,4 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "held_out": batch.column("held_out").slice(lo, hi - lo), "score": np.clip(total, 0, 1), "predicted": (total >= 0.5).astype(np.int32), "offending": [",".join(w) for w in where]},
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, offending string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out")), run, "doc_id long, held_out boolean, score double, predicted int, offending string")
