@@ -11,6 +11,8 @@ source of its own, ordered last. Repeated rows are rounded one by one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,11 @@ def _uniform(a: Column, b: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(a, b, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, which keeps nested expressions small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _round(units: Column, seed: int) -> Column:
     """Settle an array of (doc_id, size, p), largest first: settled units, and the at most one left fractional.
 
@@ -66,24 +73,29 @@ def _round(units: Column, seed: int) -> Column:
     def pivot(s: Column, u: Column) -> Column:
         w = u["size"].cast("double")
         size, mass0 = s["size"] - w, s["mass"] - u["p"] * w
-        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["a"] + s["b"] * u["p"]))
-        mass = F.greatest(F.lit(0.0), F.least(size, s["a"] * size + s["b"] * mass0))
-        up, down = F.least((1 - p) * w, mass), F.least(p * w, size - mass)
-        rise = _uniform(u["doc_id"], F.lit(1), seed) * (up + down) < down
-        whole = (p < 1e-9) | (p > 1 - 1e-9)
-        settled = whole | F.when(rise, (1 - p) * w <= mass).otherwise(p * w <= size - mass)
-        settled = F.when(size < 0.5, whole).otherwise(settled)
-        kept = 1 - F.coalesce(F.try_divide(F.when(rise, up).otherwise(down), F.when(rise, mass).otherwise(size - mass)), F.lit(0.0))
-        kept = F.when(whole, 1.0).otherwise(kept)
+        known = F.struct(
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["a"] + s["b"] * u["p"])).alias("p"),
+            F.greatest(F.lit(0.0), F.least(size, s["a"] * size + s["b"] * mass0)).alias("mass"),
+        )
+        return _let(known, lambda k: _let(F.struct(F.least((1 - k["p"]) * w, k["mass"]).alias("up"), F.least(k["p"] * w, size - k["mass"]).alias("down")), lambda m: turned(s, u, w, size, mass0, k, m)))
+
+    def turned(s: Column, u: Column, w: Column, size: Column, mass0: Column, k: Column, m: Column) -> Column:
+        p, mass, up, down = k["p"], k["mass"], m["up"], m["down"]
+        choice = F.struct((_uniform(u["doc_id"], F.lit(1), seed) * (up + down) < down).alias("rise"), ((p < 1e-9) | (p > 1 - 1e-9)).alias("whole"))
+        return _let(choice, lambda c: moved(s, u, w, size, mass0, p, mass, up, down, c["rise"], c["whole"]))
+
+    def moved(s, u, w, size, mass0, p, mass, up, down, rise, whole) -> Column:
+        settled = F.when(size < 0.5, whole).otherwise(whole | F.when(rise, (1 - p) * w <= mass).otherwise(p * w <= size - mass))
+        kept = F.when(whole, 1.0).otherwise(1 - F.coalesce(F.try_divide(F.when(rise, up).otherwise(down), F.when(rise, mass).otherwise(size - mass)), F.lit(0.0)))
         extra = F.when(whole, (p > 0.5).cast("int")).otherwise(rise.cast("int"))
-        return F.struct(
-            F.when(settled, F.concat(s["done"], F.array(F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), extra.alias("extra"))))).otherwise(s["done"]).alias("done"),
-            F.when(settled, s["rest"]).otherwise(F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), F.when(rise, p + up / w).otherwise(p - down / w).alias("p"))).alias("rest"),
+        return _let(F.struct(settled.alias("settled"), kept.alias("kept")), lambda c: F.struct(
+            F.when(c["settled"], F.concat(s["done"], F.array(F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), extra.alias("extra"))))).otherwise(s["done"]).alias("done"),
+            F.when(c["settled"], s["rest"]).otherwise(F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), F.when(rise, p + up / w).otherwise(p - down / w).alias("p"))).alias("rest"),
             size.alias("size"),
             mass0.alias("mass"),
-            F.when(rise | whole, s["a"] * kept).otherwise(1 - (1 - s["a"]) * kept).alias("a"),
-            (s["b"] * kept).alias("b"),
-        )
+            F.when(rise | whole, s["a"] * c["kept"]).otherwise(1 - (1 - s["a"]) * c["kept"]).alias("a"),
+            (s["b"] * c["kept"]).alias("b"),
+        ))
 
     # A struct that is always there keeps the state's type fixed; its null doc_id says that nothing is left.
     nothing = F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("size"), F.lit(0.0).alias("p"))
@@ -120,7 +132,8 @@ def mix(docs: DataFrame, seed: int = 20, sized: DataFrame | None = None) -> Data
     for k in range(LEVELS + 1):
         last = k == LEVELS
         level = level.groupBy(*of_source, *([] if last else ["bucket"])).agg(F.array_sort(F.collect_list(unit)).alias("units")).withColumn("r", _round(F.col("units"), seed + k)).drop("units")
-        level = cut(level) if k == 0 else level
+        # Each level is cut, as otherwise its plan holds those of all levels below.
+        level = cut(level)
         out = out.unionByName(level.select(*of_source, F.explode("r.done").alias("d")).select("d.doc_id", *of_source, "d.size", "d.extra"))
         rest = level.filter("r.rest.doc_id is not null").select(*of_source, "r.rest.doc_id", "r.rest.size", "r.rest.p", *([] if last else [F.shiftright("bucket", 8).alias("bucket")]))
         if last:
