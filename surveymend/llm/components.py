@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut, mapped, ready
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     leaves few rounds.
     """
     ready(edges.sparkSession)
-    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().mapInArrow(_forest, "u long, v long"))
+    links = cut(mapped(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), _forest, "u long, v long"))
     before = None
     for _ in range(rounds):
         # Large star: each node's larger neighbours link to its smallest neighbour.

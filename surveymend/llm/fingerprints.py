@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, out_batch, ready, word_hashes
+from .common import chunks, mapped, mix64, out_batch, ready, word_hashes
 
 WIDE, LANES = 4, 128
 _LINE = np.zeros(256, bool)
@@ -84,7 +84,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield out_batch(_PRINT, {"doc_id": batch.column("doc_id"), "fingerprint": text_of(*vectors(batch.column("text")))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fingerprint string")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -150,6 +150,6 @@ def compare(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     heads = dealt.filter(F.col("doc_id").isin(cuts)).groupBy("doc_id", "bucket").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", (F.col("bucket") - 1).alias("bucket"), F.lit(True).alias("closes"))
     at_start = F.col("doc_id").isNull() if known["nulls"] else F.col("doc_id") == F.lit(known["least"]).cast("long")
     first = dealt.filter(at_start).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", F.lit(len(cuts)).alias("bucket"), F.lit(True).alias("closes"))
-    return dealt.unionByName(heads).unionByName(first).repartition("bucket").sortWithinPartitions("bucket", "closes", "doc_id", "text").mapInArrow(
+    return mapped(dealt.unionByName(heads).unionByName(first).repartition("bucket").sortWithinPartitions("bucket", "closes", "doc_id", "text"), 
         _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

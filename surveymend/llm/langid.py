@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import chunks, held_out, mix64, out_batch, ready
+from .common import chunks, held_out, mapped, mix64, out_batch, ready
 
 FIT_DOCS = 1500
 #: Symbols: 6 bits each.
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Model | None:
     # The rank keeps a bounded number of ids for each language before any shuffle.
     ids = usable.select("doc_id", "lang", key.alias("k")).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id"))).filter(F.col("rank") <= limit).select("doc_id").distinct()
     sample = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang")
-    rows = sample.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(sample, _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return None
     languages = sorted(set(rows["lang"]), key=str.encode)
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Model | None:
     by = np.argsort(_hash(contexts))
     model = Model(languages, _hash(codes)[order], np.log(np.stack(tri, 1)[codes[order]]), _hash(contexts)[by], np.stack(weight, 1)[contexts[by]], np.stack(bi, 1), np.zeros(len(languages)), np.inf)
     # Calibration: how far training documents exceed their language's mean entropy, at one standard error of their length.
-    said = sample.mapInArrow(_entropies(model), "lang string, h double, n long").groupBy("lang").agg(F.avg("h").alias("mean"), F.collect_list(F.struct("h", "n")).alias("all")).collect()
+    said = mapped(sample, _entropies(model), "lang string, h double, n long").groupBy("lang").agg(F.avg("h").alias("mean"), F.collect_list(F.struct("h", "n")).alias("all")).collect()
     worst = 0.0
     for r in said:
         model.centre[languages.index(r["lang"])] = r["mean"]
@@ -221,7 +221,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score, rejected = judge(model, table, batch.column("text"))
             yield out_batch(_OUT, {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": lang, "score": score, "rejected": rejected})
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return mapped(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -235,6 +235,6 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(~judge(model, table, batch.column("text"))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import chunks, cut, mix64, out_batch, ready, word_hashes
+from .common import chunks, cut, mapped, mix64, out_batch, ready, word_hashes
 from .components import components
 
 WORDS = 5
@@ -276,7 +276,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _possible(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose fine count vectors allow a link."""
     one = pairs.join(vectors.select(F.col("id").alias("a"), "n", F.col("vector").alias("x")), "a")
-    return one.join(vectors.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("vector").alias("y")), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_bounded, "a long, b long")
+    return mapped(one.join(vectors.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("vector").alias("y")), "b").select("a", "b", "n", "m", "x", "y"), _bounded, "a long, b long")
 
 
 def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
@@ -291,10 +291,10 @@ def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in maps.collect():
         bits[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
-    sets = text.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("bit")).mapInArrow(_sets_where(bits), "id long, hashes binary")
+    sets = mapped(text.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("bit")), _sets_where(bits), "id long, hashes binary")
     sets = cut(sets.join(active, "id", "left_semi").dropDuplicates(["id"]))
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    return one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+    return mapped(one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"), _linked, "a long, b long")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -307,11 +307,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.count()
     popular = (
-        text.select("text").mapInArrow(_described(None), "first array<long>").select(F.explode("first").alias("h")).groupBy("h").count().filter(F.col("count") > max(POPULAR, rows // POPULAR_SHARE)).select("h")
+        mapped(text.select("text"), _described(None), "first array<long>").select(F.explode("first").alias("h")).groupBy("h").count().filter(F.col("count") > max(POPULAR, rows // POPULAR_SHARE)).select("h")
     )
     # At most (shingles listed first) / POPULAR_SHARE-th of the rows each: a few hundred thousand numbers at any size.
     late = np.sort(np.array([r[0] for r in popular.collect()], np.int64).view(np.uint64))
-    doc = cut(text.mapInArrow(_described(late), "doc_id long, n long, s1 long, s2 long, first array<long>, vector binary"))
+    doc = cut(mapped(text, _described(late), "doc_id long, n long, s1 long, s2 long, first array<long>, vector binary"))
     of_set = ["n", "s1", "s2"]
     reps = doc.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("rep"))
     members = doc.select("doc_id", *of_set).join(reps, of_set, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
@@ -344,7 +344,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(vectors.select("id", "vector"), "id")
         .select("least", "id", "component", "n", "vector")
     )
-    found = open_blocks.repartition("least").sortWithinPartitions("least", "id").mapInArrow(_searched, "a long, b long").distinct().join(partner, ["a", "b"], "left_anti")
+    found = mapped(open_blocks.repartition("least").sortWithinPartitions("least", "id"), _searched, "a long, b long").distinct().join(partner, ["a", "b"], "left_anti")
     return members, first.unionByName(cut(_verified(cut(found), text)))
 
 

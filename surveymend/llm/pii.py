@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import out_batch, ready
+from .common import mapped, out_batch, ready
 
 KINDS = ("email", "ip", "card", "phone", "login", "iban", "account")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -141,11 +141,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans of every row."""
     ready(docs.sparkSession)
     row = lambda t, base, spans: (*[sum(s[0] == k for s in base) for k in range(4)], hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mapped(_OUT, row), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _mapped(_OUT, row), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """doc_id and the text with every span replaced by its kind."""
     ready(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mapped(schema, lambda t, base, spans: (redacted(t, spans),)), "doc_id long, text string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _mapped(schema, lambda t, base, spans: (redacted(t, spans),)), "doc_id long, text string")

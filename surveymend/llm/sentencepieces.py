@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import out_batch, ready
+from .common import mapped, out_batch, ready
 
 SPACE = "▁"
 #: Units kept by a worker; the table is emptied when it is full.
-KEPT_UNITS = 600_000
+KEPT_UNITS = 300_000
 #: Symbols up to which the agenda is a plain list, searched from the left; longer units use a heap.
 SHORT = 48
 #: Letters that units are told apart by; others are treated as marks are that can follow them.
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 said.append(t)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.string())], names=[*batch.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -232,4 +232,4 @@ def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
                 said.append(hashlib.sha256(t.encode()).hexdigest())
             yield out_batch(_DIGEST, {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": said})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
