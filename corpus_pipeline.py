@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveymend.llm import langid, mixing, ngram_join, secrets, sentencepieces
+from surveymend.llm.common import cut
 
+#: Ids of dropped documents that are broadcast at most: 4 MB.
+BROADCAST_IDS = 500_000
 #: Mixed random decisions and learned models can't be stated in SQL.
 ORACLE_SQL = None
 
@@ -22,9 +25,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of least id. Rows of null id stay."""
-    groups = ngram_join.join(docs).filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    key = F.col("doc_id").cast("long")
-    return docs.join(groups, key.eqNullSafe(F.col("__kept")), "left_semi")
+    others = cut(ngram_join.join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__other")).distinct())
+    # Few ids are broadcast, so that texts aren't shuffled; more are joined as Spark sees fit.
+    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+    return docs.join(others, F.col("doc_id").cast("long") == F.col("__other"), "left_anti")
 
 
 def scrub(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +53,6 @@ STAGES = [("language", identify), ("near duplicates", deduplicate), ("secrets",
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is cut from its lineage by a table in the shared folder."""
-    from surveymend.llm.common import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
