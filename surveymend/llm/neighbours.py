@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, out_batch, ready
+from .common import cut, mapped, out_batch, ready
 
 K, QUERY_EVERY = 20, 20
 #: Curves, directions of each, and bits of each direction.
@@ -28,6 +28,7 @@ CURVES, DIRECTIONS, BITS = 8, 4, 6
 WINDOW = 0.25
 #: Ranges of a curve: at least these, and of at most so many rows.
 RANGES, RANGE_ROWS = 20, 50_000
+LEAST_ROWS = 64
 SEED = 5
 #: Products held at once in a worker.
 CELLS = 4_000_000
@@ -160,27 +161,29 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if by_size is None:
         return empty
-    clean = cut(raw.mapInArrow(_clean(by_size["n"]), "id long, vector binary").withColumn("vkey", F.md5("vector")))
+    clean = cut(mapped(raw, _clean(by_size["n"]), "id long, vector binary").withColumn("vkey", F.md5("vector")))
     first = clean.select("vkey", "vector", "id").withColumn("nth", F.dense_rank().over(W.partitionBy("vkey").orderBy("id"))).filter(F.col("nth") <= k + 1)
     asked = clean.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("vkey").alias("qkey")).distinct()
     same = first.groupBy("vkey").agg(F.min("vector").alias("vector"), F.sort_array(F.collect_set("id")).alias("ids"))
     same = same.join(asked.select(F.col("qkey").alias("vkey"), F.lit(True).alias("a")).distinct(), "vkey", "left").select("vkey", "vector", "ids", F.coalesce("a", F.lit(False)).alias("asked"))
-    keyed = cut(same.mapInArrow(_keyed, "curve int, key long, vkey string, vector binary, ids array<long>, asked boolean"))
+    keyed = cut(mapped(same, _keyed, "curve int, key long, vkey string, vector binary, ids array<long>, asked boolean"))
     n = keyed.filter("curve = 0").count()
     if not n:
         return empty
-    ranges = max(RANGES, -(-n // RANGE_ROWS))
+    # Ranges of a small table hold some rows each, so that a window is never without neighbours.
+    ranges = max(1, min(max(RANGES, -(-n // RANGE_ROWS)), n // LEAST_ROWS))
     side = int(np.ceil(ranges * WINDOW / 2))
     # Keys that tie are told apart by their vector's digest, so ranges are even.
     place = F.col("key") * (1 << 24) + F.pmod(F.xxhash64("vkey"), F.lit(1 << 24))
     placed = keyed.withColumn("place", place)
-    bounds = {r["curve"]: r["at"] for r in placed.groupBy("curve").agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("at")).collect()}
-    at = F.element_at(F.array(*[F.array(*[F.lit(int(b)) for b in bounds[c]]) for c in range(CURVES)]), F.col("curve") + 1)
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = {r["curve"]: r["at"] for r in placed.groupBy("curve").agg(F.percentile_approx("place", shares, 100 * ranges).alias("at")).collect()} if shares else dict.fromkeys(range(CURVES))
+    at = F.element_at(F.array(*[F.array(*[F.lit(int(b)).cast("long") for b in bounds[c] or []]).cast("array<bigint>") for c in range(CURVES)]), F.col("curve") + 1)
     rows = placed.withColumn("range", F.size(F.filter(at, lambda b: b < F.col("place"))))
     window = F.sequence(F.greatest(F.col("range") - side, F.lit(0)), F.least(F.col("range") + side, F.lit(ranges - 1)))
     queries = rows.filter("asked").withColumn("range", F.explode(window))
     both = rows.select("curve", "range", F.lit(False).alias("query"), "vkey", "vector", "ids").unionByName(queries.select("curve", "range", F.lit(True).alias("query"), "vkey", "vector", F.lit(None).cast("array<long>").alias("ids")))
-    found = both.repartition("curve", "range").sortWithinPartitions("curve", "range", "query").mapInArrow(_searched, "qkey string, vkey string, score double, ids array<long>")
+    found = mapped(both.repartition("curve", "range").sortWithinPartitions("curve", "range", "query"), _searched, "qkey string, vkey string, score double, ids array<long>")
     best = found.groupBy("qkey", "vkey").agg(F.max("score").alias("score"), F.min("ids").alias("ids"))
     best = best.withColumn("nth", F.rank().over(W.partitionBy("qkey").orderBy(F.desc("score")))).filter(F.col("nth") <= k + 1)
     near = asked.join(best.select("qkey", "score", F.explode("ids").alias("vec_id")), "qkey").filter("vec_id <> query_id")
