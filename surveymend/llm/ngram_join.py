@@ -37,6 +37,8 @@ POPULAR, POPULAR_SHARE = 128, 2000
 NODE = 16
 #: Pairs that a task remembers before it starts anew.
 SEEN_PAIRS = 500_000
+#: Ids of copies that are broadcast at most: 4 MB.
+BROADCAST_IDS = 500_000
 #: Bits of the bounded filter that keeps texts without candidates out of the second shuffle: 1 MB.
 FILTER_BITS = 1 << 23
 
@@ -180,6 +182,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _label(s: np.ndarray) -> np.ndarray:
+    """32 bits of a shingle hash that popularity is counted by; shingles that share them are popular together."""
+    return (s & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
 def _described(popular: np.ndarray | None):
     """doc_id, n, two words of the set's hash, first shingles and count vector; only the shingles where popular is None."""
 
@@ -188,13 +195,14 @@ def _described(popular: np.ndarray | None):
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 sets = shingle_sets(data, offsets)
                 if popular is None:
-                    yield out_batch(_FIRST, {"first": _list([_signed(s[: prefix_length(len(s))]) for s in sets], pa.int64())})
+                    yield out_batch(_FIRST, {"first": _list([_label(s[: prefix_length(len(s))]) if len(s) else _label(s) for s in sets], pa.int32())})
                     continue
                 first = []
                 for s in sets:
                     p = prefix_length(len(s)) if len(s) else 0
                     if len(popular) and len(s):
-                        late = popular[np.minimum(np.searchsorted(popular, s), len(popular) - 1)] == s
+                        mine = _label(s)
+                        late = popular[np.minimum(np.searchsorted(popular, mine), len(popular) - 1)] == mine
                         s = np.concatenate((s[~late], s[late])) if late.any() else s
                     first.append(_signed(s[:p]))
                 yield out_batch(
@@ -212,7 +220,7 @@ def _described(popular: np.ndarray | None):
     return run
 
 
-_FIRST = pa.schema([("first", pa.list_(pa.int64()))])
+_FIRST = pa.schema([("first", pa.list_(pa.int32()))])
 _DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("first", pa.list_(pa.int64())), ("vector", pa.binary())])
 _SET = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -307,15 +315,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.count()
     popular = (
-        mapped(text.select("text"), _described(None), "first array<long>").select(F.explode("first").alias("h")).groupBy("h").count().filter(F.col("count") > max(POPULAR, rows // POPULAR_SHARE)).select("h")
+        mapped(text.select("text"), _described(None), "first array<int>").select(F.explode("first").alias("h")).groupBy("h").count().filter(F.col("count") > max(POPULAR, rows // POPULAR_SHARE)).select("h")
     )
     # At most (shingles listed first) / POPULAR_SHARE-th of the rows each: a few hundred thousand numbers at any size.
-    late = np.sort(np.array([r[0] for r in popular.collect()], np.int64).view(np.uint64))
+    late = np.sort(np.array([r[0] for r in popular.collect()], np.int32))
     doc = cut(mapped(text, _described(late), "doc_id long, n long, s1 long, s2 long, first array<long>, vector binary"))
     of_set = ["n", "s1", "s2"]
     reps = doc.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("rep"))
-    members = doc.select("doc_id", *of_set).join(reps, of_set, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    nodes = doc.join(reps.select(F.col("rep").alias("doc_id"), F.lit(True).alias("is_rep")), "doc_id").select(F.col("doc_id").alias("id"), "n", "first", "vector")
+    members = cut(doc.select("doc_id", *of_set).join(reps, of_set, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
+    # Copies are taken out by their ids, which are broadcast while they are few; so shingles aren't shuffled for it.
+    copies = members.filter("rep <> doc_id").select("doc_id").distinct()
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    nodes = doc.filter("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "first", "vector")
     block = W.partitionBy("h").orderBy("id")
     listed = (
         nodes.select("id", "n", F.explode("first").alias("h"))
@@ -326,7 +337,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     close = lambda m: F.least(m, "n") * DENOMINATOR >= F.greatest(m, "n") * NUMERATOR
     # A partner for each document: one of least id is preferred, so that groups of copies become stars.
     star = listed.filter("least < id").filter(close("least_n")).select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(2).alias("w"))
-    chain = listed.filter("before > least").filter(close("before_n")).select(F.col("before").alias("a"), F.col("id").alias("b"), F.lit(1).alias("w"))
+    chain = listed.filter("before > least and before <> id").filter(close("before_n")).select(F.col("before").alias("a"), F.col("id").alias("b"), F.lit(1).alias("w"))
     partner = star.unionByName(chain).groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     vectors = nodes.select("id", "n", "vector").join(listed.select("id").distinct(), "id", "left_semi")
     partner = cut(_possible(partner, vectors))
