@@ -224,3 +224,19 @@ def test_padding_and_truncation(spark):
     p, r = F.array(*map(F.lit, (1, 2, 3, 4))), F.array(*map(F.lit, (7, 8)))
     assert spark.range(1).select(prompts.truncated(p, r, 4).alias("t")).first()["t"] == [1, 2, 7, 8]
     assert spark.range(1).select(prompts.truncated(p, r, 1).alias("t")).first()["t"] == [7, 8]
+
+
+def test_providers(spark, trips):
+    from surveymend.operators import providers
+
+    df = spark.createDataFrame([(1, "Nørregade"), (2, "Norregade"), (3, "xyz"), (4, None), (5, "xyz")], "k int, t string")
+    got = {r["k"]: r for r in providers.embed(df, "t").collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(got[a]["embedding"], got[b]["embedding"], strict=True))
+    assert len(got) == 5 and got[4]["embedding"] is None and dot(1, 1) == pytest.approx(1, abs=1e-5)
+    assert dot(1, 2) > dot(1, 3) and got[3]["embedding"] == got[5]["embedding"]
+    places = providers.geocode(df, "t", providers.fixed_geocoder({"xyz": (55.0, 9.0)}))
+    assert {r["k"]: r["place"] and r["place"]["lat"] for r in places.collect()} == {1: None, 2: None, 3: 55.0, 4: None, 5: 55.0}
+    told = providers.verdicts(prompts.prompt(repair.fast_validation(trips)))
+    assert {r["turid"]: r["llm_verdict"] for r in told.collect()} == {1: "VALID", 2: "VALID", 3: "VALID", 4: "INVALID", 5: "VALID", 6: "VALID", 7: "INVALID"}
+    with pytest.raises(ValueError):
+        providers.same_embedder(providers.embed(df, "t"), providers.embed(df, "t", name="other"))
