@@ -25,7 +25,7 @@ from .common import mapped, out_batch, ready
 
 SPACE = "▁"
 #: Units kept by a worker; the table is emptied when it is full.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 450_000
 #: Symbols up to which the agenda is a plain list, searched from the left; longer units use a heap.
 SHORT = 48
 #: Letters that units are told apart by; others are treated as marks are that can follow them.
