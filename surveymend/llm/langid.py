@@ -22,6 +22,8 @@ from pyspark.sql import Window as W
 from .common import chunks, held_out, mapped, mix64, out_batch, ready
 
 FIT_DOCS = 1500
+#: Bits of the bins that a language's ids are counted by.
+RANK_BITS = 12
 #: Symbols: 6 bits each.
 BITS = 6
 DISCOUNT = 0.75
@@ -134,14 +136,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out_batch(_COUNT, {"lang": [x] * len(u), "code": u, "n": n})
 
 
+def first_ids(docs: DataFrame, limit: int) -> DataFrame:
+    """doc_id of the first ``limit`` rows of each language by a hash of doc_id.
+
+    Rows are counted by bins of their hash, so that only the bins which the bound reaches are ranked.
+    """
+    key = F.xxhash64("doc_id", F.lit(8))
+    ids = docs.select("doc_id", "lang", key.alias("k"), F.shiftright(key, 64 - RANK_BITS).alias("bin"))
+    before = F.sum("count").over(W.partitionBy("lang").orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
+    last = ids.groupBy("lang", "bin").count().withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < limit).groupBy("lang").agg(F.max("bin").alias("last"))
+    # One row for each language, as the model has.
+    ids = ids.join(F.broadcast(last), "lang").filter("bin <= last")
+    return ids.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id"))).filter(F.col("rank") <= limit).select("doc_id").distinct()
+
+
 def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Model | None:
     """Learn from rows (doc_id, text, lang) that aren't held out; at most ``limit`` documents of each language."""
     ready(docs.sparkSession)
-    key = F.xxhash64("doc_id", F.lit(8))
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # The rank keeps a bounded number of ids for each language before any shuffle.
-    ids = usable.select("doc_id", "lang", key.alias("k")).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id"))).filter(F.col("rank") <= limit).select("doc_id").distinct()
-    sample = usable.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang")
+    sample = usable.join(F.broadcast(first_ids(usable, limit)), "doc_id", "left_semi").select("doc_id", "text", "lang")
     rows = mapped(sample, _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return None
