@@ -7,9 +7,11 @@ A document is its set of distinct hashed word shingles; two link at a Jaccard si
    Which shingles those are changes the cost, never the result.
 3. In each block, a document is checked against one partner, with whom it shares most first shingles, if their count
    vectors allow a link; this joins groups of copies by about one comparison a document.
+   Blocks of popular shingles are split in ``PARTS`` by a hash of the id for this, so that no task sorts one alone.
 4. Where blocks of one least id still hold more than one component, their documents' count vectors (shingles hashed into a power of two
    of groups, counted) go into an R-tree: a node's largest counts bound the overlap of everything below it, by summed
-   coordinate minima. Pairs of different components that survive the bound are compared on their whole sets.
+   coordinate minima. Pairs of different components that survive the bound are compared on their whole sets. Large blocks are searched
+   in cells: pieces of ``CELL`` documents of the block's largest component against pieces of the others, and those pairwise.
 
 Texts that are null, or have no word, link with nothing. Fewer words than a shingle make one shingle of the whole.
 Null ids keep their size; they take no part in links. Repeated rows repeat their row. Empty tables give no rows.
@@ -35,10 +37,16 @@ NUMERATOR, DENOMINATOR = 4, 5
 POPULAR, POPULAR_SHARE = 128, 2000
 #: Children of an R-tree node; blocks of up to two nodes are compared without one.
 NODE = 16
+#: Parts of the blocks of popular shingles while partners are chosen.
+PARTS = 64
+#: Documents of either side of a cell of a large block: bounds what a task holds.
+CELL = 1024
 #: Pairs that a task remembers before it starts anew.
 SEEN_PAIRS = 500_000
 #: Ids of copies that are broadcast at most: 4 MB.
 BROADCAST_IDS = 500_000
+#: Blocks of several components whose sizes are broadcast at most: 4 MB.
+BROADCAST_BLOCKS = 100_000
 #: Bits of the bounded filter that keeps texts without candidates out of the second shuffle: 1 MB.
 FILTER_BITS = 1 << 23
 
@@ -122,10 +130,11 @@ class RTree:
         return self.order[nodes]
 
 
-def block_pairs(ids: list[int], comps: list[int], sizes: list[int], raw: list[bytes], seen: set[tuple[int, int]]) -> list[tuple[int, int]]:
+def block_pairs(ids: list[int], comps: list[int], sizes: list[int], raw: list[bytes], sides: list[int], seen: set[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs of a block that are in different components and survive the bound; large blocks have a tree for each size band.
 
-    seen: pairs settled in earlier blocks, which are not looked at again.
+    sides: documents of one side, unless it is -1, are compared in another cell. seen: pairs settled in earlier blocks,
+    which are not looked at again.
     """
     order = sorted(range(len(ids)), key=lambda i: sizes[i])
     vectors: dict[int, np.ndarray] = {}
@@ -137,7 +146,7 @@ def block_pairs(ids: list[int], comps: list[int], sizes: list[int], raw: list[by
         return vectors[i]
 
     def offer(i: int, j: int, known: bool) -> None:
-        if comps[i] == comps[j]:
+        if comps[i] == comps[j] or sides[i] == sides[j] >= 0:
             return
         pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
         if pair in seen:
@@ -188,7 +197,7 @@ def _label(s: np.ndarray) -> np.ndarray:
 
 
 def _described(popular: np.ndarray | None):
-    """doc_id, n, two words of the set's hash, first shingles and count vector; only the shingles where popular is None."""
+    """doc_id, n, two words of the set's hash, first shingles, how many of them aren't popular, and count vector; only the shingles where popular is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,14 +206,17 @@ def _described(popular: np.ndarray | None):
                 if popular is None:
                     yield out_batch(_FIRST, {"first": _list([_label(s[: prefix_length(len(s))]) if len(s) else _label(s) for s in sets], pa.int32())})
                     continue
-                first = []
+                first, plain = [], []
                 for s in sets:
                     p = prefix_length(len(s)) if len(s) else 0
+                    rest = p
                     if len(popular) and len(s):
                         mine = _label(s)
                         late = popular[np.minimum(np.searchsorted(popular, mine), len(popular) - 1)] == mine
                         s = np.concatenate((s[~late], s[late])) if late.any() else s
+                        rest = min(p, len(s) - int(late.sum()))
                     first.append(_signed(s[:p]))
+                    plain.append(rest)
                 yield out_batch(
                     _DOC,
                     {
@@ -213,6 +225,7 @@ def _described(popular: np.ndarray | None):
                         "s1": _signed(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)),
                         "s2": _signed(np.array([mix64(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for s in sets], np.uint64)),
                         "first": _list(first, pa.int64()),
+                        "plain": plain,
                         "vector": [count_vector(s).tobytes() for s in sets],
                     },
                 )
@@ -221,7 +234,7 @@ def _described(popular: np.ndarray | None):
 
 
 _FIRST = pa.schema([("first", pa.list_(pa.int32()))])
-_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("first", pa.list_(pa.int64())), ("vector", pa.binary())])
+_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("first", pa.list_(pa.int64())), ("plain", pa.int32()), ("vector", pa.binary())])
 _SET = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -260,8 +273,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks arrive one after another, sorted by their least id; only the open block, and a bounded set of settled pairs, is held."""
-    least, held = None, []
+    """Cells arrive one after another; only the open cell, and a bounded set of settled pairs, is held."""
+    last, held = None, []
     seen: set[tuple[int, int]] = set()
 
     def close() -> pa.RecordBatch:
@@ -271,16 +284,38 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out_batch(_PAIR, {"a": [p[0] for p in found], "b": [p[1] for p in found]})
 
     for batch in batches:
-        for x, *row in zip(*(batch.column(c).to_pylist() for c in ("least", "id", "component", "n", "vector")), strict=True):
-            if x != least and held:
+        for *cell, a, b, c, d, e in zip(*(batch.column(c).to_pylist() for c in (*_CELL, "id", "component", "n", "vector", "side")), strict=True):
+            if cell != last and held:
                 yield close()
                 held = []
-            least = x
-            held.append(row)
+            last = cell
+            held.append((a, b, c, d, e))
     if held:
         yield close()
 
 
+_CELL = ("least", "kind", "i", "j")
+
+
+def _cells(open_blocks: DataFrame) -> DataFrame:
+    """The rows of each block, once for every cell that they are compared in.
+
+    The largest component's documents meet the others only: piece i of it meets piece j of the others in cell (0, i, j),
+    and cells (0, 0, j) also compare the others' piece j within itself. Pieces i < j of the others meet in (1, i, j).
+    """
+    whole = lambda n: F.greatest(F.lit(1), F.ceil(n / CELL)).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    rows = open_blocks.withColumns({"mains": whole(F.col("most")), "others": whole(F.col("rest")), "main": F.col("component") == F.col("largest")})
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(11)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    mine = F.transform(up_to(F.col("others")), lambda j: cell(0, F.col("piece"), j, F.lit(0)))
+    theirs = F.concat(
+        F.transform(up_to(F.col("mains")), lambda i: cell(0, i, F.col("piece"), F.when(i == 0, -1).otherwise(1))),
+        F.transform(F.filter(up_to(F.col("others")), lambda j: j != F.col("piece")), lambda j: cell(1, F.least(j, "piece"), F.greatest(j, "piece"), F.col("piece") > j)),
+    )
+    return rows.withColumn("cell", F.explode(F.when(F.col("main"), mine).otherwise(theirs))).select("least", "cell.*", "id", "component", "n", "vector")
+
+
 def _possible(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose fine count vectors allow a link."""
     one = pairs.join(vectors.select(F.col("id").alias("a"), "n", F.col("vector").alias("x")), "a")
@@ -319,21 +354,29 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # At most (shingles listed first) / POPULAR_SHARE-th of the rows each: a few hundred thousand numbers at any size.
     late = np.sort(np.array([r[0] for r in popular.collect()], np.int32))
-    doc = cut(mapped(text, _described(late), "doc_id long, n long, s1 long, s2 long, first array<long>, vector binary"))
+    doc = cut(mapped(text, _described(late), "doc_id long, n long, s1 long, s2 long, first array<long>, plain int, vector binary"))
     of_set = ["n", "s1", "s2"]
     reps = doc.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("rep"))
     members = cut(doc.select("doc_id", *of_set).join(reps, of_set, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
     # Copies are taken out by their ids, which are broadcast while they are few; so shingles aren't shuffled for it.
     copies = members.filter("rep <> doc_id").select("doc_id").distinct()
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    nodes = doc.filter("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "first", "vector")
-    block = W.partitionBy("h").orderBy("id")
+    nodes = doc.filter("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "first", "plain", "vector")
+    block = W.partitionBy("h", "part").orderBy("id")
     listed = (
-        nodes.select("id", "n", F.explode("first").alias("h"))
+        nodes.select("id", "n", "plain", F.posexplode("first").alias("at", "h"))
+        .select("id", "n", "h", F.when(F.col("at") >= F.col("plain"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PARTS))).otherwise(-1).cast("int").alias("part"))
         .withColumns({"before": F.lag("id").over(block), "before_n": F.lag("n").over(block), "after": F.lead("id").over(block), "least": F.first("id").over(block), "least_n": F.first("n").over(block)})
-        .filter("before is not null or after is not null")
+        .filter("before is not null or after is not null or part >= 0")
     )
-    listed = cut(listed.select("h", "id", "n", "before", "before_n", "least", "least_n"))
+    # Only popular shingles are told apart from here on.
+    listed = cut(listed.select(F.when(F.col("part") >= 0, F.col("h")).alias("h"), "id", "n", "before", "before_n", "least", "least_n"))
+    if len(late):
+        # The least id of all parts; blocks of one document are left out.
+        split = listed.filter("h is not null")
+        top = cut(split.groupBy("h").agg(F.min(F.struct("least", "least_n")).alias("top"), F.max("id").alias("last")).filter("top.least < last").select("h", "top.*"))
+        top = F.broadcast(top) if top.count() <= BROADCAST_IDS else top
+        listed = listed.filter("h is null").unionByName(split.drop("least", "least_n").join(top, "h"))
     close = lambda m: F.least(m, "n") * DENOMINATOR >= F.greatest(m, "n") * NUMERATOR
     # A partner for each document: one of least id is preferred, so that groups of copies become stars.
     star = listed.filter("least < id").filter(close("least_n")).select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(2).alias("w"))
@@ -344,18 +387,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = cut(_verified(partner, text))
     joined = components(first).select(F.col("node").alias("id"), "component")
     # Blocks of one least id are searched together, so that a vector is sent once for all of them.
-    block = W.partitionBy("least")
-    open_blocks = (
-        listed.select("least", "id", "n")
-        .distinct()
-        .join(joined, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-        .withColumns({"lo": F.min("component").over(block), "hi": F.max("component").over(block)})
-        .filter("lo < hi")
-        .join(vectors.select("id", "vector"), "id")
-        .select("least", "id", "component", "n", "vector")
+    placed = cut(listed.select("least", "id", "n").distinct().join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    several = cut(
+        placed.groupBy("least", "component")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("least")
+        .agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts"))
+        .filter("parts > 1")
+        .select("least", F.col("top.component").alias("largest"), F.col("top.size").alias("most"), (F.col("all") - F.col("top.size")).alias("rest"))
     )
-    found = mapped(open_blocks.repartition("least").sortWithinPartitions("least", "id"), _searched, "a long, b long").distinct().join(partner, ["a", "b"], "left_anti")
+    several = F.broadcast(several) if several.count() <= BROADCAST_BLOCKS else several
+    open_blocks = placed.join(several, "least").join(vectors.select("id", "vector"), "id")
+    found = mapped(_cells(open_blocks).repartition(*_CELL).sortWithinPartitions(*_CELL, "id"), _searched, "a long, b long").distinct().join(partner, ["a", "b"], "left_anti")
     return members, first.unionByName(cut(_verified(cut(found), text)))
 
 

@@ -171,9 +171,10 @@ def planted():
     return [(i * 3, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("popular", [2, 128])
-def test_join_equals_brute_force(spark, docs, monkeypatch, popular):
+@pytest.mark.parametrize("popular, cell", [(2, 2048), (2, 3), (128, 2048)])
+def test_join_equals_brute_force(spark, docs, monkeypatch, popular, cell):
     monkeypatch.setattr(ngram_join, "POPULAR", popular)
+    monkeypatch.setattr(ngram_join, "CELL", cell)
     for d in (spark.createDataFrame(planted(), "doc_id long, text string"), docs):
         sets = {k: shingles(t) for k, t in table(d).items()}
         want = brute_components(sets)
@@ -189,12 +190,25 @@ def test_join_odd_tables(odd):
     assert ngram_join.join(odd.limit(0)).collect() == []
 
 
+def test_cells_meet_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    comps = [0] * 30 + [100 + k // 2 for k in range(30, 55)]
+    rows = [(0, i, c, 1, bytearray(b"x"), 0, 30, 25) for i, c in enumerate(comps)] + [(60, i, i, 1, bytearray(b"x"), 60, 1, 1) for i in (60, 61)]
+    blocks = spark.createDataFrame(rows, "least long, id long, component long, n long, vector binary, largest long, most long, rest long")
+    held = {}
+    for r in ngram_join._cells(blocks).collect():
+        held.setdefault((r["least"], r["kind"], r["i"], r["j"]), []).append((r["id"], r["component"], r["side"]))
+    met = [(a[0], b[0]) for c in held.values() for a, b in itertools.combinations(sorted(c), 2) if a[1] != b[1] and not a[2] == b[2] >= 0]
+    want = [(i, j) for i, j in itertools.combinations(range(55), 2) if comps[i] != comps[j]] + [(60, 61)]
+    assert sorted(met) == sorted(want)
+
+
 def test_r_tree_loses_nothing():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64)) for _ in range(10)]
     sets = [np.unique(np.concatenate((b[: len(b) - k], rng.integers(0, 1 << 62, k).astype(np.uint64)))) for b in base for k in range(9)]
     ids = list(range(len(sets)))
-    pairs = set(ngram_join.block_pairs(ids, ids, [len(s) for s in sets], [ngram_join.count_vector(s).tobytes() for s in sets], set()))
+    pairs = set(ngram_join.block_pairs(ids, ids, [len(s) for s in sets], [ngram_join.count_vector(s).tobytes() for s in sets], [-1] * len(ids), set()))
     for i, j in itertools.combinations(ids, 2):
         both = len(np.intersect1d(sets[i], sets[j]))
         if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
@@ -331,6 +345,13 @@ def test_language_on_held_out(docs):
     assert not any(r["rejected"] for r in got) and langid.keep(docs, model).count() == docs.count()
 
 
+def test_language_sample_is_the_first_by_hash(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").when(F.col("id") % 997 == 1, "c").otherwise("a").alias("lang"), F.xxhash64("id", F.lit(8)).alias("k"))
+    every = sorted((r["k"], r["doc_id"], r["lang"]) for r in rows.collect())
+    want = [i for x in "abc" for i in [i for _, i, lang in every if lang == x][:50]]
+    assert sorted(r[0] for r in langid.first_ids(rows, 50).collect()) == sorted(want)
+
+
 def test_language_odd_tables(spark, odd, docs):
     got = langid.predict(odd, langid.fit(docs)).collect()
     assert len(got) == len(ODD)
