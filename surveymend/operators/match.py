@@ -51,8 +51,7 @@ def _street_before_house(s: str, house: str) -> str | None:
         for i in range(len(words)):
             for j in range(i + 1, min(i + 5, len(words) + 1)):
                 span = " ".join(words[i:j])
-                at = low.find(span.lower())
-                if at < 0 or not span.lower().endswith(tx.SUFFIXES):
+                if not span.lower().endswith(tx.SUFFIXES) or (at := low.find(span.lower())) < 0:
                     continue
                 if re.sub(r"^[,\s]+", "", s[at + len(span) :].strip()).startswith(house):
                     found.append(((len(span) + 10 * ("," in s[:at]), len(span) if len(span) <= 25 else 0, at + len(span)), span))

@@ -380,7 +380,16 @@ _STRUCTURE = "CASE WHEN len(regexp_split_to_array(t, '\\s+')) >= 5 THEN 'Narrati
 
 @query(f"WITH a AS (SELECT lang, {_CLASS} AS class FROM (SELECT lang, trim(lower(text)) AS t FROM v_text)), d AS (SELECT class, count(*) AS n FROM a WHERE lang = 'en' GROUP BY 1), r AS (SELECT class, count(*) AS n FROM a WHERE lang = 'de' GROUP BY 1) SELECT coalesce(d.class, r.class) AS class, CAST(coalesce(d.n, 0) AS BIGINT) AS first, CAST(coalesce(r.n, 0) AS BIGINT) AS second FROM d FULL JOIN r ON d.class = r.class")
 def taxonomy_align(v: Views) -> DataFrame:
-    counts = lambda lang: v.text.filter(c("lang") == lang).groupBy(tx.failure_class(c("text")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return _aligned(v.text)
+
+
+@query()
+def whole_taxonomy_align(v: Views) -> DataFrame:
+    return _aligned(v.documents)
+
+
+def _aligned(texts: DataFrame) -> DataFrame:
+    counts = lambda lang: texts.filter(c("lang") == lang).groupBy(tx.failure_class(c("text")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     return relational.aligned(counts("en"), counts("de"), "class", ("first", "second"))
 
 
@@ -545,12 +554,19 @@ def fix_type(v: Views) -> DataFrame:
 
 # ---- texts
 
+# Queries over v_text read the first 40 characters, as their SQL does; those named whole_ read whole texts.
+
 
 @query("SELECT doc_id, trim(lower(regexp_replace(strip_accents(text), '[^\\p{L}\\p{N}\\s]', '', 'g'))) AS folded FROM v_text")
 def fold_text(v: Views) -> DataFrame:
     return v.text.select("doc_id", tx.fold(c("text")).alias("folded"))
 
 
+@query()
+def whole_fold_text(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", tx.fold(c("text")).alias("folded"))
+
+
 def _hint_sql() -> str:
     cases = " ".join(f"WHEN contains(t, '{k}') THEN '{p}'" for k, p in tx.NEIGHBOURHOODS.items())
     south = " OR ".join(f"contains(t, '{k}')" for k in tx.SOUTH)
@@ -559,8 +575,17 @@ def _hint_sql() -> str:
 
 @query(_hint_sql())
 def neighbourhood_hint(v: Views) -> DataFrame:
+    return _hints(v.text)
+
+
+@query()
+def whole_neighbourhood_hint(v: Views) -> DataFrame:
+    return _hints(v.documents)
+
+
+def _hints(texts: DataFrame) -> DataFrame:
     text = F.concat(c("text"), F.when(c("doc_id") % 5 == 0, " Valby").when(c("doc_id") % 5 == 1, " kbh S").otherwise(""))
-    return v.text.select("doc_id", tx.hint(text).alias("postcode"))
+    return texts.select("doc_id", tx.hint(text).alias("postcode"))
 
 
 @query("SELECT turid, l_linenumber, CASE WHEN note IS NULL THEN 0 ELSE greatest(l_partkey % 101, l_suppkey % 101) END::DOUBLE AS most, CASE WHEN note IS NOT NULL THEN (l_partkey % 101 + l_suppkey % 101) / 2.0 END::DOUBLE AS mean, CASE WHEN note IS NULL THEN 0 ELSE l_partkey % 101 END::DOUBLE AS first FROM v_note")
@@ -595,11 +620,21 @@ def taxonomy(v: Views) -> DataFrame:
     return v.text.select("doc_id", tx.failure_class(c("text")).alias("class"))
 
 
+@query()
+def whole_taxonomy(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", tx.failure_class(c("text")).alias("class"))
+
+
 @query(f"SELECT doc_id, {_STRUCTURE} AS class FROM (SELECT doc_id, trim(lower(text)) AS t FROM v_text)")
 def structure_type(v: Views) -> DataFrame:
     return v.text.select("doc_id", tx.structure_class(c("text")).alias("class"))
 
 
+@query()
+def whole_structure_type(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", tx.structure_class(c("text")).alias("class"))
+
+
 @query("SELECT turid, CASE WHEN contains(upper(answer), 'INVALID') THEN 'INVALID' ELSE 'VALID' END AS verdict FROM v_rag")
 def verdict_parse(v: Views) -> DataFrame:
     return v.rag.select("turid", tx.verdict(c("answer")).alias("verdict"))
@@ -641,7 +676,7 @@ def diff_long(v: Views) -> DataFrame:
 
 @query()
 def parse_address(v: Views) -> DataFrame:
-    texts = v.text.select("doc_id", F.concat(F.regexp_replace("text", "[^A-Za-zæøåÆØÅ ]", ""), F.lit("vej "), c("doc_id") % 90 + 1, F.lit(", "), c("doc_id") % 9000 + 1000, F.lit(" Odense")).alias("text"))
+    texts = v.documents.select("doc_id", F.concat(F.regexp_replace("text", "[^A-Za-zæøåÆØÅ ]", ""), F.lit("vej "), c("doc_id") % 90 + 1, F.lit(", "), c("doc_id") % 9000 + 1000, F.lit(" Odense")).alias("text"))
     return match.parse_addresses(texts, "text").drop("text")
 
 
