@@ -347,6 +347,19 @@ def sort_multi(v: Views) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy("SessionId", F.desc("turid"))).cast("long"))
 
 
+@query()
+def whole_sort_multi(v: Views) -> DataFrame:
+    """All trips with their place; ranges of SessionId are ordered on their own and counted before, so no task holds all rows."""
+    trips = v.trip.select("SessionId", "turid")
+    cuts = sorted(set(trips.agg(F.percentile_approx("SessionId", [k / 64 for k in range(1, 64)])).first()[0] or []))
+    piece = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda b: b < c("SessionId")))
+    pieces = trips.withColumn("piece", piece)
+    counts = {r["piece"]: r["count"] for r in pieces.groupBy("piece").count().collect()}
+    before = F.array(*[F.lit(sum(n for p, n in counts.items() if p < k)).cast("long") for k in range(len(cuts) + 1)])
+    at = F.row_number().over(Window.partitionBy("piece").orderBy("SessionId", F.desc("turid")))
+    return pieces.select("SessionId", "turid", (F.element_at(before, c("piece") + 1) + at).alias("place"))
+
+
 @query("SELECT turid, SessionId FROM v_trip ORDER BY turid DESC LIMIT 100")
 def topk(v: Views) -> DataFrame:
     return v.trip.select("turid", "SessionId").orderBy(F.desc("turid")).limit(100)
@@ -488,7 +501,16 @@ def argmax_group(v: Views) -> DataFrame:
 
 @query("SELECT lower(vejnavn) AS street_norm, array_to_string(list_sort(list(row_id)), ',') AS row_ids FROM v_registry WHERE row_id % 10 = 0 GROUP BY 1")
 def inverted_index(v: Views) -> DataFrame:
-    out = match.inverted_index(v.registry.filter("row_id % 10 = 0"))
+    return _listed(v.registry.filter("row_id % 10 = 0"))
+
+
+@query()
+def whole_inverted_index(v: Views) -> DataFrame:
+    return _listed(v.registry)
+
+
+def _listed(registry: DataFrame) -> DataFrame:
+    out = match.inverted_index(registry)
     return out.select("street_norm", F.array_join(c("row_ids").cast("array<string>"), ",").alias("row_ids"))
 
 
@@ -681,7 +703,7 @@ def parse_address(v: Views) -> DataFrame:
 
 
 def _asked(v: Views) -> DataFrame:
-    return v.registry.filter("row_id % 40 = 0").select(F.concat(F.substring("vejnavn", 2, 60), F.lit(" "), "husnr", F.lit(", "), "postnr", F.lit(" "), "postnrnavn").alias("text"))
+    return v.registry.select(F.concat(F.substring("vejnavn", 2, 60), F.lit(" "), "husnr", F.lit(", "), "postnr", F.lit(" "), "postnrnavn").alias("text"))
 
 
 def _parsed(v: Views) -> DataFrame:
@@ -753,7 +775,28 @@ def vec_top1(v: Views) -> DataFrame:
 
 @query(f"WITH t AS ({_TOP1}) SELECT turid, s.vec_id AS start_match, s.score AS start_score, e.vec_id AS end_match, e.score AS end_score FROM (SELECT turid, turid % 20 * 10 AS a, SessionId % 20 * 10 AS b FROM v_trip) JOIN t s ON s.query_id = a JOIN t e ON e.query_id = b")
 def rag_augment(v: Views) -> DataFrame:
-    found = rounded(_top1(v))
+    return _augmented(v, rounded(_top1(v)))
+
+
+def _whole_top1(v: Views) -> DataFrame:
+    """Every vector's nearest among all others: of the two nearest at least one isn't the vector itself."""
+    rows = v.vec.select("vec_id", c("embedding").alias("v"))
+    two = vectors.nearest_rows(rows.select(c("vec_id").alias("query_id"), "v"), rows, 2).filter("vec_id <> query_id")
+    best = two.groupBy("query_id").agg(F.max(F.struct("score", (-c("vec_id")).alias("m"))).alias("b"))
+    return best.select("query_id", (-c("b.m")).alias("vec_id"), "b.score")
+
+
+@query()
+def whole_vec_top1(v: Views) -> DataFrame:
+    return rounded(_whole_top1(v))
+
+
+@query()
+def whole_rag_augment(v: Views) -> DataFrame:
+    return _augmented(v, rounded(_whole_top1(v)))
+
+
+def _augmented(v: Views, found: DataFrame) -> DataFrame:
     end = lambda p, k: found.select(c("query_id").alias(k), c("vec_id").alias(f"{p}_match"), c("score").alias(f"{p}_score"))
     trips = v.trip.select("turid", (c("turid") % 20 * 10).alias("a"), (c("SessionId") % 20 * 10).alias("b"))
     return trips.join(end("start", "a"), "a").join(end("end", "b"), "b").select("turid", "start_match", "start_score", "end_match", "end_score")

@@ -43,3 +43,41 @@ def test_whole_texts_are_parsed(spark, duck):
     asked = duck.sql("select doc_id, concat(regexp_replace(text, '[^A-Za-zæøåÆØÅ ]', '', 'g'), 'vej ', doc_id % 90 + 1, ', ', doc_id % 9000 + 1000, ' Odense') from documents").fetchall()
     got = catalog.QUERIES["parse_address"](spark, SF)
     assert rows(got, ["doc_id", "street", "house", "postnr"]) == sorted(repr((i, *match.parse(t))) for i, t in asked)
+
+
+def test_whole_tables_are_listed_and_sorted(spark, duck):
+    for name, cut in (("inverted_index", " WHERE row_id % 10 = 0"), ("sort_multi", " ORDER BY SessionId, turid DESC LIMIT 500")):
+        sql = catalog.ORACLES[name]
+        assert cut in sql
+        same(spark, duck, f"whole_{name}", sql.replace(cut, ""))
+
+
+def test_all_vectors_are_candidates(spark, duck):
+    import numpy as np
+
+    ids, x = zip(*duck.sql("select vec_id, embedding from embeddings order by vec_id").fetchall(), strict=True)
+    x = np.array(x, float)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    got = {r["query_id"]: r for r in catalog.QUERIES["whole_vec_top1"](spark, SF).collect()}
+    assert sorted(got) == list(ids)
+    for k, i in enumerate(ids):
+        near = ids.index(got[i]["vec_id"])
+        assert near != k and abs(s[k].max() - s[k, near]) < 1e-9 and abs(got[i]["score"] - s[k].max()) < 1e-6
+    assert any(r["vec_id"] % 10 == 0 for r in got.values())
+    for r in catalog.QUERIES["whole_rag_augment"](spark, SF).collect():
+        assert (r["start_match"], r["start_score"]) == (got[r["turid"] % 20 * 10]["vec_id"], got[r["turid"] % 20 * 10]["score"])
+
+
+def test_all_addresses_are_asked(spark):
+    v = catalog.Views(spark, SF)
+    names = v.registry.select("postnr", catalog.tx.fold(catalog.c("vejnavn")).alias("s")).distinct().collect()
+    asked = catalog._parsed(v).select("text", "q_norm", "postnr").collect()
+    assert len(asked) == v.registry.count()
+    order = lambda block: sorted({r["s"] for r in names if block in (None, r["postnr"])})
+    found = lambda q, block, top: sorted([(-s, k, n) for k, n in enumerate(order(block), 1) if (s := match.weighted_ratio(q, n)) >= match.CUTOFF])[:top]
+    want = {(q, b, n, -s, k) for q, b in {(r["q_norm"], r["postnr"]) for r in asked} for s, k, n in found(q, b, match.TOP_STREETS) or found(q, None, match.TOP_STREETS)}
+    assert {tuple(r) for r in catalog.QUERIES["blocked_fuzzy"](spark, SF).collect()} == want
+    want = {(q, n, -s, k) for q in {r["q_norm"] for r in asked} for s, k, n in found(q, None, 5)}
+    assert {tuple(r) for r in catalog.QUERIES["fuzzy_topk"](spark, SF).collect()} == want
+    assert {r["text"] for r in catalog.QUERIES["retrieve"](spark, SF).select("text").distinct().collect()} == {r["text"] for r in asked}
