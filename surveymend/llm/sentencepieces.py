@@ -153,13 +153,17 @@ class Pieces:
         try:
             out = b"".join([word[u] for u in units])
         except KeyError:
-            parts = []
-            # A text may have more units than the table holds.
+            # A text may have more units than the table holds. When learning a part's fresh units empties the table, all
+            # units of the part are learned again; each part is read before the next can empty the table.
+            parts, said = [], []
             for k in range(0, len(units), KEPT_UNITS // 2):
                 part = units[k : k + KEPT_UNITS // 2]
-                self.learn([u for u in set(part) if u not in self.word])
-                parts += [self.word[u] for u in part]
-            out = b"".join(parts)
+                every = set(part)
+                fresh = [u for u in every if u not in word]
+                self.learn(list(every) if len(word) + len(fresh) > KEPT_UNITS else fresh)
+                parts += [word[u] for u in part]
+                said += [self.odd.get(u) or u.replace(SPACE, " ") for u in part]
+            return b"".join(parts), "".join(said)[1:]
         if self.odd and not self.odd.keys().isdisjoint(units):
             return out, "".join([self.odd.get(u) or u.replace(SPACE, " ") for u in units])[1:]
         return out, text.replace(SPACE, " ")
