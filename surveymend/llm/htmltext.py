@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density over every DOM node.
 
 A page becomes a tree; scripts, styles, forms, menus, headers, footers, asides, frames and elements whose class or id
-says advert, notice, comments or the like are left out with all below them. Every node's density is its characters for
-each tag, lowered by link characters and link tags; the subtree whose children's densities sum highest is the content.
+says advert, notice, comments or the like are left out with all below them. The latter stay where they hold an article or
+main element, or most of the text of a page without one, or lie in one as a heading, a paragraph or a part at least half
+as dense. Every node's density is its characters for each tag, lowered by link characters and link tags; the subtree
+whose children's densities sum highest is the content.
 The least density on the path from it to the body is the threshold for other subtrees: the result climbs to an
 enclosing article or main element, or else to the highest ancestor, and loses branches below the threshold.
 Null and empty pages, and pages without text, give an empty text.
@@ -34,22 +36,22 @@ _SELF = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead header topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus discussion replies respond related recommended share sharing social subscribe newsletter signup login search pagination pager widget toolbar skip".split()
 )
-_KEEP = frozenset(("article", "main", "body", "html"))
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parts", "parent", "drop", "marked", "holds", "home", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop, self.parts = tag, parent, drop, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool, marked: bool = False):
+        self.tag, self.parent, self.drop, self.marked, self.parts = tag, parent, drop, marked, []
 
 
-def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in _DROP:
-        return True
-    if tag == "header":
-        return parent.tag in ("body", "html")
-    if attributes and tag not in _KEEP:
+def _unwanted(tag: str, parent: Node) -> bool:
+    return tag in _DROP or tag == "header" and parent.tag in ("body", "html")
+
+
+def _marked(tag: str, attributes: str) -> bool:
+    if attributes and tag not in ("body", "html", "header"):
         for m in _CLASS.finditer(attributes):
             if not _MARKS.isdisjoint(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
                 return True
@@ -95,7 +97,7 @@ def tree(page: str) -> Node:
                     at = up.parent
                     break
                 up = up.parent
-        node = Node(tag, at, at.drop or _unwanted(tag, m[3], at))
+        node = Node(tag, at, at.drop or _unwanted(tag, at), not at.drop and _marked(tag, m[3]))
         at.parts.append(node)
         if tag in _VOID or m[3].endswith("/"):
             continue
@@ -140,9 +142,28 @@ def measure(nodes: list[Node]) -> None:
         n.density = c / t * math.log(max((c / max(lc, 1)) * (t / lt), 1.0) + 1) / math.log(max(base, math.e)) if c else 0.0
 
 
+def settle(nodes: list[Node]) -> None:
+    """Drop the marked ones of nodes in preorder that have no reason to stay."""
+    measure(nodes)
+    for n in reversed(nodes):
+        n.holds = any(not isinstance(x, str) and not x.drop and (x.holds or x.tag in ("article", "main") and not x.marked) for x in n.parts)
+    for n in nodes:
+        up = n.parent
+        n.home = None if up is None else up if up.tag in ("article", "main") else up.home
+        # On a page with an article, a part beside it may well be longer.
+        most = n.chars * 2 > nodes[0].chars and (n.home is not None or not nodes[0].holds)
+        if not n.marked or n.tag in ("article", "main") or n.holds or most:
+            continue
+        linked = n.link_chars * 2 > n.chars
+        n.drop = n.home is None or linked or n.tag not in _TEXT and n.density * 2 < n.home.density
+
+
 def content(root: Node) -> tuple[Node, float]:
     """The node to read and the least density of the branches to keep."""
     nodes = _preorder(root)
+    if any(n.marked for n in nodes):
+        settle(nodes)
+        nodes = _preorder(root)
     measure(nodes)
     best, most = root, -1.0
     for n in nodes:
@@ -156,7 +177,7 @@ def content(root: Node) -> tuple[Node, float]:
         if up.tag in ("article", "main"):
             outer = up
         top, up = up, up.parent
-    return (outer, 0.0) if outer is not None else (top, threshold)
+    return (top if outer is None else outer), threshold
 
 
 def text_of(page: str | None) -> str:
