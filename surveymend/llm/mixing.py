@@ -26,11 +26,17 @@ FAN, LEVELS = 256, 3
 MOST = 3
 #: Sources up to which their totals are broadcast: a few MB.
 BROADCAST_SOURCES = 20_000
+#: Ids up to which those whose rows are taken unequally often are broadcast.
+BROADCAST_IDS = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source and size: the number of words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", _size().alias("size"))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -144,11 +150,36 @@ def mix(docs: DataFrame, seed: int = 20, sized: DataFrame | None = None) -> Data
 
 
 def repeat(docs: DataFrame, seed: int = 20) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns. Documents of null doc_id are left as fixed rows."""
+    """The mix itself: each document as often as it is taken, with its own columns.
+
+    Rows of null doc_id are left as fixed rows, taken the whole part of their source's rate. Rows of one doc_id are taken
+    as often together as they were rounded; which of those of one source and size takes more goes by their columns.
+    """
     key = "__mix_key"
-    copies = mix(docs, seed).filter("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias("__copies"))
-    out = docs.join(copies, docs["doc_id"] == copies[key])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    taken = cut(mix(docs, seed).select("doc_id", "source", "size", "copies"))
+    of_id = taken.filter("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("copies").alias("__least"), F.max("copies").alias("__copies"))
+    even = of_id.filter("__least = __copies and __copies > 0").select(key, "__copies")
+    parts = [docs.join(even, docs["doc_id"] == even[key]).select(*docs.columns, "__copies")]
+    uneven = cut(of_id.filter("__least < __copies").select(key))
+    n = uneven.count()
+    if n:
+        ids = F.broadcast(uneven) if n <= BROADCAST_IDS else uneven
+        row = W.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"), F.to_json(F.struct(*docs.columns)))
+        own = docs.join(ids, F.col("doc_id") == F.col(key), "left_semi").withColumn("__size", _size()).withColumn("__nth", F.row_number().over(row))
+        rank = W.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
+        dealt = taken.join(ids, F.col("doc_id") == F.col(key), "left_semi").withColumn("__place", F.row_number().over(rank))
+        dealt = dealt.select(F.col("doc_id").alias("__of"), F.col("source").alias("__from"), F.col("size").alias("__words"), "__place", F.col("copies").alias("__copies"))
+        same = (F.col("doc_id") == F.col("__of")) & F.col("source").eqNullSafe(F.col("__from")) & (F.col("__size") == F.col("__words")) & (F.col("__nth") == F.col("__place"))
+        parts.append(own.join(dealt.filter("__copies > 0"), same).select(*docs.columns, "__copies"))
+    nulls = cut(taken.filter("doc_id is null").groupBy(F.col("source").alias("__from")).agg(F.max("copies").alias("__copies")).filter("__copies > 0"))
+    n = nulls.count()
+    if n:
+        whole = F.broadcast(nulls) if n <= BROADCAST_SOURCES else nulls
+        parts.append(docs.filter("doc_id is null").join(whole, F.col("source").eqNullSafe(F.col("__from"))).select(*docs.columns, "__copies"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
