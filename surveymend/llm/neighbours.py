@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product over shifted Hilbert curves.
 
 Vectors are projected on a few random directions for each curve, shifted, and ordered by their Hilbert key. Each curve
-is cut into ranges of equal size; a query is compared with the rows of its own range and of the ranges on either side
-that make up ``WINDOW`` of the curve, and the windows' best are merged and ranked again by the exact measure.
+is cut into ``RANGES`` ranges of equal size (fewer in a table of few rows); a query is compared with the rows of its own
+range and of the ranges on either side that make up ``WINDOW`` of the curve, so 7 of 20 at every size, and the windows' best are merged and ranked again by the exact measure.
 Equal vectors are searched once, and stand for their ``K + 1`` smallest ids, more than which can't be among the nearest,
 so no number of copies makes a long range, and ties at equal vectors are exact.
 Null vectors, zero vectors, vectors with null or non-finite components, null ids, and vectors of another length than
@@ -26,7 +26,7 @@ K, QUERY_EVERY = 20, 20
 CURVES, DIRECTIONS, BITS = 8, 4, 6
 #: The share of a curve that a query is compared with; measured recall is in the README.
 WINDOW = 0.25
-#: Ranges of a curve: at least these, and of at most so many rows.
+#: Ranges of a curve, and the rows of a range beyond which it is searched in parts.
 RANGES, RANGE_ROWS = 20, 50_000
 LEAST_ROWS = 64
 SEED = 5
@@ -152,6 +152,13 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def layout(n: int) -> tuple[int, int, int]:
+    """Ranges of a curve of n rows, ranges on either side that a query is compared with, and parts of a range."""
+    # Ranges of a small table hold some rows each, so that a window is never without neighbours.
+    ranges = max(1, min(RANGES, n // LEAST_ROWS))
+    return ranges, int(np.ceil(ranges * WINDOW / 2)), max(1, -(-n // (ranges * RANGE_ROWS)))
+
+
 def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest found to every row of (vec_id, embedding) whose id ``every`` divides."""
     spark = vectors.sparkSession
@@ -170,9 +177,8 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     n = keyed.filter("curve = 0").count()
     if not n:
         return empty
-    # Ranges of a small table hold some rows each, so that a window is never without neighbours.
-    ranges = max(1, min(max(RANGES, -(-n // RANGE_ROWS)), n // LEAST_ROWS))
-    side = int(np.ceil(ranges * WINDOW / 2))
+    wide, side, parts = layout(n)
+    ranges = wide * parts
     # Keys that tie are told apart by their vector's digest, so ranges are even.
     place = F.col("key") * (1 << 24) + F.pmod(F.xxhash64("vkey"), F.lit(1 << 24))
     placed = keyed.withColumn("place", place)
@@ -180,7 +186,8 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFram
     bounds = {r["curve"]: r["at"] for r in placed.groupBy("curve").agg(F.percentile_approx("place", shares, 100 * ranges).alias("at")).collect()} if shares else dict.fromkeys(range(CURVES))
     at = F.element_at(F.array(*[F.array(*[F.lit(int(b)).cast("long") for b in bounds[c] or []]).cast("array<bigint>") for c in range(CURVES)]), F.col("curve") + 1)
     rows = placed.withColumn("range", F.size(F.filter(at, lambda b: b < F.col("place"))))
-    window = F.sequence(F.greatest(F.col("range") - side, F.lit(0)), F.least(F.col("range") + side, F.lit(ranges - 1)))
+    own = F.floor(F.col("range") / parts).cast("int")
+    window = F.sequence(F.greatest((own - side) * parts, F.lit(0)), F.least((own + side + 1) * parts - 1, F.lit(ranges - 1)))
     queries = rows.filter("asked").withColumn("range", F.explode(window))
     both = rows.select("curve", "range", F.lit(False).alias("query"), "vkey", "vector", "ids").unionByName(queries.select("curve", "range", F.lit(True).alias("query"), "vkey", "vector", F.lit(None).cast("array<long>").alias("ids")))
     found = mapped(both.repartition("curve", "range").sortWithinPartitions("curve", "range", "query"), _searched, "qkey string, vkey string, score double, ids array<long>")
