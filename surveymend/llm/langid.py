@@ -34,7 +34,7 @@ _A, _N = 1 << BITS, 3
 
 
 def _symbols() -> np.ndarray:
-    """The symbol of each code point of the first plane; letters beyond it share a class."""
+    """The symbol of each code point of the first plane; letters beyond it share a class, and other characters there have none."""
     table = np.zeros(1 << 16, np.uint8)
     for c in range(1 << 16):
         ch = chr(c)
@@ -54,7 +54,11 @@ def symbols(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     for lo, hi, data, offsets in chunks(column):
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         starts = np.cumsum(np.concatenate(([0], (data & 0xC0) != 0x80)))[offsets]
-        sym = np.where(points < 1 << 16, _table[0][np.minimum(points, 0xFFFF)], 63).astype(np.int64)
+        sym = _table[0][np.minimum(points, 0xFFFF)].astype(np.int64)
+        beyond = points > 0xFFFF
+        if beyond.any():
+            found, at = np.unique(points[beyond], return_inverse=True)
+            sym[beyond] = np.array([63 if chr(c).isalpha() else 0 for c in found.tolist()])[at]
         row = np.repeat(np.arange(hi - lo), np.diff(starts))
         first = np.zeros(len(sym), bool)
         first[starts[:-1][starts[:-1] < len(sym)]] = True
