@@ -1,6 +1,6 @@
 """Homomorphic multiset hashes of documents: wide vectors hashed from paragraphs are summed modulo powers of two.
 
-A paragraph's vector has ``WIDE`` words of 64 bits that identify it, and ``LANES`` signed counters of 16 bits in which
+A paragraph's vector has ``WIDE`` words of 64 bits that identify it, and ``LANES`` signed counters of 32 bits in which
 each of its word trigrams adds or subtracts one. A document's fingerprint is the sum over its paragraphs, so the order
 of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector. Two
 fingerprints that are equal have likeness 1; otherwise it is the cosine of their counters, at least 0 and below 1.
@@ -47,7 +47,7 @@ def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at = (f >> np.uint64(8)).astype(np.int64) % LANES
         sign = np.where((f & np.uint64(1)).astype(bool), 1.0, -1.0)
         lanes[lo:hi] += np.bincount(row * LANES + at, weights=sign, minlength=(hi - lo) * LANES).astype(np.int64).reshape(hi - lo, LANES)
-    return wide, lanes.astype(np.int16)
+    return wide, lanes.astype(np.int32)
 
 
 def text_of(wide: np.ndarray, lanes: np.ndarray) -> list[str]:
@@ -57,7 +57,7 @@ def text_of(wide: np.ndarray, lanes: np.ndarray) -> list[str]:
 
 def parsed(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 8 * WIDE], np.uint64), np.frombuffer(raw[8 * WIDE :], np.int16)
+    return np.frombuffer(raw[: 8 * WIDE], np.uint64), np.frombuffer(raw[8 * WIDE :], np.int32)
 
 
 def combined(a: str, b: str, sign: int = 1) -> str:
