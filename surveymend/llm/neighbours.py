@@ -1,37 +1,50 @@
 """Approximate nearest neighbours by inner product over shifted Hilbert curves.
 
-Vectors are projected on a few random directions for each curve, shifted, and ordered by their Hilbert key. Each curve
-is cut into ``RANGES`` ranges of equal size (fewer in a table of few rows); a query is compared with the rows of its own
-range and of the ranges on either side that make up ``WINDOW`` of the curve, so 7 of 20 at every size, and the windows' best are merged and ranked again by the exact measure.
+Vectors are projected on some random directions for each curve, shifted, and ordered by their Hilbert key. Each curve is
+cut into ranges of equal size, up to ``RANGES``; Spark deals out runs of neighbouring ranges, so that a task holds a
+stretch of one curve. A query searches several windows of each curve: the ranges where it expects its neighbours. How
+many rows of a range should pass the query's k-th score follows from the range's mean and spread, as for a normal
+distribution; ranges are taken from the densest down, over all curves, until the expected recall is ``EXPECTED``. So
+windows are narrow where vectors cluster and wide where they don't. What the windows find is merged and ranked by the
+exact measure.
+
 Equal vectors are searched once, and stand for their ``K + 1`` smallest ids, more than which can't be among the nearest,
-so no number of copies makes a long range, and ties at equal vectors are exact.
-Null vectors, zero vectors, vectors with null or non-finite components, null ids, and vectors of another length than
-most take no part. A query without candidates gives no rows; repeated ids are queries and candidates once.
+so no number of copies makes a long range, and ties at equal vectors are exact. Keys that tie are told apart by a hash
+of the id, so ranges are even.
+Null vectors, zero vectors, vectors with null or non-finite components, and null ids take no part. Inner products are of
+vectors of one length: every length is a table of its own. A query without candidates gives no rows; repeated ids are
+queries and candidates once; an empty table gives no rows; other columns are ignored. Very long vectors only take longer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, mapped, out_batch, ready
+from .common import cut, mapped, mix64, out_batch, ready
 
 K, QUERY_EVERY = 20, 20
 #: Curves, directions of each, and bits of each direction.
-CURVES, DIRECTIONS, BITS = 8, 4, 6
-#: The share of a curve that a query is compared with; measured recall is in the README.
-WINDOW = 0.25
-#: Ranges of a curve, and the rows of a range beyond which it is searched in parts.
-RANGES, RANGE_ROWS = 20, 50_000
-LEAST_ROWS = 64
+CURVES, DIRECTIONS, BITS = 2, 16, 2
+#: The recall that windows are chosen for; what it comes to, and what it costs, is in the README.
+EXPECTED = 0.94
+#: Rows of a range in small tables, and ranges of a curve in large ones.
+RANGE_ROWS, RANGES = 10, 1024
+#: Vectors whose keys place the ranges' borders: a bounded sample, the first by a hash of the id.
+SAMPLE = 65_536
+#: Rows of a curve that a task holds, and queries that it compares with them at once.
+BLOCK_ROWS, STEP = 8192, 256
+#: Groups of equal vectors whose digests are broadcast at most: 12 MB.
+BROADCAST_GROUPS = 250_000
 SEED = 5
-#: Products held at once in a worker.
-CELLS = 4_000_000
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -59,140 +72,326 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(x: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """(n, CURVES) Hilbert keys of vectors scaled to unit length."""
+def curve_places(ids: np.ndarray, x: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """(n, CURVES) places: Hilbert keys of vectors scaled to unit length, and below them bits of a hash of the id."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    need = CURVES * DIRECTIONS
-    axes = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-need // dim))], axis=1)
+    own = min(DIRECTIONS, dim)
+    axes = np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-CURVES * own // dim))], axis=1)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tie = (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(40)).astype(np.int64)
     out = np.empty((len(x), CURVES), np.int64)
     for c in range(CURVES):
         # One standard deviation of a random direction is a quarter of the grid; the shift moves cell borders.
-        y = (unit @ axes[:, c * DIRECTIONS : (c + 1) * DIRECTIONS] * dim**0.5 / 4 + 0.5 + rng.uniform(-0.06, 0.06, DIRECTIONS)) * (1 << BITS)
-        out[:, c] = hilbert(np.clip(y, 0, (1 << BITS) - 1).astype(np.int64), BITS)
+        y = (unit @ axes[:, c * own : (c + 1) * own] * dim**0.5 / 4 + 0.5 + rng.uniform(-0.06, 0.06, own)) * (1 << BITS)
+        out[:, c] = hilbert(np.clip(y, 0, (1 << BITS) - 1).astype(np.int64), BITS) << 24 | tie
     return out
 
 
-def _clean(dim: int):
+def tail(z: np.ndarray) -> np.ndarray:
+    """The share of a normal distribution above z, to seven places."""
+    a = np.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    p = np.exp(-a * a / 2) * 0.3989422804 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(z >= 0, p, 1 - p)
+
+
+@dataclass
+class Index:
+    """Where ranges begin on each curve, and the rows, mean and spread of every range: 2 * 1024 means at most."""
+
+    bounds: list[np.ndarray]
+    count: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+
+    @property
+    def ranges(self) -> int:
+        return len(self.bounds[0]) + 1
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(b, places[:, c], "right") for c, b in enumerate(self.bounds)], axis=1)
+
+    def windows(self, q: np.ndarray, k: int) -> np.ndarray:
+        """(queries, CURVES * ranges): which ranges hold the expected share of each query's k nearest."""
+        n = self.ranges
+        size = np.linalg.norm(q, axis=1, keepdims=True)
+        score, deviation = q @ self.mean.T, np.maximum(size * self.spread, 1e-12 * size)
+        # The k-th score: where the rows expected above it, counted on the first curve, are k.
+        s, d, rows = score[:, :n], deviation[:, :n], self.count[:n]
+        low, high = (s - 2 * d).min(axis=1), (s + 8 * d).max(axis=1)
+        for _ in range(14):
+            middle = (low + high) / 2
+            many = (rows * tail((middle[:, None] - s) / d)).sum(axis=1) > k
+            low, high = np.where(many, middle, low), np.where(many, high, middle)
+        density = tail((low[:, None] - score) / deviation)
+        order = np.argsort(-density, axis=1, kind="stable")
+        gain = np.take_along_axis(density * self.count, order, 1)
+        missed, held = np.ones(density.shape), np.zeros(density.shape)
+        for c in range(CURVES):
+            caught = np.cumsum(np.where(order // n == c, gain, 0), axis=1)
+            missed *= np.clip(1 - caught / np.maximum(caught[:, -1:], 1e-300), 0, 1)
+            held = np.maximum(held, np.cumsum(np.where(order // n == c, self.count[order], 0), axis=1))
+        # Windows hold the query and k others in any case.
+        need = np.maximum((missed > 1 - EXPECTED).sum(axis=1), (held < k + 1).sum(axis=1)) + 1
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+        return rank < need[:, None]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as an (n, length) array of doubles; nulls become NaN."""
+    values = column.flatten()
+    values = values.fill_null(float("nan")) if values.null_count else values
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of usable vectors; a zero has one sign only, so that equal vectors have equal digests."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _matrix(batch.column("v"))
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        rows = (x[good] + 0.0).astype("<f4" if pa.types.is_float32(batch.schema.field("v").type.value_type) else "<f8")
+        yield out_batch(_CLEAN, {"id": batch.column("id").filter(pa.array(good)), "vector": [r.tobytes() for r in rows]})
+
+
+_CLEAN = pa.schema([("id", pa.int64()), ("vector", pa.binary())])
+_PLACES = pa.schema([("places", pa.binary())])
+_SUMS = pa.schema([("curve", pa.int32()), ("range", pa.int32()), ("n", pa.int64()), ("squares", pa.float64()), ("total", pa.binary())])
+_PLACED = pa.schema([("curve", pa.int32()), ("block", pa.int64()), ("query", pa.bool_()), ("range", pa.int32()), ("vid", pa.int64()), ("vector", pa.binary()), ("windows", pa.binary())])
+_FOUND = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("score", pa.float64())])
+
+
+def _read(column: pa.Array, kind: str) -> np.ndarray:
+    """Vectors from their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+
+
+def _keys(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("vector", pa.binary())])
         for batch in batches:
-            v = batch.column("v")
-            ids, out = batch.column("id").to_pylist(), []
-            keep = []
-            for i in range(len(v)):
-                x = v[i].values
-                if x is None or len(x) != dim or x.null_count:
-                    continue
-                x = x.to_numpy(zero_copy_only=False).astype("<f8")
-                if np.isfinite(x).all() and x.any():
-                    keep.append(ids[i])
-                    out.append((x + 0.0).tobytes())
-            yield out_batch(schema, {"id": keep, "vector": out})
+            if batch.num_rows:
+                p = curve_places(batch.column("vid").to_numpy(), _read(batch.column("vector"), kind))
+                yield out_batch(_PLACES, {"places": [r.tobytes() for r in p]})
 
     return run
 
 
-_KEYED = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("vkey", pa.string()), ("vector", pa.binary()), ("ids", pa.list_(pa.int64())), ("asked", pa.bool_())])
+def _sums(kind: str, bounds: list[np.ndarray]):
+    """Rows, squared lengths and vector sums by range: at most one row for each range from a task."""
+    index, n = Index(bounds, None, None, None), len(bounds[0]) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, squares, total = np.zeros(CURVES * n, np.int64), np.zeros(CURVES * n), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _read(batch.column("vector"), kind)
+            total = np.zeros((CURVES * n, x.shape[1])) if total is None else total
+            at = index.of(curve_places(batch.column("vid").to_numpy(), x)) + np.arange(CURVES) * n
+            length = (x * x).sum(axis=1)
+            for c in range(CURVES):
+                order = np.argsort(at[:, c], kind="stable")
+                which, first = np.unique(at[order, c], return_index=True)
+                rows[which] += np.diff(np.append(first, len(order)))
+                squares[which] += np.add.reduceat(length[order], first)
+                total[which] += np.add.reduceat(x[order], first, axis=0)
+        some = np.flatnonzero(rows)
+        yield out_batch(_SUMS, {"curve": some // n, "range": some % n, "n": rows[some], "squares": squares[some], "total": [total[i].tobytes() for i in some]})
+
+    return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the ranges that a task was dealt."""
+    held: dict[tuple[int, int], list] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = curve_keys(np.stack([np.frombuffer(v, "<f8") for v in batch.column("vector").to_pylist()]))
-        for c in range(CURVES):
-            yield out_batch(_KEYED, {"curve": np.full(batch.num_rows, c, np.int32), "key": keys[:, c]} | {n: batch.column(n) for n in ("vkey", "vector", "ids", "asked")})
+        for c, r, n, s, t in zip(*(batch.column(f.name).to_pylist() for f in _SUMS), strict=True):
+            have = held.setdefault((c, r), [0, 0.0, 0.0])
+            have[0] += n
+            have[1] += s
+            have[2] = have[2] + np.frombuffer(t)
+    yield out_batch(_SUMS, {"curve": [k[0] for k in held], "range": [k[1] for k in held], "n": [v[0] for v in held.values()], "squares": [v[1] for v in held.values()], "total": [v[2].tobytes() for v in held.values()]})
+
+
+def blocks_of(n: int, ranges: int) -> tuple[int, int]:
+    """(runs of ranges of a curve, parts of a range): a block is a run, or a part of one range, of about BLOCK_ROWS rows."""
+    want = max(1, -(-n // BLOCK_ROWS))
+    return min(want, ranges), max(1, -(-want // ranges))
 
 
-_FOUND = pa.schema([("qkey", pa.string()), ("vkey", pa.string()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
+def _placed(kind: str, index: Index, n: int, k: int):
+    """Each row on every curve, and each query once for every block that one of its windows meets."""
+    ranges = index.ranges
+    runs, parts = blocks_of(n, ranges)
+    run_of = np.arange(ranges) * runs // ranges
+    first = np.searchsorted(run_of, np.arange(runs + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vid = batch.column("vid").to_numpy()
+            x = _read(batch.column("vector"), kind)
+            at = index.of(curve_places(vid, x))
+            part = (mix64(vid.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+            none = pa.nulls(batch.num_rows, pa.binary())
+            for c in range(CURVES):
+                yield out_batch(_PLACED, {"curve": np.full(len(vid), c, np.int32), "block": run_of[at[:, c]] * parts + part, "query": np.zeros(len(vid), bool), "range": at[:, c], "vid": vid, "vector": batch.column("vector"), "windows": none})
+            asked = np.flatnonzero(batch.column("asked").to_numpy(zero_copy_only=False))
+            if not len(asked):
+                continue
+            chosen = index.windows(x[asked], k).reshape(len(asked), CURVES, ranges)
+            for c in range(CURVES):
+                for b in range(runs):
+                    mine = chosen[:, c, first[b] : first[b + 1]]
+                    some = np.flatnonzero(mine.any(axis=1))
+                    if len(some):
+                        bits = [r.tobytes() for r in np.packbits(mine[some], axis=1)]
+                        who = np.tile(some, parts)
+                        yield out_batch(
+                            _PLACED,
+                            {"curve": np.full(len(who), c, np.int32), "block": b * parts + np.repeat(np.arange(parts), len(some)), "query": np.ones(len(who), bool), "range": np.full(len(who), first[b]), "vid": vid[asked[who]], "vector": batch.column("vector").take(pa.array(asked[who])), "windows": bits * parts},
+                        )
+
+    return run
 
 
-def nearest_in(queries: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query, places and exact inner products of its k nearest rows, with ties at the last place."""
+def best_of(score: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, id, exact score) of the k best rows of each query by score, then id; -inf stands for rows not searched."""
     out = []
-    step = max(1, CELLS // max(len(rows), 1))
-    for lo in range(0, len(queries), step):
-        rough = queries[lo : lo + step] @ rows.T
-        for q, r in zip(queries[lo : lo + step], rough, strict=True):
-            least = np.partition(r, -k)[-k] if len(r) > k else -np.inf
-            at = np.flatnonzero(r >= least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else np.ones(len(r), bool))
-            # Product by product, so equal vectors have equal scores wherever they are.
-            exact = (rows[at] * q).sum(axis=1)
-            if len(at) > k:
-                keep = exact >= np.partition(exact, -k)[-k]
-                at, exact = at[keep], exact[keep]
-            out.append((at, exact))
-    return out
+    most = min(score.shape[1], k + 8)
+    at = np.argpartition(-score, most - 1, axis=1)[:, :most]
+    rough = np.take_along_axis(score, at, 1)
+    last = np.sort(rough, axis=1)[:, -min(k, most)]
+    many = (score >= (last - 1e-9 * np.maximum(1, np.abs(last)))[:, None]).sum(axis=1) > most
+    for i in np.flatnonzero(many & np.isfinite(last)):  # ties beyond those kept
+        found = np.flatnonzero(score[i] >= last[i] - 1e-9 * max(1.0, abs(last[i])))
+        exact = (rows[found] * queries[i]).sum(axis=1)
+        order = np.lexsort((ids[found], -exact))[:k]
+        out.append((np.full(len(order), i), ids[found[order]], exact[order]))
+        rough[i] = -np.inf
+    # Product by product, so equal vectors have equal scores wherever they are.
+    exact = np.where(np.isfinite(rough), (rows[at] * queries[:, None, :]).sum(axis=2), -np.inf)
+    who = np.repeat(np.arange(len(at)), most)
+    order = np.lexsort((ids[at].ravel(), -exact.ravel(), who)).reshape(len(at), most)[:, :k].ravel()
+    order = order[np.isfinite(exact.ravel()[order])]
+    out.append((who[order], ids[at].ravel()[order], exact.ravel()[order]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges arrive one after another, rows before queries."""
-    place, rows, asked = None, [], []
+def _searched(kind: str, k: int):
+    """Blocks arrive one after another, rows by range before queries; only one block's rows are held."""
 
-    def close() -> Iterator[pa.RecordBatch]:
-        if not rows or not asked:
-            return
-        x = np.stack([np.frombuffer(r[1], "<f8") for r in rows])
-        for lo in range(0, len(asked), 512):
-            part = asked[lo : lo + 512]
-            found = nearest_in(np.stack([np.frombuffer(q[1], "<f8") for q in part]), x, K + 1)
-            yield out_batch(
-                _FOUND,
-                {"qkey": [q[0] for q, (at, _) in zip(part, found, strict=True) for _ in at], "vkey": [rows[i][0] for at, _ in found for i in at], "score": np.concatenate([s for _, s in found]), "ids": [rows[i][2] for at, _ in found for i in at]},
-            )
+    def close(block: list, queries: list) -> pa.RecordBatch:
+        x = np.frombuffer(b"".join(r[2] for r in block), kind).reshape(len(block), -1).astype(np.float64)
+        ids, own = np.array([r[1] for r in block]), np.array([r[0] for r in block])
+        which, begin = np.unique(own, return_index=True)
+        end = np.append(begin[1:], len(own))
+        q = np.frombuffer(b"".join(r[2] for r in queries), kind).reshape(len(queries), -1).astype(np.float64)
+        first = np.array([r[0] for r in queries])
+        bits = np.unpackbits(np.stack([np.frombuffer(r[3], np.uint8) for r in queries]), axis=1).astype(bool)
+        score = np.full((len(q), len(x)), -np.inf)
+        for r, b, e in zip(which, begin, end, strict=True):
+            asks = np.flatnonzero(bits[:, r - first[0]])
+            if len(asks):
+                score[asks, b:e] = q[asks] @ x[b:e].T
+        who, found, exact = best_of(score, q, x, ids, k)
+        return out_batch(_FOUND, {"q": np.array([r[1] for r in queries])[who], "v": found, "score": exact})
 
-    for batch in batches:
-        for curve, rng, query, vkey, vector, ids in zip(*(batch.column(c).to_pylist() for c in ("curve", "range", "query", "vkey", "vector", "ids")), strict=True):
-            if (curve, rng) != place:
-                yield from close()
-                place, rows, asked = (curve, rng), [], []
-            (asked if query else rows).append((vkey, vector, ids))
-    yield from close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, block, queries = None, [], []
+        for batch in batches:
+            for curve, number, query, *row in zip(*(batch.column(f.name).to_pylist() for f in _PLACED), strict=True):
+                if (curve, number) != place:
+                    if block and queries:
+                        yield close(block, queries)
+                    place, block, queries = (curve, number), [], []
+                if not query:
+                    block.append(row)
+                elif block:
+                    queries.append(row)
+                    if len(queries) == STEP:
+                        yield close(block, queries)
+                        queries = []
+        if block and queries:
+            yield close(block, queries)
 
+    return run
 
-def layout(n: int) -> tuple[int, int, int]:
-    """Ranges of a curve of n rows, ranges on either side that a query is compared with, and parts of a range."""
-    # Ranges of a small table hold some rows each, so that a window is never without neighbours.
-    ranges = max(1, min(RANGES, n // LEAST_ROWS))
-    return ranges, int(np.ceil(ranges * WINDOW / 2)), max(1, -(-n // (ranges * RANGE_ROWS)))
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary"}
+    return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a table that has been cut, if it has few rows; else Spark chooses."""
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
+def _bounds(same: DataFrame, kind: str, n: int) -> list[np.ndarray]:
+    """Where the ranges of each curve begin, from the places of a bounded sample."""
+    share = 1 << 20
+    part = same if n <= SAMPLE else same.filter(F.pmod(F.xxhash64("vid", F.lit(55)), F.lit(share)) < int(SAMPLE / n * share))
+    places = mapped(part.select("vid", "vector"), _keys(kind), "places binary").toArrow().column("places").to_pylist()
+    p = np.sort(np.frombuffer(b"".join(places), np.int64).reshape(-1, CURVES), axis=0)
+    ranges = max(1, min(RANGES, n // RANGE_ROWS, len(p)))
+    return [p[np.arange(1, ranges) * len(p) // ranges, c] for c in range(CURVES)]
+
+
+def build(same: DataFrame, kind: str, n: int) -> Index:
+    """Ranges of the distinct vectors (vid, vector), with means over all of them."""
+    bounds = _bounds(same, kind, n)
+    sums = mapped(same.select("vid", "vector"), _sums(kind, bounds), _ddl(_SUMS))
+    rows = mapped(sums.repartition("curve", "range"), _summed, _ddl(_SUMS)).toArrow().to_pylist()
+    ranges = len(bounds[0]) + 1
+    dim = len(rows[0]["total"]) // 8
+    count, mean, spread = np.zeros(CURVES * ranges), np.zeros((CURVES * ranges, dim)), np.zeros(CURVES * ranges)
+    for r in rows:
+        at = r["curve"] * ranges + r["range"]
+        count[at], mean[at] = r["n"], np.frombuffer(r["total"]) / r["n"]
+        spread[at] = max(r["squares"] / r["n"] - (mean[at] ** 2).sum(), 0.0) / dim
+    return Index(bounds, count, mean, np.sqrt(spread))
+
+
+def _of_length(raw: DataFrame, kind: str, k: int, every: int) -> DataFrame | None:
+    """Search among vectors (id, v) of one length."""
+    clean = cut(mapped(raw, _clean, "id long, vector binary").withColumn("digest", F.unhex(F.md5("vector"))))
+    # Only copies are brought together; other vectors, mostly all, stay where they are.
+    copied = _small(cut(clean.groupBy("digest").count().filter("count > 1").select("digest")))
+    alone = clean.join(copied, "digest", "left_anti").select(F.col("id").alias("vid"), "vector", (F.col("id") % every == 0).alias("asked"))
+    copies = clean.join(copied, "digest", "left_semi")
+    groups = cut(copies.groupBy("digest").agg(F.min("id").alias("vid"), F.min("vector").alias("vector"), F.bool_or(F.col("id") % every == 0).alias("asked")))
+    ids = copies.select("digest", "id").withColumn("nth", F.dense_rank().over(W.partitionBy("digest").orderBy("id"))).filter(F.col("nth") <= k + 1)
+    ids = _small(cut(ids.groupBy("digest").agg(F.sort_array(F.collect_set("id")).alias("ids")).join(_small(groups).select("digest", "vid"), "digest").select("vid", "ids")))
+    same = alone.unionByName(groups.select("vid", "vector", "asked"))
+    n = same.count()
+    if not n:
+        return None
+    index = build(same, kind, n)
+    placed = mapped(same, _placed(kind, index, n, k), _ddl(_PLACED))
+    found = mapped(placed.repartition("curve", "block").sortWithinPartitions("curve", "block", "query", "range"), _searched(kind, k + 1), _ddl(_FOUND))
+    # A vector stands for its smallest id, so more than k + 1 vectors can't hold the k nearest ids.
+    best = found.groupBy("q", "v").agg(F.max("score").alias("score"))
+    best = best.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "v"))).filter(F.col("nth") <= k + 1)
+    near = best.join(ids.withColumnRenamed("vid", "v"), "v", "left").select("q", "score", F.explode(F.coalesce("ids", F.array("v"))).alias("vec_id"))
+    asks = copies.filter(F.col("id") % every == 0).select("digest", F.col("id").alias("query_id")).distinct().join(_small(groups).select("digest", F.col("vid").alias("q")), "digest").select("q", "query_id")
+    asked = alone.filter("asked").select(F.col("vid").alias("q"), F.col("vid").alias("query_id")).unionByName(asks)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = asked.join(near, "q").filter("vec_id <> query_id").dropDuplicates(["query_id", "vec_id"])
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest found to every row of (vec_id, embedding) whose id ``every`` divides."""
-    spark = vectors.sparkSession
+    spark: SparkSession = vectors.sparkSession
     ready(spark)
-    raw = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
-    by_size = raw.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if by_size is None:
-        return empty
-    clean = cut(mapped(raw, _clean(by_size["n"]), "id long, vector binary").withColumn("vkey", F.md5("vector")))
-    first = clean.select("vkey", "vector", "id").withColumn("nth", F.dense_rank().over(W.partitionBy("vkey").orderBy("id"))).filter(F.col("nth") <= k + 1)
-    asked = clean.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("vkey").alias("qkey")).distinct()
-    same = first.groupBy("vkey").agg(F.min("vector").alias("vector"), F.sort_array(F.collect_set("id")).alias("ids"))
-    same = same.join(asked.select(F.col("qkey").alias("vkey"), F.lit(True).alias("a")).distinct(), "vkey", "left").select("vkey", "vector", "ids", F.coalesce("a", F.lit(False)).alias("asked"))
-    keyed = cut(mapped(same, _keyed, "curve int, key long, vkey string, vector binary, ids array<long>, asked boolean"))
-    n = keyed.filter("curve = 0").count()
-    if not n:
-        return empty
-    wide, side, parts = layout(n)
-    ranges = wide * parts
-    # Keys that tie are told apart by their vector's digest, so ranges are even.
-    place = F.col("key") * (1 << 24) + F.pmod(F.xxhash64("vkey"), F.lit(1 << 24))
-    placed = keyed.withColumn("place", place)
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = {r["curve"]: r["at"] for r in placed.groupBy("curve").agg(F.percentile_approx("place", shares, 100 * ranges).alias("at")).collect()} if shares else dict.fromkeys(range(CURVES))
-    at = F.element_at(F.array(*[F.array(*[F.lit(int(b)).cast("long") for b in bounds[c] or []]).cast("array<bigint>") for c in range(CURVES)]), F.col("curve") + 1)
-    rows = placed.withColumn("range", F.size(F.filter(at, lambda b: b < F.col("place"))))
-    own = F.floor(F.col("range") / parts).cast("int")
-    window = F.sequence(F.greatest((own - side) * parts, F.lit(0)), F.least((own + side + 1) * parts - 1, F.lit(ranges - 1)))
-    queries = rows.filter("asked").withColumn("range", F.explode(window))
-    both = rows.select("curve", "range", F.lit(False).alias("query"), "vkey", "vector", "ids").unionByName(queries.select("curve", "range", F.lit(True).alias("query"), "vkey", "vector", F.lit(None).cast("array<long>").alias("ids")))
-    found = mapped(both.repartition("curve", "range").sortWithinPartitions("curve", "range", "query"), _searched, "qkey string, vkey string, score double, ids array<long>")
-    best = found.groupBy("qkey", "vkey").agg(F.max("score").alias("score"), F.min("ids").alias("ids"))
-    best = best.withColumn("nth", F.rank().over(W.partitionBy("qkey").orderBy(F.desc("score")))).filter(F.col("nth") <= k + 1)
-    near = asked.join(best.select("qkey", "score", F.explode("ids").alias("vec_id")), "qkey").filter("vec_id <> query_id")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    element = vectors.schema["embedding"].dataType.elementType
+    single = isinstance(element, T.FloatType)
+    raw = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v")).filter("id is not null and size(v) > 0")
+    lengths = [r[0] for r in raw.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()]
+    found = [r for n in lengths if (r := _of_length(raw.filter(F.size("v") == n), "<f4" if single else "<f8", k, every)) is not None]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -1,18 +1,81 @@
-"""The share of a curve that a query is compared with."""
+"""Windows of the curves: what they cost, and that splitting ranges changes nothing."""
 
 import numpy as np
+import pytest
 
 from surveymend.llm import neighbours
 
 
-def test_share_is_the_same_at_every_size(spark, monkeypatch):
-    for n in (2_000, 60_000, 1_000_000, 5_000_000, 10_000_000, 200_000_000):
-        ranges, side, parts = neighbours.layout(n)
-        assert (2 * side + 1) / ranges == 0.35 and n / (ranges * parts) <= neighbours.RANGE_ROWS
+def frame(spark, x, first=0):
+    return spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def found(df):
+    return {(r["query_id"], r["vec_id"]): (r["rank"], r["score"]) for r in neighbours.search(df).collect()}
+
+
+def test_tail_is_the_normal_one():
+    from math import erfc
+
+    z = np.linspace(-5, 6, 50)
+    assert neighbours.tail(z) == pytest.approx([erfc(x / 2**0.5) / 2 for x in z], abs=2e-7)
+
+
+@pytest.mark.parametrize(("n", "clusters"), [(800, 0), (3000, 0), (3000, 12)])
+def test_recall_with_fewer_products_than_brute_force(n, clusters):
+    rng = np.random.default_rng(n + clusters)
+    x = rng.normal(size=(n, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, n)] + 0.3 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(n)
+    p = neighbours.curve_places(ids, x)
+    ranges = max(1, min(neighbours.RANGES, n // neighbours.RANGE_ROWS))
+    index = neighbours.Index([np.sort(p[:, c])[np.arange(1, ranges) * n // ranges] for c in range(neighbours.CURVES)], None, None, None)
+    at = index.of(p) + np.arange(neighbours.CURVES) * ranges
+    index.count = np.bincount(at.ravel(), minlength=neighbours.CURVES * ranges).astype(float)
+    index.mean = np.stack([np.bincount(at.ravel(), np.repeat(x[:, j], neighbours.CURVES), neighbours.CURVES * ranges) for j in range(64)], 1) / index.count[:, None]
+    index.spread = np.sqrt(np.maximum(1 - (index.mean**2).sum(axis=1), 0) / 64)
+    asked = ids[ids % 20 == 0]
+    windows = index.windows(x[asked], 20)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -9
+    best = np.argsort(-score, axis=1)[:, :20]
+    hit = np.zeros(best.shape, bool)
+    for c in range(neighbours.CURVES):
+        hit |= np.take_along_axis(windows, at[best, c], 1)
+    assert hit.mean() >= 0.9
+    products = (windows * index.count).sum(axis=1).mean() + len(index.count)
+    assert products < (0.5 if clusters else 1.0) * n
+
+
+def test_blocks_and_parts_change_nothing(spark, monkeypatch):
     x = np.random.default_rng(1).normal(size=(1500, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    pairs = lambda: {(r["query_id"], r["vec_id"]) for r in neighbours.search(df).collect()}
-    whole = pairs()
-    monkeypatch.setattr(neighbours, "RANGE_ROWS", 20)
-    assert neighbours.layout(1500) == (20, 3, 4)
-    assert len(whole & pairs()) > 0.99 * len(whole)
+    whole = found(frame(spark, x))
+    assert len(whole) == 75 * 20
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 100)
+    assert neighbours.blocks_of(1500, 150) == (15, 1)
+    assert found(frame(spark, x)) == whole
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(neighbours, "STEP", 7)
+    assert neighbours.blocks_of(1500, 150) == (150, 3)
+    assert found(frame(spark, x)) == whole
+
+
+def test_every_length_is_a_table(spark):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(30)] + [(100 + i, [1.0, float(i), 1.0]) for i in range(5)]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {q for q, _ in got} == {0, 20, 100} and len(got) == 20 + 20 + 4
+    assert {v for q, v in got if q == 100} == {101, 102, 103, 104}
+
+
+def test_a_cluster_gives_every_query_its_number(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 32))
+    x[500:900] = x[0] + 0.01 * rng.normal(size=(400, 32))
+    got = found(frame(spark, x))
+    assert len(got) == 100 * 20
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hits = [len({v for a, v in got if a == q} & set(np.argsort(-s[q])[:20])) for q in range(500, 900, 20)]
+    assert sum(hits) >= 0.9 * 20 * len(hits)
