@@ -1,13 +1,21 @@
 """Main text of web pages by composite text density over every DOM node.
 
-A page becomes a tree; scripts, styles, forms, menus, headers, footers, asides, frames and elements whose class or id
-says advert, notice, comments or the like are left out with all below them. The latter stay where they hold an article or
-main element, or most of the text of a page without one, or lie in one as a heading, a paragraph or a part at least half
-as dense. Every node's density is its characters for each tag, lowered by link characters and link tags; the subtree
-whose children's densities sum highest is the content.
-The least density on the path from it to the body is the threshold for other subtrees: the result climbs to an
-enclosing article or main element, or else to the highest ancestor, and loses branches below the threshold.
-Null and empty pages, and pages without text, give an empty text.
+A page becomes a tree. Parts whose element or role says what they are (scripts, styles, menus, forms, asides, footers,
+page headers) are left out. Every node's density is its characters for each tag, lowered by link characters and link
+tags; a node's sum is that of the densities of its blocks, runs of inline content counting as blocks. The subtree of the
+largest sum is the content, and the least density on the path from it to the body is the threshold.
+
+* Parts whose class or id speaks of adverts, comments and the like weigh ``MARKED`` of their density in the sums. Inside
+  the content they are left out, unless they hold the chosen subtree; of names that may mean anything (``notice``,
+  ``discussion``), headings, paragraphs and parts at least half as dense as the content stay.
+* Inside an article or main element, the content is that element. Otherwise what belongs to the subtree is added: the
+  heading that repeats the page's title, with blocks that reach the threshold between it and the subtree, and following
+  siblings that reach the threshold and ``LIKE`` of the sum. What stands before that heading is left out.
+* Lists and sections of mostly links below the threshold are left out. Nothing else is.
+
+Null and empty pages, and pages without text, give an empty text. Of equal sums, the first in page order, which is the
+outermost, is chosen. Repeated rows give repeated results, an empty table none, and other columns are ignored. Long, wide
+and deep pages are read whole, in time proportional to their length.
 """
 
 from __future__ import annotations
@@ -23,51 +31,78 @@ from pyspark.sql import functions as F
 
 from .common import mapped, out_batch, ready
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
-_CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: Comments; tags with well-formed attributes, or else up to the next >; declarations; text.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:\s*+(?:/|[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>]++))?+))*+\s*+(?=>)|[^>]*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)|[^<]++|<",
+    re.DOTALL,
+)
+_NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 # Element names by what they mean here (fixed values of the markup language).
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-_DROP = _RAW | frozenset("head nav footer aside form button select option datalist object canvas audio video dialog menu label fieldset figure-ad".split())
+_DROP = _RAW | frozenset("head nav footer aside form button select option datalist object canvas audio video dialog menu label fieldset".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul body".split())
 _SELF = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Words in a class, id or role that mark a part as not content (fixed values).
-_MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead header topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus discussion replies respond related recommended share sharing social subscribe newsletter signup login search pagination pager widget toolbar skip".split()
-)
-_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LISTS = frozenset("div section ul ol table dl".split())
+# Words in a class or id: of parts that aren't content, and of parts that may be (fixed values).
+_NOT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal comment comments commentlist disqus respond share sharing social newsletter signup subscribe pagination pager nav navbar navigation menu footer masthead skip login".split())
+_MAYBE = frozenset("notice notices alert banner overlay discussion replies related recommended header topbar side aside search widget toolbar promotion".split())
+#: Beginnings of names that tell what a layout has or lacks.
+_ABOUT = frozenset("no has with without is js".split())
+#: What the density of a part with such a name counts, and the share of the largest sum that makes a sibling belong to it.
+MARKED, LIKE = 0.25, 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "drop", "marked", "holds", "home", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parts", "parent", "block", "key", "drop", "mark", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total", "wide")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, marked: bool = False):
-        self.tag, self.parent, self.drop, self.marked, self.parts = tag, parent, drop, marked, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, mark: int = 0):
+        self.tag, self.parent, self.drop, self.mark, self.parts = tag, parent, drop, mark, []
+        self.block = self if parent is None or tag not in _INLINE else parent.block
+        # Inline elements are closed within their block.
+        self.key = tag if self.block is self else (id(self.block), tag)
+        self.weight = 1.0 if parent is None else MARKED if mark else parent.weight
 
 
-def _unwanted(tag: str, parent: Node) -> bool:
-    return tag in _DROP or tag == "header" and parent.tag in ("body", "html")
+def _mark(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether the role tells that an element isn't content, and what its names say: 2 it isn't, 1 it may not be."""
+    found = 0
+    if attributes and tag not in ("body", "main", "article"):
+        for m in _NAMED.finditer(attributes):
+            value = (m[2] or m[3] or m[4] or "").lower()
+            if m[1].lower() == "role":
+                if value.strip() in _ROLES:
+                    return True, 2
+                continue
+            for name in value.split():
+                words = re.split(r"[^a-z0-9]+", name)
+                if words[0] not in _ABOUT:
+                    found = max(found, 2 if not _NOT.isdisjoint(words) else 1 if not _MAYBE.isdisjoint(words) else 0)
+    return False, found
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    if attributes and tag not in ("body", "html", "header"):
-        for m in _CLASS.finditer(attributes):
-            if not _MARKS.isdisjoint(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-                return True
-    return False
+def tree(page: str) -> tuple[Node, str]:
+    """The page's nodes and its title; elements left open are closed by their parents, by a new block (paragraphs) or a sibling (items)."""
+    root = Node("html", None)
+    at, pos, end, title = root, 0, len(page), ""
+    opened: dict = {}
+    scan = _TOKEN.match
 
+    def close(upto: Node) -> Node:
+        n = at
+        while True:
+            opened[n.key] -= 1
+            if n is upto:
+                return n.parent
+            n = n.parent
 
-def tree(page: str) -> Node:
-    """The page's nodes; elements left open are closed by their parents, by a new block (paragraphs) or a sibling (items)."""
-    root = Node("html", None, False)
-    at, pos, end = root, 0, len(page)
-    scan = _TOKEN.match
     while pos < end:
         m = scan(page, pos)
-        if m is None:  # a tag that never ends
-            at.parts.append(page[pos:])
-            break
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -76,37 +111,41 @@ def tree(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                at = up.parent
+            key = (id(at.block), tag) if tag in _INLINE else tag
+            if opened.get(key, 0):
+                up = at
+                while up.key != key:
+                    up = up.parent
+                at = close(up)
             continue
         if tag == "html":
             continue
         if tag in _ENDS_P:
-            up = at
-            while up is not root and up.tag in _INLINE:
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
-        elif tag in _SELF:
+            if at.block.tag == "p":
+                at = close(at.block)
+        elif tag in _SELF and opened.get(tag, 0):
             up = at
             while up is not root and up.tag not in _SELF[tag]:
                 if up.tag == tag:
-                    at = up.parent
+                    at = close(up)
                     break
                 up = up.parent
-        node = Node(tag, at, at.drop or _unwanted(tag, at), not at.drop and _marked(tag, m[3]))
+        role, mark = _mark(tag, m[3])
+        unwanted = tag in _DROP or role or tag == "header" and not (opened.get("article", 0) or opened.get("main", 0) or opened.get("section", 0))
+        node = Node(tag, at, at.drop or unwanted, mark)
         at.parts.append(node)
-        if tag in _VOID or m[3].endswith("/"):
+        closed = m[3][-1:] == "/" and (len(m[3]) == 1 or m[3][-2] in " \t\n\r\"'")
+        if tag in _VOID or closed:
             continue
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, pos)
-            pos = close.end() if close else end
+            ends = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, pos)
+            if tag == "title" and not title:
+                title = page[pos : ends.start() if ends else end]
+            pos = ends.end() if ends else end
             continue
+        opened[node.key] = opened.get(node.key, 0) + 1
         at = node
-    return root
+    return root, title
 
 
 def _preorder(root: Node) -> list[Node]:
@@ -120,74 +159,148 @@ def _preorder(root: Node) -> list[Node]:
     return out
 
 
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters for each tag, lowered by links; share: link characters of the page for each of its characters."""
+    if not chars:
+        return 0.0
+    base = chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e
+    return chars / max(tags, 1) * math.log(max(chars / max(link_chars, 1) * (max(tags, 1) / max(link_tags, 1)), 1.0) + 1) / math.log(base)
+
+
+def _blocks(n: Node) -> Iterator[Node | list]:
+    """Children that are or hold blocks, and runs of text and inline children that line breaks or those end."""
+    run: list = []
+    for x in n.parts:
+        if isinstance(x, str):
+            run.append(x)
+        elif x.tag == "br" or not x.drop and x.wide:
+            if run:
+                yield run
+                run = []
+            if x.tag != "br":
+                yield x
+        elif not x.drop:
+            run.append(x)
+    if run:
+        yield run
+
+
 def measure(nodes: list[Node]) -> None:
-    """Characters, tags, link characters, link tags and composite density of nodes in preorder."""
+    """Characters, tags, link characters, link tags, density and sum of nodes in preorder."""
     for n in reversed(nodes):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
+        # Inline elements that hold no block are no subtree of their own.
+        n.wide = n.block is n and n.tag != "br"
         for x in n.parts:
             if isinstance(x, str):
-                n.chars += 0 if x.isspace() else len(x)
+                n.chars += len(x.strip())
             elif not x.drop:
+                n.wide |= x.wide
                 n.chars += x.chars
                 n.tags += x.tags + 1
                 n.link_chars += x.link_chars
                 n.link_tags += x.link_tags
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
-    body = nodes[0]
-    share = body.link_chars / max(body.chars, 1)
+    share = nodes[0].link_chars / max(nodes[0].chars, 1)
+    for n in nodes:
+        n.density = composite(n.chars, n.tags, n.link_chars, n.link_tags, share)
     for n in nodes:
-        c, t, lc, lt = n.chars, max(n.tags, 1), n.link_chars, max(n.link_tags, 1)
-        base = c / max(c - lc, 1) * lc + share * c + math.e
-        n.density = c / t * math.log(max((c / max(lc, 1)) * (t / lt), 1.0) + 1) / math.log(max(base, math.e)) if c else 0.0
+        n.total = 0.0
+        for b in _blocks(n):
+            if isinstance(b, Node):
+                n.total += b.weight * b.density
+            else:
+                inner = [x for x in b if not isinstance(x, str)]
+                chars = sum(len(x.strip()) if isinstance(x, str) else x.chars for x in b)
+                n.total += n.weight * composite(chars, sum(x.tags + 1 for x in inner), sum(x.link_chars for x in inner), sum(x.link_tags for x in inner), share)
 
 
-def settle(nodes: list[Node]) -> None:
-    """Drop the marked ones of nodes in preorder that have no reason to stay."""
-    measure(nodes)
-    for n in reversed(nodes):
-        n.holds = any(not isinstance(x, str) and not x.drop and (x.holds or x.tag in ("article", "main") and not x.marked) for x in n.parts)
+def _path(n: Node | None) -> list[Node]:
+    out = []
+    while n is not None:
+        out.append(n)
+        n = n.parent
+    return out
+
+
+def _words(n: Node) -> str:
+    out, todo = [], [n]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif not x.drop:
+            todo.extend(reversed(x.parts))
+    return " ".join(entities.unescape("".join(out)).split())
+
+
+def _heading(nodes: list[Node], title: str) -> Node | None:
+    """The heading that the title repeats most of, of equals the one of higher rank; else the first of first rank."""
+    title = " ".join(entities.unescape(title).split()).lower()
+    best, most, first = None, (0, 0), None
     for n in nodes:
-        up = n.parent
-        n.home = None if up is None else up if up.tag in ("article", "main") else up.home
-        # On a page with an article, a part beside it may well be longer.
-        most = n.chars * 2 > nodes[0].chars and (n.home is not None or not nodes[0].holds)
-        if not n.marked or n.tag in ("article", "main") or n.holds or most:
-            continue
-        linked = n.link_chars * 2 > n.chars
-        n.drop = n.home is None or linked or n.tag not in _TEXT and n.density * 2 < n.home.density
+        if n.tag in _HEADINGS and n.chars and n.weight == 1.0:
+            said = _words(n).lower()
+            if n.tag == "h1" and first is None:
+                first = n
+            like = (min(len(said), len(title)), -int(n.tag[1]))
+            if title and (said in title or title in said) and like > most:
+                best, most = n, like
+    return best or first
 
 
-def content(root: Node) -> tuple[Node, float]:
-    """The node to read and the least density of the branches to keep."""
+def _fits(n: Node | str, threshold: float, least: float = 0.0) -> bool:
+    return not isinstance(n, str) and not n.drop and n.weight == 1.0 and n.density >= threshold and n.total >= least and n.link_chars * 2 <= n.chars
+
+
+def content(root: Node, title: str) -> tuple[list[Node], Node, float]:
+    """The subtrees to read in page order, the chosen one, and the threshold."""
     nodes = _preorder(root)
-    if any(n.marked for n in nodes):
-        settle(nodes)
-        nodes = _preorder(root)
     measure(nodes)
-    best, most = root, -1.0
-    for n in nodes:
-        total = sum(x.density for x in n.parts if not isinstance(x, str) and not x.drop)
-        if total > most:
-            best, most = n, total
-    threshold, up, top = best.density, best, best
-    outer = None
-    while up is not None:
-        threshold = min(threshold, up.density)
-        if up.tag in ("article", "main"):
-            outer = up
-        top, up = up, up.parent
-    return (top if outer is None else outer), threshold
+    best = max((n for n in nodes if n.wide), key=lambda n: n.total)
+    path = _path(best)
+    threshold = min(n.density for n in path)
+    outer = [n for n in path if n.tag == "article"][-1:] or [n for n in path if n.tag == "main"][:1]
+    if outer:
+        return outer, best, threshold
+    heading = _heading(nodes, title)
+    before: list[Node] = []
+    if heading is not None:
+        way = _path(heading)
+        if best in way:
+            if best.parent is None or best.tag == "body":  # a page without inner structure: it begins at its title
+                for up, child in zip(way[1 : way.index(best) + 1], way, strict=False):
+                    for x in up.parts[: up.parts.index(child)]:
+                        if not isinstance(x, str) and x.tag not in _INLINE:
+                            x.drop = True
+        else:
+            shared = next(n for n in path if n in set(way))
+            mine, theirs = path[: path.index(shared)], way[: way.index(shared)]
+            top = shared.parts
+            a, b = top.index(theirs[-1]), top.index(mine[-1])
+            if a < b:  # the heading comes first
+                before = [heading]
+                for up, child in zip(theirs[1:], theirs, strict=False):
+                    before += [x for x in up.parts[up.parts.index(child) + 1 :] if _fits(x, threshold)]
+                before += [x for x in top[a + 1 : b] if _fits(x, threshold)]
+                for up, child in reversed(list(zip(mine[1:], mine, strict=False))):
+                    before += [x for x in up.parts[: up.parts.index(child)] if _fits(x, threshold)]
+    after = []
+    if best.parent is not None and best.tag != "body":
+        row = best.parent.parts
+        after = [x for x in row[row.index(best) + 1 :] if _fits(x, threshold, LIKE * best.total)]
+    return [*before, best, *after], best, threshold
 
 
 def text_of(page: str | None) -> str:
     """The main text: blocks in page order, white space within and between them as one space."""
     if not page:
         return ""
-    root = tree(page)
-    node, threshold = content(root)
+    roots, best, threshold = content(*tree(page))
+    kept, dense = set(map(id, _path(best))), max(n.density for n in roots)
     out: list[str] = []
-    todo: list = [node]
+    todo: list = [x for n in reversed(roots) for x in (n, " ")]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -196,9 +309,13 @@ def text_of(page: str | None) -> str:
         if x.drop:
             continue
         block = x.tag not in _INLINE or x.tag == "br"
-        # Only branches of blocks are weighed; a paragraph's own inline parts stay with it.
-        if block and x.tag in ("div", "section", "ul", "ol", "table", "dl") and x.link_chars * 2 > x.chars and x.density < threshold:
-            continue
+        if id(x) not in kept:
+            linked = x.link_chars * 2 > x.chars
+            if x.mark == 2 and x.tag not in _HEADINGS or x.mark == 1 and x.tag not in _HEADINGS and x.tag != "p" and (linked or x.density * 2 < dense):
+                continue
+            # Only branches of blocks are weighed; a paragraph's own inline parts stay with it.
+            if x.tag in _LISTS and linked and x.density < threshold:
+                continue
         if block:
             out.append(" ")
             todo.append(" ")
