@@ -357,14 +357,7 @@ def test_language_odd_tables(spark, odd, docs):
     assert len(got) == len(ODD)
     assert all((r["lang_pred"] == "und") == (r["doc_id"] in (1, 2, 5)) and 0 <= r["score"] <= 1 for r in got)
     assert all(r["lang_pred"] == "und" for r in langid.predict(odd, langid.fit(odd.limit(0))).collect())
-    assert langid.keep(odd, None).count() == 0 and langid.predict(odd.limit(0), None).collect() == []
-
-
-def test_kneser_ney_sums_to_one():
-    counts = np.random.default_rng(1).integers(0, 3, (64, 64, 64)).astype(float)
-    counts[5] = 0
-    tri, bi, _ = langid.kneser_ney(counts)
-    assert np.allclose(tri.sum(axis=2), 1) and np.allclose(bi.sum(axis=1), 1) and (tri > 0).all()
+    assert langid.keep(odd, None).count() == len(ODD) and langid.predict(odd.limit(0), None).collect() == []
 
 
 # ---- personal data
