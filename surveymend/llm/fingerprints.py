@@ -1,10 +1,12 @@
 """Homomorphic multiset hashes of documents: wide vectors hashed from paragraphs are summed modulo powers of two.
 
-A paragraph's vector has ``WIDE`` words of 64 bits that identify it, and ``LANES`` signed counters of 32 bits in which
-each of its word trigrams adds or subtracts one. A document's fingerprint is the sum over its paragraphs, so the order
-of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector. Two
-fingerprints that are equal have likeness 1; otherwise it is the cosine of their counters, at least 0 and below 1.
-Paragraphs are the lines of a text that hold a word; trailing space counts. Null and wordless texts have the zero vector.
+Paragraphs are the lines of a text, empty ones too, byte for byte. A paragraph's vector has ``WIDE`` words of 32 bits from
+a 512-bit digest of its bytes, and ``LANES`` signed counters of 32 bits in which each of its word trigrams, whatever its
+case, adds or subtracts one. A document's fingerprint is the sum over its paragraphs, modulo 2**32 in every place, so their
+order doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector. Fingerprints that are
+equal have likeness 1; otherwise it is the cosine of their counters, at least 0 and below 1, so 0 for wordless texts.
+Null and empty texts are one empty paragraph. Very long texts are read whole, in pieces of a row; repeated rows give
+repeated results, empty tables none, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,20 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import chunks, mapped, mix64, out_batch, ready, word_hashes
 
-WIDE, LANES = 4, 128
-_LINE = np.zeros(256, bool)
-_LINE[10] = True
+WIDE, LANES = 16, 128
 _ODD = mix64(np.arange(71, 75, dtype=np.uint64)) | np.uint64(1)
 
 
 def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Identity words and counters, both modulo their powers, of every row of a text column."""
-    wide = np.zeros((len(column), WIDE), np.uint64)
+    """Identity words and counters, both modulo 2**32, of every row of a text column."""
+    wide = np.zeros((len(column), WIDE), np.uint32)
     lanes = np.zeros((len(column), LANES), np.int64)
     for lo, hi, data, offsets in chunks(column):
-        p, _, _, row = word_hashes(data, offsets, _LINE)
-        for k in range(WIDE):
-            np.add.at(wide[:, k], lo + row, mix64(p ^ _ODD[k]))
+        raw = data.tobytes()
+        lines = [raw[a:b].split(b"\n") for a, b in zip(offsets, offsets[1:], strict=False)]
+        digests = np.frombuffer(b"".join([hashlib.blake2b(x).digest() for of in lines for x in of]), "<u4").reshape(-1, WIDE)
+        wide[lo:hi] = np.add.reduceat(digests, np.cumsum([0, *[len(of) for of in lines[:-1]]]), axis=0, dtype=np.uint32)
         h, start, _, row = word_hashes(data, offsets)
         # Trigrams don't leave their paragraph: a line's words share the number of line ends before them.
         line = np.cumsum(np.concatenate(([0], (data == 10).astype(np.int64))))[start] if len(start) else start
@@ -57,7 +58,7 @@ def text_of(wide: np.ndarray, lanes: np.ndarray) -> list[str]:
 
 def parsed(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 8 * WIDE], np.uint64), np.frombuffer(raw[8 * WIDE :], np.int32)
+    return np.frombuffer(raw[: 4 * WIDE], np.uint32), np.frombuffer(raw[4 * WIDE :], np.int32)
 
 
 def combined(a: str, b: str, sign: int = 1) -> str:
@@ -150,6 +151,7 @@ def compare(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     heads = dealt.filter(F.col("doc_id").isin(cuts)).groupBy("doc_id", "bucket").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", (F.col("bucket") - 1).alias("bucket"), F.lit(True).alias("closes"))
     at_start = F.col("doc_id").isNull() if known["nulls"] else F.col("doc_id") == F.lit(known["least"]).cast("long")
     first = dealt.filter(at_start).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", F.lit(len(cuts)).alias("bucket"), F.lit(True).alias("closes"))
-    return mapped(dealt.unionByName(heads).unionByName(first).repartition("bucket").sortWithinPartitions("bucket", "closes", "doc_id", "text"), 
-        _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    placed = dealt.unionByName(heads).unionByName(first).repartition("bucket").sortWithinPartitions("bucket", "closes", "doc_id", "text")
+    return mapped(
+        placed, _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
