@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that a table doesn't have, in either case of letters."""
+    have = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out.lower() in have:
+        out += "_"
+    return out
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` whose tasks return freed memory to the system, as idle workers are kept for later stages."""
 
