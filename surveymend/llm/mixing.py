@@ -5,8 +5,10 @@ taken outright, and the fractional parts are rounded by pairs that exchange mass
 source's taken words stay near its target. Of a pair, one is a document and the other the pool of the smaller documents
 of its group. Groups form a reduction tree: each of about ``FAN`` documents leaves at most one fractional document, and
 those meet in groups of ``FAN`` on the next level.
-Ties are broken by hashes of doc_id, so reruns agree. Empty texts have size 0 and are never copied. A null source is a
-source of its own, ordered last. Repeated rows are rounded one by one.
+Ties are broken by hashes of doc_id, or of source and text where that is null, so reruns agree. Null and empty texts have
+size 0 and are never copied. A null source is a source of its own, ordered last. Rows of null or repeated ids are rounded
+one by one. An empty table gives no rows. Very long texts are only counted; one that alone exceeds its source's target
+is still taken or left whole. Other columns are ignored by ``mix`` and kept by ``repeat``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a group of the tree, and levels above the first: 256**4 documents of one source before groups grow.
@@ -26,13 +28,18 @@ FAN, LEVELS = 256, 3
 MOST = 3
 #: Sources up to which their totals are broadcast: a few MB.
 BROADCAST_SOURCES = 20_000
-#: Ids up to which those whose rows are taken unequally often are broadcast.
+#: Keys up to which those whose rows are taken unequally often are broadcast.
 BROADCAST_IDS = 100_000
 
 
+def _key() -> Column:
+    """doc_id, or a hash of the row where that is null, which the column anon tells."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("row"), "source", "text"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of words of the whole text."""
-    return docs.select("doc_id", "source", _size().alias("size"))
+    """key, anon, source and size: the number of words of the whole text."""
+    return docs.select(_key().alias("key"), F.col("doc_id").isNull().alias("anon"), "source", _size().alias("size"))
 
 
 def _size() -> Column:
@@ -57,7 +64,7 @@ def targets(sized: DataFrame) -> DataFrame:
     return free.select("source", "source_size", "n", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", common * F.col("weight"))).alias("target"))
 
 
-_DONE = "array<struct<doc_id:bigint,size:bigint,extra:int>>"
+_DONE = "array<struct<key:bigint,anon:boolean,size:bigint,extra:int>>"
 
 
 def _uniform(a: Column, b: Column, seed: int) -> Column:
@@ -70,7 +77,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _round(units: Column, seed: int) -> Column:
-    """Settle an array of (doc_id, size, p), largest first: settled units, and the at most one left fractional.
+    """Settle an array of (key, anon, size, p), largest first: settled units, and the at most one left fractional.
 
     Each unit is paired with the pool of those after it. Mass moves at random between the two, keeping every
     expectation, until the unit or the whole pool is integral. The pool's probabilities are kept as a + b * p.
@@ -87,7 +94,7 @@ def _round(units: Column, seed: int) -> Column:
 
     def turned(s: Column, u: Column, w: Column, size: Column, mass0: Column, k: Column, m: Column) -> Column:
         p, mass, up, down = k["p"], k["mass"], m["up"], m["down"]
-        choice = F.struct((_uniform(u["doc_id"], F.lit(1), seed) * (up + down) < down).alias("rise"), ((p < 1e-9) | (p > 1 - 1e-9)).alias("whole"))
+        choice = F.struct((_uniform(u["key"], F.lit(1), seed) * (up + down) < down).alias("rise"), ((p < 1e-9) | (p > 1 - 1e-9)).alias("whole"))
         return _let(choice, lambda c: moved(s, u, w, size, mass0, p, mass, up, down, c["rise"], c["whole"]))
 
     def moved(s, u, w, size, mass0, p, mass, up, down, rise, whole) -> Column:
@@ -95,91 +102,91 @@ def _round(units: Column, seed: int) -> Column:
         kept = F.when(whole, 1.0).otherwise(1 - F.coalesce(F.try_divide(F.when(rise, up).otherwise(down), F.when(rise, mass).otherwise(size - mass)), F.lit(0.0)))
         extra = F.when(whole, (p > 0.5).cast("int")).otherwise(rise.cast("int"))
         return _let(F.struct(settled.alias("settled"), kept.alias("kept")), lambda c: F.struct(
-            F.when(c["settled"], F.concat(s["done"], F.array(F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), extra.alias("extra"))))).otherwise(s["done"]).alias("done"),
-            F.when(c["settled"], s["rest"]).otherwise(F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), F.when(rise, p + up / w).otherwise(p - down / w).alias("p"))).alias("rest"),
+            F.when(c["settled"], F.concat(s["done"], F.array(F.struct(u["key"].alias("key"), u["anon"].alias("anon"), u["size"].alias("size"), extra.alias("extra"))))).otherwise(s["done"]).alias("done"),
+            F.when(c["settled"], s["rest"]).otherwise(F.struct(u["key"].alias("key"), u["anon"].alias("anon"), u["size"].alias("size"), F.when(rise, p + up / w).otherwise(p - down / w).alias("p"))).alias("rest"),
             size.alias("size"),
             mass0.alias("mass"),
             F.when(rise | whole, s["a"] * c["kept"]).otherwise(1 - (1 - s["a"]) * c["kept"]).alias("a"),
             (s["b"] * c["kept"]).alias("b"),
         ))
 
-    # A struct that is always there keeps the state's type fixed; its null doc_id says that nothing is left.
-    nothing = F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("size"), F.lit(0.0).alias("p"))
+    # A struct that is always there keeps the state's type fixed; its null key says that nothing is left.
+    nothing = F.struct(F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("boolean").alias("anon"), F.lit(0).cast("bigint").alias("size"), F.lit(0.0).alias("p"))
     total = lambda f: F.aggregate(units, F.lit(0.0), lambda s, u: s + f(u))
     start = F.struct(F.array().cast(_DONE).alias("done"), nothing.alias("rest"), total(lambda u: u["size"].cast("double")).alias("size"), total(lambda u: u["size"] * u["p"]).alias("mass"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
     return F.aggregate(units, start, pivot)
 
 
-def mix(docs: DataFrame, seed: int = 20, sized: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 20) -> DataFrame:
     """doc_id, source, size, source_size, target and copies, from 0 to 3: one row per document.
 
-    An empty table gives no rows. A source without words has target 0 and is taken 0 times.
+    A source without words has target 0 and is taken 0 times.
     """
-    sized = cut(sizes(docs)) if sized is None else sized
+    doc_id = F.when(~F.col("anon"), F.col("key")).alias("doc_id")
+    return _mixed(docs, seed).select(doc_id, "source", "size", "source_size", "target", "copies")
+
+
+def _mixed(docs: DataFrame, seed: int) -> DataFrame:
+    """The mix by key and anon."""
+    sized = cut(sizes(docs))
     share = cut(targets(sized))
     # One row for each source is broadcast where there are few; Spark chooses for more.
     if share.count() <= BROADCAST_SOURCES:
         share = F.broadcast(share)
-    rows = sized.withColumn("nil", F.col("source").isNull()).withColumn("key", F.coalesce("source", F.lit(""))).join(
-        share.select(F.col("source").isNull().alias("nil"), F.coalesce("source", F.lit("")).alias("key"), "source_size", "n", "target"), ["nil", "key"], "left"
+    rows = sized.withColumn("nil", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).join(
+        share.select(F.col("source").isNull().alias("nil"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "n", "target"), ["nil", "name"], "left"
     )
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     whole = F.least(F.floor(rate + 1e-12), F.lit(MOST)).cast("int")
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate - whole))
     part = F.when(part < 1e-9, 0.0).otherwise(part)
-    rows = rows.select("doc_id", "nil", "key", "size", "source_size", "target", "n", whole.alias("whole"), part.alias("p"))
-    loose = (F.col("size") > 0) & (F.col("p") > 0) & F.col("doc_id").isNotNull()
+    rows = rows.select("key", "anon", "nil", "name", "size", "source_size", "target", "n", whole.alias("whole"), part.alias("p"))
+    loose = (F.col("size") > 0) & (F.col("p") > 0)
     fixed = rows.filter(~F.coalesce(loose, F.lit(False)))
     groups = F.greatest(F.lit(1), F.ceil(F.col("n") / FAN)).cast("long")
-    unit = F.struct((-F.col("size")).alias("o"), F.col("doc_id").alias("doc_id"), F.col("p").alias("p"), F.col("size").alias("size"))
-    level = rows.filter(loose).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), groups))
-    of_source = ["nil", "key", "source_size", "target", "whole"]
-    out = fixed.select("doc_id", *of_source, "size", F.lit(0).alias("extra"))
+    unit = F.struct((-F.col("size")).alias("o"), "key", "anon", "p", "size")
+    level = rows.filter(loose).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), groups))
+    of_source = ["nil", "name", "source_size", "target", "whole"]
+    out = fixed.select("key", "anon", *of_source, "size", F.lit(0).alias("extra"))
     for k in range(LEVELS + 1):
         last = k == LEVELS
         level = level.groupBy(*of_source, *([] if last else ["bucket"])).agg(F.array_sort(F.collect_list(unit)).alias("units")).withColumn("r", _round(F.col("units"), seed + k)).drop("units")
         # Each level is cut, as otherwise its plan holds those of all levels below.
         level = cut(level)
-        out = out.unionByName(level.select(*of_source, F.explode("r.done").alias("d")).select("d.doc_id", *of_source, "d.size", "d.extra"))
-        rest = level.filter("r.rest.doc_id is not null").select(*of_source, "r.rest.doc_id", "r.rest.size", "r.rest.p", *([] if last else [F.shiftright("bucket", 8).alias("bucket")]))
+        out = out.unionByName(level.select(*of_source, F.explode("r.done").alias("d")).select("d.key", "d.anon", *of_source, "d.size", "d.extra"))
+        rest = level.filter("r.rest.key is not null").select(*of_source, "r.rest.key", "r.rest.anon", "r.rest.size", "r.rest.p", *([] if last else [F.shiftright("bucket", 8).alias("bucket")]))
         if last:
-            out = out.unionByName(rest.select("doc_id", *of_source, "size", (_uniform(F.col("doc_id"), F.lit(0), seed) < F.col("p")).cast("int").alias("extra")))
+            out = out.unionByName(rest.select("key", "anon", *of_source, "size", (_uniform(F.col("key"), F.lit(0), seed) < F.col("p")).cast("int").alias("extra")))
         level = rest
-    source = F.when(F.col("nil"), F.lit(None).cast(T.StringType())).otherwise(F.col("key"))
-    return out.select("doc_id", source.alias("source"), "size", "source_size", F.col("target").cast("double").alias("target"), F.least(F.col("whole") + F.col("extra"), F.lit(MOST)).alias("copies"))
+    source = F.when(F.col("nil"), F.lit(None).cast(T.StringType())).otherwise(F.col("name"))
+    return out.select("key", "anon", source.alias("source"), "size", "source_size", F.col("target").cast("double").alias("target"), F.least(F.col("whole") + F.col("extra"), F.lit(MOST)).alias("copies"))
 
 
 def repeat(docs: DataFrame, seed: int = 20) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns.
+    """The mix itself: each row as often as it was rounded, with its own columns.
 
-    Rows of null doc_id are left as fixed rows, taken the whole part of their source's rate. Rows of one doc_id are taken
-    as often together as they were rounded; which of those of one source and size takes more goes by their columns.
+    Rows of one doc_id, or equal rows without one, are taken as often together as they were rounded; which of those of
+    one source and size takes more goes by their columns.
     """
-    key = "__mix_key"
-    taken = cut(mix(docs, seed).select("doc_id", "source", "size", "copies"))
-    of_id = taken.filter("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("copies").alias("__least"), F.max("copies").alias("__copies"))
-    even = of_id.filter("__least = __copies and __copies > 0").select(key, "__copies")
-    parts = [docs.join(even, docs["doc_id"] == even[key]).select(*docs.columns, "__copies")]
-    uneven = cut(of_id.filter("__least < __copies").select(key))
+    key, anon, size, nth, copies, copy = (fresh(docs, n) for n in ("key", "anon", "size", "nth", "copies", "copy"))
+    taken = cut(_mixed(docs, seed).select(F.col("key").alias(key), F.col("anon").alias(anon), F.col("source").alias("from"), F.col("size").alias("words"), F.col("copies").alias(copies)))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    mine = docs.withColumns({key: _key(), anon: F.col("doc_id").isNull()})
+    of_key = taken.groupBy(key, anon).agg(F.min(copies).alias("least"), F.max(copies).alias(copies))
+    out = mine.join(of_key.filter((F.col("least") == F.col(copies)) & (F.col(copies) > 0)).drop("least"), [key, anon])
+    uneven = cut(of_key.filter(F.col("least") < F.col(copies)).select(key, anon))
     n = uneven.count()
     if n:
-        ids = F.broadcast(uneven) if n <= BROADCAST_IDS else uneven
-        row = W.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"), F.to_json(F.struct(*docs.columns)))
-        own = docs.join(ids, F.col("doc_id") == F.col(key), "left_semi").withColumn("__size", _size()).withColumn("__nth", F.row_number().over(row))
-        rank = W.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
-        dealt = taken.join(ids, F.col("doc_id") == F.col(key), "left_semi").withColumn("__place", F.row_number().over(rank))
-        dealt = dealt.select(F.col("doc_id").alias("__of"), F.col("source").alias("__from"), F.col("size").alias("__words"), "__place", F.col("copies").alias("__copies"))
-        same = (F.col("doc_id") == F.col("__of")) & F.col("source").eqNullSafe(F.col("__from")) & (F.col("__size") == F.col("__words")) & (F.col("__nth") == F.col("__place"))
-        parts.append(own.join(dealt.filter("__copies > 0"), same).select(*docs.columns, "__copies"))
-    nulls = cut(taken.filter("doc_id is null").groupBy(F.col("source").alias("__from")).agg(F.max("copies").alias("__copies")).filter("__copies > 0"))
-    n = nulls.count()
-    if n:
-        whole = F.broadcast(nulls) if n <= BROADCAST_SOURCES else nulls
-        parts.append(docs.filter("doc_id is null").join(whole, F.col("source").eqNullSafe(F.col("__from"))).select(*docs.columns, "__copies"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+        keys = F.broadcast(uneven) if n <= BROADCAST_IDS else uneven
+        row = W.partitionBy(key, anon, "source", size).orderBy(F.xxhash64("text"), F.to_json(F.struct(*kept)))
+        own = mine.join(keys, [key, anon], "left_semi").withColumn(size, _size()).withColumn(nth, F.row_number().over(row))
+        place = W.partitionBy(key, anon, "from", "words").orderBy(F.desc(copies))
+        of_key, of_anon, of_source, of_size, of_nth = (fresh(docs, n) for n in ("of_key", "of_anon", "of_source", "of_size", "of_nth"))
+        dealt = taken.join(keys, [key, anon], "left_semi").withColumn(nth, F.row_number().over(place)).filter(F.col(copies) > 0)
+        dealt = dealt.select(F.col(key).alias(of_key), F.col(anon).alias(of_anon), F.col("from").alias(of_source), F.col("words").alias(of_size), F.col(nth).alias(of_nth), copies)
+        same = [F.col(a) == F.col(b) for a, b in ((key, of_key), (anon, of_anon), (size, of_size), (nth, of_nth))] + [F.col("source").eqNullSafe(F.col(of_source))]
+        out = out.select(*kept, copies).unionByName(own.join(dealt, same).select(*kept, copies))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*kept)
 
 
 def digest(docs: DataFrame) -> DataFrame:

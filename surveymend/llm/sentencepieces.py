@@ -5,7 +5,9 @@ text falls apart into units, such as a run of spaces and the letters after it, w
 a bounded table. Every unit that enters the table is checked against the
 sentencepiece library, a batch at a time; should one differ, the library's ids are kept. Vocabularies for which units
 can't be told apart, or which normalise texts, are encoded by the library alone.
-Null texts count as empty, which encodes to the begin and end ids and decodes to an empty text.
+Null texts count as empty, which encodes to the begin and end ids and decodes to an empty text. Of pairs of equal score the
+leftmost is merged first, as the library does. Very long texts are encoded whole, part by part; repeated rows give repeated
+results, an empty table none. ``encode`` keeps other columns and replaces those named ids and decoded.
 """
 
 from __future__ import annotations
@@ -206,6 +208,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Add ``ids``, with begin and end, and ``decoded`` to every row; other columns stay. ``model``: a file that workers can open."""
     ready(docs.sparkSession)
+    docs = docs.drop("ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

@@ -15,3 +15,10 @@ def test_a_full_table_loses_no_unit(monkeypatch):
         want = p.library.encode(t)
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want and said == p.library.decode(want)
         assert len(p.word) <= 10
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two", [9], "old"), (2, None, None, None)], "doc_id long, text string, ids array<int>, decoded string")
+    got = {r["doc_id"]: r for r in sentencepieces.encode(docs).collect()}
+    assert got[1]["decoded"] == "one two" and got[2]["decoded"] == "" and len(got[2]["ids"]) == 2
+    assert sentencepieces.encode(docs.limit(0)).collect() == []

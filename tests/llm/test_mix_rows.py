@@ -31,3 +31,31 @@ def test_odd_rows_are_taken_as_often_as_they_were_rounded(spark):
         want[r["doc_id"]] += r["copies"]
     assert got == +want and got[None] > 0
     assert mixing.repeat(docs.limit(0)).collect() == []
+
+
+def test_words_of_the_mix_equal_its_digest(spark):
+    """Rows in and words out, by source, on a table of null ids, repeated ids, repeated rows and clashing columns."""
+    texts = ["x " * (i % 13) for i in range(400)]
+    rows = [(None if i % 3 == 0 else i % 120, t, [None, "a", "b", "c"][i % 7 % 4], i, "k", 1) for i, t in enumerate(texts)] + [(None, "same row", "a", 0, "k", 1)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __copies long, __key string, size int")
+    digest = mixing.digest(docs).collect()
+    assert len(digest) == len(rows)
+    got = mixing.repeat(docs)
+    assert got.columns == docs.columns
+    words = Counter()
+    for r in got.collect():
+        words[r["source"]] += len(r["text"].split())
+        assert r["__key"] == "k" and r["size"] == 1
+    mixed = mixing.mix(docs).collect()
+    taken, target, size, largest = Counter(), {}, Counter(), Counter()
+    for r in mixed:
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+        size[r["source"]] += r["size"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert words == taken and sum(taken.values()) == sum(r["taken"] for r in digest)
+    # Rows without an id take part in the rounding, so no source falls short by their fractions.
+    assert all(abs(taken[s] - target[s]) <= 2 * largest[s] for s in target)
+    assert all(target[s] <= 3 * size[s] for s in target)
+    again = Counter(tuple(r) for r in mixing.repeat(docs.repartition(7)).collect())
+    assert again == Counter(tuple(r) for r in got.collect())
