@@ -45,10 +45,14 @@ CELL = 1024
 SEEN_PAIRS = 500_000
 #: Ids of copies that are broadcast at most: 4 MB.
 BROADCAST_IDS = 500_000
+#: Groups of equal sets, and classes with their component, that are broadcast at most: 6 MB.
+BROADCAST_GROUPS = 150_000
+#: Copies up to which a group's rows meet at its key; larger groups, at most HOT_GROUPS of them, are broadcast.
+HOT, HOT_GROUPS = 256, 100_000
 #: Blocks of several components whose sizes are broadcast at most: 4 MB.
 BROADCAST_BLOCKS = 100_000
-#: Bits of the bounded filter that keeps texts without candidates out of the second shuffle: 1 MB.
-FILTER_BITS = 1 << 23
+#: Bits, for each id in pairs, of the filter that keeps texts without candidates out of the second shuffle, and most of all: 32 MB.
+ID_BITS, FILTER_BITS = 16, 1 << 28
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -326,12 +330,14 @@ def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose whole sets link.
 
     Sets are made again from the texts, rather than kept for all documents. A bounded filter of the ids in pairs keeps
-    most other texts out of the shuffle; it passes some too many, and all of them once it is full, but never too few.
+    most other texts out of the shuffle; it passes some too many, more so where ids in pairs are many millions, but never
+    too few.
     """
     active = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    size = min(FILTER_BITS, 1 << max(16, (ID_BITS * active.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     maps = active.select(place("id").alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in maps.collect():
         bits[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
     sets = mapped(text.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("bit")), _sets_where(bits), "id long, hashes binary")
@@ -340,8 +346,32 @@ def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     return mapped(one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"), _linked, "a long, b long")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): doc_id, n, rep of every document, and the links between representatives (a < b).
+def _members(doc: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, rep, hot of every document; the reps of hot groups): the least id of those with the same set.
+
+    Sets that only one document has, and documents without words or id, need no join. A group's rows meet at its key
+    unless it is hot, so no task gets a large group, nor all the documents without words.
+    """
+    of_set = ["n", "s1", "s2"]
+    most = max(HOT, rows // HOT_GROUPS)
+    groups = cut(doc.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    hot = groups.filter(F.col("size") > most)
+    usable = F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    own = F.col("doc_id").alias("rep")
+    plain = doc.filter(~usable).select("doc_id", "n", own, F.lit(False).alias("hot"))
+    found = doc.filter(usable).select("doc_id", *of_set)
+    if groups.count() <= BROADCAST_GROUPS:
+        joined = found.join(F.broadcast(groups), of_set, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce(F.col("size") > most, F.lit(False)).alias("hot"))
+    else:
+        marked = found.join(F.broadcast(hot.select(*of_set, F.col("rep").alias("hot_rep"))), of_set, "left")
+        rest = marked.filter("hot_rep is null").drop("hot_rep").join(groups.filter(F.col("size") <= most).drop("size"), of_set, "left")
+        joined = marked.filter("hot_rep is not null").select("doc_id", "n", F.col("hot_rep").alias("rep"), F.lit(True).alias("hot")).unionByName(rest.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.lit(False).alias("hot")))
+    return cut(joined.unionByName(plain)), hot.select("rep")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, hot): doc_id, n, rep and hot of every document, the links between representatives (a < b), and the
+    representatives of hot groups, at most ``HOT_GROUPS``.
 
     Links join everything that is linked; between documents already joined, not every link is listed.
     """
@@ -355,9 +385,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # At most (shingles listed first) / POPULAR_SHARE-th of the rows each: a few hundred thousand numbers at any size.
     late = np.sort(np.array([r[0] for r in popular.collect()], np.int32))
     doc = cut(mapped(text, _described(late), "doc_id long, n long, s1 long, s2 long, first array<long>, plain int, vector binary"))
-    of_set = ["n", "s1", "s2"]
-    reps = doc.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("rep"))
-    members = cut(doc.select("doc_id", *of_set).join(reps, of_set, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
+    members, hot = _members(doc, rows)
     # Copies are taken out by their ids, which are broadcast while they are few; so shingles aren't shuffled for it.
     copies = members.filter("rep <> doc_id").select("doc_id").distinct()
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
@@ -399,13 +427,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = F.broadcast(several) if several.count() <= BROADCAST_BLOCKS else several
     open_blocks = placed.join(several, "least").join(vectors.select("id", "vector"), "id")
     found = mapped(_cells(open_blocks).repartition(*_CELL).sortWithinPartitions(*_CELL, "id"), _searched, "a long, b long").distinct().join(partner, ["a", "b"], "left_anti")
-    return members, first.unionByName(cut(_verified(cut(found), text)))
+    return members, first.unionByName(cut(_verified(cut(found), text))), hot
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links, the links listed for the document's class, for every row of docs."""
-    members, pairs = links(docs)
+    members, pairs, hot = links(docs)
     pairs = cut(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    of = components(pairs).select(F.col("node").alias("rep"), "component")
-    return members.join(of, "rep", "left").join(degree, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    info = cut(components(pairs).select(F.col("node").alias("rep"), "component").join(degree, "rep", "left"))
+    if info.count() <= BROADCAST_GROUPS:
+        out = members.join(F.broadcast(info), "rep", "left")
+    else:
+        out = members.filter("not hot").join(info, "rep", "left").unionByName(members.filter("hot").join(F.broadcast(info.join(F.broadcast(hot), "rep", "left_semi")), "rep", "left"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
