@@ -5,7 +5,9 @@ inflected); the document's is the noisy-or of its sentences.
 Weights are trained from document labels alone, on at most ``FIT_DOCS`` labelled documents that aren't held out, and then
 locate offending sentences. Words are runs of ASCII letters, either case, and non-ASCII bytes, hashed into ``BUCKETS``;
 sentences end at ``.``, ``!``, ``?`` and line ends, and those of few words are joined to the next. Null and wordless texts have the score of no sentence, 0.
-Labels of null, or of documents that aren't there, take no part; with nothing to learn from, all scores are 0.
+Labels of null, or of documents that aren't there, take no part; with nothing to learn from, all scores are 0, and with
+toxic labels only, 1. Long texts are read whole, in pieces of a row; repeated rows give repeated results, an empty table
+none, other columns are ignored, and scores that tie stay tied. What the driver gets of a document is its weighted words.
 """
 
 from __future__ import annotations
