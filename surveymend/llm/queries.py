@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import fingerprints, htmltext, langid, mixing, neighbours, ngram_join, pii, secrets, sentencepieces, toxicity
 from .common import read
@@ -54,8 +55,29 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(read(spark, sf_dir, "documents"))
 
 
+# What SQL can say of results that it can't state whole: the same operators, without the columns that models make.
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_secret_scan(spark, sf_dir).drop("spans")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op2_source_mix(spark, sf_dir)
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"))
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_pii(spark, sf_dir).drop("spans")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_ngram_join, op4_sentencepiece, op5_neighbours, op6_toxicity, op7_pii, op8_language, op9_main_text, op10_fingerprints)}
+    dealt = (op1_secret_scan, op2_source_mix, op3_ngram_join, op4_sentencepiece, op5_neighbours, op6_toxicity, op7_pii, op8_language, op9_main_text, op10_fingerprints)
+    return {f.__name__: f for f in (*dealt, secret_base_spans, mix_targets, pii_base_spans, edited_texts)}
 
 
 _JOIN_SQL = r"""
@@ -72,6 +94,56 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id
 """
 
 
+def _spans_sql(kinds: dict[str, tuple[str, str, str]], order: str) -> str:
+    """Counts and digest of the matches of kinds: (pattern, group or '', condition on the match m and the group g)."""
+    places = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0)"
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{name}' AS kind, whole[i] AS m, part[i] AS g, {places} AS a FROM (SELECT doc_id, whole, part, gaps, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS whole, regexp_extract_all(text, '{p}', {g or 0}) AS part, string_split_regex(text, '{p}') AS gaps FROM t))"
+        for k, (name, (p, g, _)) in enumerate(kinds.items())
+    )
+    valid = " OR ".join(f"(k = {k} AND {c})" for k, (_, _, c) in enumerate(kinds.values()))
+    counts = ", ".join(f"CAST(count(*) FILTER (k = {k}) AS BIGINT) AS n_{name}" for k, name in enumerate(kinds))
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+good AS (SELECT doc_id, k, a, concat(kind, ':', CAST(a AS BIGINT), ':', CAST(a + length(m) AS BIGINT)) AS span FROM found WHERE {valid})
+SELECT t.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY {order}), '')) AS base_sha256 FROM t LEFT JOIN good USING (doc_id) GROUP BY t.doc_id"""
+
+
+_SECRETS = {
+    "assign": (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "2", "length(g) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", "", "length(m) >= 20"),
+    "hex": ("[0-9a-f]+", "", "length(m) >= 24"),
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(reverse({_DIGITS})[j] AS INTEGER) ELSE (CAST(reverse({_DIGITS})[j] AS INTEGER) * 2) // 10 + (CAST(reverse({_DIGITS})[j] AS INTEGER) * 2) % 10 END)) % 10 = 0"
+_PERSONAL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "", "len(list_filter(string_split(m, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 256) <= 255)) = 4"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+}
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, 3 * source_size AS cap, (SELECT sum(size) FROM d) - coalesce(sum(3 * source_size) OVER before, 0) AS rest, sum(w) OVER (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+ FROM s WINDOW before AS (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rate AS (SELECT CAST(rest AS DOUBLE) / weights AS r FROM o WHERE CAST(cap AS DOUBLE) / w >= CAST(rest AS DOUBLE) / weights ORDER BY CAST(cap AS DOUBLE) / w, source LIMIT 1)
+SELECT doc_id, size, source_size, round(least(CAST(cap AS DOUBLE), coalesce((SELECT r FROM rate), 1e300) * w), 4) AS target, true AS within FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source
+"""
+_EDITED_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, text, n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS after FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(concat(substring(text, 1, n - n // 2), substring(after, 1, n // 2))) AS edited_sha256 FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the join. The other results hold learned models, random choices, digests of added spans or tokenizer ids."""
-    return {"op3_ngram_join": _JOIN_SQL.strip()}
+    """SQL of the join, and of what it can say of others, whose whole results hold learned models, random choices, digests
+    of added spans or tokenizer ids."""
+    return {
+        "op3_ngram_join": _JOIN_SQL.strip(),
+        "secret_base_spans": _spans_sql(_SECRETS, "a, k"),
+        "mix_targets": _MIX_SQL.strip(),
+        "pii_base_spans": _spans_sql(_PERSONAL, "k, a"),
+        "edited_texts": _EDITED_SQL.strip(),
+    }

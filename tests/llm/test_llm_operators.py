@@ -2,8 +2,6 @@
 
 import hashlib
 import itertools
-import json
-import math
 import os
 import re
 import struct
@@ -483,14 +481,16 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 @needs_data
-def test_join_query_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    rel = con.sql(queries.oracle_sql()["op3_ngram_join"])
-    want = sorted(rel.select("doc_id", "n_shingles", "component_id").fetchall())
-    assert sorted(tuple(r) for r in queries.op3_ngram_join(spark, SF).select("doc_id", "n_shingles", "component_id").collect()) == want
+    rel = con.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, SF)
+    assert sorted(rel.columns) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r) for r in df.select(*rel.columns).collect()))) == sorted(map(repr, rel.fetchall()))
 
 
 @needs_data
@@ -501,8 +501,9 @@ def test_queries_return_their_columns(spark):
         "op7_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op8_language": "doc_id held_out lang_pred score", "op9_main_text": "page_id url text n_chars",
         "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     }
-    for name, f in queries.queries().items():
+    dealt = {n: f for n, f in queries.queries().items() if n.startswith("op")}
+    for name, f in dealt.items():
         df = f(spark, SF)
         assert df.columns[: len(want[name].split())] == want[name].split(), name
         assert df.count() > 0
-    assert json.dumps(sorted(want)) == json.dumps(sorted(queries.queries())) and math.isfinite(len(want))
+    assert sorted(want) == sorted(dealt)
