@@ -159,7 +159,7 @@ def _mixed(docs: DataFrame, seed: int) -> DataFrame:
             out = out.unionByName(rest.select("key", "anon", *of_source, "size", (_uniform(F.col("key"), F.lit(0), seed) < F.col("p")).cast("int").alias("extra")))
         level = rest
     source = F.when(F.col("nil"), F.lit(None).cast(T.StringType())).otherwise(F.col("name"))
-    return out.select("key", "anon", source.alias("source"), "size", "source_size", F.col("target").cast("double").alias("target"), F.least(F.col("whole") + F.col("extra"), F.lit(MOST)).alias("copies"))
+    return out.select("key", "anon", source.alias("source"), "size", "source_size", F.col("target").cast("double").alias("target"), F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("extra"), F.lit(MOST))).otherwise(0).alias("copies"))
 
 
 def repeat(docs: DataFrame, seed: int = 20) -> DataFrame:
