@@ -1,7 +1,8 @@
 """A training corpus in five stages over ``documents``; every stage works on all that the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents, whatever their names. Rows without an id pass every stage as
+others do; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -19,16 +20,31 @@ ORACLE_SQL = None
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; rejected ones go."""
+    """Documents whose language is identified; rejected ones go, as do null texts and those without letters. Without labels none goes."""
     return langid.keep(docs, langid.fit(docs))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id. Rows of null id stay."""
+    """One document of each group of near duplicates, the one of least id.
+
+    Rows of null id, and texts without words, stay. Of repeated rows of one id and the same words one stays.
+    """
     others = cut(ngram_join.join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__other")).distinct())
-    # Few ids are broadcast, so that texts aren't shuffled; more are joined as Spark sees fit.
-    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
-    return docs.join(others, F.col("doc_id").cast("long") == F.col("__other"), "left_anti")
+    out = docs.join(_few(others), F.col("doc_id").cast("long") == F.col("__other"), "left_anti")
+    repeated = cut(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__repeated")).count().filter("count > 1").select("__repeated"))
+    if repeated.isEmpty():
+        return out
+    repeated, same = _few(repeated), F.col("doc_id") == F.col("__repeated")
+    words = F.translate(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = out.join(repeated, same, "left_semi").withColumn("__words", words)
+    wordless = F.coalesce(F.col("__words") == "", F.lit(True))
+    once = rows.filter(~wordless).dropDuplicates(["doc_id", "__words"]).unionByName(rows.filter(wordless)).drop("__words")
+    return out.join(repeated, same, "left_anti").unionByName(once)
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Few ids are broadcast, so that texts aren't shuffled; more are joined as Spark sees fit."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def scrub(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
