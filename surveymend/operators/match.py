@@ -254,6 +254,10 @@ def resolve(texts: DataFrame, registry: DataFrame, text: str = "text", floor: fl
     return retrieve(usable, registry, text, top=1, **options).filter(F.col("precision") >= floor).select("text", "lat", "lon", "precision", "line")
 
 
+#: Row ids of one list of the inverted index: a street's list is cut where row_id passes a multiple of it.
+SEGMENT = 65_536
+
+
 def inverted_index(registry: DataFrame) -> DataFrame:
-    """(street_norm, row_ids): where each folded street occurs."""
-    return registry.groupBy(tx.fold(F.col("vejnavn")).alias("street_norm")).agg(F.sort_array(F.collect_list("row_id")).alias("row_ids"))
+    """(street_norm, segment, row_ids): where each folded street occurs, in lists of bounded length."""
+    return registry.groupBy(tx.fold(F.col("vejnavn")).alias("street_norm"), F.floor(F.col("row_id") / SEGMENT).alias("segment")).agg(F.sort_array(F.collect_list("row_id")).alias("row_ids"))

@@ -341,14 +341,8 @@ def semi_join(v: Views) -> DataFrame:
     return v.session.join(v.det.filter("validation_status = 'corrected'"), "SessionId", "left_semi").select("SessionId", "homeText")
 
 
-@query("SELECT SessionId, turid, CAST(row_number() OVER (ORDER BY SessionId, turid DESC) AS BIGINT) AS place FROM v_trip ORDER BY SessionId, turid DESC LIMIT 500")
+@query("SELECT SessionId, turid, CAST(row_number() OVER (ORDER BY SessionId, turid DESC) AS BIGINT) AS place FROM v_trip")
 def sort_multi(v: Views) -> DataFrame:
-    top = v.trip.select("SessionId", "turid").orderBy("SessionId", F.desc("turid")).limit(500)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("SessionId", F.desc("turid"))).cast("long"))
-
-
-@query()
-def whole_sort_multi(v: Views) -> DataFrame:
     """All trips with their place; ranges of SessionId are ordered on their own and counted before, so no task holds all rows."""
     trips = v.trip.select("SessionId", "turid")
     cuts = sorted(set(trips.agg(F.percentile_approx("SessionId", [k / 64 for k in range(1, 64)])).first()[0] or []))
@@ -370,10 +364,10 @@ def update_join(v: Views) -> DataFrame:
     return relational.update_join(v.det.select("turid", "corrected_dist_km", "validation_status"), v.rag.filter("turid % 2 = 0").select("turid", "corrected_dist_km", "llm_verdict"), ["turid"])
 
 
-@query("SELECT q.p_partkey AS query_id, r.row_id FROM part q JOIN v_registry r ON lower(r.vejnavn) = lower(concat(q.p_name, 'vej')) WHERE q.p_partkey % 50 = 0")
+@query("SELECT q.s AS street, r.row_id FROM (SELECT DISTINCT lower(concat(p_name, 'vej')) AS s FROM part) q JOIN v_registry r ON lower(r.vejnavn) = q.s")
 def street_lookup(v: Views) -> DataFrame:
-    asked = v.part.filter("p_partkey % 50 = 0").select(c("p_partkey").alias("query_id"), tx.fold(F.concat("p_name", F.lit("vej"))).alias("s"))
-    return asked.join(v.registry.withColumn("s", tx.fold(c("vejnavn"))), "s").select("query_id", "row_id")
+    asked = v.part.select(tx.fold(F.concat("p_name", F.lit("vej"))).alias("street")).distinct()
+    return asked.join(v.registry.withColumn("street", tx.fold(c("vejnavn"))), "street").select("street", "row_id")
 
 
 @query(f"SELECT CAST(sum(CASE WHEN r.turid IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_left, CAST(sum(CASE WHEN d.turid IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_right, CAST(sum(CASE WHEN r.turid IS NOT NULL AND d.turid IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS in_both FROM ({_SAFE_DET}) d FULL JOIN ({_SAFE_RAG}) r ON d.turid = r.turid")
@@ -393,16 +387,7 @@ _STRUCTURE = "CASE WHEN len(regexp_split_to_array(t, '\\s+')) >= 5 THEN 'Narrati
 
 @query(f"WITH a AS (SELECT lang, {_CLASS} AS class FROM (SELECT lang, trim(lower(text)) AS t FROM v_text)), d AS (SELECT class, count(*) AS n FROM a WHERE lang = 'en' GROUP BY 1), r AS (SELECT class, count(*) AS n FROM a WHERE lang = 'de' GROUP BY 1) SELECT coalesce(d.class, r.class) AS class, CAST(coalesce(d.n, 0) AS BIGINT) AS first, CAST(coalesce(r.n, 0) AS BIGINT) AS second FROM d FULL JOIN r ON d.class = r.class")
 def taxonomy_align(v: Views) -> DataFrame:
-    return _aligned(v.text)
-
-
-@query()
-def whole_taxonomy_align(v: Views) -> DataFrame:
-    return _aligned(v.documents)
-
-
-def _aligned(texts: DataFrame) -> DataFrame:
-    counts = lambda lang: texts.filter(c("lang") == lang).groupBy(tx.failure_class(c("text")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    counts = lambda lang: v.text.filter(c("lang") == lang).groupBy(tx.failure_class(c("text")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     return relational.aligned(counts("en"), counts("de"), "class", ("first", "second"))
 
 
@@ -499,19 +484,9 @@ def argmax_group(v: Views) -> DataFrame:
     return best.select("postnr", (-c("b.r")).alias("row_id"), "b.husnr")
 
 
-@query("SELECT lower(vejnavn) AS street_norm, array_to_string(list_sort(list(row_id)), ',') AS row_ids FROM v_registry WHERE row_id % 10 = 0 GROUP BY 1")
+@query(f"SELECT lower(vejnavn) AS street_norm, row_id // {match.SEGMENT} AS segment, array_to_string(list_sort(list(row_id)), ',') AS row_ids FROM v_registry GROUP BY 1, 2")
 def inverted_index(v: Views) -> DataFrame:
-    return _listed(v.registry.filter("row_id % 10 = 0"))
-
-
-@query()
-def whole_inverted_index(v: Views) -> DataFrame:
-    return _listed(v.registry)
-
-
-def _listed(registry: DataFrame) -> DataFrame:
-    out = match.inverted_index(registry)
-    return out.select("street_norm", F.array_join(c("row_ids").cast("array<string>"), ",").alias("row_ids"))
+    return match.inverted_index(v.registry).select("street_norm", "segment", F.array_join(c("row_ids").cast("array<string>"), ",").alias("row_ids"))
 
 
 @query("SELECT round(sum(CASE WHEN validation_status = 'corrected' THEN 1 ELSE 0 END) * 100.0 / nullif(sum(CASE WHEN validation_status <> 'trusted' THEN 1 ELSE 0 END), 0), 6) AS success, round(sum(CASE WHEN flag_coords_bad AND corrected_dist_km IS NOT NULL THEN 1 ELSE 0 END) * 100.0 / nullif(sum(CASE WHEN flag_coords_bad THEN 1 ELSE 0 END), 0), 6) AS restored, CAST(sum(CASE WHEN corrected_dist_km > stagelength_raw THEN 1 ELSE 0 END) AS BIGINT) AS longer FROM v_det")
@@ -576,19 +551,11 @@ def fix_type(v: Views) -> DataFrame:
 
 # ---- texts
 
-# Queries over v_text read the first 40 characters, as their SQL does; those named whole_ read whole texts.
-
-
 @query("SELECT doc_id, trim(lower(regexp_replace(strip_accents(text), '[^\\p{L}\\p{N}\\s]', '', 'g'))) AS folded FROM v_text")
 def fold_text(v: Views) -> DataFrame:
     return v.text.select("doc_id", tx.fold(c("text")).alias("folded"))
 
 
-@query()
-def whole_fold_text(v: Views) -> DataFrame:
-    return v.documents.select("doc_id", tx.fold(c("text")).alias("folded"))
-
-
 def _hint_sql() -> str:
     cases = " ".join(f"WHEN contains(t, '{k}') THEN '{p}'" for k, p in tx.NEIGHBOURHOODS.items())
     south = " OR ".join(f"contains(t, '{k}')" for k in tx.SOUTH)
@@ -597,17 +564,8 @@ def _hint_sql() -> str:
 
 @query(_hint_sql())
 def neighbourhood_hint(v: Views) -> DataFrame:
-    return _hints(v.text)
-
-
-@query()
-def whole_neighbourhood_hint(v: Views) -> DataFrame:
-    return _hints(v.documents)
-
-
-def _hints(texts: DataFrame) -> DataFrame:
     text = F.concat(c("text"), F.when(c("doc_id") % 5 == 0, " Valby").when(c("doc_id") % 5 == 1, " kbh S").otherwise(""))
-    return texts.select("doc_id", tx.hint(text).alias("postcode"))
+    return v.text.select("doc_id", tx.hint(text).alias("postcode"))
 
 
 @query("SELECT turid, l_linenumber, CASE WHEN note IS NULL THEN 0 ELSE greatest(l_partkey % 101, l_suppkey % 101) END::DOUBLE AS most, CASE WHEN note IS NOT NULL THEN (l_partkey % 101 + l_suppkey % 101) / 2.0 END::DOUBLE AS mean, CASE WHEN note IS NULL THEN 0 ELSE l_partkey % 101 END::DOUBLE AS first FROM v_note")
@@ -642,21 +600,11 @@ def taxonomy(v: Views) -> DataFrame:
     return v.text.select("doc_id", tx.failure_class(c("text")).alias("class"))
 
 
-@query()
-def whole_taxonomy(v: Views) -> DataFrame:
-    return v.documents.select("doc_id", tx.failure_class(c("text")).alias("class"))
-
-
 @query(f"SELECT doc_id, {_STRUCTURE} AS class FROM (SELECT doc_id, trim(lower(text)) AS t FROM v_text)")
 def structure_type(v: Views) -> DataFrame:
     return v.text.select("doc_id", tx.structure_class(c("text")).alias("class"))
 
 
-@query()
-def whole_structure_type(v: Views) -> DataFrame:
-    return v.documents.select("doc_id", tx.structure_class(c("text")).alias("class"))
-
-
 @query("SELECT turid, CASE WHEN contains(upper(answer), 'INVALID') THEN 'INVALID' ELSE 'VALID' END AS verdict FROM v_rag")
 def verdict_parse(v: Views) -> DataFrame:
     return v.rag.select("turid", tx.verdict(c("answer")).alias("verdict"))
@@ -760,43 +708,25 @@ def cosine_pair(v: Views) -> DataFrame:
     return rounded(p.join(q, c("j") == c("i") + 1).select("i", "j", vectors.cosine(c("a"), c("b")).alias("cosine")))
 
 
-_TOP1 = f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT p.vec_id AS query_id, q.vec_id, score, row_number() OVER (PARTITION BY p.vec_id ORDER BY score DESC, q.vec_id) AS k FROM (SELECT vec_id, embedding AS a FROM v_vec WHERE vec_id % 10 = 0) p, (SELECT vec_id, embedding AS b FROM v_vec WHERE vec_id % 10 <> 0) q, LATERAL (SELECT {_DOT} AS score)) WHERE k = 1"
+_TOP1 = f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT p.vec_id AS query_id, q.vec_id, score, row_number() OVER (PARTITION BY p.vec_id ORDER BY score DESC, q.vec_id) AS k FROM (SELECT vec_id, embedding AS a FROM v_vec) p JOIN (SELECT vec_id, embedding AS b FROM v_vec) q ON p.vec_id <> q.vec_id, LATERAL (SELECT {_DOT} AS score)) WHERE k = 1"
 
 
 def _top1(v: Views) -> DataFrame:
-    asked = v.vec.filter("vec_id % 10 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("v"))
-    return vectors.nearest_rows(asked, v.vec.filter("vec_id % 10 <> 0").select("vec_id", c("embedding").alias("v")))
-
-
-@query(_TOP1)
-def vec_top1(v: Views) -> DataFrame:
-    return rounded(_top1(v))
-
-
-@query(f"WITH t AS ({_TOP1}) SELECT turid, s.vec_id AS start_match, s.score AS start_score, e.vec_id AS end_match, e.score AS end_score FROM (SELECT turid, turid % 20 * 10 AS a, SessionId % 20 * 10 AS b FROM v_trip) JOIN t s ON s.query_id = a JOIN t e ON e.query_id = b")
-def rag_augment(v: Views) -> DataFrame:
-    return _augmented(v, rounded(_top1(v)))
-
-
-def _whole_top1(v: Views) -> DataFrame:
     """Every vector's nearest among all others: of the two nearest at least one isn't the vector itself."""
     rows = v.vec.select("vec_id", c("embedding").alias("v"))
     two = vectors.nearest_rows(rows.select(c("vec_id").alias("query_id"), "v"), rows, 2).filter("vec_id <> query_id")
     best = two.groupBy("query_id").agg(F.max(F.struct("score", (-c("vec_id")).alias("m"))).alias("b"))
-    return best.select("query_id", (-c("b.m")).alias("vec_id"), "b.score")
-
-
-@query()
-def whole_vec_top1(v: Views) -> DataFrame:
-    return rounded(_whole_top1(v))
+    return rounded(best.select("query_id", (-c("b.m")).alias("vec_id"), "b.score"))
 
 
-@query()
-def whole_rag_augment(v: Views) -> DataFrame:
-    return _augmented(v, rounded(_whole_top1(v)))
+@query(_TOP1)
+def vec_top1(v: Views) -> DataFrame:
+    return _top1(v)
 
 
-def _augmented(v: Views, found: DataFrame) -> DataFrame:
+@query(f"WITH t AS ({_TOP1}) SELECT turid, s.vec_id AS start_match, s.score AS start_score, e.vec_id AS end_match, e.score AS end_score FROM (SELECT turid, turid % 20 * 10 AS a, SessionId % 20 * 10 AS b FROM v_trip) JOIN t s ON s.query_id = a JOIN t e ON e.query_id = b")
+def rag_augment(v: Views) -> DataFrame:
+    found = _top1(v)
     end = lambda p, k: found.select(c("query_id").alias(k), c("vec_id").alias(f"{p}_match"), c("score").alias(f"{p}_score"))
     trips = v.trip.select("turid", (c("turid") % 20 * 10).alias("a"), (c("SessionId") % 20 * 10).alias("b"))
     return trips.join(end("start", "a"), "a").join(end("end", "b"), "b").select("turid", "start_match", "start_score", "end_match", "end_score")

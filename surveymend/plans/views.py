@@ -55,7 +55,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE {_LAT.format(a='o_custkey')} END AS rag_start_lat", f"{_LON.format(a='o_custkey')} AS rag_start_lon", f"{_LAT.format(a='o_orderkey')} AS rag_end_lat", f"{_LON.format(a='o_orderkey')} AS rag_end_lon",
         ],
     ),
-    "v_text": ("documents", ["doc_id", "substr(text, 1, 40) AS text", "lang"]),
+    "v_text": ("documents", ["doc_id", "text", "lang"]),
     "v_registry": ("part", ["p_partkey AS row_id", "concat(p_name, 'vej') AS vejnavn", "cast(p_partkey % 60 + 1 as string) AS husnr", "cast(1000 + p_partkey % 50 * 100 as string) AS postnr", "p_brand AS postnrnavn", f"{_LAT.format(a='p_partkey')} AS lat", f"{_LON.format(a='p_partkey')} AS lon"]),
     "v_seq": ("events", ["user_id AS SessionId", "event_id", "ts", "value", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS place", "concat('own ', event_type) AS start_place"]),
     "v_vec": ("embeddings", ["vec_id", "embedding", "label"]),
