@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ CUTOFF, TOP_STREETS, TOP_OUTPUT = 72.0, 50, 100
 TOWNS = ("skive", "københavn", "aarhus", "odense", "aalborg")
 _POST = re.compile(r"\b(\d{4})\b")
 _HOUSE = re.compile(r"\d+[a-zA-Z]?")
+# A fixed value: what may stand before a street's ending.
 _STREET = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ0-9 .'\-]+?(?:" + "|".join(tx.SUFFIXES) + r"))\b", re.IGNORECASE)
 _SEPARATORS = re.compile(r"[,\s]+")
 
@@ -161,37 +164,95 @@ def similarity(df: DataFrame, a: str, b: str, out: str, measure=indel_ratio) ->
     return df.withColumn(out, score(F.col(a), F.col(b)))
 
 
+class Names:
+    """A part of the street names, for a scorer that is ``weighted_ratio``: which of them can reach a cutoff.
+
+    Without a shared token, no measure exceeds what the characters that two texts have in common allow: 200 * common /
+    (both lengths) for the whole texts, and for parts 200 * common / (shorter length + common). Texts that repeat a token
+    are always scored, as measures count it once.
+    """
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.size = np.array([len(n) for n in names])
+        self.letters = {c: i for i, c in enumerate(sorted({c for n in names for c in n}))}
+        self.counts = np.zeros((len(names), len(self.letters)), np.int16)
+        self.of_token: dict[str, list[int]] = {}
+        for k, n in enumerate(names):
+            for c in n:
+                self.counts[k, self.letters[c]] += 1
+            for t in set(n.split()):
+                self.of_token.setdefault(t, []).append(k)
+        self.repeats = np.array([len(set(n.split())) < len(n.split()) for n in names])
+
+    def possible(self, q: str, cutoff: float) -> np.ndarray:
+        if len(set(q.split())) < len(q.split()):
+            return np.arange(len(self.names))
+        mine = np.zeros(len(self.letters), np.int16)
+        for c in q:
+            if c in self.letters:
+                mine[self.letters[c]] += 1
+        common = np.minimum(self.counts, mine).sum(axis=1)
+        n, longer = len(q), np.maximum(self.size, len(q)) / np.maximum(np.minimum(self.size, len(q)), 1)
+        whole = 200.0 * common / np.maximum(n + self.size, 1)
+        part = np.where(longer > 8, 0.6, 0.9) * 200.0 * common / np.maximum(np.minimum(n, self.size) + common, 1)
+        keep = np.where(longer < 1.5, whole, np.maximum(whole, part)) >= cutoff - 1e-9
+        keep |= self.repeats
+        for t in set(q.split()):
+            keep[self.of_token.get(t, [])] = True
+        return np.flatnonzero(keep)
+
+
 def _scored(scorer, cutoff: float, top: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, Names] = {}
         for pdf in batches:
             out = []
-            for q, block, names, ranks in zip(pdf["q_norm"], pdf["block"], pdf["names"], pdf["ranks"], strict=True):
-                hits = [(s, r, n) for n, r in zip(names, ranks, strict=True) if (s := scorer(q, n)) >= cutoff]
-                out += [(q, block, n, float(s), r) for s, r, n in sorted(hits, key=lambda h: (-h[0], h[1]))[:top]]
-            yield pd.DataFrame(out, columns=["q_norm", "block", "street_norm", "street_score", "street_rank"])
+            for q, block, number, names in zip(pdf["q_norm"], pdf["block"], pdf["part"], pdf["names"], strict=True):
+                some = names
+                if scorer is weighted_ratio:
+                    if (block, number) not in held:
+                        if len(held) == 64:
+                            held.clear()
+                        held[block, number] = Names(list(names))
+                    part = held[block, number]
+                    some = [part.names[i] for i in part.possible(q, cutoff)]
+                hits = sorted([(-s, n) for n in some if (s := scorer(q, n)) >= cutoff])[:top]
+                out += [(q, block, n, float(-s)) for s, n in hits]
+            yield pd.DataFrame(out, columns=["q_norm", "block", "street_norm", "street_score"])
 
     return run
 
 
+#: Names that a query is compared with at once.
+PART = 2000
+
+
 def blocked_streets(queries: DataFrame, registry: DataFrame, scorer=weighted_ratio, cutoff: float = CUTOFF, top: int = TOP_STREETS) -> DataFrame:
-    """(q_norm, block, street_norm, street_score, street_rank): the best streets of each query's postcode.
+    """(q_norm, block, street_norm, street_score, street_rank): the best streets of each query's postcode, best first, then by name.
 
-    A query whose postcode is unknown, or has no street above the cutoff, is compared with all streets. Candidates of a
-    block travel as parts of at most 2,000 names; the parts' best are ranked again.
+    A query whose postcode is unknown, or has no street above the cutoff, is compared with all streets. Candidates travel
+    as parts of about ``PART`` names, by a hash of the name; a query goes to every part of its block, so that a block's
+    parts are searched by different tasks. Before names are scored, those that can't reach the cutoff are left out by a
+    bound. The parts' best are ranked together.
     """
     ship(queries.sparkSession)
-    part = F.floor((F.row_number().over(Window.partitionBy("block").orderBy("street_norm")) - 1) / 2000)
     names = registry.select(F.col("postnr").cast("string").alias("block"), tx.fold(F.col("vejnavn")).alias("street_norm")).filter("street_norm <> ''").distinct()
-    of = lambda df: df.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("street_norm"))).groupBy("block", "part").agg(F.collect_list("street_norm").alias("names"), F.collect_list("rank").alias("ranks"))
-    schema = "q_norm string, block string, street_norm string, street_score double, street_rank int"
-    best = Window.partitionBy("q_norm", "block").orderBy(F.desc("street_score"), "street_rank")
-    search = lambda q, c: q.join(c, "block").select("q_norm", "block", "names", "ranks").mapInPandas(_scored(scorer, cutoff, top), schema).withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= top).drop("__k")
+    schema = "q_norm string, block string, street_norm string, street_score double"
+
+    def search(asked: DataFrame, streets: DataFrame) -> DataFrame:
+        sizes = streets.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        number = F.pmod(F.xxhash64("street_norm"), F.col("parts")).cast("int").alias("part")
+        parts = streets.join(F.broadcast(sizes), "block").select("block", "street_norm", number).groupBy("block", "part").agg(F.collect_list("street_norm").alias("names"))
+        each = asked.join(F.broadcast(sizes), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        found = each.join(parts, ["block", "part"]).select("q_norm", "block", "part", "names").mapInPandas(_scored(scorer, cutoff, top), schema)
+        best = Window.partitionBy("q_norm", "block").orderBy(F.desc("street_score"), "street_norm")
+        return found.withColumn("street_rank", F.row_number().over(best)).filter(F.col("street_rank") <= top)
+
     asked = queries.select("q_norm", F.col("postnr").alias("block")).filter("q_norm <> ''").distinct()
-    local = search(asked.filter("block is not null"), of(names))
+    local = search(asked.filter("block is not null"), names)
     rest = asked.join(local.select("q_norm", "block").distinct(), (asked["block"].eqNullSafe(local["block"])) & (asked["q_norm"] == local["q_norm"]), "left_anti")
-    # All streets stand under one label, in bounded parts, so the join is on a key and not a product.
-    every = of(names.select(F.lit("*").alias("block"), "street_norm").distinct())
-    wide = search(rest.select("q_norm", F.lit("*").alias("block")).distinct(), every)
+    wide = search(rest.select("q_norm", F.lit("*").alias("block")).distinct(), names.select(F.lit("*").alias("block"), "street_norm").distinct())
     again = rest.withColumnRenamed("block", "own").join(wide.drop("block"), "q_norm").select("q_norm", F.col("own").alias("block"), "street_norm", "street_score", "street_rank")
     return local.unionByName(again)
 
@@ -223,28 +284,114 @@ def precision(street_match: Column, house_match: Column, post_match: Column, str
     return F.when(s & h & p, 100.0).when(s & p, 90.0).when(s & h, 80.0).when(s, 70.0).when(p, 60.0).otherwise(low)
 
 
+#: Tasks that the queries of one street are spread over, and registry rows of a street that a task holds.
+SLICES, STREET_ROWS = 8, 50_000
+_DEALT = "street_norm string, segment int, slice int, pair boolean, row_id long, postnr string, husnr string, digits long, less double, text string, house string, base double, sure boolean"
+
+
+def _best_rows(top: int):
+    """(text, street_norm, row_id): of each text and street the best row of each of the ``top`` best postcodes.
+
+    A street's rows come before the texts that hit it. No other row of the street can be among a text's best: ``top``
+    postcodes have a better one in the same street.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, by_house, street = None, [], {}, None
+        for batch in batches:
+            found: dict[str, list] = {"text": [], "street_norm": [], "row_id": []}
+            for name, segment, slice_, pair, row_id, postnr, husnr, digits, less, text, house, base, sure in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (name, segment, slice_) != group:
+                    group, held, by_house, street = (name, segment, slice_), [], {}, None
+                if not pair:
+                    held.append((postnr or "", row_id, husnr, digits, less))
+                    continue
+                if not held:
+                    continue
+                if street is None:
+                    street = _Street(held)
+                key = (house, digits)
+                if key not in by_house:
+                    by_house[key] = street.by_postcode(house, digits)
+                found["row_id"] += (rows := street.best(by_house[key], base, bool(sure), postnr, top))
+                found["text"] += [text] * len(rows)
+                found["street_norm"] += [name] * len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(found["text"], pa.string()), pa.array(found["street_norm"], pa.string()), pa.array(found["row_id"], pa.int64())], names=list(found))
+
+    return run
+
+
+class _Street:
+    """Registry rows of one street as arrays, by postcode and row_id."""
+
+    def __init__(self, rows: list[tuple]):
+        rows.sort(key=lambda r: r[:2])
+        self.row_id = np.array([r[1] for r in rows])
+        self.husnr = np.array([r[2] or "" for r in rows], object)
+        self.digits = np.array([np.nan if r[3] is None else r[3] for r in rows])
+        self.less = np.array([r[4] for r in rows])
+        posts = [r[0] for r in rows]
+        self.first = np.array([k for k, p in enumerate(posts) if not k or p != posts[k - 1]])
+        self.post = [posts[k] for k in self.first]
+
+    def by_postcode(self, house: str, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """What the best row of each postcode gets for its number and name, and that row's place."""
+        gain = self.less.copy()
+        if house:
+            apart = np.abs(self.digits - (np.nan if digits is None else digits))
+            gain += np.where(self.husnr == house, 50, np.where(apart <= 5, 10, np.where(apart <= 10, 5, 0)))
+        most = np.maximum.reduceat(gain, self.first)
+        width = np.diff(np.append(self.first, len(gain)))
+        at = np.flatnonzero(gain == np.repeat(most, width))
+        return most, at[np.searchsorted(at, self.first)]
+
+    def best(self, by: tuple[np.ndarray, np.ndarray], base: float, sure: bool, postcode: str | None, top: int) -> list[int]:
+        most, at = by
+        order = most + base
+        if postcode in self.post:
+            order[self.post.index(postcode)] += 150 if sure else 100
+        return self.row_id[at[np.lexsort((self.row_id[at], -order))[:top]]].tolist()
+
+
 def retrieve(texts: DataFrame, registry: DataFrame, text: str = "text", scorer=weighted_ratio, cutoff: float = CUTOFF, top_streets: int = TOP_STREETS, top: int = TOP_OUTPUT) -> DataFrame:
     """(text, rank, precision, line, row_id, score, and the registry's other columns): the best row of each postcode.
 
     Rows of the asked postcode come first, then by total score, the street's rank and row_id. Each distinct text is
-    parsed and searched once; texts without a street give no rows.
+    parsed and searched once; texts without a street give no rows. Rows of a street that can't be among a text's best are
+    left out where the street's rows are, so texts don't meet all rows of all streets that they are like.
     """
     distinct = texts.select(F.col(text).alias("text")).filter("text is not null").distinct()
     q = parse_addresses(distinct, "text").withColumn("q_norm", tx.fold(F.col("street"))).filter("q_norm <> ''").withColumn("block", F.col("postnr"))
     streets = blocked_streets(q, registry, scorer, cutoff, top_streets).withColumnRenamed("block", "__block").withColumnRenamed("q_norm", "__q")
     reg = registry.withColumn("postnr", F.col("postnr").cast("string")).withColumn("street_norm", tx.fold(F.col("vejnavn"))).withColumnsRenamed({"postnr": "r_postnr"})
-    hits = q.join(streets, (q["q_norm"] == streets["__q"]) & q["block"].eqNullSafe(streets["__block"])).join(reg, "street_norm")
+    pairs = q.join(streets, (q["q_norm"] == streets["__q"]) & q["block"].eqNullSafe(streets["__block"])).drop("__q", "__block")
+    sizes = reg.groupBy("street_norm").agg(F.ceil(F.count(F.lit(1)) / STREET_ROWS).cast("int").alias("segments"))
+    none = lambda kind: F.lit(None).cast(kind)
+    n = F.length("vejnavn")
+    rows = reg.join(sizes, "street_norm").select(
+        "street_norm", F.pmod(F.xxhash64("r_postnr"), F.col("segments")).cast("int").alias("segment"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), F.lit(False).alias("pair"), F.col("row_id").cast("long").alias("row_id"),
+        F.col("r_postnr").alias("postnr"), F.lower("husnr").alias("husnr"), _digits(F.col("husnr")).alias("digits"), F.when(n <= 3, -25.0).when(n <= 5, -10.0).otherwise(0.0).alias("less"), none("string").alias("text"), none("string").alias("house"), none("double").alias("base"), none("boolean").alias("sure"),
+    )
+    sure = F.col("street_score") >= 95
+    start = F.col("street_score") + F.when(sure, 20).otherwise(0) + F.when(F.substring("street_norm", 1, 4) == F.substring("q_norm", 1, 4), 5).otherwise(0)
+    asked = pairs.join(sizes, "street_norm").select(
+        "street_norm", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"), F.pmod(F.xxhash64("text"), F.lit(SLICES)).cast("int").alias("slice"), F.lit(True).alias("pair"), none("long").alias("row_id"),
+        "postnr", none("string").alias("husnr"), _digits(F.col("house")).alias("digits"), none("double").alias("less"), "text", "house", start.alias("base"), sure.alias("sure"),
+    )
+    dealt = rows.unionByName(asked).repartition("street_norm", "segment", "slice").sortWithinPartitions("street_norm", "segment", "slice", "pair")
+    chosen = dealt.select(*[c.split()[0] for c in _DEALT.split(", ")]).mapInArrow(_best_rows(top), "text string, street_norm string, row_id long")
+    hits = chosen.join(pairs, ["text", "street_norm"]).join(reg, ["street_norm", "row_id"])
     same = F.col("postnr") == F.col("r_postnr")
     hits = hits.withColumn("score", total_score(F.col("street_score"), F.col("vejnavn"), F.col("q_norm"), F.col("house"), F.col("husnr"), same))
     per_post = Window.partitionBy("text", "r_postnr").orderBy(F.desc("score"), "street_rank", "row_id")
     hits = hits.withColumn("__k", F.row_number().over(per_post)).filter("__k = 1")
+    # One row a postcode, which its line names, so no line is given twice.
     line = tx.address_line(F.col("vejnavn"), F.col("husnr"), F.col("r_postnr"), F.col("postnrnavn"))
     sure = precision(F.col("street_norm") == F.col("q_norm"), (F.col("house") != "") & (F.lower("husnr") == F.col("house")), same, F.col("street_score"))
     order = Window.partitionBy("text").orderBy(F.desc(F.col("score") + F.when(same, 100).otherwise(0)), F.desc("score"), "street_rank", "row_id")
-    once = Window.partitionBy("text", "line").orderBy("__o")
-    out = hits.withColumns({"line": line, "precision": sure, "__o": F.row_number().over(order)}).withColumn("__n", F.row_number().over(once)).filter("__n = 1")
+    out = hits.withColumns({"line": line, "precision": sure, "rank": F.row_number().over(order)}).filter(F.col("rank") <= top)
     carried = [c for c in registry.columns if c not in ("vejnavn", "husnr", "postnr", "postnrnavn", "row_id")]
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy("__o"))).filter(F.col("rank") <= top).select("text", "rank", "precision", "line", "row_id", "score", *carried)
+    return out.select("text", "rank", "precision", "line", "row_id", "score", *carried)
 
 
 def resolve(texts: DataFrame, registry: DataFrame, text: str = "text", floor: float = 40.0, **options) -> DataFrame:

@@ -33,6 +33,31 @@ def coalesce_copies(df: DataFrame, name: str, copies: list[str]) -> DataFrame:
     return df.withColumn("__one", F.coalesce(*copies)).drop(*copies).withColumnRenamed("__one", name)
 
 
+def common_first(left: DataFrame, right: DataFrame) -> list[str]:
+    """Columns of both in the left's order, then those that only the left has, then those that only the right has."""
+    return [c for c in left.columns if c in right.columns] + [c for c in left.columns if c not in right.columns] + [c for c in right.columns if c not in left.columns]
+
+
+def moved(df: DataFrame, column: str, after: str) -> DataFrame:
+    """The same columns, with one behind another."""
+    rest = [c for c in df.columns if c != column]
+    at = rest.index(after) + 1
+    return df.select(*rest[:at], column, *rest[at:])
+
+
+def without(df: DataFrame, unwanted) -> DataFrame:
+    """The columns whose names ``unwanted`` doesn't hold for."""
+    return df.select(*[c for c in df.columns if not unwanted(c)])
+
+
+def comparable(left: DataFrame, right: DataFrame, key: list[str]) -> dict[str, str]:
+    """Columns that both sides have, other than keys, and whether they compare as number or text."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    kind = lambda t: "number" if t in numbers or t.startswith("decimal") else "text"
+    theirs = dict(right.dtypes)
+    return {c: "number" if kind(t) == kind(theirs[c]) == "number" else "text" for c, t in left.dtypes if c in theirs and c not in key}
+
+
 def bases_of(df: DataFrame, raw: str = "_raw", mod: str = "_mod") -> list[str]:
     """Names that occur with both suffixes, in column order."""
     have = set(df.columns)
@@ -53,6 +78,11 @@ def diff(df: DataFrame, bases: list[str] | None = None, nulls_count: bool = Fals
     return df.withColumn("changed_cols", names).withColumn("n_changed", n).withColumn("row_flag", F.when(n > 0, "WRONG").otherwise("OK"))
 
 
+def changed_rows(df: DataFrame, bases: list[str] | None = None, nulls_count: bool = False) -> DataFrame:
+    """Rows with at least one change, with what ``diff`` adds."""
+    return diff(df, bases, nulls_count).filter("n_changed > 0")
+
+
 def diff_long(df: DataFrame, keys: list[str], bases: list[str] | None = None, nulls_count: bool = False) -> DataFrame:
     """One row (keys, column, raw_value, mod_value) for each changed value."""
     bases = bases_of(df) if bases is None else bases
@@ -79,10 +109,39 @@ def previous_or_own(df: DataFrame, columns: dict[str, str], by: list[str], order
 
 
 def balanced_sample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """As many rows of each class as the rarest has, the first by a hash of key and seed."""
-    least = df.groupBy(label).count().agg(F.min("count").alias("__n"))
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key)
-    return df.withColumn("__k", F.row_number().over(order)).join(F.broadcast(least), F.col("__k") <= F.col("__n")).drop("__k", "__n")
+    """As many rows of each class as the rarest has, the first by a hash of key and seed.
+
+    Rows are counted by bins of the hash; only a class's last bin is ranked, so no task sorts a class.
+    """
+    rows = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))).withColumn("__bin", F.substring("__h", 1, 4))
+    counts = rows.groupBy(label, "__bin").agg(F.count(F.lit(1)).alias("__m"))
+    least = counts.groupBy(label).agg(F.sum("__m").alias("n")).agg(F.min("n")).scalar()
+    before = F.coalesce(F.sum("__m").over(Window.partitionBy(label).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("__before", before).withColumn("__n", least).filter(F.col("__before") < F.col("__n"))
+    last = last.groupBy(label).agg(F.max(F.struct("__bin", F.col("__n") - F.col("__before"))).alias("__last"))
+    last = last.select(F.col(label).alias("__label"), F.col("__last.__bin").alias("__end"), F.col("__last.col2").alias("__left"))
+    marked = rows.join(F.broadcast(last), F.col(label).eqNullSafe(F.col("__label"))).filter(F.col("__bin") <= F.col("__end"))
+    whole = marked.filter(F.col("__bin") < F.col("__end")).select(*df.columns)
+    part = marked.filter(F.col("__bin") == F.col("__end")).withColumn("__k", F.row_number().over(Window.partitionBy(label).orderBy("__h", key)))
+    return whole.unionByName(part.filter(F.col("__k") <= F.col("__left")).select(*df.columns))
+
+
+#: Tasks that the rows of one key are spread over.
+SPREAD = 8
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread: int = 1) -> DataFrame:
+    """Left join with a table of unique keys, whose keys both sides name alike.
+
+    Rows without a whole key match nothing, and are dealt out by a hash of the row. Rows of one key are spread over
+    ``spread`` tasks, for which the looked-up table is repeated; so no task gets all rows of a hot or missing key.
+    """
+    row = F.xxhash64(*left.columns)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    salted = left.withColumn("__salt", F.when(whole, F.pmod(row, F.lit(spread))).otherwise(row))
+    # Not a literal, which would be taken out of the join's keys.
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))) if spread > 1 else F.xxhash64(*on).bitwiseAND(F.lit(0)))
+    return salted.join(copies, [*on, "__salt"], "left").select(*left.columns, *[c for c in right.columns if c not in on])
 
 
 def remaining(todo: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import text as tx
-from .relational import update_join
+from .relational import SPREAD, lookup_join, update_join
 
 #: (lat1, lon1, lat2, lon2, profile) to a DataFrame with dist_km and time_min added.
 RouteProvider = Callable[[DataFrame], DataFrame]
@@ -47,7 +47,7 @@ def with_routes(df: DataFrame, ends: tuple[str, str, str, str], mode: str, provi
     keyed = df.withColumns(dict(zip(KEY, [*[F.round(F.col(e), 4) for e in ends], F.col(mode)], strict=True)))
     once = keyed.filter(" and ".join(f"{k} is not null" for k in KEY)).groupBy(*KEY).agg(F.min(F.struct(*[F.col(e).alias(n) for e, n in zip(ends, ("lat1", "lon1", "lat2", "lon2"), strict=True)])).alias("e"))
     routes = provider(once.select(*KEY, "e.*", geo.profile(F.col("k_mode").cast("string")).alias("profile"))).select(*KEY, "dist_km", "time_min")
-    return keyed.join(routes, KEY, "left").drop(*KEY)
+    return lookup_join(keyed, routes, KEY).drop(*KEY)
 
 
 def _score(c: Column) -> Column:
@@ -65,8 +65,7 @@ def det_repair(df: DataFrame, lookup: DataFrame, provider: RouteProvider = haver
     found = lambda t, p: lookup.select(F.col("text").alias(f"__{p}_text"), F.col("lat").alias(f"__{p}_lat"), F.col("lon").alias(f"__{p}_lon"), F.col("precision").alias(f"__{p}_score"))
     out = df.filter(hard)
     for t, p in ((start_text, "s"), (end_text, "e")):
-        hits = found(t, p)
-        out = out.join(hits, bad & (F.col(t) == F.col(f"__{p}_text")), "left")
+        out = lookup_join(out.withColumn(f"__{p}_text", F.when(bad, F.col(t))), found(t, p), [f"__{p}_text"], SPREAD)
     s, e = F.col("__s_score").isNotNull(), F.col("__e_score").isNotNull()
     skip = ~bad & zero
     recalc = ~skip & (s | e | fast)

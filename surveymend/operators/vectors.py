@@ -36,12 +36,13 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, k: int = 1) -> DataFrame:
     """(query_id, vec_id, score): the exact k nearest by inner product of (query_id, v) among (vec_id, v), ties to smaller ids.
 
     Both sides are cut into blocks that meet by key, block by block, as matrix products in Arrow batches; each pair of
-    blocks leaves k rows a query, so neither side is ever held whole. Embeddings of both sides come from one model.
+    blocks leaves k rows a query, so neither side is ever held whole. Every query is compared with every row: that is what
+    exact means here, and work grows with the product of both sides. Embeddings of both sides come from one model.
     """
+    count = lambda df: max(1, -(-df.count() // BLOCK))
 
-    def blocks(df: DataFrame, name: str, key: str) -> DataFrame:
-        n = df.count()
-        of = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // BLOCK)))).cast("int")
+    def blocks(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        of = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
         return df.select(of.alias(name), F.col(key).alias("id"), F.col("v").cast("array<double>").alias("v")).groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vs"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,9 +55,9 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, k: int = 1) -> DataFrame:
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row["q_ids"], top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query_id", "vec_id", "score"])
 
-    r = blocks(rows, "r", "vec_id")
-    numbers = [x[0] for x in r.select("r").collect()]
-    q = blocks(queries, "q", "query_id").withColumn("r", F.explode(F.array(*[F.lit(n) for n in numbers]) if numbers else F.array().cast("array<int>")))
+    n = count(rows)
+    r = blocks(rows, "r", "vec_id", n)
+    q = blocks(queries, "q", "query_id", count(queries)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     found = q.join(r, "r").mapInArrow(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank") if k > 1 else found.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("m"))).alias("b")).select("query_id", (-F.col("b.m")).alias("vec_id"), "b.score")
