@@ -40,7 +40,7 @@ NODE = 16
 #: Parts of the blocks of popular shingles while partners are chosen.
 PARTS = 64
 #: Documents of either side of a cell of a large block: bounds what a task holds.
-CELL = 1024
+CELL = 384
 #: Pairs that a task remembers before it starts anew.
 SEEN_PAIRS = 500_000
 #: Ids of copies that are broadcast at most: 4 MB.
