@@ -18,6 +18,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,8 +184,24 @@ def pieces(path: str) -> Pieces:
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+#: Characters of texts whose units are told apart and learned at once; a longer text is on its own.
+GROUP_CHARS = 1 << 18
+
+
 def _texts(batch: pa.RecordBatch, p: Pieces) -> Iterator[tuple[bytes, str]]:
-    texts = [t or "" for t in batch.column("text").to_pylist()]
+    group: list[str] = []
+    size = 0
+    for t in batch.column("text"):
+        t = t.as_py() or ""
+        if group and size + len(t) > GROUP_CHARS:
+            yield from _group(group, p)
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    yield from _group(group, p)
+
+
+def _group(texts: list[str], p: Pieces) -> Iterator[tuple[bytes, str]]:
     units: list[list[str] | None] = [None] * len(texts)
     if p.own:
         fresh: set[str] = set()
@@ -211,15 +228,17 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     docs = docs.drop("ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         p = pieces(model or model_path())
+        begin, end = p.begin.to_bytes(4, "little"), p.end.to_bytes(4, "little")
         for batch in batches:
             ids, said = [], []
             for b, t in _texts(batch, p):
-                ids.append([p.begin, *np.frombuffer(b, "<u4").tolist(), p.end])
+                ids.append(begin + b + end)
                 said.append(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.string())], names=[*batch.schema.names, "ids", "decoded"])
+            at = np.cumsum([0, *[len(b) // 4 for b in ids]])
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(said, pa.string())], names=[*batch.schema.names, "ids", "decoded"])
 
     return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
 
