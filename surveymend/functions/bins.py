@@ -35,6 +35,10 @@ INF = float("inf")
 BIAS_EDGES = [-INF, -0.2, -0.05, 0.05, 0.2, 0.5, INF]
 BIAS_LABELS = ["Under (-20%+)", "Slight Under", "Accurate (+/-5%)", "Slight Over", "Over (+20-50%)", "Extreme (+50%+)"]
 ERROR_EDGES, ERROR_LABELS = [-0.1, 0.5, 2.0, 5.0, INF], ["Exact", "Close", "Off", "Far"]
+# Classes of absolute errors in km and minutes, and names of the modes that are compared.
+KM_EDGES, KM_LABELS = [-0.1, 0.5, 2.0, 5.0, 9999.0], ["Negligible (<0.5km)", "Small (0.5-2km)", "Moderate (2-5km)", "Large (>5km)"]
+MINUTE_EDGES, MINUTE_LABELS = [-0.1, 2.0, 5.0, 10.0, 9999.0], ["Negligible (<2m)", "Small (2-5m)", "Moderate (5-10m)", "Large (>10m)"]
+MODES = {1: "Walk", 2: "Bicycle", 11: "Car/Van", 12: "Car/Van"}
 
 
 def percent_error(reported: Column, system: Column) -> Column:

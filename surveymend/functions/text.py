@@ -126,3 +126,25 @@ def address_line(street: Column, number: Column, postcode: Column, town: Column)
 def mode_label(mode: Column, other: str | None = "Other", unknown: str | None = "Unknown") -> Column:
     m = mode.try_cast("double").cast("int")
     return F.when(m.isNull(), F.lit(unknown)).when(m == 1, "Walk").when(m == 2, "Bike").when(m.between(3, 25), "Car").otherwise(F.lit(other))
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many decimals, its exact binary value rounded, ties to even, as Python and C render it.
+
+    The nearest two decimals lie around a middle; where the number equals the double next to the middle, the exact
+    remainder of that double, by products of its halves, tells the side.
+    """
+    x = x.cast("double")
+    scale = 10**places
+    a = F.abs(x)
+    low = F.floor(a * F.lit(float(scale)))
+    odd = (2 * low + 1).cast("double")
+    middle = odd / F.lit(2.0 * scale)
+    split = middle * F.lit(134217729.0)
+    high = split - (split - middle)
+    off = (high * F.lit(2.0 * scale) - odd) + (middle - high) * F.lit(2.0 * scale)
+    up = F.when(a != middle, a > middle).when(off != 0, off > 0).otherwise(low % 2 == 1)
+    n = low + up.cast("long")
+    whole = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / scale).cast("string") if places else n.cast("string"))
+    out = F.concat(whole, F.lit("."), F.lpad((n % scale).cast("string"), places, "0")) if places else whole
+    return F.when(F.isnan(x), "nan").when(a == F.lit(float("inf")), F.when(x < 0, "-inf").otherwise("inf")).when(a < 2.0**53 / scale, out).otherwise(F.format_string(f"%.{places}f", x))

@@ -1,4 +1,4 @@
-"""Training records, prompts and token arrays as column expressions. Numbers are rendered half up (``format_string``)."""
+"""Training records, prompts and token arrays as column expressions. Numbers are rounded as Python renders them."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ RAG_INSTRUCTION = (
     "Otherwise, check speed/distance logic."
 )
 FINE = "The reported metrics are consistent with the transport mode and system calculations."
-SPEEDING = "Speed is unrealistic. %.0f km/h is too fast for mode '%s'."
+SPEEDING = ("Speed is unrealistic. ", " km/h is too fast for mode '", "'.")
 MISPLACED = "Coordinate mismatch. The geocoded location is inconsistent with the address."
 NOWHERE, GENERAL = "Zero distance error.", "General data inconsistency detected."
 
@@ -33,7 +33,7 @@ def body(start: Column, end: Column) -> Column:
     return F.concat(
         F.format_string("Trip Mode: %s (Code %s)\n", tx.mode_label(mode.cast("string")), F.coalesce(mode.cast("string"), F.lit("nan"))),
         F.concat(F.lit("From: "), start, F.lit("\nTo: "), end, F.lit("\nUser Reported: "), km.cast("string"), F.lit(" km in "), minutes.cast("string"), F.lit(" min ")),
-        F.format_string("(Calculated Speed: %.1f km/h)\nSystem Calculated Distance: %.1f km\nDiscrepancy: %.1f km difference.", kmh, system, F.abs(km - system)),
+        F.concat(F.lit("(Calculated Speed: "), tx.fixed(kmh, 1), F.lit(" km/h)\nSystem Calculated Distance: "), tx.fixed(system, 1), F.lit(" km\nDiscrepancy: "), tx.fixed(F.abs(km - system), 1), F.lit(" km difference.")),
     )
 
 
@@ -42,7 +42,7 @@ def training_entry(df: DataFrame) -> DataFrame:
     _, _, _, kmh = _numbers()
     said = F.concat_ws(
         " ",
-        F.when(F.col("flag_speed_bad"), F.format_string(SPEEDING, kmh, tx.mode_label(F.col("transportmiddel").cast("string")))),
+        F.when(F.col("flag_speed_bad"), F.concat(F.lit(SPEEDING[0]), tx.fixed(kmh, 0), F.lit(SPEEDING[1]), tx.mode_label(F.col("transportmiddel").cast("string")), F.lit(SPEEDING[2]))),
         F.when(F.col("flag_coords_bad"), F.lit(MISPLACED)),
         F.when(F.col("flag_zero_dist"), F.lit(NOWHERE)),
     )
@@ -65,9 +65,10 @@ def rag_prompt(df: DataFrame, out: str = "rag_prompt_text") -> DataFrame:
     """Add the prompt with each end's matched address, confidence and coordinates."""
 
     def place(title: str, text: str, p: str, lat: str, lon: str) -> Column:
+        n = lambda c, places: tx.fixed(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), places)
         return F.concat(
-            F.lit(f"--- {title} LOCATION ---\nUser Input: '"), F.coalesce(F.col(text), F.lit("")), F.lit("'\nVerified Database Match: '"), F.coalesce(F.col(f"{p}_text"), F.lit("")),
-            F.format_string("' (Confidence: %.2f)\nVerified Coords: (%.4f, %.4f)\nSystem Used Coords: (%.4f, %.4f)\n", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (f"{p}_score", f"{p}_lat", f"{p}_lon", lat, lon)]),
+            F.lit(f"--- {title} LOCATION ---\nUser Input: '"), F.coalesce(F.col(text), F.lit("")), F.lit("'\nVerified Database Match: '"), F.coalesce(F.col(f"{p}_text"), F.lit("")), F.lit("' (Confidence: "), n(f"{p}_score", 2),
+            F.lit(")\nVerified Coords: ("), n(f"{p}_lat", 4), F.lit(", "), n(f"{p}_lon", 4), F.lit(")\nSystem Used Coords: ("), n(lat, 4), F.lit(", "), n(lon, 4), F.lit(")\n"),
         )
 
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))

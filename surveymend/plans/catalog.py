@@ -467,9 +467,9 @@ def histogram(v: Views) -> DataFrame:
     return rounded(stats.histogram(v.customer, bins.grid(c("c_acctbal"), -1000.0, 10000.0, 11), 1000.0), 9)
 
 
-@query("SELECT x, y, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(least(floor(stagelength_raw / 0.25), 59) AS INTEGER) AS x, CAST(least(floor(corrected_dist_km / 0.5), 39) AS INTEGER) AS y FROM v_det WHERE stagelength_raw BETWEEN 0 AND 15 AND corrected_dist_km BETWEEN 0 AND 20) GROUP BY 1, 2")
+@query("SELECT x, y, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(least(floor(stagelength_raw / 0.25), 59) AS INTEGER) AS x, CAST(least(floor(corrected_dist_km / 0.25), 59) AS INTEGER) AS y FROM v_det WHERE stagelength_raw BETWEEN 0 AND 15 AND corrected_dist_km BETWEEN 0 AND 15) GROUP BY 1, 2")
 def hist2d(v: Views) -> DataFrame:
-    cells = v.det.select(bins.grid(c("stagelength_raw"), 0.0, 15.0, 60).alias("x"), bins.grid(c("corrected_dist_km"), 0.0, 20.0, 40).alias("y")).na.drop()
+    cells = v.det.select(bins.grid(c("stagelength_raw"), 0.0, 15.0, 60).alias("x"), bins.grid(c("corrected_dist_km"), 0.0, 15.0, 60).alias("y")).na.drop()
     return cells.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -735,20 +735,61 @@ def rag_augment(v: Views) -> DataFrame:
 # ---- prompts and tokens
 
 
-@query()
+def _q(text: str) -> str:
+    """A text as SQL, line ends by number."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_LABEL = "CASE WHEN transportmiddel = 1 THEN 'Walk' WHEN transportmiddel = 2 THEN 'Bike' WHEN transportmiddel BETWEEN 3 AND 25 THEN 'Car' ELSE 'Other' END"
+_STATED = f"SELECT *, CAST(stagelength_raw AS DOUBLE) AS km, CAST(stagedurationmin_raw AS DOUBLE) AS minutes, coalesce(calc_dist_geo, 0) AS system, CASE WHEN stagedurationmin_raw > 0 THEN CAST(stagelength_raw AS DOUBLE) / (CAST(stagedurationmin_raw AS DOUBLE) / 60) ELSE 0 END AS kmh, {_LABEL} AS mode FROM ({_VALIDATED})"
+
+
+def _body(start: str, end: str) -> str:
+    return (
+        f"concat('Trip Mode: ', mode, ' (Code ', CAST(transportmiddel AS VARCHAR), ')', chr(10), 'From: ', {start}, chr(10), 'To: ', {end}, chr(10), 'User Reported: ', CAST(km AS VARCHAR), ' km in ', CAST(minutes AS VARCHAR), ' min ', "
+        "printf('(Calculated Speed: %.1f km/h)', kmh), chr(10), printf('System Calculated Distance: %.1f km', system), chr(10), printf('Discrepancy: %.1f km difference.', abs(km - system)))"
+    )
+
+
+_SAID = f"concat_ws(' ', CASE WHEN flag_speed_bad THEN concat(printf('Speed is unrealistic. %.0f km/h', kmh), ' is too fast for mode ', chr(39), mode, chr(39), '.') END, CASE WHEN flag_coords_bad THEN {_q(prompts.MISPLACED)} END, CASE WHEN flag_zero_dist THEN {_q(prompts.NOWHERE)} END)"
+_ANSWER = "\n\n### Response:\n"
+
+
+@query(
+    f"""SELECT turid, delturnr, {_q(prompts.INSTRUCTION)} AS instruction, {_body("coalesce(startTripText_raw, 'nan')", "coalesce(tiladrtext_raw, 'nan')")} AS input,
+ CASE WHEN validation_status = 'hard_wrong' OR validation_status <> 'trusted' AND said <> '' THEN concat('Verdict: INVALID', chr(10), 'Analysis: ', CASE WHEN said = '' THEN {_q(prompts.GENERAL)} ELSE said END) ELSE concat('Verdict: VALID', chr(10), 'Analysis: ', {_q(prompts.FINE)}) END AS output FROM (SELECT *, {_SAID} AS said FROM ({_STATED}))"""
+)
 def training_entry(v: Views) -> DataFrame:
     return prompts.training_entry(repair.fast_validation(v.geo)).select("turid", "delturnr", "instruction", "input", "output")
 
 
-@query()
+_FRAMED = prompts.FRAME + "\n\n### Instruction:\n" + prompts.INSTRUCTION + "\n\n### Input:\n"
+
+
+@query(f"""SELECT turid, delturnr, concat({_q(_FRAMED)}, {_body("coalesce(startTripText_raw, 'Unknown Start')", "coalesce(tiladrtext_raw, 'Unknown Dest')")}, {_q(_ANSWER)}) AS prompt_text FROM ({_STATED})""")
 def prompt_render(v: Views) -> DataFrame:
     return prompts.prompt(repair.fast_validation(v.geo)).select("turid", "delturnr", "prompt_text")
 
 
-@query()
+def _place(title: str, text: str, lat: str, lon: str) -> str:
+    return (
+        f"'--- {title} LOCATION ---', chr(10), 'User Input: ', chr(39), coalesce({text}, ''), chr(39), chr(10), 'Verified Database Match: ', chr(39), coalesce(tiladrtext_raw, ''), chr(39), printf(' (Confidence: %.2f)', 0.875::DOUBLE), chr(10), "
+        f"printf('Verified Coords: (%.4f, %.4f)', home_lat, home_lon), chr(10), printf('System Used Coords: (%.4f, %.4f)', coalesce({lat}, 0), {lon}), chr(10)"
+    )
+
+
+_RAG_FRAMED = prompts.FRAME + "\n### Instruction:\n" + prompts.RAG_INSTRUCTION + "\n\n### Input:\n"
+
+
+@query(
+    f"""SELECT turid, delturnr, concat({_q(_RAG_FRAMED)}, 'Trip Mode: ', CAST(transportmiddel AS VARCHAR), chr(10), {_place("START", "startTripText_raw", "start_lat", "start_lon")}, {_place("END", "tiladrtext_raw", "til_lat", "til_lon")},
+ '--- METRICS ---', chr(10), 'Reported Dist: ', CAST(CAST(stagelength_raw AS DOUBLE) AS VARCHAR), ' km', chr(10), 'System Calc Dist: ', coalesce(CAST(round(calc_dist_geo, 3) AS VARCHAR), '0'), ' km', {_q(_ANSWER)}) AS rag_prompt_text FROM ({_VALIDATED})"""
+)
 def rag_prompt(v: Views) -> DataFrame:
+    """With distances as a file has them, to a metre."""
     checked = repair.fast_validation(v.geo).withColumns({f"rag_{p}_{k}": e for p in ("start", "end") for k, e in (("text", c("tiladrtext_raw")), ("score", F.lit(0.875)), ("lat", c("home_lat")), ("lon", c("home_lon")))})
-    return prompts.rag_prompt(checked).select("turid", "delturnr", "rag_prompt_text")
+    stored = checked.withColumns({"calc_dist_geo": F.round("calc_dist_geo", 3), "stagelength_raw": c("stagelength_raw").cast("double")})
+    return prompts.rag_prompt(stored).select("turid", "delturnr", "rag_prompt_text")
 
 
 def _ids(v: Views) -> DataFrame:
@@ -773,3 +814,96 @@ def truncate_tokens(v: Views) -> DataFrame:
 def pad_batch(v: Views) -> DataFrame:
     out = prompts.padded(_ids(v), "r", "SessionId")
     return out.select("turid", F.array_join(c("input_ids").cast("array<string>"), ",").alias("input_ids"), F.size("labels").alias("width"))
+
+
+# ---- smaller steps
+
+
+@query("SELECT turid, a_raw, b_raw FROM v_pair")
+def drop_named(v: Views) -> DataFrame:
+    return relational.without(v.pair, lambda name: name.endswith("_mod"))
+
+
+@query("SELECT * FROM (VALUES (0, 'turid'), (1, 'SessionId'), (2, 'validation_status'), (3, 'note'), (4, 'stagelength_raw'), (5, 'stagedurationmin_raw'), (6, 'llm_verdict'), (7, 'answer')) t(place, name)")
+def column_order(v: Views) -> DataFrame:
+    """Common columns first, then extras; one column moved behind another."""
+    det, rag = v.det.select("turid", "validation_status", "note", "stagelength_raw", "SessionId", "stagedurationmin_raw"), v.rag.select("turid", "SessionId", "llm_verdict", "answer")
+    both = det.join(rag, ["turid", "SessionId"]).select(*relational.common_first(det, rag))
+    names = relational.moved(both, "SessionId", "turid").columns
+    return v.spark.createDataFrame(list(enumerate(names)), "place int, name string")
+
+
+@query("SELECT * FROM (VALUES ('SessionId', 'number'), ('corrected_dist_km', 'number'), ('corrected_time_min', 'number'), ('transportmiddel', 'number')) t(name, kind)")
+def comparable_columns(v: Views) -> DataFrame:
+    return v.spark.createDataFrame(list(relational.comparable(v.det, v.rag, ["turid"]).items()), "name string, kind string")
+
+
+@query(f"SELECT turid, a_raw, a_mod, b_raw, b_mod FROM v_pair WHERE {_A3} OR {_B3}")
+def changed_rows(v: Views) -> DataFrame:
+    return relational.changed_rows(v.pair).select("turid", "a_raw", "a_mod", "b_raw", "b_mod")
+
+
+@query("SELECT turid, delturnr, CASE transportmiddel WHEN 1 THEN 'Walk' WHEN 2 THEN 'Bicycle' ELSE 'Car/Van' END AS mode FROM v_stage WHERE transportmiddel IN (1, 2, 11, 12)")
+def named_modes(v: Views) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for kv in bins.MODES.items() for x in kv])
+    return v.stage.filter(c("transportmiddel").isin(*bins.MODES)).select("turid", "delturnr", names[c("transportmiddel").cast("int")].alias("mode"))
+
+
+@query("SELECT CAST(count(DISTINCT SessionId) AS BIGINT) AS sessions, CAST(count(DISTINCT tiladrtext_raw) AS BIGINT) AS places FROM v_trip")
+def nunique(v: Views) -> DataFrame:
+    return v.trip.agg(F.countDistinct("SessionId").alias("sessions"), F.countDistinct("tiladrtext_raw").alias("places"))
+
+
+@query(f"WITH d AS (SELECT SessionId, {_FIXED('validation_status', 'corrected')} AS a FROM v_det GROUP BY 1), r AS (SELECT SessionId, {_FIXED('llm_verdict', 'corrected')} AS b FROM v_rag GROUP BY 1) SELECT CAST(sum(CASE WHEN b > a THEN 1 ELSE 0 END) AS BIGINT) AS more_rag, CAST(sum(CASE WHEN b < a THEN 1 ELSE 0 END) AS BIGINT) AS more_det, CAST(sum(CASE WHEN b = a THEN 1 ELSE 0 END) AS BIGINT) AS equal FROM d JOIN r ON d.SessionId = r.SessionId")
+def comparison_counts(v: Views) -> DataFrame:
+    det = v.det.groupBy("SessionId").agg(F.count_if(c("validation_status") == "corrected").alias("a"))
+    rag = v.rag.groupBy("SessionId").agg(F.count_if(c("llm_verdict") == "corrected").alias("b"))
+    return det.join(rag, "SessionId").agg(F.count_if(c("b") > c("a")).alias("more_rag"), F.count_if(c("b") < c("a")).alias("more_det"), F.count_if(c("b") == c("a")).alias("equal"))
+
+
+@query("SELECT turid, CASE WHEN d <= 0.5 THEN 'Negligible (<0.5km)' WHEN d <= 2 THEN 'Small (0.5-2km)' WHEN d <= 5 THEN 'Moderate (2-5km)' WHEN d > 5 THEN 'Large (>5km)' END AS km, CASE WHEN m <= 2 THEN 'Negligible (<2m)' WHEN m <= 5 THEN 'Small (2-5m)' WHEN m <= 10 THEN 'Moderate (5-10m)' WHEN m > 10 THEN 'Large (>10m)' END AS minutes FROM (SELECT turid, abs(stagelength_raw - corrected_dist_km) AS d, abs(stagedurationmin_raw - corrected_time_min) AS m FROM v_det)")
+def error_classes(v: Views) -> DataFrame:
+    km, minutes = F.abs(c("stagelength_raw") - c("corrected_dist_km")), F.abs(c("stagedurationmin_raw") - c("corrected_time_min"))
+    return v.det.select("turid", bins.cut_right(km, bins.KM_EDGES, bins.KM_LABELS).alias("km"), bins.cut_right(minutes, bins.MINUTE_EDGES, bins.MINUTE_LABELS).alias("minutes"))
+
+
+@query("SELECT CAST(count(*) FILTER (bad) AS BIGINT) AS bad, CAST(count(*) FILTER (bad AND good) AS BIGINT) AS restored, round(count(*) FILTER (bad AND good) * 100.0 / nullif(count(*) FILTER (bad), 0), 6) AS pct FROM (SELECT flag_coords_bad AS bad, rag_start_lat IS NOT NULL AND rag_start_lat <> 0 AS good FROM v_det d JOIN v_rag r ON d.turid = r.turid)")
+def coords_restored(v: Views) -> DataFrame:
+    both = v.det.select("turid", c("flag_coords_bad").alias("bad")).join(v.rag.select("turid", "rag_start_lat"), "turid")
+    good = F.coalesce(c("rag_start_lat") != 0, F.lit(False))
+    return rounded(both.agg(F.count_if("bad").alias("bad"), F.count_if(c("bad") & good).alias("restored"), stats.rate(c("bad") & good, c("bad")).alias("pct")))
+
+
+@query("SELECT row_id, lower(vejnavn) AS vejnavn_norm, concat(vejnavn, ' ', husnr, ', ', postnr, ' ', postnrnavn) AS line FROM v_registry WHERE row_id % 7 <> 0 AND row_id % 11 <> 0")
+def indexable_rows(v: Views) -> DataFrame:
+    """Of rows of which some lack a coordinate, those with a line and both, with the columns derived for chunks."""
+    gaps = v.registry.withColumns({"lat": F.when(c("row_id") % 7 != 0, c("lat")), "lon": F.when(c("row_id") % 11 != 0, c("lon"))})
+    return files.with_line(gaps).na.drop(subset=["line", "lat", "lon"]).select("row_id", "vejnavn_norm", "line")
+
+
+@query("SELECT turid, coalesce(a_mod, 0) AS a_mod, coalesce(b_raw, b_mod) AS b FROM v_pair WHERE a_mod IS NOT NULL OR b_raw IS NOT NULL")
+def null_filters(v: Views) -> DataFrame:
+    some = v.pair.filter(c("a_mod").isNotNull() | c("b_raw").isNotNull())
+    return some.na.fill(0, ["a_mod"]).select("turid", "a_mod", F.coalesce("b_raw", "b_mod").alias("b"))
+
+
+@query("SELECT CAST(sum(stagelength_raw) AS DOUBLE) AS total, round(avg(d), 6) AS mean, round(avg(abs(d)), 6) AS mean_abs FROM (SELECT stagelength_raw, stagelength_raw - corrected_dist_km AS d FROM v_det)")
+def sum_and_means(v: Views) -> DataFrame:
+    d = c("stagelength_raw") - c("corrected_dist_km")
+    return rounded(v.det.agg(F.sum("stagelength_raw").alias("total"), F.avg(d).alias("mean"), F.avg(F.abs(d)).alias("mean_abs")))
+
+
+@query("SELECT CAST(floor(x / 20) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(x), 6) AS mean FROM (SELECT least(greatest(l_partkey % 101, l_suppkey % 101), 99) AS x FROM v_note) GROUP BY 1")
+def wide_bins(v: Views) -> DataFrame:
+    x = F.least(F.greatest(c("l_partkey") % 101, c("l_suppkey") % 101), F.lit(99))
+    return rounded(v.note.select(x.alias("x")).groupBy(F.floor(c("x") / 20).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean")))
+
+
+@query("SELECT turid, i - 1 AS place, string_split(startTripText_raw, ' ')[i] AS word FROM (SELECT turid, startTripText_raw, unnest(range(1, len(string_split(startTripText_raw, ' ')) + 1)) AS i FROM v_trip)")
+def positions(v: Views) -> DataFrame:
+    return v.trip.select("turid", F.posexplode(F.split("startTripText_raw", " ")).alias("place", "word")).select("turid", c("place").cast("long").alias("place"), "word")
+
+
+@query("SELECT CAST(turid AS VARCHAR) AS turid, CAST(SessionId AS INTEGER) AS SessionId FROM v_trip")
+def cast_keys(v: Views) -> DataFrame:
+    return v.trip.select(c("turid").cast("string").alias("turid"), c("SessionId").cast("int").alias("SessionId"))

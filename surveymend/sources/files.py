@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, encoding: str = "UTF-8") -> DataFrame:
     """Headered CSV with quoted line ends, in a declared schema; rows that don't parse have nulls."""
@@ -25,6 +28,17 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", by: list[str] |
     (w.partitionBy(*by) if by else w).csv(path)
 
 
+def with_line(registry: DataFrame) -> DataFrame:
+    """Add the folded street name and the address in one line, as chunks have them."""
+    line = tx.address_line(F.col("vejnavn"), F.col("husnr"), F.col("postnr").cast("string"), F.col("postnrnavn"))
+    return registry.withColumns({"vejnavn_norm": tx.fold(F.col("vejnavn")), "line": line})
+
+
+def write_chunks(registry: DataFrame, path: str, code: str = "kommunekode", encoding: str = "UTF-8") -> None:
+    """A folder of CSV for each municipality, with the derived columns."""
+    write_csv(with_line(registry), path, encoding, [code])
+
+
 def through_csv(df: DataFrame, schema: str, encoding: str = "UTF-8") -> DataFrame:
     """Write a table in the shared folder and read it again."""
     spark = df.sparkSession
