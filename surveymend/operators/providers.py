@@ -1,21 +1,27 @@
-"""External services behind plain functions over batches, with deterministic offline doubles.
+"""External services behind plain functions over batches: over HTTP, and as deterministic offline doubles.
 
 A provider is opened once in each task and called with lists, so that connections and models are loaded once. Distinct
-inputs are served once and joined back. Routes have a provider of their own in ``repair``.
+inputs are served once and joined back. Routes have providers of their own: ``http_routes`` here, a double in ``repair``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import urllib.parse
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..session import ship
+from ..sources.rest import FAILURES, get
 
 #: A function that opens a service and returns one from a list of texts to a list of results.
 Provider = Callable[[], Callable[[list[str]], list]]
@@ -83,6 +89,63 @@ def fixed_geocoder(places: dict[str, tuple[float, float]]) -> Provider:
     return lambda: lambda texts: [dict(zip(("lat", "lon"), places[t], strict=True)) if t in places else None for t in texts]
 
 
+def http_geocoder(url: str, missing: str = "error", timeout: float = 10.0) -> Provider:
+    """A geocoder asked over HTTP, by the parameter q: a list of hits with x and y, of which the first counts.
+
+    A text without a hit is an error, or has no coordinates where ``missing`` is null; a failed request is always an error.
+    """
+
+    def opened():
+        def place(text: str) -> dict | None:
+            ask = urllib.parse.urlencode({"q": text, "struktur": "mini"})
+            hits = json.loads(get(f"{url}?{ask}", timeout))
+            if not hits and missing == "error":
+                raise ValueError(f"no place found for {text!r}")
+            return {"lat": float(hits[0]["y"]), "lon": float(hits[0]["x"])} if hits else None
+
+        return lambda texts: [place(t) for t in texts]
+
+    return opened
+
+
+#: Requests to a router that a task has open at once.
+AT_ONCE = 8
+
+
+def http_routes(bases: dict[str, str], timeout: float = 2.0):
+    """A route provider over HTTP, with a service for each profile: km to one decimal, minutes rounded up.
+
+    Missing ends, profiles without a service, timeouts, failures and answers without a route give no route.
+    """
+
+    def route(key: tuple) -> tuple[float | None, int | None]:
+        lat1, lon1, lat2, lon2, profile = key
+        if profile not in bases or any(x is None or math.isnan(x) for x in (lat1, lon1, lat2, lon2)):
+            return None, None
+        try:
+            said = json.loads(get(f"{bases[profile]}/route/v1/driving/{lon1},{lat1};{lon2},{lat2}?overview=false", timeout))
+            if said["code"] != "Ok" or not said["routes"]:
+                return None, None
+            first = said["routes"][0]
+            return round(first["distance"] / 1000, 1), math.ceil(first["duration"] / 60)
+        except (*FAILURES, KeyError, TypeError, ValueError):
+            return None, None
+
+    def provide(keys: DataFrame) -> DataFrame:
+        ship(keys.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                for batch in batches:
+                    asked = zip(*(batch.column(c).to_pylist() for c in ("lat1", "lon1", "lat2", "lon2", "profile")), strict=True)
+                    found = list(pool.map(route, asked))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64())], names=[*batch.schema.names, "dist_km", "time_min"])
+
+        return keys.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("dist_km", T.DoubleType()), T.StructField("time_min", T.LongType())]))
+
+    return provide
+
+
 def geocode(df: DataFrame, column: str, provider: Provider, out: str = "place") -> DataFrame:
     """Add a struct of lat and lon; null where the service finds nothing."""
     return served(df, column, out, "struct<lat:double,lon:double>", provider)

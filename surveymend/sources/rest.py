@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import http.client
 import json
+import sys
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+T = TypeVar("T")
 
-def fetch(url: str, retries: int = 4, backoff: float = 2.0, timeout: float = 30.0, sleep: Callable[[float], None] = time.sleep):
-    """An open response; waits backoff * 2**k seconds between attempts, and raises after the last."""
-    for k in range(retries):
+
+#: What a failed request raises: refused, timed out, a status of failure, broken off, or not what was asked for.
+FAILURES = (urllib.error.URLError, OSError, http.client.HTTPException, json.JSONDecodeError)
+
+
+def retried(ask: Callable[[], T], retries: int = 4, backoff: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> T:
+    """What ``ask`` returns; it is asked again after each failure, at most ``retries`` times, backoff * 2**k seconds later."""
+    for k in range(retries + 1):
         try:
-            return urllib.request.urlopen(url, timeout=timeout)  # noqa: S310
-        except (urllib.error.URLError, OSError):
-            if k == retries - 1:
+            return ask()
+        except FAILURES:
+            if k == retries:
                 raise
             sleep(backoff * 2**k)
-    raise ValueError("retries must be positive")
+    raise ValueError("retries must not be negative")
+
+
+def get(url: str, timeout: float = 30.0) -> bytes:
+    """A whole response; one that breaks off before its end is a failure."""
+    with urllib.request.urlopen(url, timeout=timeout) as r:  # noqa: S310
+        return r.read()
 
 
 class CodePartition(InputPartition):
@@ -36,27 +51,30 @@ class AddressReader(DataSourceReader):
     def partitions(self) -> list[CodePartition]:
         if "codes" in self.options:
             return [CodePartition(c.strip().zfill(4)) for c in self.options["codes"].split(",") if c.strip()]
-        with fetch(self.options["listUrl"], int(self.options.get("retries", "4")), float(self.options.get("backoff", "2"))) as r:
-            return [CodePartition(str(x[self.options.get("codeField", "kode")]).zfill(4)) for x in json.load(r)]
+        codes = self._asked(self.options["listUrl"], json.loads)
+        return [CodePartition(str(x[self.options.get("codeField", "kode")]).zfill(4)) for x in codes]
+
+    def _asked(self, url: str, parse: Callable[[bytes], T]) -> T:
+        timeout = float(self.options.get("timeout", "180"))
+        return retried(lambda: parse(get(url, timeout)), int(self.options.get("retries", "4")), float(self.options.get("backoff", "2")))
 
     def read(self, partition: CodePartition) -> Iterator[tuple]:
-        """Rows of one code. The whole response is read before a row leaves, so a retry can't repeat rows; a failure ends the task unless onError is skip."""
-        url = self.options["url"].replace("{code}", partition.code)
-        rows: list[tuple] = []
+        """Rows of one code. A row leaves only once the whole response is read, so a retry can't repeat rows and a broken one
+        leaves none; a failure ends the task, or, where onError is skip, is told on standard error and gives no rows."""
+        parse = lambda body: [json.loads(line) for line in body.splitlines() if line.strip()]
         try:
-            with fetch(url, int(self.options.get("retries", "4")), float(self.options.get("backoff", "2"))) as r:
-                for line in r:
-                    if line.strip():
-                        x = json.loads(line)
-                        rows.append(tuple(None if x.get(n) is None else str(x[n]) for n in self.names))
-        except (urllib.error.URLError, OSError):
+            found = self._asked(self.options["url"].replace("{code}", partition.code), parse)
+        except FAILURES as e:
             if self.options.get("onError", "fail") != "skip":
                 raise
-        yield from rows
+            print(f"addresses of {partition.code} are left out: {e}", file=sys.stderr)
+            return
+        for x in found:
+            yield tuple(None if x.get(n) is None else str(x[n]) for n in self.names)
 
 
 class AddressSource(DataSource):
-    """Format ``addresses``; options: url with {code}, listUrl or codes, codeField, retries, backoff, onError."""
+    """Format ``addresses``; options: url with {code}, listUrl or codes, codeField, retries, backoff, timeout, onError."""
 
     @classmethod
     def name(cls) -> str:
