@@ -22,6 +22,7 @@ def local_session(name: str = "surveymend", cpus: str = "8", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "surveymend-warehouse"))
         .getOrCreate()
     )
