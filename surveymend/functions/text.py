@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -128,23 +129,33 @@ def mode_label(mode: Column, other: str | None = "Other", unknown: str | None =
     return F.when(m.isNull(), F.lit(unknown)).when(m == 1, "Walk").when(m == 2, "Bike").when(m.between(3, 25), "Car").otherwise(F.lit(other))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; outside generated code, which stays small enough to be compiled."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fixed(x: Column, places: int) -> Column:
     """A number with so many decimals, its exact binary value rounded, ties to even, as Python and C render it.
 
     The nearest two decimals lie around a middle; where the number equals the double next to the middle, the exact
     remainder of that double, by products of its halves, tells the side.
     """
-    x = x.cast("double")
     scale = 10**places
-    a = F.abs(x)
-    low = F.floor(a * F.lit(float(scale)))
-    odd = (2 * low + 1).cast("double")
-    middle = odd / F.lit(2.0 * scale)
-    split = middle * F.lit(134217729.0)
-    high = split - (split - middle)
-    off = (high * F.lit(2.0 * scale) - odd) + (middle - high) * F.lit(2.0 * scale)
-    up = F.when(a != middle, a > middle).when(off != 0, off > 0).otherwise(low % 2 == 1)
-    n = low + up.cast("long")
-    whole = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / scale).cast("string") if places else n.cast("string"))
-    out = F.concat(whole, F.lit("."), F.lpad((n % scale).cast("string"), places, "0")) if places else whole
-    return F.when(F.isnan(x), "nan").when(a == F.lit(float("inf")), F.when(x < 0, "-inf").otherwise("inf")).when(a < 2.0**53 / scale, out).otherwise(F.format_string(f"%.{places}f", x))
+
+    def off(middle: Column, odd: Column) -> Column:
+        split = middle * F.lit(134217729.0)
+        return _once(split - (split - middle), lambda high: (high * F.lit(2.0 * scale) - odd) + (middle - high) * F.lit(2.0 * scale))
+
+    def whole(a: Column, low: Column) -> Column:
+        odd = (2 * low + 1).cast("double")
+        tie = lambda middle: _once(off(middle, odd), lambda d: F.when(d != 0, d > 0).otherwise(low % 2 == 1))
+        up = _once(odd / F.lit(2.0 * scale), lambda middle: F.when(a != middle, a > middle).otherwise(tie(middle)))
+        return low + up.cast("long")
+
+    def written(x: Column) -> Column:
+        sign = F.when(x < 0, "-").otherwise("")
+        n = _once(F.abs(x), lambda a: _once(F.floor(a * F.lit(float(scale))), lambda low: whole(a, low)))
+        text = _once(n, lambda n: F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0"))) if places else n.cast("string")
+        return F.when(F.isnan(x), "nan").when(F.abs(x) == F.lit(float("inf")), F.concat(sign, F.lit("inf"))).when(F.abs(x) < 2.0**53 / scale, F.concat(sign, text)).otherwise(F.format_string(f"%.{places}f", x))
+
+    return _once(x.cast("double"), written)

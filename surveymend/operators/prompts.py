@@ -21,44 +21,48 @@ MISPLACED = "Coordinate mismatch. The geocoded location is inconsistent with the
 NOWHERE, GENERAL = "Zero distance error.", "General data inconsistency detected."
 
 
-def _numbers() -> tuple[Column, Column, Column, Column]:
+_STATED = ["__km", "__minutes", "__kmh", "__kmh1", "__kmh0", "__system1", "__gap1"]
+
+
+def _stated(df: DataFrame) -> DataFrame:
+    """Add the numbers that prompts tell, and how they are written; each in a column, so that it is computed once."""
     km, minutes, system = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("stagelength_raw", "stagedurationmin_raw", "calc_dist_geo"))
-    return km, minutes, system, F.when(minutes > 0, km / (minutes / 60)).otherwise(F.lit(0.0))
+    out = df.withColumns({"__km": km, "__minutes": minutes, "__system": system})
+    out = out.withColumns({"__kmh": F.when(F.col("__minutes") > 0, F.col("__km") / (F.col("__minutes") / 60)).otherwise(F.lit(0.0)), "__gap": F.abs(F.col("__km") - F.col("__system"))})
+    return out.withColumns({"__kmh1": tx.fixed(F.col("__kmh"), 1), "__kmh0": tx.fixed(F.col("__kmh"), 0), "__system1": tx.fixed(F.col("__system"), 1), "__gap1": tx.fixed(F.col("__gap"), 1)}).drop("__system", "__gap")
 
 
-def body(start: Column, end: Column) -> Column:
-    """The description of a trip that training and inference share."""
-    km, minutes, system, kmh = _numbers()
+def _body(start: Column, end: Column) -> Column:
+    """The description of a trip that training and inference share, of columns that ``_stated`` adds."""
     mode = F.col("transportmiddel")
     return F.concat(
-        F.format_string("Trip Mode: %s (Code %s)\n", tx.mode_label(mode.cast("string")), F.coalesce(mode.cast("string"), F.lit("nan"))),
-        F.concat(F.lit("From: "), start, F.lit("\nTo: "), end, F.lit("\nUser Reported: "), km.cast("string"), F.lit(" km in "), minutes.cast("string"), F.lit(" min ")),
-        F.concat(F.lit("(Calculated Speed: "), tx.fixed(kmh, 1), F.lit(" km/h)\nSystem Calculated Distance: "), tx.fixed(system, 1), F.lit(" km\nDiscrepancy: "), tx.fixed(F.abs(km - system), 1), F.lit(" km difference.")),
-    )
+        F.lit("Trip Mode: "), tx.mode_label(mode.cast("string")), F.lit(" (Code "), F.coalesce(mode.cast("string"), F.lit("nan")), F.lit(")\n"),
+        F.lit("From: "), start, F.lit("\nTo: "), end, F.lit("\nUser Reported: "), F.col("__km").cast("string"), F.lit(" km in "), F.col("__minutes").cast("string"), F.lit(" min "),
+        F.lit("(Calculated Speed: "), F.col("__kmh1"), F.lit(" km/h)\nSystem Calculated Distance: "), F.col("__system1"), F.lit(" km\nDiscrepancy: "), F.col("__gap1"), F.lit(" km difference."),
+    )
 
 
 def training_entry(df: DataFrame) -> DataFrame:
     """Add instruction, input and output; the label follows validation_status, whatever the flags say."""
-    _, _, _, kmh = _numbers()
     said = F.concat_ws(
         " ",
-        F.when(F.col("flag_speed_bad"), F.concat(F.lit(SPEEDING[0]), tx.fixed(kmh, 0), F.lit(SPEEDING[1]), tx.mode_label(F.col("transportmiddel").cast("string")), F.lit(SPEEDING[2]))),
+        F.when(F.col("flag_speed_bad"), F.concat(F.lit(SPEEDING[0]), F.col("__kmh0"), F.lit(SPEEDING[1]), tx.mode_label(F.col("transportmiddel").cast("string")), F.lit(SPEEDING[2]))),
         F.when(F.col("flag_coords_bad"), F.lit(MISPLACED)),
         F.when(F.col("flag_zero_dist"), F.lit(NOWHERE)),
     )
-    wrong = (F.col("validation_status") == "hard_wrong") | ((F.col("validation_status") != "trusted") & (said != ""))
+    wrong = (F.col("validation_status") == "hard_wrong") | ((F.col("validation_status") != "trusted") & (F.col("__said") != ""))
     text = lambda c: F.coalesce(F.col(c), F.lit("nan"))
-    return df.withColumns({
+    return _stated(df).withColumn("__said", said).withColumns({
         "instruction": F.lit(INSTRUCTION),
-        "input": body(text("startTripText_raw"), text("tiladrtext_raw")),
-        "output": F.when(wrong, F.concat(F.lit("Verdict: INVALID\nAnalysis: "), F.when(said == "", GENERAL).otherwise(said))).otherwise(f"Verdict: VALID\nAnalysis: {FINE}"),
-    })
+        "input": _body(text("startTripText_raw"), text("tiladrtext_raw")),
+        "output": F.when(wrong, F.concat(F.lit("Verdict: INVALID\nAnalysis: "), F.when(F.col("__said") == "", GENERAL).otherwise(F.col("__said")))).otherwise(f"Verdict: VALID\nAnalysis: {FINE}"),
+    }).drop(*_STATED, "__said")
 
 
 def prompt(df: DataFrame, out: str = "prompt_text") -> DataFrame:
     """Add the prompt for inference; missing texts have names of their own."""
-    told = body(F.coalesce("startTripText_raw", F.lit("Unknown Start")), F.coalesce("tiladrtext_raw", F.lit("Unknown Dest")))
-    return df.withColumn(out, F.concat(F.lit(f"{FRAME}\n\n### Instruction:\n{INSTRUCTION}\n\n### Input:\n"), told, F.lit("\n\n### Response:\n")))
+    told = _body(F.coalesce("startTripText_raw", F.lit("Unknown Start")), F.coalesce("tiladrtext_raw", F.lit("Unknown Dest")))
+    return _stated(df).withColumn(out, F.concat(F.lit(f"{FRAME}\n\n### Instruction:\n{INSTRUCTION}\n\n### Input:\n"), told, F.lit("\n\n### Response:\n"))).drop(*_STATED)
 
 
 def rag_prompt(df: DataFrame, out: str = "rag_prompt_text") -> DataFrame:
