@@ -37,7 +37,7 @@ CURVES, DIRECTIONS, BITS = 2, 16, 2
 #: The recall that windows are chosen for; what it comes to, and what it costs, is in the README.
 EXPECTED = 0.94
 #: Rows of a range in small tables, and ranges of a curve in large ones.
-RANGE_ROWS, RANGES = 10, 1024
+RANGE_ROWS, RANGES = 8, 1024
 #: Vectors whose keys place the ranges' borders: a bounded sample, the first by a hash of the id.
 SAMPLE = 65_536
 #: Rows of a curve that a task holds, and queries that it compares with them at once.

@@ -54,11 +54,11 @@ def test_blocks_and_parts_change_nothing(spark, monkeypatch):
     whole = found(frame(spark, x))
     assert len(whole) == 75 * 20
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 100)
-    assert neighbours.blocks_of(1500, 150) == (15, 1)
+    assert neighbours.blocks_of(1500, 187) == (15, 1)
     assert found(frame(spark, x)) == whole
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 4)
     monkeypatch.setattr(neighbours, "STEP", 7)
-    assert neighbours.blocks_of(1500, 150) == (150, 3)
+    assert neighbours.blocks_of(1500, 187) == (187, 3)
     assert found(frame(spark, x)) == whole
 
 
