@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import ship
+from .relational import few
 
 CUTOFF, TOP_STREETS, TOP_OUTPUT = 72.0, 50, 100
 #: Towns whose name after four digits speaks for a postcode (fixed values).
@@ -241,10 +242,10 @@ def blocked_streets(queries: DataFrame, registry: DataFrame, scorer=weighted_rat
     schema = "q_norm string, block string, street_norm string, street_score double"
 
     def search(asked: DataFrame, streets: DataFrame) -> DataFrame:
-        sizes = streets.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        sizes = few(streets.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
         number = F.pmod(F.xxhash64("street_norm"), F.col("parts")).cast("int").alias("part")
-        parts = streets.join(F.broadcast(sizes), "block").select("block", "street_norm", number).groupBy("block", "part").agg(F.collect_list("street_norm").alias("names"))
-        each = asked.join(F.broadcast(sizes), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        parts = streets.join(sizes, "block").select("block", "street_norm", number).groupBy("block", "part").agg(F.collect_list("street_norm").alias("names"))
+        each = asked.join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         found = each.join(parts, ["block", "part"]).select("q_norm", "block", "part", "names").mapInPandas(_scored(scorer, cutoff, top), schema)
         best = Window.partitionBy("q_norm", "block").orderBy(F.desc("street_score"), "street_norm")
         return found.withColumn("street_rank", F.row_number().over(best)).filter(F.col("street_rank") <= top)

@@ -120,14 +120,19 @@ def balanced_sample(df: DataFrame, label: str, key: str, seed: int = 42) -> Data
     last = counts.withColumn("__before", before).withColumn("__n", least).filter(F.col("__before") < F.col("__n"))
     last = last.groupBy(label).agg(F.max(F.struct("__bin", F.col("__n") - F.col("__before"))).alias("__last"))
     last = last.select(F.col(label).alias("__label"), F.col("__last.__bin").alias("__end"), F.col("__last.col2").alias("__left"))
-    marked = rows.join(F.broadcast(last), F.col(label).eqNullSafe(F.col("__label"))).filter(F.col("__bin") <= F.col("__end"))
+    marked = rows.join(few(last), F.col(label).eqNullSafe(F.col("__label"))).filter(F.col("__bin") <= F.col("__end"))
     whole = marked.filter(F.col("__bin") < F.col("__end")).select(*df.columns)
     part = marked.filter(F.col("__bin") == F.col("__end")).withColumn("__k", F.row_number().over(Window.partitionBy(label).orderBy("__h", key)))
     return whole.unionByName(part.filter(F.col("__k") <= F.col("__left")).select(*df.columns))
 
 
-#: Tasks that the rows of one key are spread over.
-SPREAD = 8
+#: Tasks that the rows of one key are spread over, and rows up to which a small table is broadcast.
+SPREAD, BROADCAST_ROWS = 8, 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Marked for broadcast, if it has few rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread: int = 1) -> DataFrame:

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import few
+
 #: Ranks that an approximate quantile is off by at most: one in so many.
 ACCURACY = 10_000
-#: Groups whose quantile bands are broadcast at most.
-BROADCAST_GROUPS = 100_000
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -53,7 +53,7 @@ def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) ->
         bands, same = F.broadcast(bands), F.lit(True)  # one row
     else:
         known = bands.withColumnsRenamed({k: f"{k}_of" for k in keys})
-        bands = F.broadcast(known) if known.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else known
+        bands = few(known)
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys])
     placed = rows.join(bands, same)
     band = lambda k: F.struct(F.lit(k).alias("k"), F.col("near")[2 * k].alias("low"), F.col("near")[2 * k + 1].alias("high"))
