@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, htmltext, langid, mixing, neighbours, ngram_join, pii, secrets, sentencepieces, toxicity
+from . import alignment, centroids, decontamination, fingerprints, htmltext, langid, mixing, neighbours, ngram_join, pii, secrets, sentencepieces, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.counted(read(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact phrase matches; ``near_passages`` has the proximity matches."""
+    return decontamination.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slack=0).drop("n_near_items")
+
+
+def near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_items", "n_near_items")
+
+
 # What SQL can say of results that it can't state whole: the same operators, without the columns that models make.
 
 
@@ -76,8 +93,8 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    dealt = (op1_secret_scan, op2_source_mix, op3_ngram_join, op4_sentencepiece, op5_neighbours, op6_toxicity, op7_pii, op8_language, op9_main_text, op10_fingerprints)
-    return {f.__name__: f for f in (*dealt, secret_base_spans, mix_targets, pii_base_spans, edited_texts)}
+    dealt = (op1_secret_scan, op2_source_mix, op3_ngram_join, op4_sentencepiece, op5_neighbours, op6_toxicity, op7_pii, op8_language, op9_main_text, op10_fingerprints, op11_alignment, op12_centroids, op13_decontamination)
+    return {f.__name__: f for f in (*dealt, secret_base_spans, mix_targets, pii_base_spans, edited_texts, near_passages)}
 
 
 _JOIN_SQL = r"""
@@ -137,11 +154,43 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(concat(substring(text, 1, n
 """
 
 
+def _centroids_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    """Rounds as tables of (j, c): means from assignments, and assignments from means."""
+    near = lambda c: f"SELECT vec_id, v, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT x.vec_id, x.v, c.j, CAST(list_sum(list_transform(list_zip(x.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x, {c} c) GROUP BY vec_id, v"
+    out = [
+        f"x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor({centroids.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {centroids.DIM} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS j, v AS c FROM (SELECT sha256(concat('{centroids.SEED}:', vec_id)) AS h, v FROM x ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        out += [
+            f"a{r} AS MATERIALIZED ({near(f'c{r}')})",
+            f"m{r} AS MATERIALIZED (SELECT j, list(m ORDER BY i) AS c FROM (SELECT j, i, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM (SELECT j, unnest(range(1, {centroids.DIM + 1})) AS i, unnest(v) AS e FROM a{r}) GROUP BY j, i) GROUP BY j)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c{r}.j, list_transform(coalesce(m{r}.c, c{r}.c), lambda e: CAST(e AS BIGINT)) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.j = m{r}.j)",
+        ]
+    return "WITH " + ",\n".join(out) + f""",
+a AS MATERIALIZED ({near(f"c{rounds}")})
+SELECT vec_id, a.j AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN c{rounds} c ON c.j = a.j"""
+
+
+_LEAKS_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS MATERIALIZED (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda p: array_to_string(w[p:p + 9], ' '))) AS win FROM i WHERE len(w) > 0),
+p AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) AS win FROM d, (SELECT DISTINCT n FROM v)),
+h AS MATERIALIZED (SELECT doc_id, p, p.n, win FROM p WHERE win IN (SELECT win FROM v)),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h JOIN v USING (win)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the join, and of what it can say of others, whose whole results hold learned models, random choices, digests
     of added spans or tokenizer ids."""
     return {
         "op3_ngram_join": _JOIN_SQL.strip(),
+        "op12_centroids": _centroids_sql(),
+        "op13_decontamination": _LEAKS_SQL.strip(),
         "secret_base_spans": _spans_sql(_SECRETS, "a, k"),
         "mix_targets": _MIX_SQL.strip(),
         "pii_base_spans": _spans_sql(_PERSONAL, "k, a"),
