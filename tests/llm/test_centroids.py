@@ -69,7 +69,7 @@ def direct_large(rows, k, rounds, dim):
 
 def test_candidates_are_a_run_of_norms(spark):
     rng = np.random.default_rng(3)
-    c = centroids.Centroids([(rng.normal(size=16) * 400 * 2.0**k).astype(int).tolist() for k in range(32)])
+    c = centroids.Centroids([(rng.normal(size=16) * 400 * 1.3**k).astype(int).tolist() for k in range(32)])
     x = np.concatenate([(np.array(r) + rng.normal(size=(50, 16)) * 20).astype(int) for r in c.rows])
     found, distance = c.nearest(x)
     every = ((x[:, None, :] - c.c) ** 2).sum(axis=2)
