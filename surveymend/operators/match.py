@@ -12,11 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import ship
+from ..session import cut, ship
+from .grams import Names
 from .relational import few
 
 CUTOFF, TOP_STREETS, TOP_OUTPUT = 72.0, 50, 100
@@ -165,93 +167,76 @@ def similarity(df: DataFrame, a: str, b: str, out: str, measure=indel_ratio) ->
     return df.withColumn(out, score(F.col(a), F.col(b)))
 
 
-class Names:
-    """A part of the street names, for a scorer that is ``weighted_ratio``: which of them can reach a cutoff.
+#: Names of a part, queries of a block that one task has, and queries that a part is searched for at once.
+PART, ASKED, AT_ONCE = 2000, 50_000, 256
+_SEARCHED = pa.schema([("q_norm", pa.string()), ("block", pa.string()), ("street_norm", pa.string()), ("street_score", pa.float64())])
 
-    Without a shared token, no measure exceeds what the characters that two texts have in common allow: 200 * common /
-    (both lengths) for the whole texts, and for parts 200 * common / (shorter length + common). Texts that repeat a token
-    are always scored, as measures count it once.
-    """
 
-    def __init__(self, names: list[str]):
-        self.names = names
-        self.size = np.array([len(n) for n in names])
-        self.letters = {c: i for i, c in enumerate(sorted({c for n in names for c in n}))}
-        self.counts = np.zeros((len(names), len(self.letters)), np.int16)
-        self.of_token: dict[str, list[int]] = {}
-        for k, n in enumerate(names):
-            for c in n:
-                self.counts[k, self.letters[c]] += 1
-            for t in set(n.split()):
-                self.of_token.setdefault(t, []).append(k)
-        self.repeats = np.array([len(set(n.split())) < len(n.split()) for n in names])
-
-    def possible(self, q: str, cutoff: float) -> np.ndarray:
-        if len(set(q.split())) < len(q.split()):
-            return np.arange(len(self.names))
-        mine = np.zeros(len(self.letters), np.int16)
-        for c in q:
-            if c in self.letters:
-                mine[self.letters[c]] += 1
-        common = np.minimum(self.counts, mine).sum(axis=1)
-        n, longer = len(q), np.maximum(self.size, len(q)) / np.maximum(np.minimum(self.size, len(q)), 1)
-        whole = 200.0 * common / np.maximum(n + self.size, 1)
-        part = np.where(longer > 8, 0.6, 0.9) * 200.0 * common / np.maximum(np.minimum(n, self.size) + common, 1)
-        keep = np.where(longer < 1.5, whole, np.maximum(whole, part)) >= cutoff - 1e-9
-        keep |= self.repeats
-        for t in set(q.split()):
-            keep[self.of_token.get(t, [])] = True
-        return np.flatnonzero(keep)
-
-
-def _scored(scorer, cutoff: float, top: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Names] = {}
-        for pdf in batches:
-            out = []
-            for q, block, number, names in zip(pdf["q_norm"], pdf["block"], pdf["part"], pdf["names"], strict=True):
-                some = names
-                if scorer is weighted_ratio:
-                    if (block, number) not in held:
-                        if len(held) == 64:
-                            held.clear()
-                        held[block, number] = Names(list(names))
-                    part = held[block, number]
-                    some = [part.names[i] for i in part.possible(q, cutoff)]
-                hits = sorted([(-s, n) for n in some if (s := scorer(q, n)) >= cutoff])[:top]
-                out += [(q, block, n, float(-s)) for s, n in hits]
-            yield pd.DataFrame(out, columns=["q_norm", "block", "street_norm", "street_score"])
+def _search_parts(scorer, cutoff: float, top: int):
+    """Rows arrive by (block, part, slice), names before queries: the best of a part for each query."""
 
-    return run
+    def best(part: Names, block: str, queries: list[str]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(queries), AT_ONCE):
+            asked = queries[lo : lo + AT_ONCE]
+            if scorer is weighted_ratio:
+                who, name = part.pairs(asked, cutoff)
+            else:
+                who, name = np.repeat(np.arange(len(asked)), len(part.names)), np.tile(np.arange(len(part.names)), len(asked))
+            found: dict[int, list] = {}
+            for k, i in zip(who.tolist(), name.tolist(), strict=True):
+                if (score := scorer(asked[k], part.names[i])) >= cutoff:
+                    found.setdefault(k, []).append((-score, part.names[i]))
+            hits = [(asked[k], n, -s) for k, each in found.items() for s, n in sorted(each)[:top]]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.string()), pa.array([block] * len(hits), pa.string()), pa.array([h[1] for h in hits], pa.string()), pa.array([float(h[2]) for h in hits], pa.float64())], schema=_SEARCHED)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, names, part, queries = None, [], None, []
+        for batch in batches:
+            for block, number, slice_, asks, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, number, slice_) != group:
+                    if queries:
+                        yield from best(part, group[0], queries)
+                    group, names, part, queries = (block, number, slice_), [], None, []
+                if not asks:
+                    names.append(text)
+                    continue
+                if part is None:
+                    part = Names(names)
+                queries.append(text)
+                if len(queries) == 16 * AT_ONCE:
+                    yield from best(part, block, queries)
+                    queries = []
+        if queries:
+            yield from best(part, group[0], queries)
 
-#: Names that a query is compared with at once.
-PART = 2000
+    return run
 
 
 def blocked_streets(queries: DataFrame, registry: DataFrame, scorer=weighted_ratio, cutoff: float = CUTOFF, top: int = TOP_STREETS) -> DataFrame:
     """(q_norm, block, street_norm, street_score, street_rank): the best streets of each query's postcode, best first, then by name.
 
-    A query whose postcode is unknown, or has no street above the cutoff, is compared with all streets. Candidates travel
-    as parts of about ``PART`` names, by a hash of the name; a query goes to every part of its block, so that a block's
-    parts are searched by different tasks. Before names are scored, those that can't reach the cutoff are left out by a
-    bound. The parts' best are ranked together.
+    A query whose postcode is unknown, or has no street above the cutoff, is compared with all streets. A block's names are
+    dealt out in parts of about ``PART``, by a hash of the name, and its queries in slices of about ``ASKED``; a part is
+    indexed once (see ``grams``), and only pairs that may reach the cutoff are scored. The parts' best are ranked together.
+    Queries, names and the search by postcode are cut, so that neither is computed for both searches.
     """
     ship(queries.sparkSession)
-    names = registry.select(F.col("postnr").cast("string").alias("block"), tx.fold(F.col("vejnavn")).alias("street_norm")).filter("street_norm <> ''").distinct()
-    schema = "q_norm string, block string, street_norm string, street_score double"
+    names = cut(registry.select(F.col("postnr").cast("string").alias("block"), tx.fold(F.col("vejnavn")).alias("street_norm")).filter("street_norm <> ''").distinct())
 
     def search(asked: DataFrame, streets: DataFrame) -> DataFrame:
-        sizes = few(streets.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
-        number = F.pmod(F.xxhash64("street_norm"), F.col("parts")).cast("int").alias("part")
-        parts = streets.join(sizes, "block").select("block", "street_norm", number).groupBy("block", "part").agg(F.collect_list("street_norm").alias("names"))
-        each = asked.join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        found = each.join(parts, ["block", "part"]).select("q_norm", "block", "part", "names").mapInPandas(_scored(scorer, cutoff, top), schema)
+        many = lambda df, size, name: df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+        sizes = few(cut(many(streets, PART, "parts").join(many(asked, ASKED, "slices"), "block")))
+        number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        parts = streets.join(sizes, "block").select("block", number("street_norm", "parts").alias("part"), every("slices").alias("slice"), F.lit(False).alias("asks"), F.col("street_norm").alias("text"))
+        each = asked.join(sizes, "block").select("block", every("parts").alias("part"), number("q_norm", "slices").alias("slice"), F.lit(True).alias("asks"), F.col("q_norm").alias("text"))
+        dealt = parts.unionByName(each).repartition("block", "part", "slice").sortWithinPartitions("block", "part", "slice", "asks")
+        found = dealt.mapInArrow(_search_parts(scorer, cutoff, top), "q_norm string, block string, street_norm string, street_score double")
         best = Window.partitionBy("q_norm", "block").orderBy(F.desc("street_score"), "street_norm")
         return found.withColumn("street_rank", F.row_number().over(best)).filter(F.col("street_rank") <= top)
 
-    asked = queries.select("q_norm", F.col("postnr").alias("block")).filter("q_norm <> ''").distinct()
-    local = search(asked.filter("block is not null"), names)
+    asked = cut(queries.select("q_norm", F.col("postnr").alias("block")).filter("q_norm <> ''").distinct())
+    local = cut(search(asked.filter("block is not null"), names))
     rest = asked.join(local.select("q_norm", "block").distinct(), (asked["block"].eqNullSafe(local["block"])) & (asked["q_norm"] == local["q_norm"]), "left_anti")
     wide = search(rest.select("q_norm", F.lit("*").alias("block")).distinct(), names.select(F.lit("*").alias("block"), "street_norm").distinct())
     again = rest.withColumnRenamed("block", "own").join(wide.drop("block"), "q_norm").select("q_norm", F.col("own").alias("block"), "street_norm", "street_score", "street_rank")
@@ -285,27 +270,30 @@ def precision(street_match: Column, house_match: Column, post_match: Column, str
     return F.when(s & h & p, 100.0).when(s & p, 90.0).when(s & h, 80.0).when(s, 70.0).when(p, 60.0).otherwise(low)
 
 
-#: Tasks that the queries of one street are spread over, and registry rows of a street that a task holds.
-SLICES, STREET_ROWS = 8, 50_000
-_DEALT = "street_norm string, segment int, slice int, pair boolean, row_id long, postnr string, husnr string, digits long, less double, text string, house string, base double, sure boolean"
+#: Texts that hit a street, and registry rows of a street, that a task holds.
+SLICE_TEXTS, STREET_ROWS = 20_000, 50_000
+_ASKED = ["text", "q_norm", "house", "postnr", "street_score", "street_rank"]
+_DEALT = ["street_norm", "segment", "slice", "pair", "row_id", "post", "husnr", "digits", "less", *_ASKED, "asked_post"]
 
 
 def _best_rows(top: int):
-    """(text, street_norm, row_id): of each text and street the best row of each of the ``top`` best postcodes.
+    """A row for each text and street: the best row of each of the ``top`` best postcodes, as lists of row_id, postcode and score.
 
     A street's rows come before the texts that hit it. No other row of the street can be among a text's best: ``top``
     postcodes have a better one in the same street.
     """
+    lists = [("row_ids", pa.list_(pa.int64())), ("posts", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, by_house, street = None, [], {}, None
         for batch in batches:
-            found: dict[str, list] = {"text": [], "street_norm": [], "row_id": []}
-            for name, segment, slice_, pair, row_id, postnr, husnr, digits, less, text, house, base, sure in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at, found = [], []
+            columns = {c: batch.column(c).to_pylist() for c in _DEALT if c not in ("text", "postnr", "street_rank")}
+            for k, (name, segment, slice_, pair, row_id, post, husnr, digits, less, q_norm, house, score, asked) in enumerate(zip(*columns.values(), strict=True)):
                 if (name, segment, slice_) != group:
                     group, held, by_house, street = (name, segment, slice_), [], {}, None
                 if not pair:
-                    held.append((postnr or "", row_id, husnr, digits, less))
+                    held.append((post, row_id, husnr, digits, less))
                     continue
                 if not held:
                     continue
@@ -314,85 +302,136 @@ def _best_rows(top: int):
                 key = (house, digits)
                 if key not in by_house:
                     by_house[key] = street.by_postcode(house, digits)
-                found["row_id"] += (rows := street.best(by_house[key], base, bool(sure), postnr, top))
-                found["text"] += [text] * len(rows)
-                found["street_norm"] += [name] * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(found["text"], pa.string()), pa.array(found["street_norm"], pa.string()), pa.array(found["row_id"], pa.int64())], names=list(found))
+                at.append(k)
+                found.append(street.best(by_house[key], score, name[:4] == q_norm[:4], asked, top))
+            own = batch.select(["street_norm", *_ASKED, "asked_post"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *(_lists([f[k] for f in found], kind) for k, (_, kind) in enumerate(lists))], names=[*own.schema.names, *(n for n, _ in lists)])
 
     return run
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind.value_type))
+
+
 class _Street:
     """Registry rows of one street as arrays, by postcode and row_id."""
 
     def __init__(self, rows: list[tuple]):
         rows.sort(key=lambda r: r[:2])
-        self.row_id = np.array([r[1] for r in rows])
+        post, self.row_id = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
         self.husnr = np.array([r[2] or "" for r in rows], object)
         self.digits = np.array([np.nan if r[3] is None else r[3] for r in rows])
         self.less = np.array([r[4] for r in rows])
-        posts = [r[0] for r in rows]
-        self.first = np.array([k for k, p in enumerate(posts) if not k or p != posts[k - 1]])
-        self.post = [posts[k] for k in self.first]
+        self.first = np.flatnonzero(np.concatenate([[True], post[1:] != post[:-1]]))
+        self.post = post[self.first]
 
     def by_postcode(self, house: str, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """What the best row of each postcode gets for its number and name, and that row's place."""
-        gain = self.less.copy()
+        """What the best row of each postcode gets for its number, and that row's place."""
+        number = np.zeros(len(self.less))
         if house:
             apart = np.abs(self.digits - (np.nan if digits is None else digits))
-            gain += np.where(self.husnr == house, 50, np.where(apart <= 5, 10, np.where(apart <= 10, 5, 0)))
+            number = np.where(self.husnr == house, 50.0, np.where(apart <= 5, 10.0, np.where(apart <= 10, 5.0, 0.0)))
+        gain = number + self.less
         most = np.maximum.reduceat(gain, self.first)
         width = np.diff(np.append(self.first, len(gain)))
         at = np.flatnonzero(gain == np.repeat(most, width))
-        return most, at[np.searchsorted(at, self.first)]
+        at = at[np.searchsorted(at, self.first)]
+        return number[at], at
+
+    def best(self, by: tuple[np.ndarray, np.ndarray], score: float, begins: bool, asked: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row_ids, postcodes, total scores) of the best postcodes, summed in the order of ``total_score``."""
+        number, at = by
+        same = self.post == asked
+        total = (score + ((20.0 + np.where(same, 50.0, 0.0)) if score >= 95 else 0.0)) + self.less[at] + (5.0 if begins else 0.0) + number
+        if len(at) > top:
+            some = np.lexsort((self.row_id[at], -(total + np.where(same, 100.0, 0.0))))[:top]
+            return self.row_id[at[some]], self.post[some], total[some]
+        return self.row_id[at], self.post, total
+
+
+def _ranked(top: int):
+    """Rows arrive by text: of all its streets the best row of each postcode, and of those the best, with their ranks."""
+
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        lists = t.column("row_ids").combine_chunks()
+        at = np.repeat(np.arange(len(t)), np.asarray(lists.value_lengths()))
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
+        row_id, post, score = flat("row_ids"), flat("posts"), flat("scores")
+        text = np.asarray(t.column("text").combine_chunks().dictionary_encode().indices)[at]
+        rank, same = t.column("street_rank").to_numpy()[at], post == t.column("asked_post").to_numpy()[at]
+        order = np.lexsort((row_id, rank, -score, post, text))
+        new = (post[order][1:] != post[order][:-1]) | (text[order][1:] != text[order][:-1])
+        order = order[np.concatenate([[True], new])] if len(order) else order
+        order = order[np.lexsort((row_id[order], rank[order], -score[order], -(score[order] + np.where(same[order], 100.0, 0.0)), text[order]))]
+        mine = text[order]
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
+        nth = np.arange(len(mine)) - np.repeat(first, np.diff(np.append(first, len(mine))))
+        order, nth = order[nth < top], nth[nth < top]
+        own = t.select(["street_norm", "text", "q_norm", "house", "postnr", "street_score"]).take(pa.array(at[order]))
+        columns = [*(c.combine_chunks() for c in own.columns), pa.array(row_id[order]), pa.array(score[order]), pa.array(nth + 1, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=[*own.column_names, "row_id", "score", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text = batch.column("text")
+            last = int(np.flatnonzero(np.append([True], np.asarray(pc.not_equal(text[1:], text[:-1])))).max())
+            # The last text may go on in the next batch.
+            if last or held and held[-1].column("text")[-1] != text[0]:
+                whole = [*held, batch.slice(0, last)] if last else held
+                yield close(whole)
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
+        if held:
+            yield close(held)
 
-    def best(self, by: tuple[np.ndarray, np.ndarray], base: float, sure: bool, postcode: str | None, top: int) -> list[int]:
-        most, at = by
-        order = most + base
-        if postcode in self.post:
-            order[self.post.index(postcode)] += 150 if sure else 100
-        return self.row_id[at[np.lexsort((self.row_id[at], -order))[:top]]].tolist()
+    return run
 
 
 def retrieve(texts: DataFrame, registry: DataFrame, text: str = "text", scorer=weighted_ratio, cutoff: float = CUTOFF, top_streets: int = TOP_STREETS, top: int = TOP_OUTPUT) -> DataFrame:
     """(text, rank, precision, line, row_id, score, and the registry's other columns): the best row of each postcode.
 
     Rows of the asked postcode come first, then by total score, the street's rank and row_id. Each distinct text is
-    parsed and searched once; texts without a street give no rows. Rows of a street that can't be among a text's best are
-    left out where the street's rows are, so texts don't meet all rows of all streets that they are like.
+    parsed and searched once, and what that gives is cut; texts without a street give no rows. Rows of a street that can't
+    be among a text's best are left out where the street's rows are, so texts don't meet all rows of all streets that they
+    are like. The row_id is unique.
     """
     distinct = texts.select(F.col(text).alias("text")).filter("text is not null").distinct()
-    q = parse_addresses(distinct, "text").withColumn("q_norm", tx.fold(F.col("street"))).filter("q_norm <> ''").withColumn("block", F.col("postnr"))
-    streets = blocked_streets(q, registry, scorer, cutoff, top_streets).withColumnRenamed("block", "__block").withColumnRenamed("q_norm", "__q")
-    reg = registry.withColumn("postnr", F.col("postnr").cast("string")).withColumn("street_norm", tx.fold(F.col("vejnavn"))).withColumnsRenamed({"postnr": "r_postnr"})
-    pairs = q.join(streets, (q["q_norm"] == streets["__q"]) & q["block"].eqNullSafe(streets["__block"])).drop("__q", "__block")
-    sizes = reg.groupBy("street_norm").agg(F.ceil(F.count(F.lit(1)) / STREET_ROWS).cast("int").alias("segments"))
-    none = lambda kind: F.lit(None).cast(kind)
+    q = cut(parse_addresses(distinct, "text").withColumn("q_norm", tx.fold(F.col("street"))).filter("q_norm <> ''").select("text", "house", "postnr", "q_norm"))
+    streets = blocked_streets(q, registry, scorer, cutoff, top_streets).withColumnsRenamed({"block": "__block", "q_norm": "__q"})
+    pairs = cut(q.join(streets, (q["q_norm"] == streets["__q"]) & q["postnr"].eqNullSafe(streets["__block"])).drop("__q", "__block"))
+    reg = registry.withColumn("r_postnr", F.col("postnr").cast("string")).withColumn("street_norm", tx.fold(F.col("vejnavn"))).drop("postnr")
+    many = lambda df, size, name: df.groupBy("street_norm").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = few(cut(many(pairs, SLICE_TEXTS, "slices").join(many(reg, STREET_ROWS, "segments"), "street_norm")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda c: F.when(c.isNotNull(), F.xxhash64(c)).otherwise(F.lit(0)).alias
     n = F.length("vejnavn")
+    empty = {"text": "string", "q_norm": "string", "house": "string", "postnr": "string", "street_score": "double", "street_rank": "int", "asked_post": "long"}
     rows = reg.join(sizes, "street_norm").select(
-        "street_norm", F.pmod(F.xxhash64("r_postnr"), F.col("segments")).cast("int").alias("segment"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), F.lit(False).alias("pair"), F.col("row_id").cast("long").alias("row_id"),
-        F.col("r_postnr").alias("postnr"), F.lower("husnr").alias("husnr"), _digits(F.col("husnr")).alias("digits"), F.when(n <= 3, -25.0).when(n <= 5, -10.0).otherwise(0.0).alias("less"), none("string").alias("text"), none("string").alias("house"), none("double").alias("base"), none("boolean").alias("sure"),
+        "street_norm", F.pmod(F.xxhash64("r_postnr"), F.col("segments")).cast("int").alias("segment"), every("slices").alias("slice"), F.lit(False).alias("pair"), F.col("row_id").cast("long").alias("row_id"),
+        of(F.col("r_postnr"))("post"), F.lower("husnr").alias("husnr"), _digits(F.col("husnr")).alias("digits"), F.when(n <= 3, -25.0).when(n <= 5, -10.0).otherwise(0.0).alias("less"), *[F.lit(None).cast(t).alias(c) for c, t in empty.items()],
     )
-    sure = F.col("street_score") >= 95
-    start = F.col("street_score") + F.when(sure, 20).otherwise(0) + F.when(F.substring("street_norm", 1, 4) == F.substring("q_norm", 1, 4), 5).otherwise(0)
     asked = pairs.join(sizes, "street_norm").select(
-        "street_norm", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"), F.pmod(F.xxhash64("text"), F.lit(SLICES)).cast("int").alias("slice"), F.lit(True).alias("pair"), none("long").alias("row_id"),
-        "postnr", none("string").alias("husnr"), _digits(F.col("house")).alias("digits"), none("double").alias("less"), "text", "house", start.alias("base"), sure.alias("sure"),
+        "street_norm", every("segments").alias("segment"), F.pmod(F.xxhash64("text"), F.col("slices")).cast("int").alias("slice"), F.lit(True).alias("pair"), F.lit(None).cast("long").alias("row_id"),
+        F.lit(None).cast("long").alias("post"), F.lit(None).cast("string").alias("husnr"), _digits(F.col("house")).alias("digits"), F.lit(None).cast("double").alias("less"), *_ASKED, F.when(F.col("postnr").isNotNull(), F.xxhash64("postnr")).otherwise(F.lit(-1)).alias("asked_post"),
     )
     dealt = rows.unionByName(asked).repartition("street_norm", "segment", "slice").sortWithinPartitions("street_norm", "segment", "slice", "pair")
-    chosen = dealt.select(*[c.split()[0] for c in _DEALT.split(", ")]).mapInArrow(_best_rows(top), "text string, street_norm string, row_id long")
-    hits = chosen.join(pairs, ["text", "street_norm"]).join(reg, ["street_norm", "row_id"])
+    types = "street_norm string, text string, q_norm string, house string, postnr string, street_score double, street_rank int, asked_post long"
+    chosen = dealt.select(*_DEALT).mapInArrow(_best_rows(top), f"{types}, row_ids array<long>, posts array<long>, scores array<double>")
+    best = chosen.repartition("text").sortWithinPartitions("text").mapInArrow(_ranked(top), "street_norm string, text string, q_norm string, house string, postnr string, street_score double, row_id long, score double, rank int")
+    hits = best.join(few(reg.drop("street_norm").withColumnRenamed("row_id", "__row")), F.col("row_id") == F.col("__row"))
     same = F.col("postnr") == F.col("r_postnr")
-    hits = hits.withColumn("score", total_score(F.col("street_score"), F.col("vejnavn"), F.col("q_norm"), F.col("house"), F.col("husnr"), same))
-    per_post = Window.partitionBy("text", "r_postnr").orderBy(F.desc("score"), "street_rank", "row_id")
-    hits = hits.withColumn("__k", F.row_number().over(per_post)).filter("__k = 1")
     # One row a postcode, which its line names, so no line is given twice.
     line = tx.address_line(F.col("vejnavn"), F.col("husnr"), F.col("r_postnr"), F.col("postnrnavn"))
     sure = precision(F.col("street_norm") == F.col("q_norm"), (F.col("house") != "") & (F.lower("husnr") == F.col("house")), same, F.col("street_score"))
-    order = Window.partitionBy("text").orderBy(F.desc(F.col("score") + F.when(same, 100).otherwise(0)), F.desc("score"), "street_rank", "row_id")
-    out = hits.withColumns({"line": line, "precision": sure, "rank": F.row_number().over(order)}).filter(F.col("rank") <= top)
     carried = [c for c in registry.columns if c not in ("vejnavn", "husnr", "postnr", "postnrnavn", "row_id")]
-    return out.select("text", "rank", "precision", "line", "row_id", "score", *carried)
+    return hits.withColumns({"line": line, "precision": sure}).select("text", "rank", "precision", "line", "row_id", "score", *carried)
 
 
 def resolve(texts: DataFrame, registry: DataFrame, text: str = "text", floor: float = 40.0, **options) -> DataFrame:

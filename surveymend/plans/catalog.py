@@ -665,13 +665,13 @@ def blocked_fuzzy(v: Views) -> DataFrame:
 
 @query()
 def fuzzy_topk(v: Views) -> DataFrame:
-    best = match.blocked_streets(_parsed(v).withColumn("postnr", F.lit(None).cast("string")), v.registry, top=5)
+    best = match.blocked_streets(_parsed(v).withColumn("postnr", F.lit(None).cast("string")), v.registry)
     return best.select("q_norm", "street_norm", "street_score", "street_rank")
 
 
 @query()
 def retrieve(v: Views) -> DataFrame:
-    return match.retrieve(_asked(v), v.registry, top=5)
+    return match.retrieve(_asked(v), v.registry)
 
 
 @query("SELECT row_id, CAST(row_id % 60 + 40 AS DOUBLE) + CASE WHEN length(s) <= 3 THEN -25 WHEN length(s) <= 5 THEN -10 ELSE 0 END + CASE WHEN substr(lower(s), 1, 4) = 'almo' THEN 5 ELSE 0 END AS score FROM (SELECT row_id, substr(vejnavn, 1, CAST(row_id % 9 + 1 AS INTEGER)) AS s FROM v_registry)")

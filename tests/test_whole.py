@@ -67,6 +67,6 @@ def test_all_addresses_are_asked(spark):
 
     want = {(q, b, n, -s, k) for q, b in {(r["q_norm"], r["postnr"]) for r in asked} for s, k, n in found(q, b, match.TOP_STREETS) or found(q, None, match.TOP_STREETS)}
     assert {tuple(r) for r in catalog.QUERIES["blocked_fuzzy"](spark, SF).collect()} == want
-    want = {(q, n, -s, k) for q in {r["q_norm"] for r in asked} for s, k, n in found(q, None, 5)}
+    want = {(q, n, -s, k) for q in {r["q_norm"] for r in asked} for s, k, n in found(q, None, match.TOP_STREETS)}
     assert {tuple(r) for r in catalog.QUERIES["fuzzy_topk"](spark, SF).collect()} == want
     assert {r["text"] for r in catalog.QUERIES["retrieve"](spark, SF).select("text").distinct().collect()} == {r["text"] for r in asked}
