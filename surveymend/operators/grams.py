@@ -91,7 +91,7 @@ class Names:
         for k, n in enumerate(names):
             for c in n:
                 self.counts[k, self.letters[c]] += 1
-        self.codes, self.codes_by_words = self._codes(names), self._codes([by_words(n) for n in names])
+        self.codes, self.codes_back, self.codes_by_words = self._codes(names), self._codes([n[::-1] for n in names]), self._codes([by_words(n) for n in names])
         self._least: dict[tuple[int, float], np.ndarray] = {}
 
     def _codes(self, texts: list[str]) -> np.ndarray:
@@ -164,7 +164,11 @@ class Names:
         self.seen.update(counted=int(keep.sum()))
         some = np.flatnonzero(keep & (n <= BITS) & ~self.long[name])
         own = self._common(queries, who[some], self.codes[name[some]])
-        fits = np.maximum(*reach(own, n[some], m[some])) >= cutoff - 1e-9
+        whole, part = reach(own, n[some], m[some])
+        # A part is as long as the shorter text, or shorter and at an end of the other.
+        shorter = np.flatnonzero((whole < cutoff - 1e-9) & (part >= cutoff - 1e-9))
+        part[shorter] = self._part(queries, who[some[shorter]], name[some[shorter]], own[shorter])
+        fits = np.maximum(whole, part) >= cutoff - 1e-9
         # In another order of words, texts count 95 of 100.
         several = np.flatnonzero(~fits & (np.array([" " in q for q in queries])[who[some]] | self.several[name[some]]))
         again = self._common([by_words(q) for q in queries], who[some[several]], self.codes_by_words[name[some[several]]])
@@ -172,18 +176,31 @@ class Names:
         keep[some] = fits
         return keep
 
-    def _common(self, texts: list[str], who: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Length of the longest common subsequence of each pair, in bit rows of all pairs at once."""
+    def _part(self, queries: list[str], who: np.ndarray, name: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """The most that partial measures give: by letters in common with all of the longer text, for parts as long as the
+        shorter one, and with its beginning or end for shorter parts."""
+        n, m = np.array([len(q) for q in queries])[who], self.size[name]
+        short = np.minimum(n, m)
+        ends = np.maximum(*(self._common(x, who, codes[name], short - 1) for x, codes in ((queries, self.codes), ([q[::-1] for q in queries], self.codes_back))))
+        return np.where(np.maximum(n, m) > 8 * short, 0.6, 0.9) * np.maximum(100.0 * common / short, 200.0 * ends / (short + ends))
+
+    def _common(self, texts: list[str], who: np.ndarray, codes: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
+        """Length of the longest common subsequence of each pair, in bit rows of all pairs at once; with ``end``, of the
+        shorter text and so many first letters of the longer one."""
         at = np.zeros((len(texts), self.counts.shape[1]), np.uint64)
         for k, t in enumerate(texts):
             if len(t) <= BITS:
                 for i, c in enumerate(t):
                     if c in self.letters:
                         at[k, self.letters[c]] |= np.uint64(1 << i)
+        n, m = np.array([len(t) for t in texts])[who], (codes > 0).sum(axis=1)
+        # Beyond a name's own letters nothing changes; of a longer text only the first bits count.
+        stop = m if end is None else np.where(m >= n, end, m)
+        if end is not None:
+            n = np.where(m >= n, n, end)
         row = np.full(len(who), np.iinfo(np.uint64).max, np.uint64)
         for j in range(codes.shape[1]):
-            u = row & at[who, codes[:, j]]
+            u = row & np.where(j < stop, at[who, codes[:, j]], np.uint64(0))
             row = (row + u) | (row - u)
-        n = np.array([len(t) for t in texts])[who]
         full = np.where(n >= BITS, np.iinfo(np.uint64).max, (np.uint64(1) << np.minimum(n, BITS - 1).astype(np.uint64)) - np.uint64(1))
         return n - np.bitwise_count(row & full).astype(np.int64)
