@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sentencepieces
 from .common import cut, mapped, out_batch, ready
 
 #: Pairs that a task counts before it passes counts on, and pairs whose counts are broadcast at most: 24 MB.
 COUNTED, HELD = 1 << 20, 1 << 20
-#: Units of A kept by a worker; the table is emptied when it is full.
-KEPT_UNITS = 300_000
-#: Characters of a unit that is kept; longer ones are encoded each time.
-UNIT_CHARS = 64
+#: A run of letters or of spaces from this length on is encoded by a library whose time doesn't grow with its square.
+LONG_RUN = 1000
 #: Characters of texts that are aligned at once; a longer text is on its own.
 GROUP_CHARS = 1 << 19
 
@@ -52,16 +50,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def stable() -> frozenset[str]:
+    """Characters of the basic plane whose class every Unicode version since 3.2 agrees on, so that all libraries part texts
+    alike; of spaces and controls, only the plain ones."""
+    then, now = unicodedata.ucd_3_2_0, unicodedata
+    return frozenset("\t\n\r ") | {c for c in map(chr, range(33, 0x10000)) if then.category(c)[0] == now.category(c)[0] and now.category(c)[0] in "LNPSM"}
+
+
 class ByteTokens:
-    """Ids of texts in a byte-level vocabulary, encoded by the library in units that are kept.
+    """Ids of texts in a byte-level vocabulary.
 
-    A text is parted before a space that a letter or mark follows, and behind a letter that an ASCII mark follows: there
-    the vocabulary's own splitting always parts words, so units encode as they do within the text.
+    Where the vocabulary is also there as ranks, texts of stable characters without long runs are encoded by the faster
+    library, which gives them the same ids; others, and all where ``ranks`` is None, by the slower one.
     """
 
-    part = re.compile(r"(?= [!-~À-ɏ])|(?<=[A-Za-z])(?=[!-@\[-`{-~])")
+    run = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -69,32 +74,38 @@ class ByteTokens:
         of = byte_alphabet()
         size = self.library.get_vocab_size()
         self.bytes = [bytes(of[c] for c in t) if (t := self.library.id_to_token(i)) and all(c in of for c in t) else (t or "").encode() for i in range(size)]
-        self.width = np.array([len(b) for b in self.bytes], np.int64)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, units: list[str]) -> list[bytes]:
-        """Ids of units as 32-bit words; empty where their bytes aren't those of the unit."""
-        out = []
-        for u, e in zip(units, self.library.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            whole = b"".join([self.bytes[i] for i in e.ids]) == u.encode()
-            out.append(np.array(e.ids, "<u4").tobytes() if whole else b"")
-        return out
+        self.fast, self.plain = None, frozenset()
+        if ranks:
+            import base64
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; empty where a text's bytes can't be had back."""
-        parted = [self.part.split(t) for t in texts]
-        known = self.known
-        fresh = list({u for units in parted for u in units if u not in known and u})
-        if len(known) + len(fresh) > KEPT_UNITS:
-            known.clear()
-            fresh = list({u for units in parted for u in units if u})
-        now = dict(zip(fresh, self.learn(fresh), strict=True))
-        known.update({u: b for u, b in now.items() if len(u) <= UNIT_CHARS} if len(now) <= KEPT_UNITS else {})
-        out = []
-        for units in parted:
-            found = [now[u] if u in now else known[u] for u in units if u]
-            out.append(b"".join(found) if all(found) else b"")
-        return out
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                of_bytes = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=of_bytes, special_tokens={})
+            self.plain = stable()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; none of an empty one."""
+        slow = [k for k, t in enumerate(texts) if self.fast is None or not self.plain.issuperset(t) or len(t) >= LONG_RUN and self.run.search(t)]
+        rest = dict(zip(slow, self.library.encode_batch_fast([texts[k] for k in slow], add_special_tokens=False), strict=True))
+        return [np.array(rest[k].ids, np.int64) if k in rest else self.fast.encode_to_numpy(t, disallowed_special=()).astype(np.int64) for k, t in enumerate(texts)]
+
+
+class Vocabulary:
+    """The bytes of every id, one after the other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = len(tokens)
+        self.width = np.array([len(t) for t in tokens], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.width)])[:-1]
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spelled(self, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The bytes of a run of tokens, whose owners are given."""
+        start = np.concatenate([[0], np.cumsum(self.width[ids])])[:-1]
+        return self.flat[(self.first[ids] - start)[owner] + np.arange(len(owner))]
 
 
 def owners(widths: np.ndarray) -> np.ndarray:
@@ -113,18 +124,29 @@ def changes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Aligned:
     """Tokens of a run of texts, one text after the other: ids, owners of bytes, and the last byte of every group."""
 
-    def __init__(self, a: list[bytes], b: list[bytes], width_a: np.ndarray, width_b: np.ndarray):
-        self.a, self.b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (a, b))
-        of_a, of_b = owners(width_a[self.a]), owners(width_b[self.b])
-        self.overlap, self.cut = changes(of_a, of_b)
+    def __init__(self, texts: list[str], a: list[np.ndarray], b: list[np.ndarray], of_a: Vocabulary, of_b: Vocabulary):
+        want = [(" " + t).encode() if t else b"" for t in texts]
+        good = [of_a.width[x].sum() == of_b.width[y].sum() == len(w) for x, y, w in zip(a, b, want, strict=True)]
+        while True:
+            keep = lambda x: [v if g else v[:0] for v, g in zip(x, good, strict=True)]
+            a, b, want = keep(a), keep(b), keep(want)
+            self.a, self.b = np.concatenate(a), np.concatenate(b)
+            own_a, own_b = owners(of_a.width[self.a]), owners(of_b.width[self.b])
+            byte = np.frombuffer(b"".join(want), np.uint8)
+            wrong = np.flatnonzero((of_a.spelled(self.a, own_a) != byte) | (of_b.spelled(self.b, own_b) != byte))
+            if not len(wrong):
+                break
+            # Texts that either spells otherwise have no tokens.
+            for k in np.unique(np.searchsorted(np.cumsum([len(w) for w in want]), wrong, "right")):
+                good[k] = False
+        self.overlap, self.cut = changes(own_a, own_b)
         #: The tokens that end with each group, which are linked.
-        self.last_a, self.last_b = of_a[self.cut].astype(np.int64), of_b[self.cut].astype(np.int64)
-        self.n_a, self.n_b = (np.array([len(x) // 4 for x in y], np.int64) for y in (a, b))
+        self.last_a, self.last_b = own_a[self.cut].astype(np.int64), own_b[self.cut].astype(np.int64)
+        self.n_a, self.n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
         self.first_a, self.first_b = (np.concatenate([[0], np.cumsum(n)]) for n in (self.n_a, self.n_b))
         #: Where each text's groups and overlaps begin; a text's end is a cut, since its bytes are the same on both sides.
         self.group = np.searchsorted(self.last_a, self.first_a)
-        end = np.concatenate([[0], np.cumsum(width_a[self.a])])[self.first_a]
-        self.overlaps = np.diff(np.searchsorted(self.overlap, end))
+        self.overlaps = np.diff(np.searchsorted(self.overlap, np.concatenate([[0], np.cumsum([len(w) for w in want])])))
 
     def pieces(self, names: list[str], size_a: int, size_b: int) -> list[str]:
         """Decimal ids with the mark behind each, in the order of the groups: A's ids, a bar, B's ids, a semicolon."""
@@ -145,28 +167,18 @@ def _names(size_a: int, size_b: int) -> list[str]:
 
 _OUT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_overlaps", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.binary())])
 _DDL = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string, pairs binary"
-_open: dict[tuple[str, str], tuple] = {}
-
+_open: dict[tuple, tuple] = {}
+SPACE = "▁"
 
-def _tokenizers(a: str, b: str) -> tuple:
-    if (a, b) not in _open:
-        first, second = ByteTokens(a), sentencepieces.pieces(b)
-        lib = second.library
-        width_b = np.array([1 if lib.is_byte(i) else len(lib.id_to_piece(i).replace(sentencepieces.SPACE, " ").encode()) for i in range(len(lib))], np.int64)
-        _open[a, b] = first, second, width_b, _names(len(first.bytes), len(lib))
-    return _open[a, b]
 
+def _tokenizers(a: str, ranks: str | None, b: str) -> tuple:
+    if (a, ranks, b) not in _open:
+        from sentencepiece import SentencePieceProcessor
 
-def tokens(texts: list[str], a: str, b: str) -> tuple[list[bytes], list[bytes]]:
-    """Ids of A and of B of every text; both empty where the bytes of either aren't a space and the text."""
-    first, second, _, _ = _tokenizers(a, b)
-    mine = first.ids([" " + t if t else "" for t in texts])
-    out_a, out_b = [], []
-    for t, x, (y, said) in zip(texts, mine, sentencepieces.encoded(texts, second), strict=True):
-        good = bool(x) and bool(y) and said == t and sentencepieces.SPACE not in t
-        out_a.append(x if good else b"")
-        out_b.append(y if good else b"")
-    return out_a, out_b
+        first, lib = ByteTokens(a, ranks), SentencePieceProcessor(model_file=b)
+        of_b = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(SPACE, " ").encode() for i in range(len(lib)) for p in [lib.id_to_piece(i)]]
+        _open[a, ranks, b] = first, lib, Vocabulary(first.bytes), Vocabulary(of_b), _names(len(first.bytes), len(of_b))
+    return _open[a, ranks, b]
 
 
 def _pack(pairs: np.ndarray) -> bytes:
@@ -185,10 +197,11 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(raw, "<u8", n), dtype=np.uint64), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
 
 
-def _align(doc_ids: list, texts: list[str], first_row: int, a: str, b: str) -> pa.RecordBatch:
-    one, _, width_b, names = _tokenizers(a, b)
-    x = Aligned(*tokens(texts, a, b), one.width, width_b)
-    said = x.pieces(names, len(one.bytes), len(width_b))
+def _align(doc_ids: list, texts: list[str], first_row: int, files: tuple) -> pa.RecordBatch:
+    one, two, of_a, of_b, names = _tokenizers(*files)
+    b = [np.array(i, np.int64) for i in two.encode(texts, num_threads=1)]
+    x = Aligned(texts, one.ids([" " + t if t else "" for t in texts]), b, of_a, of_b)
+    said = x.pieces(names, of_a.size, of_b.size)
     links = x.a[x.last_a].astype(np.uint64) << np.uint64(32) | x.b[x.last_b].astype(np.uint64)
     n = np.diff(x.group)
     digests, pairs = [], []
@@ -211,21 +224,21 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        files = a or model_path("byte_bpe_50k.json"), b or model_path("piece_bpe_32k.model")
+        files = a or model_path("byte_bpe_50k.json"), None if a else model_path("byte_bpe_50k.tiktoken"), b or model_path("piece_bpe_32k.model")
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, held, size = [], [], 0
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 t = t.as_py() or ""
                 if held and size + len(t) > GROUP_CHARS:
-                    yield _align(ids, held, row, *files)
+                    yield _align(ids, held, row, files)
                     row += len(held)
                     ids, held, size = [], [], 0
                 ids.append(i)
                 held.append(t)
                 size += len(t)
             if held:
-                yield _align(ids, held, row, *files)
+                yield _align(ids, held, row, files)
                 row += len(held)
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _DDL)

@@ -16,7 +16,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,14 +189,10 @@ GROUP_CHARS = 1 << 18
 
 
 def _texts(batch: pa.RecordBatch, p: Pieces) -> Iterator[tuple[bytes, str]]:
-    return encoded((t.as_py() or "" for t in batch.column("text")), p)
-
-
-def encoded(texts: Iterable[str], p: Pieces) -> Iterator[tuple[bytes, str]]:
-    """Ids of each text, without begin and end, and what they decode to."""
     group: list[str] = []
     size = 0
-    for t in texts:
+    for t in batch.column("text"):
+        t = t.as_py() or ""
         if group and size + len(t) > GROUP_CHARS:
             yield from _group(group, p)
             group, size = [], 0

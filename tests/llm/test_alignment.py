@@ -94,14 +94,16 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, libraries):
     assert alignment.counted(docs.limit(0)).collect() == []
 
 
-def test_a_full_table_of_units_loses_nothing(monkeypatch, libraries):
-    t = alignment.ByteTokens(alignment.model_path("byte_bpe_50k.json"))
-    monkeypatch.setattr(alignment, "KEPT_UNITS", 5)
-    texts = [" one two three four five six seven", " two three", " one, two; three: four"]
-    for _ in range(2):
-        for ids, text in zip(t.ids(texts), texts, strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == libraries[0].encode(text, add_special_tokens=False).ids
-    assert len(t.known) <= 5
+def test_both_libraries_of_a_give_its_ids(libraries):
+    t = alignment.ByteTokens(alignment.model_path("byte_bpe_50k.json"), alignment.model_path("byte_bpe_50k.tiktoken"))
+    texts = [" " + x for x in TEXTS if x] + ["", " " + "x" * 5_000, " a" + " " * 5_000 + "b", " \u180e\u200b\x1f", " \u0560 \ua7c0 \U0001fae0", " ۱۲۳ ½ ² Ⅻ", " ｆｕｌｌ　width"]
+    for ids, text in zip(t.ids(texts), texts, strict=True):
+        assert ids.tolist() == libraries[0].encode(text, add_special_tokens=False).ids
+    # Every stable character is parted alike by both.
+    plain = sorted(alignment.stable())
+    line = [" ".join(f"a{c}1{c}{c} {c}b.{c}" for c in plain[k : k + 200]) for k in range(0, len(plain), 200)]
+    for text, ids in zip(line, t.ids(line), strict=True):
+        assert ids.tolist() == libraries[0].encode(text, add_special_tokens=False).ids
 
 
 def test_counts_that_tie_are_all_best(spark):
