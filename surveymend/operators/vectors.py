@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, ship
+from .relational import few
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -28,36 +31,209 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-#: Rows of a block of vectors that a task multiplies at once.
-BLOCK = 4096
+#: Rows of a block of vectors that a task multiplies at once, queries that it holds, and queries of a cell in one task.
+BLOCK, STEP, ASKED = 4096, 512, 50_000
+#: Cells at most, rows that pivots are fitted to, and rounds of fitting.
+CELLS, SAMPLE, FITTED = 1024, 8192, 4
+#: Cells that a query visits in each round, best first; the last round visits all that are left.
+VISITS = (1, 8, None)
 
 
-def nearest_rows(queries: DataFrame, rows: DataFrame, k: int = 1) -> DataFrame:
-    """(query_id, vec_id, score): the exact k nearest by inner product of (query_id, v) among (vec_id, v), ties to smaller ids.
+class Cells:
+    """Cells of vectors by their nearest pivot: what the cells hold bounds every inner product with one of their rows."""
+
+    def __init__(self, pivots: np.ndarray, rows: np.ndarray, radius: np.ndarray, longest: np.ndarray):
+        self.pivots, self.rows, self.radius, self.longest = pivots, rows, radius, longest
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The most that an inner product with a row of each cell can be: of the pivot and the radius, or the longest row.
+
+        Empty cells have none. A little is added for rounding.
+        """
+        length = np.sqrt((q * q).sum(axis=1))[:, None]
+        most = np.minimum(q @ self.pivots.T + length * self.radius, length * self.longest)
+        return np.where(self.rows > 0, most + 1e-9 * length * (self.longest + 1e-300), -np.inf)
+
+
+def nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pivot, distance) of every row."""
+    cell = ((pivots * pivots).sum(axis=1) - 2 * x @ pivots.T).argmin(axis=1)
+    return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
+
+
+def fit_pivots(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Means of groups of a sample: the first ones are spread over it evenly, then moved a few times."""
+    pivots = np.unique(sample, axis=0)
+    pivots = pivots[np.arange(min(cells, len(pivots))) * len(pivots) // max(min(cells, len(pivots)), 1)].copy()
+    for _ in range(FITTED):
+        cell, _ = nearest_pivot(sample, pivots)
+        for c in np.unique(cell):
+            pivots[c] = sample[cell == c].mean(axis=0)
+    return pivots
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1).astype(np.float64)
+
+
+def _read(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts)).reshape(len(parts), -1)
+
 
-    Both sides are cut into blocks that meet by key, block by block, as matrix products in Arrow batches; each pair of
-    blocks leaves k rows a query, so neither side is ever held whole. Every query is compared with every row: that is what
-    exact means here, and work grows with the product of both sides. Embeddings of both sides come from one model.
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of each query that reach its least score, ties to smaller ids.
+
+    Scores are summed product by product, so that equal vectors have equal ones wherever they are.
     """
-    count = lambda df: max(1, -(-df.count() // BLOCK))
+    rough = q @ x.T
+    most = min(k, len(ids))
+    last = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
+    slack = 1e-9 * (1e-300 + np.abs(q) @ np.abs(x).max(axis=0))
+    who, at = np.nonzero(rough >= np.maximum(last, least)[:, None] - slack[:, None])
+    score = np.concatenate([np.zeros(0), *((q[who[lo : lo + 65_536]] * x[at[lo : lo + 65_536]]).sum(axis=1) for lo in range(0, len(who), 65_536))])
+    order = np.lexsort((ids[at], -score, who))
+    who, at, score = who[order], at[order], score[order]
+    first = np.searchsorted(who, who)
+    keep = np.arange(len(who)) - first < k
+    return who[keep], at[keep], score[keep]
+
+
+def _searched(k: int, products):
+    """Rows arrive by (cell, part, slice), vectors before queries: each query's best of the block."""
+
+    def close(block: list, queries: list) -> pa.RecordBatch:
+        x, q = _read([r[1] for r in block]), _read([r[1] for r in queries])
+        ids = np.array([r[0] for r in block])
+        who, at, score = best_rows(q, x, ids, np.array([r[2] for r in queries]), k)
+        if products is not None:
+            products.add(len(q) * len(x))
+        return pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in queries])[who]), pa.array(ids[at]), pa.array(score)], schema=_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, block, queries = None, [], []
+        for batch in batches:
+            for cell, part, slice_, asks, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "slice", "asks", "id", "v", "best")), strict=True):
+                if (cell, part, slice_) != place:
+                    if block and queries:
+                        yield close(block, queries)
+                    place, block, queries = (cell, part, slice_), [], []
+                if not asks:
+                    block.append(row)
+                elif block:
+                    queries.append(row)
+                    if len(queries) == STEP:
+                        yield close(block, queries)
+                        queries = []
+        if block and queries:
+            yield close(block, queries)
+
+    return run
+
+
+def _cells(rows: DataFrame, n: int) -> tuple[DataFrame, Cells]:
+    """The rows with their cell and part of it, cut, and the cells: as many as the square root of rows, at most ``CELLS``."""
+    cells = min(CELLS, int(n**0.5)) if n > BLOCK else 1
+    share = 1 << 20
+    part = rows if n <= SAMPLE else rows.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(share)) < int(SAMPLE / n * share) + 1)
+    pivots = fit_pivots(_matrix(part.select("v").toArrow().column("v").combine_chunks()), cells)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("v"))
+                cell, far = nearest_pivot(x, pivots)
+                length = np.sqrt((x * x).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x]), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(length)], names=["id", "v", "cell", "far", "length"])
+
+    of = cut(rows.mapInArrow(placed, "id long, v binary, cell int, far double, length double"))
+    sums = of.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.max("length").alias("longest")).toArrow().to_pylist()
+    count, radius, longest = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+    for r in sums:
+        count[r["cell"]], radius[r["cell"]], longest[r["cell"]] = r["n"], r["radius"], r["longest"]
+    return of.select("id", "v", "cell"), Cells(pivots, count, radius, longest)
+
 
-    def blocks(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-        of = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-        return df.select(of.alias(name), F.col(key).alias("id"), F.col("v").cast("array<double>").alias("v")).groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vs"))
+def _visits(cells: Cells, many: int | None):
+    """Each query for every part of the cells that it visits now, best first, which can hold a row as good as its best so far."""
+    parts = -(-cells.rows // BLOCK)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x, ids = np.array(row["r_vs"]), np.array(row["r_ids"])
-                order = np.argsort(ids)
-                x, ids = x[order], ids[order]
-                s = np.array(row["q_vs"]) @ x.T
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row["q_ids"], top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query_id", "vec_id", "score"])
-
-    n = count(rows)
-    r = blocks(rows, "r", "vec_id", n)
-    q = blocks(queries, "q", "query_id", count(queries)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    found = q.join(r, "r").mapInArrow(best, "query_id long, vec_id long, score double")
+            if not batch.num_rows:
+                continue
+            q = _read(batch.column("v").to_pylist())
+            most = cells.bounds(q)
+            best = batch.column("best").to_numpy(zero_copy_only=False)
+            seen = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in batch.column("seen").to_pylist()]), axis=1, count=len(cells.rows)).astype(bool)
+            able = (most >= best[:, None]) & ~seen & (cells.rows > 0)
+            if many is not None:
+                rank = np.argsort(np.argsort(np.where(able, -most, np.inf), axis=1, kind="stable"), axis=1)
+                able &= rank < many
+            after = [r.tobytes() for r in np.packbits(seen | able, axis=1)]
+            who, cell = np.nonzero(able)
+            part = np.concatenate([np.zeros(0, np.int64), *(np.arange(parts[c]) for c in cell)]).astype(np.int32)
+            who, cell = np.repeat(who, parts[cell]), np.repeat(cell, parts[cell]).astype(np.int32)
+            at = pa.array(who)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), batch.column("best").take(at), pa.array(after, pa.binary()).take(at), pa.array(cell), pa.array(part)], names=["id", "v", "best", "seen", "cell", "part"])
+
+    return run
+
+
+def nearest_rows(queries: DataFrame, rows: DataFrame, k: int = 1, products=None) -> DataFrame:
+    """(query_id, vec_id, score): the exact k nearest by inner product of (query_id, v) among (vec_id, v), ties to smaller ids.
+
+    Rows lie in cells around pivots, fitted to a bounded sample. A cell's pivot and radius, or its longest row, bound the
+    inner products with its rows; a query visits the most promising cell first, then the next few, then all others, each
+    time only those whose bound reaches its k-th score so far. So few products are made where vectors cluster or differ in
+    length, and all of them where neither holds, as no exact method avoids. Cells meet queries by key, in blocks of
+    ``BLOCK`` rows and slices of ``ASKED`` queries, so no task holds a cell or all that ask for it. Tables of a block or
+    less are one cell. ``products``: an accumulator that counts inner products of vectors.
+
+    Vectors that are null take no part; embeddings of both sides come from one model and have one length. A query of rows
+    fewer than k gets all of them; repeated vec_ids are rows of their own. A query_id is unique.
+    """
+    ship(rows.sparkSession)
+    side = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).filter("v is not null")
+    have = side(rows, "vec_id")
+    n = have.count()
+    nothing = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    if not n:
+        return nothing
+    placed, cells = _cells(have, n)
+    of_cell = F.element_at(F.array(*[F.lit(max(1, -(-int(r) // BLOCK))) for r in cells.rows]), F.col("cell") + 1)
+    blocks = placed.withColumn("part", F.pmod(F.xxhash64("id"), of_cell).cast("int"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank") if k > 1 else found.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("m"))).alias("b")).select("query_id", (-F.col("b.m")).alias("vec_id"), "b.score")
+    top = lambda df: df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.packbits(np.zeros(len(cells.rows), bool)).tobytes()
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in _matrix(batch.column("v"))]), pa.array(np.full(batch.num_rows, -np.inf)), pa.array([none] * batch.num_rows, pa.binary())], names=["id", "v", "best", "seen"])
+
+    asked = side(queries, "query_id").mapInArrow(encoded, "id long, v binary, best double, seen binary")
+    rounds = VISITS if len(cells.rows) > 1 else VISITS[-1:]
+    if len(rounds) > 1:
+        asked = cut(asked)
+    found = None
+    for many in rounds:
+        goes = asked.mapInArrow(_visits(cells, many), "id long, v binary, best double, seen binary, cell int, part int")
+        if len(rounds) > 1:
+            goes = cut(goes)
+        slices = few(goes.groupBy("cell").agg(F.ceil(F.count_distinct("id") / ASKED).cast("int").alias("slices")))
+        every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+        held = blocks.join(slices, "cell").select("cell", "part", every, F.lit(False).alias("asks"), "id", "v", F.lit(0.0).alias("best"))
+        mine = goes.join(slices, "cell").select("cell", "part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.lit(True).alias("asks"), "id", "v", "best")
+        dealt = held.unionByName(mine).repartition("cell", "part", "slice").sortWithinPartitions("cell", "part", "slice", "asks")
+        now = dealt.mapInArrow(_searched(k, products), "query_id long, vec_id long, score double")
+        found = top(now if found is None else found.unionByName(now))
+        if many is not None and len(rounds) > 1:
+            found = cut(found)
+            kth = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+            seen = goes.groupBy("id").agg(F.max("seen").alias("now"))
+            asked = cut(asked.join(seen, "id", "left").join(kth, "id", "left").select("id", "v", F.coalesce("kth", "best").alias("best"), F.coalesce("now", "seen").alias("seen")))
+    return found
