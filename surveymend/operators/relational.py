@@ -15,6 +15,14 @@ def join_suffixed(left: DataFrame, right: DataFrame, on: list[str], suffixes: tu
     return left.withColumnsRenamed({c: c + suffixes[0] for c in both}).join(right.withColumnsRenamed({c: c + suffixes[1] for c in both}), on, how)
 
 
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under their new names; names that aren't there are passed over, and two columns never get one name."""
+    out = [names.get(c, c) for c in df.columns]
+    if len(set(out)) < len(out):
+        raise ValueError(f"renaming gives columns of one name: {sorted(x for x in set(out) if out.count(x) > 1)}")
+    return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns})
+
+
 def overlay(df: DataFrame, bases: list[str], raw: str = "_raw", mod: str = "_mod") -> DataFrame:
     """base_raw becomes the corrected value where there is one; corrected columns go."""
     return df.withColumns({b + raw: F.coalesce(F.col(b + mod), F.col(b + raw)) for b in bases}).drop(*[b + mod for b in bases])
@@ -58,6 +66,23 @@ def comparable(left: DataFrame, right: DataFrame, key: list[str]) -> dict[str, s
     return {c: "number" if kind(t) == kind(theirs[c]) == "number" else "text" for c, t in left.dtypes if c in theirs and c not in key}
 
 
+def compared(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """name, kind, compared, same, one_side and largest of each comparable column of rows with one key: pairs of values, equal
+    ones, those that one side lacks, and the largest difference of numbers. Both sides are read once, for all columns."""
+    kinds = comparable(left, right, key)
+    a, b = (df.select(*key, *[F.col(c).alias(f"{side}_{c}") for c in kinds]) for df, side in ((left, "l"), (right, "r")))
+    l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
+    apart = lambda c: F.max(F.abs(l(c).cast("double") - r(c).cast("double"))) if kinds[c] == "number" else F.max(F.lit(None).cast("double"))
+    each = [
+        F.struct(
+            F.lit(c).alias("name"), F.lit(kinds[c]).alias("kind"), F.count_if(l(c).isNotNull() & r(c).isNotNull()).alias("compared"), F.count_if(l(c) == r(c)).alias("same"),
+            F.count_if(l(c).isNull() != r(c).isNull()).alias("one_side"), apart(c).alias("largest"),
+        )
+        for c in kinds
+    ]
+    return a.join(b, key).agg(F.array(*each).alias("each")).select(F.inline("each"))
+
+
 def bases_of(df: DataFrame, raw: str = "_raw", mod: str = "_mod") -> list[str]:
     """Names that occur with both suffixes, in column order."""
     have = set(df.columns)

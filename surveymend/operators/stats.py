@@ -26,6 +26,15 @@ def crosstab_pct(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
     return n.select(row, *[(F.coalesce(F.col(f"`{v}`"), F.lit(0)) * F.lit(100.0) / total).alias(v) for v in values])
 
 
+def reindexed(df: DataFrame, column: str, order: list[str], fill: int | None = 0) -> DataFrame:
+    """One row for each class of ``order``, with its place; other columns of classes without a row are ``fill``, or null."""
+    every = F.posexplode(F.array(*[F.lit(x) for x in order]))
+    classes = df.sparkSession.range(1).select(every.alias("place", "__class"))
+    rest = [c for c in df.columns if c != column]
+    out = F.broadcast(classes).join(df, F.col("__class") == F.col(column), "left").select("place", F.col("__class").alias(column), *rest)
+    return out if fill is None else out.na.fill(fill, rest)
+
+
 def rate_by_bin(df: DataFrame, flag: Column, bin: Column, bins: int) -> DataFrame:
     """bin, n and rate for every bin, also the empty ones, whose rate is null."""
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -39,6 +48,20 @@ def histogram(df: DataFrame, bin: Column, width: float) -> DataFrame:
     return n.withColumn("density", F.col("n") / (n.agg(F.sum("n")).scalar() * F.lit(width)))
 
 
+def histogram2d(df: DataFrame, x: Column, y: Column, n: int, edge: float | None = None) -> DataFrame:
+    """x, y, n and edge of the cells of an n by n grid over [0, edge] that have rows; without an edge, it is the largest value
+    of either.
+
+    Rows with a null, or a value below 0 or beyond the edge, are in no cell; where all are 0, all are in the first.
+    """
+    have = df.select(x.cast("double").alias("a"), y.cast("double").alias("b")).filter("a >= 0 and b >= 0")
+    if edge is not None:
+        have = have.filter((F.col("a") <= edge) & (F.col("b") <= edge))
+    edge = have.agg((F.lit(float(edge)) if edge is not None else F.greatest(F.max("a"), F.max("b"))).alias("edge"))
+    place = lambda v: F.coalesce(F.least(F.floor(F.try_divide(F.col(v), F.col("edge") / n)), F.lit(n - 1)), F.lit(0)).cast("int")
+    return have.join(F.broadcast(edge), F.lit(True)).groupBy(place("a").alias("x"), place("b").alias("y"), "edge").agg(F.count(F.lit(1)).alias("n"))
+
+
 def quantiles(df: DataFrame, by: list[str], column: str, shares: list[float]) -> DataFrame:
     """by, n and q0, q1, ...: exact quantiles with linear interpolation, of values that aren't null.
 

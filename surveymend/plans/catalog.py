@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, geo
 from ..functions import text as tx
-from ..operators import match, prompts, relational, repair, stats, vectors
+from ..operators import match, prompts, relational, repair, stats, store, vectors
+from ..session import cut, delete, shared_folder
 from ..sources import files
 from .views import Views, with_views
 
@@ -467,10 +468,13 @@ def histogram(v: Views) -> DataFrame:
     return rounded(stats.histogram(v.customer, bins.grid(c("c_acctbal"), -1000.0, 10000.0, 11), 1000.0), 9)
 
 
-@query("SELECT x, y, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(least(floor(stagelength_raw / 0.25), 59) AS INTEGER) AS x, CAST(least(floor(corrected_dist_km / 0.25), 59) AS INTEGER) AS y FROM v_det WHERE stagelength_raw BETWEEN 0 AND 15 AND corrected_dist_km BETWEEN 0 AND 15) GROUP BY 1, 2")
+@query(
+    """WITH p AS (SELECT CAST(stagelength_raw AS DOUBLE) AS a, CAST(corrected_dist_km AS DOUBLE) AS b FROM v_det WHERE stagelength_raw >= 0 AND corrected_dist_km >= 0),
+ m AS (SELECT greatest(max(a), max(b)) AS edge FROM p)
+ SELECT x, y, CAST(count(*) AS BIGINT) AS n, edge FROM (SELECT CAST(least(floor(a / (edge / 60)), 59) AS INTEGER) AS x, CAST(least(floor(b / (edge / 60)), 59) AS INTEGER) AS y, edge FROM p, m) GROUP BY 1, 2, 4"""
+)
 def hist2d(v: Views) -> DataFrame:
-    cells = v.det.select(bins.grid(c("stagelength_raw"), 0.0, 15.0, 60).alias("x"), bins.grid(c("corrected_dist_km"), 0.0, 15.0, 60).alias("y")).na.drop()
-    return cells.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return stats.histogram2d(v.det, c("stagelength_raw"), c("corrected_dist_km"), 60)
 
 
 @query("SELECT c_mktsegment, n, q25, q50, q75, round(q25 - 1.5 * (q75 - q25), 6) AS low, round(q75 + 1.5 * (q75 - q25), 6) AS high FROM (SELECT c_mktsegment, CAST(count(c_acctbal) AS BIGINT) AS n, round(quantile_cont(c_acctbal, 0.25), 6) AS q25, round(quantile_cont(c_acctbal, 0.5), 6) AS q50, round(quantile_cont(c_acctbal, 0.75), 6) AS q75 FROM customer GROUP BY 1)")
@@ -692,6 +696,19 @@ def precision_tier(v: Views) -> DataFrame:
     return v.registry.select("row_id", match.precision(r % 2 == 0, r % 3 == 0, r % 5 == 0, (r % 100).cast("double")).alias("precision"))
 
 
+@query(
+    """SELECT a.row_id AS k, CAST(count(*) AS BIGINT) AS n, min(r.row_id) AS first_row, max(r.row_id) AS last_row FROM v_registry a
+ JOIN v_registry r ON lower(a.vejnavn) = lower(r.vejnavn) AND r.husnr = CAST(a.row_id * 7 % 60 + 1 AS VARCHAR) GROUP BY a.row_id"""
+)
+def house_lookup(v: Views) -> DataFrame:
+    """The rows of each asked street and house, from a bucketed table that is built for it and dropped when they are found."""
+    index = store.HouseIndex.build(v.registry, shared_folder(v.spark, "houses").rsplit("/", 1)[1].replace("-", "_"))
+    asked = v.registry.select(c("row_id").alias("k"), F.upper("vejnavn").alias("street"), (c("row_id") * 7 % 60 + 1).alias("house"))
+    out = cut(index.lookup(asked).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row")))
+    index.drop()
+    return out
+
+
 # ---- vectors
 
 _DOT = "list_sum(list_transform(list_zip(a, b), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
@@ -708,6 +725,20 @@ def cosine_pair(v: Views) -> DataFrame:
     return rounded(p.join(q, c("j") == c("i") + 1).select("i", "j", vectors.cosine(c("a"), c("b")).alias("cosine")))
 
 
+@query("SELECT vec_id, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM v_vec")
+def stored_vectors(v: Views) -> DataFrame:
+    """Vectors as a store gives them back that was built, and added to, on disk."""
+    path = shared_folder(v.spark, "vectors")
+    rows = v.vec.select("vec_id", c("embedding").alias("v"))
+    held = store.VectorStore(v.spark, path)
+    held.build(rows.filter("vec_id % 2 = 0"))
+    held.append(rows.filter("vec_id % 2 = 1"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    out = cut(rounded(held.reconstruct(rows.select("vec_id")).select("vec_id", F.size("v").alias("n"), c("v")[0].cast("double").alias("first"), total.alias("total"))))
+    delete(v.spark, path)
+    return out
+
+
 _TOP1 = f"SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT p.vec_id AS query_id, q.vec_id, score, row_number() OVER (PARTITION BY p.vec_id ORDER BY score DESC, q.vec_id) AS k FROM (SELECT vec_id, embedding AS a FROM v_vec) p JOIN (SELECT vec_id, embedding AS b FROM v_vec) q ON p.vec_id <> q.vec_id, LATERAL (SELECT {_DOT} AS score)) WHERE k = 1"
 
 
@@ -824,18 +855,46 @@ def drop_named(v: Views) -> DataFrame:
     return relational.without(v.pair, lambda name: name.endswith("_mod"))
 
 
-@query("SELECT * FROM (VALUES (0, 'turid'), (1, 'SessionId'), (2, 'validation_status'), (3, 'note'), (4, 'stagelength_raw'), (5, 'stagedurationmin_raw'), (6, 'llm_verdict'), (7, 'answer')) t(place, name)")
+@query(
+    """SELECT d.turid, d.SessionId, validation_status, note, stagelength_raw, stagedurationmin_raw, llm_verdict, answer,
+ concat_ws('|', d.turid, d.SessionId, validation_status, note, stagelength_raw, stagedurationmin_raw, llm_verdict, answer) AS line FROM v_det d JOIN v_rag r ON d.turid = r.turid AND d.SessionId = r.SessionId"""
+)
 def column_order(v: Views) -> DataFrame:
-    """Common columns first, then extras; one column moved behind another."""
+    """The joined rows, common columns first, then extras, one column moved behind another; ``line`` has the values in that order."""
     det, rag = v.det.select("turid", "validation_status", "note", "stagelength_raw", "SessionId", "stagedurationmin_raw"), v.rag.select("turid", "SessionId", "llm_verdict", "answer")
     both = det.join(rag, ["turid", "SessionId"]).select(*relational.common_first(det, rag))
-    names = relational.moved(both, "SessionId", "turid").columns
-    return v.spark.createDataFrame(list(enumerate(names)), "place int, name string")
+    rows = relational.moved(both, "SessionId", "turid")
+    return rows.withColumn("line", F.concat_ws("|", *[c(n).cast("string") for n in rows.columns]))
 
 
-@query("SELECT * FROM (VALUES ('SessionId', 'number'), ('corrected_dist_km', 'number'), ('corrected_time_min', 'number'), ('transportmiddel', 'number')) t(name, kind)")
+_MODE = "CASE WHEN transportmiddel = 1 THEN 'Walk' WHEN transportmiddel = 2 THEN 'Bike' WHEN transportmiddel BETWEEN 3 AND 25 THEN 'Car' ELSE 'Other' END"
+
+
+@query(f"SELECT CAST(place AS INTEGER) AS place, mode, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (VALUES (0, 'Car'), (1, 'Ferry'), (2, 'Walk'), (3, 'Bike')) o(place, mode) LEFT JOIN (SELECT {_MODE} AS mode, count(*) AS n FROM v_det GROUP BY 1) USING (mode)")
+def reindexed_modes(v: Views) -> DataFrame:
+    """Counts of modes in a fixed order, 0 for one that no row has."""
+    n = v.det.groupBy(tx.mode_label(c("transportmiddel")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+    return stats.reindexed(n, "mode", ["Car", "Ferry", "Walk", "Bike"])
+
+
+@query("SELECT row_id AS id, vejnavn AS street, husnr AS house, postnr FROM v_registry")
+def rename_map(v: Views) -> DataFrame:
+    return relational.renamed(v.registry.select("row_id", "vejnavn", "husnr", "postnr"), {"row_id": "id", "vejnavn": "street", "husnr": "house", "absent": "x"})
+
+
+_COMPARED = ["SessionId", "corrected_dist_km", "corrected_time_min", "transportmiddel"]
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS name, 'number' AS kind, CAST(count(*) FILTER (d.{n} IS NOT NULL AND r.{n} IS NOT NULL) AS BIGINT) AS compared, CAST(count(*) FILTER (d.{n} = r.{n}) AS BIGINT) AS same,
+ CAST(count(*) FILTER ((d.{n} IS NULL) <> (r.{n} IS NULL)) AS BIGINT) AS one_side, round(max(abs(CAST(d.{n} AS DOUBLE) - CAST(r.{n} AS DOUBLE))), 6) AS largest FROM v_det d JOIN v_rag r ON d.turid = r.turid"""
+        for n in _COMPARED
+    )
+)
 def comparable_columns(v: Views) -> DataFrame:
-    return v.spark.createDataFrame(list(relational.comparable(v.det, v.rag, ["turid"]).items()), "name string, kind string")
+    """The columns that both sides have, found from their schemas, with how their values compare."""
+    return rounded(relational.compared(v.det, v.rag, ["turid"]))
 
 
 @query(f"SELECT turid, a_raw, a_mod, b_raw, b_mod FROM v_pair WHERE {_A3} OR {_B3}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,6 +43,18 @@ def ship(spark: SparkSession) -> None:
     setattr(sc, _SENT, True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of a new name that driver and executors share: under ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whatever file system it is in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a checkpoint in the shared folder, which outlives a lost executor.
 
