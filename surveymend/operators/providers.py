@@ -7,40 +7,125 @@ inputs are served once and joined back. Routes have providers of their own: ``ht
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import math
+import time
 import urllib.parse
-from collections.abc import Callable, Iterator
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..session import ship
-from ..sources.rest import FAILURES, get
+from ..session import cut, ship
+from ..sources.rest import FAILURES, get, retried
+from .relational import remaining
 
 #: A function that opens a service and returns one from a list of texts to a list of results.
 Provider = Callable[[], Callable[[list[str]], list]]
 
 
-def served(df: DataFrame, column: str, out: str, kind: str, provider: Provider) -> DataFrame:
-    """Add a provider's result for a text column; null texts are not asked for and have none."""
-    ship(df.sparkSession)
+#: Keys that a service gets in one call, calls at once in a task, times a failed call is made again, seconds before the first
+#: of them (twice as many before each next one), and keys after which finished ones are written.
+BATCH, CALLS, RETRIES, BACKOFF, WAVE = 256, 4, 4, 2.0, 100_000
+
+
+def batched(keys: Iterable[str], size: int) -> Iterator[list[str]]:
+    keys = iter(keys)
+    while group := list(itertools.islice(keys, size)):
+        yield group
+
+
+def called(ask: Callable[[list[str]], list], groups: Iterable[list[str]], calls: int, retries: int, backoff: float, sleep=time.sleep) -> Iterator[tuple[list[str], list | None, str | None]]:
+    """(keys, results or None, error or None) of each group, in order, with ``calls`` groups at most on their way.
+
+    A group whose call fails is asked again by itself; one that goes on failing has an error, and the others go on.
+    """
+
+    def one(keys: list[str]) -> list:
+        out = ask(keys)
+        if len(out) != len(keys):
+            raise ValueError(f"a service gave {len(out)} results for {len(keys)} keys")
+        return out
+
+    with ThreadPoolExecutor(calls) as pool:
+        going: deque = deque()
+        for keys in itertools.chain(groups, [None]):
+            if keys is not None:
+                going.append((keys, pool.submit(retried, lambda k=keys: one(k), retries, backoff, sleep)))
+            while going and (keys is None or len(going) >= calls):
+                asked, answer = going.popleft()
+                try:
+                    yield asked, answer.result(), None
+                except FAILURES as e:
+                    yield asked, None, f"{type(e).__name__}: {e}"
+
+
+class Unanswered(RuntimeError):
+    """Keys that a service failed on; answers to the others have been written."""
+
+
+def served(
+    df: DataFrame, column: str, out: str, kind: str, provider: Provider, batch: int = BATCH, calls: int = CALLS, retries: int = RETRIES, backoff: float = BACKOFF, store: str | None = None, wave: int = WAVE
+) -> DataFrame:
+    """Add a provider's result for a text column; null texts are not asked for and have none.
+
+    Distinct texts go to the service in calls of ``batch``, ``calls`` at once in each task; a failed call is repeated alone.
+    With ``store``, a folder that all executors share, answers are written every ``wave`` keys, and a run asks only for what
+    no earlier one has finished: so a run that broke off resumes, and every key is answered once. A call that fails for good
+    raises: at once without a store, and with one as ``Unanswered`` once all other answers are written.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    schema = f"__key string, `{out}` {kind}, __error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = provider()
-        for pdf in batches:
-            yield pd.DataFrame({"__key": pdf["__key"], out: ask(list(pdf["__key"]))})
+        for keys, answers, error in called(ask, batched(itertools.chain.from_iterable(pdf["__key"] for pdf in batches), batch), calls, retries, backoff):
+            if error and store is None:
+                raise Unanswered(f"{len(keys)} keys, the first of them {keys[0]!r}: {error}")
+            yield pd.DataFrame({"__key": keys, out: answers or [None] * len(keys), "__error": error})
 
     asked = df.select(F.col(column).alias("__key")).filter("__key is not null").distinct()
-    answers = asked.mapInPandas(run, f"__key string, `{out}` {kind}")
+    if store is None:
+        answers = asked.mapInPandas(run, schema).drop("__error")
+    else:
+        answers = _stored(asked, run, schema, store.rstrip("/"), wave)
     return df.join(answers, df[column] == answers["__key"], "left").drop("__key")
 
 
+def _stored(asked: DataFrame, run, schema: str, store: str, wave: int) -> DataFrame:
+    """Answers of this run and earlier ones; a wave's are a folder of their own, which is written whole or not at all."""
+    spark = asked.sparkSession
+    types = T.StructType(T._parse_datatype_string(schema).fields)
+
+    def finished() -> DataFrame:
+        try:
+            return spark.read.schema(types).parquet(f"{store}/wave=*").filter("__error is null").drop("__error")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], types).drop("__error")
+
+    todo = cut(remaining(asked, finished(), ["__key"]))
+    waves = -(-todo.count() // wave)
+    for k in range(waves):
+        part = todo.filter(F.pmod(F.xxhash64("__key", F.lit(31)), F.lit(waves)) == k)
+        part.mapInPandas(run, schema).write.parquet(f"{store}/wave={uuid.uuid4().hex}")
+    left = remaining(todo, finished(), ["__key"]).count()
+    if left:
+        raise Unanswered(f"{left} of {todo.count()} keys; the others are in {store}")
+    return finished().dropDuplicates(["__key"])
+
+
 def hashed_embedder(dimensions: int = 64, n: int = 3) -> Provider:
     """Offline double of an embedder: unit vectors of hashed character n-grams, so like texts have like vectors."""
 
