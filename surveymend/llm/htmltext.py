@@ -1,17 +1,20 @@
 """Main text of web pages by composite text density over every DOM node.
 
-A page becomes a tree. Parts whose element or role says what they are (scripts, styles, menus, forms, asides, footers,
-page headers) are left out. Every node's density is its characters for each tag, lowered by link characters and link
-tags; a node's sum is that of the densities of its blocks, runs of inline content counting as blocks. The subtree of the
-largest sum is the content, and the least density on the path from it to the body is the threshold.
-
-* Parts whose class or id speaks of adverts, comments and the like weigh ``MARKED`` of their density in the sums. Inside
-  the content they are left out, unless they hold the chosen subtree; of names that may mean anything (``notice``,
-  ``discussion``), headings, paragraphs and parts at least half as dense as the content stay.
-* Inside an article or main element, the content is that element. Otherwise what belongs to the subtree is added: the
-  heading that repeats the page's title, with blocks that reach the threshold between it and the subtree, and following
-  siblings that reach the threshold and ``LIKE`` of the sum. What stands before that heading is left out.
-* Lists and sections of mostly links below the threshold are left out. Nothing else is.
+A page becomes a tree; what is never read (scripts, styles, controls, media) is left out. Every node's density is its
+characters for each tag, lowered by link characters and link tags; a node's sum is that of the densities of its blocks,
+runs of inline content counting as blocks. The subtree of the largest sum is the best one, and the least density on the
+path from it to the body is the threshold.
+
+* Elements, roles and names are evidence, which weighs densities and never decides alone: a navigation or a part called
+  ``comments`` counts a small share of its density, an article twice its own. A name counts if all its words speak of
+  layout: ``ad-slot`` does, ``ad-hoc-networks`` doesn't.
+* The content begins with the best subtree and grows to the outermost part around it whose weighed density is at least
+  ``GROW`` of the best one's. Parts after it belong to it if they reach ``NEAR`` of the threshold, where text that is bare
+  in a box, as none of the content's is, counts little; parts before it, if they are articles, or have ``LIKE`` of its sum; also the heading that repeats the
+  page's title, with blocks between that reach the threshold. In a page without inner structure, what stands before that
+  heading is left out.
+* Inside the content, parts with evidence against them are left out if their weighed density is below the threshold, and
+  so are lists and sections of mostly links whose entries are as short as menus' (``MENU``). Nothing else is.
 
 Null and empty pages, and pages without text, give an empty text. Of equal sums, the first in page order, which is the
 outermost, is chosen. Repeated rows give repeated results, an empty table none, and other columns are ignored. Long, wide
@@ -42,48 +45,64 @@ _NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*
 # Element names by what they mean here (fixed values of the markup language).
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-_DROP = _RAW | frozenset("head nav footer aside form button select option datalist object canvas audio video dialog menu label fieldset".split())
+_DROP = _RAW | frozenset("head button select option datalist object canvas audio video".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul body".split())
 _SELF = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BOXES = frozenset("div section body html center main article header footer nav aside form".split())
 _LISTS = frozenset("div section ul ol table dl".split())
-# Words in a class or id: of parts that aren't content, and of parts that may be (fixed values).
-_NOT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal comment comments commentlist disqus respond share sharing social newsletter signup subscribe pagination pager nav navbar navigation menu footer masthead skip login".split())
-_MAYBE = frozenset("notice notices alert banner overlay discussion replies related recommended header topbar side aside search widget toolbar promotion".split())
-#: Beginnings of names that tell what a layout has or lacks.
-_ABOUT = frozenset("no has with without is js".split())
-#: What the density of a part with such a name counts, and the share of the largest sum that makes a sibling belong to it.
-MARKED, LIKE = 0.25, 0.25
+# Words of names (fixed values): of parts that aren't content, of parts that may be, and of layout, which say nothing else.
+_NOT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal comment comments commentlist disqus newsletter signup subscribe pagination pager navbar navigation nav footer masthead".split())
+_MAYBE = frozenset("notice notices alert banner menu share sharing social respond skip login overlay discussion replies related recommended header topbar side aside search widget toolbar".split())
+_LAYOUT = frozenset("list box bar area section wrap wrapper container block item items form panel row col column group holder slot unit module region link links icon icons button buttons thread title head body inner outer left right top bottom main primary secondary site page post posts article entry content global sticky fixed mobile desktop widget js ui wp".split())
+#: What the density of a part counts: by its element, by a role or a sure name, and by a name that may mean anything.
+_ELEMENTS = {"nav": 0.05, "footer": 0.05, "form": 0.1, "menu": 0.1, "dialog": 0.05, "header": 0.2, "aside": 0.2, "article": 2.0, "main": 1.25}
+SURE, UNSURE = 0.05, 0.9
+#: The share of the best density that content around it has; of the threshold that a part after it has; of the largest sum
+#: that a part before it has; and characters for each link that menus have at most.
+GROW, NEAR, LIKE, MENU = 0.9, 0.25, 0.25, 24
+#: What the density of a part after the content counts if its text is bare and the content's isn't; and the share of the
+#: threshold that parts of doubtful names have at least.
+OTHER, DOUBT = 0.02, 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "block", "key", "drop", "mark", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total", "wide")
+    __slots__ = ("tag", "parts", "parent", "block", "key", "drop", "own", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total", "wide")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False, mark: int = 0):
-        self.tag, self.parent, self.drop, self.mark, self.parts = tag, parent, drop, mark, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, own: float = 1.0):
+        self.tag, self.parent, self.drop, self.own, self.parts = tag, parent, drop, own, []
         self.block = self if parent is None or tag not in _INLINE else parent.block
         # Inline elements are closed within their block.
         self.key = tag if self.block is self else (id(self.block), tag)
-        self.weight = 1.0 if parent is None else MARKED if mark else parent.weight
+        self.weight = own if parent is None else own * parent.weight
 
 
-def _mark(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether the role tells that an element isn't content, and what its names say: 2 it isn't, 1 it may not be."""
-    found = 0
+def _speaks(name: str) -> float:
+    """What a class or id says: a name counts only if all its words are of layout, and it may be content if only a word of
+    doubtful meaning stands alone."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+    told = [w for w in words if w in _NOT or w in _MAYBE]
+    if not told or any(w not in _LAYOUT and w not in _NOT and w not in _MAYBE for w in words):
+        return 1.0
+    return SURE if len(words) > 1 or words[0] in _NOT else UNSURE
+
+
+def _evidence(tag: str, attributes: str, opened: dict) -> float:
+    """The weight of an element's density by its tag, role and names."""
+    inside = opened.get("article", 0)
+    out = _ELEMENTS.get(tag, 1.0)
+    if tag == "aside" and inside or tag == "header" and (inside or opened.get("main", 0) or opened.get("section", 0)):
+        out = 1.0
     if attributes and tag not in ("body", "main", "article"):
         for m in _NAMED.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "role":
-                if value.strip() in _ROLES:
-                    return True, 2
-                continue
-            for name in value.split():
-                words = re.split(r"[^a-z0-9]+", name)
-                if words[0] not in _ABOUT:
-                    found = max(found, 2 if not _NOT.isdisjoint(words) else 1 if not _MAYBE.isdisjoint(words) else 0)
-    return False, found
+                out = min(out, SURE) if value.strip() in _ROLES else out
+            else:
+                out = min([out, *map(_speaks, value.split())])
+    return out
 
 
 def tree(page: str) -> tuple[Node, str]:
@@ -130,9 +149,7 @@ def tree(page: str) -> tuple[Node, str]:
                     at = close(up)
                     break
                 up = up.parent
-        role, mark = _mark(tag, m[3])
-        unwanted = tag in _DROP or role or tag == "header" and not (opened.get("article", 0) or opened.get("main", 0) or opened.get("section", 0))
-        node = Node(tag, at, at.drop or unwanted, mark)
+        node = Node(tag, at, at.drop or tag in _DROP, _evidence(tag, m[3], opened))
         at.parts.append(node)
         closed = m[3][-1:] == "/" and (len(m[3]) == 1 or m[3][-2] in " \t\n\r\"'")
         if tag in _VOID or closed:
@@ -240,7 +257,7 @@ def _heading(nodes: list[Node], title: str) -> Node | None:
     title = " ".join(entities.unescape(title).split()).lower()
     best, most, first = None, (0, 0), None
     for n in nodes:
-        if n.tag in _HEADINGS and n.chars and n.weight == 1.0:
+        if n.tag in _HEADINGS and n.chars and n.weight >= UNSURE:
             said = _words(n).lower()
             if n.tag == "h1" and first is None:
                 first = n
@@ -250,30 +267,98 @@ def _heading(nodes: list[Node], title: str) -> Node | None:
     return best or first
 
 
-def _fits(n: Node | str, threshold: float, least: float = 0.0) -> bool:
-    return not isinstance(n, str) and not n.drop and n.weight == 1.0 and n.density >= threshold and n.total >= least and n.link_chars * 2 <= n.chars
+def _fits(n: Node | str, threshold: float) -> bool:
+    """A part without evidence against it that reaches the threshold and isn't mostly links."""
+    return not isinstance(n, str) and not n.drop and n.own >= UNSURE and n.density >= threshold and n.link_chars * 2 <= n.chars
+
+
+def _made_of(roots: list[Node]) -> dict[str, int]:
+    """Characters of text by the element of the block that holds them."""
+    out: dict[str, int] = {}
+    todo = list(roots)
+    while todo:
+        n = todo.pop()
+        for x in n.parts:
+            if isinstance(x, str):
+                if k := len(x.strip()):
+                    out[n.block.tag] = out.get(n.block.tag, 0) + k
+            elif not x.drop:
+                todo.append(x)
+    return out
+
+
+def _alike(n: Node, kinds: dict[str, int]) -> bool:
+    """Whether a part could go on with the text: most of its own stands in paragraphs, lists, tables or other blocks that say
+    what they hold, or bare in boxes as some of the text does."""
+    mine = _made_of([n])
+    bare = sum(k for tag, k in mine.items() if tag in _BOXES and tag not in kinds)
+    return 2 * bare <= sum(mine.values())
+
+
+def _grown(best: Node) -> Node:
+    """The outermost part around the best one that is nearly as dense, by what its own evidence says of it."""
+    out = best
+    for n in _path(best)[1:]:
+        if out.tag == "body":
+            break
+        if n.density * n.own >= GROW * best.density:
+            out = n
+    return out
+
+
+def _main_kinds(core: Node, heading: Node | None) -> dict[str, int]:
+    """The kinds of blocks in the part of a page that holds its heading, or has the largest sum, and in parts like it."""
+    parts = [x for x in core.parts if not isinstance(x, str) and not x.drop]
+    way = _path(heading)
+    best = next((x for x in parts if x in way), None) or max(parts, key=lambda x: x.total, default=core)
+    if best.tag in _HEADINGS:
+        best = max((x for x in parts if x.tag not in _HEADINGS), key=lambda x: x.total, default=best)
+    leaf = not any(not isinstance(x, str) and not x.drop and x.wide for x in best.parts)
+    return _made_of([x for x in parts if x.tag == best.tag] if leaf else [best])
+
+
+def _stray(x: Node, kinds: dict[str, int], threshold: float) -> bool:
+    """Whether a part's text is bare, as the content's isn't, and not dense enough all the same."""
+    return bool(x.chars) and not _alike(x, kinds) and OTHER * x.density < threshold
+
+
+def _begin(kinds: dict[str, int], way: list[Node], threshold: float) -> None:
+    """In a page without inner structure, leave out what stands before its heading (``way`` leads from it to the content) and
+    is less dense than some part behind it, or stray."""
+    for up, child in zip(way[1:], way, strict=False):
+        at = up.parts.index(child)
+        behind = max((x.density for x in up.parts[at:] if not isinstance(x, str) and not x.drop), default=0.0)
+        for x in up.parts[:at]:
+            if not isinstance(x, str) and not x.drop and x.tag not in _INLINE and (x.density < min(behind, threshold) or x.density < behind and x.tag not in _BOXES or _stray(x, kinds, threshold)):
+                x.drop = True
+
+
+def _end(core: Node, kinds: dict[str, int], path: list[Node], threshold: float) -> None:
+    """In such a page, leave out stray parts at its end."""
+    for x in reversed(core.parts):
+        if isinstance(x, str) and not x.strip() or not isinstance(x, str) and (x.drop or not x.chars):
+            continue
+        if isinstance(x, str) or x in path or not _stray(x, kinds, threshold):
+            return
+        x.drop = True
 
 
 def content(root: Node, title: str) -> tuple[list[Node], Node, float]:
-    """The subtrees to read in page order, the chosen one, and the threshold."""
+    """The subtrees to read in page order, the best one, and the threshold."""
     nodes = _preorder(root)
     measure(nodes)
     best = max((n for n in nodes if n.wide), key=lambda n: n.total)
     path = _path(best)
     threshold = min(n.density for n in path)
-    outer = [n for n in path if n.tag == "article"][-1:] or [n for n in path if n.tag == "main"][:1]
-    if outer:
-        return outer, best, threshold
+    core = _grown(best)
+    path = path[path.index(core) :]
     heading = _heading(nodes, title)
     before: list[Node] = []
     if heading is not None:
         way = _path(heading)
-        if best in way:
-            if best.parent is None or best.tag == "body":  # a page without inner structure: it begins at its title
-                for up, child in zip(way[1 : way.index(best) + 1], way, strict=False):
-                    for x in up.parts[: up.parts.index(child)]:
-                        if not isinstance(x, str) and x.tag not in _INLINE:
-                            x.drop = True
+        if core in way:
+            if core.parent is None or core.tag == "body":
+                _begin(_main_kinds(core, heading), way[: way.index(core) + 1], threshold)
         else:
             shared = next(n for n in path if n in set(way))
             mine, theirs = path[: path.index(shared)], way[: way.index(shared)]
@@ -286,11 +371,17 @@ def content(root: Node, title: str) -> tuple[list[Node], Node, float]:
                 before += [x for x in top[a + 1 : b] if _fits(x, threshold)]
                 for up, child in reversed(list(zip(mine[1:], mine, strict=False))):
                     before += [x for x in up.parts[: up.parts.index(child)] if _fits(x, threshold)]
-    after = []
-    if best.parent is not None and best.tag != "body":
-        row = best.parent.parts
-        after = [x for x in row[row.index(best) + 1 :] if _fits(x, threshold, LIKE * best.total)]
-    return [*before, best, *after], best, threshold
+    after: list[Node] = []
+    kinds = _made_of([core])
+    if core.parent is None or core.tag == "body":
+        _end(core, _main_kinds(core, heading), path, threshold)
+    else:
+        row = core.parent.parts
+        at = row.index(core)
+        first = [x for x in row[:at] if _fits(x, threshold) and _alike(x, kinds) and (x.tag == core.tag == "article" or x.total >= LIKE * best.total)]
+        before = before or first
+        after = [x for x in row[at + 1 :] if _fits(x, 0.0) and x.chars and (x.density >= NEAR * threshold if _alike(x, kinds) else OTHER * x.density >= threshold)]
+    return [*before, core, *after], best, threshold
 
 
 def text_of(page: str | None) -> str:
@@ -298,7 +389,7 @@ def text_of(page: str | None) -> str:
     if not page:
         return ""
     roots, best, threshold = content(*tree(page))
-    kept, dense = set(map(id, _path(best))), max(n.density for n in roots)
+    kept = set(map(id, _path(best)))
     out: list[str] = []
     todo: list = [x for n in reversed(roots) for x in (n, " ")]
     while todo:
@@ -310,11 +401,14 @@ def text_of(page: str | None) -> str:
             continue
         block = x.tag not in _INLINE or x.tag == "br"
         if id(x) not in kept:
-            linked = x.link_chars * 2 > x.chars
-            if x.mark == 2 and x.tag not in _HEADINGS or x.mark == 1 and x.tag not in _HEADINGS and x.tag != "p" and (linked or x.density * 2 < dense):
+            if x.own < UNSURE:
+                weak = x.own * x.density < threshold
+            else:
+                weak = x.own == UNSURE and x.tag != "p" and x.density < DOUBT * threshold
+            if weak and x.tag not in _HEADINGS:
                 continue
             # Only branches of blocks are weighed; a paragraph's own inline parts stay with it.
-            if x.tag in _LISTS and linked and x.density < threshold:
+            if x.tag in _LISTS and x.link_chars * 2 > x.chars and x.density < threshold and x.chars <= MENU * x.link_tags:
                 continue
         if block:
             out.append(" ")

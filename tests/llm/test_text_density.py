@@ -103,15 +103,60 @@ def test_density_equals_an_independent_scorer():
 # ---- pages without telling names
 
 
+def article_of(page):
+    article = page[page.index("<article>") + 9 : page.index("</article>")]
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", article)).split())
+
+
+def nameless(page, elements="article|main"):
+    page = re.sub(rf"<(/?)(?:{elements})\b", r"<\1div", page)
+    return re.sub(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+ALL = "article|main|header|nav|footer|aside|form"
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_articles_are_found_without_names(spark):
-    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
-    for page in pages:
-        article = page[page.index("<article>") + 9 : page.index("</article>")]
-        want = " ".join(html.unescape(re.sub(r"<[^>]+>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", article)).split())
+    for page in [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]:
+        want = article_of(page)
         assert htmltext.text_of(page) == want
-        plain = re.sub(r"<(/?)(?:article|main)", r"<\1div", page)
-        assert htmltext.text_of(re.sub(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", plain)) == want
+        assert htmltext.text_of(nameless(page)) == want
+        assert htmltext.text_of(nameless(page, ALL)) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("constant", [0.0, 1.0])
+def test_no_article_is_found_without_density(spark, monkeypatch, constant):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(100).collect()]
+    monkeypatch.setattr(htmltext, "composite", lambda *a: constant)
+    assert not any(htmltext.text_of(nameless(p, ALL)) == article_of(p) for p in pages)
+
+
+D = "Inner words that are long enough to be a paragraph of the article, and are all a part of it."
+MENU = f"<nav><ul>{''.join(f'<li><a href=/{k}>Section {k}</a></li>' for k in range(8))}</ul></nav>"
+REFERENCES = "".join(f"<li><a href=/r{k}>A reference with a long title number {k}</a></li>" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<section class='social-history'><p>{D}</p></section>", f"<div class='ad-hoc-networks'><p>{D}</p></div>", f"<div class='ad-hoc-networks'>{D}</div>", f"<div class=menu><p>{D}</p></div>", f"<p class='share-price'>{D}</p>",
+        f"<div><div id='comment-on-law'><p>{D}</p></div></div>", f"<aside><p>{D}</p></aside>", f"<p><label>{D}</label></p>", f"<fieldset><p>{D}</p></fieldset>", f"<ul>{REFERENCES}</ul>", "<p>Short.</p>", "<table><tr><td>1</td><td>2</td></tr></table>",
+    ],
+)
+@pytest.mark.parametrize("outside", [("", ""), (MENU, "<footer>(c) us</footer>"), (f"<div class=sidebar><p>{B}</p></div>", f"<div class=comments><p>{B}</p><p>{C}</p></div>")])
+def test_parts_of_an_article_stay_whatever_their_names(part, outside):
+    page = f"<body>{outside[0]}<article><h1>Head</h1><p>{A}</p>{part}<p>{B}</p><p>{C}</p></article>{outside[1]}</body>"
+    inner = " ".join(re.sub("<[^>]+>", " ", part).split())
+    assert htmltext.text_of(page) == f"Head {A} {inner} {B} {C}"
+
+
+def test_articles_beside_each_other_and_short_ends_stay():
+    two = f"<p>{D}</p><p>{D}</p>"
+    assert htmltext.text_of(f"<body>{MENU}<article>{BODY}</article><article>{two}</article></body>") == f"{TEXT} {D} {D}"
+    assert htmltext.text_of(f"<body>{MENU}<article>{two}</article><article>{BODY}</article></body>") == f"{D} {D} {TEXT}"
+    assert htmltext.text_of(f"<body>{MENU}<div>{BODY}</div><div><p>That was all of it, more or less.</p></div></body>") == f"{TEXT} That was all of it, more or less."
 
 
 LINKS = "".join(f"<li><a href=/{k}>Section {k}</a></li>" for k in range(8))
@@ -125,7 +170,8 @@ LINKS = "".join(f"<li><a href=/{k}>Section {k}</a></li>" for k in range(8))
         (f"<div class='comment-box ad'><div>{BODY}</div></div><div>x</div>", TEXT),
         (f"<div id=page><header><h1>Site</h1><p>Its motto, a long one</p></header><main>{BODY}</main></div>", TEXT),
         (f"<article><header><h1>Head</h1></header>{BODY}</article>", "Head " + TEXT),
-        (f"<body><div><ul>{LINKS}</ul></div><div>{BODY}</div><div><p>Ours since 1999.</p></div></body>", TEXT),
+        (f"<body><div><ul>{LINKS}</ul></div><div>{BODY}</div><div>Ours since 1999.</div></body>", TEXT),
+        (f"<body><div><ul>{LINKS}</ul></div><div>{BODY}</div><div><p>That was all of it.</p></div></body>", TEXT + " That was all of it."),
         (f"<body><div><p>Buy this, it is cheap and good for you, they say.</p></div><div>{BODY}</div></body>", TEXT),
         (f"<body><div><h1>Head</h1></div><div>{BODY}</div></body>", "Head " + TEXT),
         (f"<title>Head - Site</title><div><h2>Site</h2></div><div><h1>Head</h1><p>{A}</p></div><div>{BODY}</div>", f"Head {A} {TEXT}"),
