@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, geo
 from ..functions import text as tx
-from ..operators import match, prompts, relational, repair, stats, store, vectors
+from ..operators import match, matrices, prompts, relational, repair, stats, store, tokens, vectors
 from ..session import cut, delete, shared_folder
 from ..sources import files
 from .views import Views, with_views
@@ -645,6 +645,40 @@ def diff_long(v: Views) -> DataFrame:
     return relational.diff_long(v.pair, ["turid"])
 
 
+def _matrix_sql(frame: str, name: str, rows: str, row: str, column: str) -> str:
+    return f"SELECT '{frame}' AS frame, '{name}' AS matrix, r AS row, c AS column, n, round(n * 100.0 / sum(n) OVER (PARTITION BY r), 6) AS pct FROM (SELECT r, c, CAST(count(*) AS BIGINT) AS n FROM (SELECT {row} AS r, {column} AS c FROM {rows}) WHERE r IS NOT NULL AND c IS NOT NULL GROUP BY 1, 2)"
+
+
+def _cut_sql(x: str, edges: list[float], labels: list[str]) -> str:
+    inside = lambda a, b: " AND ".join([*([f"{x} > {a}"] if a > -bins.INF else []), *([f"{x} <= {b}"] if b < bins.INF else [])])
+    return "CASE " + " ".join(f"WHEN {inside(a, b)} THEN '{name}'" for a, b, name in zip(edges, edges[1:], labels)) + " END"  # noqa: B905
+
+
+_KM_BIAS, _MIN_BIAS = "(stagelength_raw - corrected_dist_km) / nullif(corrected_dist_km, 0)", "(stagedurationmin_raw - corrected_time_min) / nullif(CAST(corrected_time_min AS DOUBLE), 0)"
+_SURE = {
+    "DET": "(SELECT *, (SELECT avg(CAST(x AS DOUBLE)) FROM (SELECT unnest(regexp_extract_all(note, '\\((\\d+)\\)', 1)) AS x)) AS sure FROM v_det WHERE validation_status = 'corrected')",
+    "RAG": "(SELECT *, 100 * least(start_conf, end_conf) AS sure FROM (SELECT r.*, d.stagelength_raw, d.stagedurationmin_raw FROM v_rag r JOIN v_det d ON r.turid = d.turid) WHERE llm_verdict = 'corrected')",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        _matrix_sql(frame, name, f"(SELECT * FROM {_SURE[frame]} WHERE sure >= {80 if frame == 'DET' else 90}){where}", row, column)
+        for frame in _SURE
+        for name, where, row, column in (
+            ("mode", f" WHERE {_KM_BIAS} > -0.8 AND {_KM_BIAS} < 1.5", "CASE transportmiddel WHEN 1 THEN 'Walk' WHEN 2 THEN 'Bicycle' WHEN 11 THEN 'Car/Van' WHEN 12 THEN 'Car/Van' END", _cut_sql(_KM_BIAS, bins.BIAS_EDGES, bins.BIAS_LABELS)),
+            ("distance", "", _cut_sql("corrected_dist_km", matrices.DISTANCE_EDGES, matrices.DISTANCE_LABELS), _cut_sql(_KM_BIAS, matrices.STATUS_EDGES, matrices.STATUS_LABELS)),
+            ("time", "", _cut_sql("corrected_time_min", matrices.TIME_EDGES, matrices.TIME_LABELS), _cut_sql(_MIN_BIAS, matrices.STATUS_EDGES, matrices.STATUS_LABELS)),
+        )
+    )
+)
+def pipeline_matrices(v: Views) -> DataFrame:
+    """Three matrices of each pipeline's sure corrections, in one pass over each."""
+    rag = v.rag.join(v.det.select("turid", "stagelength_raw", "stagedurationmin_raw"), "turid")
+    frames = {"DET": matrices.safe(v.det, "DET"), "RAG": matrices.safe(rag, "RAG")}
+    return rounded(matrices.counted(frames, [matrices.by_mode(), matrices.by_distance(), matrices.by_time()]))
+
+
 # ---- addresses
 
 
@@ -847,6 +881,26 @@ def pad_batch(v: Views) -> DataFrame:
     return out.select("turid", F.array_join(c("input_ids").cast("array<string>"), ",").alias("input_ids"), F.size("labels").alias("width"))
 
 
+@query(
+    """SELECT turid, 'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10)
+ || startTripText_raw || chr(10) || chr(10) || '### Input:' || chr(10) || coalesce(tiladrtext_raw, 'nan') || chr(10) || chr(10) || '### Response:' || chr(10) || CAST(SessionId AS VARCHAR) || '</s>' AS text FROM v_trip"""
+)
+def instruction_format(v: Views) -> DataFrame:
+    text = prompts.formatted(c("startTripText_raw"), F.coalesce(c("tiladrtext_raw"), F.lit("nan")), c("SessionId").cast("string"))
+    return v.trip.select("turid", text.alias("text"))
+
+
+@query()
+def tokenized_examples(v: Views) -> DataFrame:
+    """Prompts and answers of all trips as token ids, masked and truncated."""
+    import public_tokenizers
+
+    said = prompts.training_entry(repair.fast_validation(v.geo))
+    prompt = prompts.formatted(c("instruction"), c("input"), F.lit(""), "")
+    out = tokens.examples(said.select("turid", "delturnr", "instruction", "input", "output"), prompt, c("output"), public_tokenizers.path("byte_bpe_50k.json"), 160, "<|endoftext|>")
+    return out.select("turid", "delturnr", "input_ids", "labels")
+
+
 # ---- smaller steps
 
 
