@@ -14,7 +14,8 @@ A document is its set of distinct hashed word shingles; two link at a Jaccard si
    in cells: pieces of ``CELL`` documents of the block's largest component against pieces of the others, and those pairwise.
 
 Texts that are null, or have no word, link with nothing. Fewer words than a shingle make one shingle of the whole.
-Null ids keep their size; they take no part in links. Repeated rows repeat their row. Empty tables give no rows.
+Null ids keep their size; they take no part in links. Repeated rows repeat their row; of different texts of one id each
+keeps its size, and one of them speaks for the id when sets are compared, the same in every run. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -341,7 +342,8 @@ def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     for r in maps.collect():
         bits[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
     sets = mapped(text.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("bit")), _sets_where(bits), "id long, hashes binary")
-    sets = cut(sets.join(active, "id", "left_semi").dropDuplicates(["id"]))
+    # Of several texts of one id the one of least set counts, so that reruns agree.
+    sets = cut(sets.join(active, "id", "left_semi").groupBy("id").agg(F.min("hashes").alias("hashes")))
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     return mapped(one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"), _linked, "a long, b long")
 

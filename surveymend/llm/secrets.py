@@ -27,6 +27,8 @@ ASSIGN = _WORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What isn't a candidate: digits and marks without a letter, and UUIDs.
+PLAIN = r"^[0-9+/_=-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: Characters that candidates are made of, for smoothing.
 ALPHABET = 67
 #: One labelled string in so many is left out of the models, and serves to set the threshold; the shares of
@@ -43,22 +45,29 @@ SAMPLE_ROWS = 4096
 
 
 def training_sample(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, random): random strings in several alphabets, and identifiers in the ways that words are joined."""
+    """(text, random, left_out): random strings in several alphabets, and identifiers in the ways that words are joined.
+
+    One row in ``FOLDS`` is left out of the models, and has words that no other row has: the threshold is set on new words.
+    """
     ids = spark.range(rows)
+    left_out = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(FOLDS)) == 0
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     packed = F.base64(F.unhex(digest))
-    words = F.array(*[F.lit(w) for w in dict.fromkeys(WORDS)])
-    n = len(dict.fromkeys(WORDS))
-    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)) + 1).cast("int"))
-    four = [pick(k) for k in range(4)]
+    every = list(dict.fromkeys(WORDS))
+    words = [F.array(*[F.lit(w) for k, w in enumerate(every) if (k % FOLDS == 0) == out]) for out in (True, False)]
+    draw = lambda of, k: F.element_at(of, (F.pmod(F.xxhash64("id", F.lit(k)), F.size(of)) + 1).cast("int"))
+    four = [F.when(left_out, draw(words[0], k)).otherwise(draw(words[1], k)) for k in range(4)]
     of = lambda kinds: F.element_at(F.array(*kinds), (F.pmod(F.col("id"), F.lit(len(kinds))) + 1).cast("int"))
     random = of([digest, packed, packed, F.translate(packed, "+/=", "aQ7"), F.upper(digest), F.translate(F.upper(F.concat(digest)), "0123456789", "GHKMPRSTVZ")])
+    number = F.pmod(F.xxhash64("id", F.lit(21)), F.lit(10**8)).cast("string")
+    day = F.concat(F.lit("20"), F.lpad((F.col("id") % 100).cast("string"), 2, "0"), F.lit("-0"), (F.col("id") % 9 + 1).cast("string"), F.lit("-1"), (F.col("id") % 10).cast("string"))
     plain = of([
         F.concat_ws("_", *four), F.concat_ws("-", *four), F.concat_ws("/", *four), F.concat(four[0], *[F.initcap(w) for w in four[1:]]), F.concat(*[F.initcap(w) for w in four]), F.concat(*four),
-        F.upper(F.concat_ws("_", *four)), F.concat(F.concat_ws("-", *four), F.lit("-"), F.col("id").cast("string")), F.concat(F.concat_ws("/", *four[:3]), F.lit("/20"), F.lpad((F.col("id") % 100).cast("string"), 2, "0"), F.lit("-0"), (F.col("id") % 9 + 1).cast("string")),
+        F.upper(F.concat_ws("_", *four)), F.concat(F.concat_ws("-", *four), F.lit("-"), F.col("id").cast("string")), F.concat_ws("/", *four[:3], day),
         F.repeat(F.element_at(F.array(*[F.lit(c) for c in "=-_/+"]), (F.floor(F.col("id") / 10) % 5 + 1).cast("int")), 30),
+        F.concat_ws("/", *four[:2], F.concat(F.lit("v"), F.col("id") % 10), number), F.concat_ws("/", F.lit("/usr/lib"), F.concat(F.lit("x86_64-"), four[0], F.lit("-"), four[1]), four[2]), F.concat_ws("_", four[0], number, four[1], day),
     ])
-    return ids.select(random.alias("text"), F.lit(True).alias("random")).unionByName(ids.select(plain.alias("text"), F.lit(False).alias("random")))
+    return ids.select(random.alias("text"), F.lit(True).alias("random"), left_out.alias("left_out")).unionByName(ids.select(plain.alias("text"), F.lit(False).alias("random"), left_out.alias("left_out")))
 
 
 @dataclass
@@ -70,12 +79,13 @@ class Model:
 
 
 def train(sample: DataFrame) -> Model:
-    """Models from (text, random); collects at most 2 * 67**2 counts and two quantiles.
+    """Models from (text, random, and left_out or a hash in its place); collects at most 2 * 67**2 counts and two quantiles.
 
     Among strings left out of the counts, the threshold lies half way between what all but ``FALSE`` of the identifiers
     stay below and what all but ``MISSED`` of the random strings exceed, or at the former where the two overlap.
     """
-    sample = sample.withColumn("left_out", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS)) == 0)
+    if "left_out" not in sample.columns:
+        sample = sample.withColumn("left_out", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS)) == 0)
     chars = F.transform(F.split("text", ""), F.ascii)
     pairs = (
         sample.filter("not left_out").filter(F.length("text") > 1)
@@ -154,7 +164,7 @@ def _scanned(docs: DataFrame, model: Model, text: str, base_as: str, spans_as: s
     base = F.array_sort(F.concat(assign, _spans(whole, ACCESS, 1), _spans(whole, HEX, 2)))
     out = docs.withColumn(base_as, base)
     over = lambda s: F.exists(base_as, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter(_spans(whole, CANDIDATE, 3), lambda s: ~over(s) & (ratio(s["value"], model) > threshold))
+    more = F.filter(_spans(whole, CANDIDATE, 3), lambda s: ~over(s) & ~s["value"].rlike(PLAIN) & (ratio(s["value"], model) > threshold))
     return out.withColumn(spans_as, F.array_sort(F.concat(base_as, more)))
 
 

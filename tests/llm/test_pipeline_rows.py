@@ -7,6 +7,8 @@ import pytest
 from surveymend.llm import mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, secret_base string, ids long, __key string"
+#: Names that stages might use for columns of their own.
+CLASHES = "__other __repeated __words __base __spans __key n count id rep component_id n_shingles hot copies size bucket key lang_pred score decoded secret_spans".split()
 SENTENCE = "the house of the river was near to the water and the people of it"
 OTHER = "das haus am fluss war nahe an dem wasser und die leute aus der stadt"
 
@@ -78,3 +80,19 @@ def test_empty_tables_stay_empty(spark, docs, stages):
     for name, stage in stages.items():
         out = stage(spark, docs.limit(0), "")
         assert out.collect() == [] and (name == "tokens" or out.columns == docs.columns)
+
+
+def test_any_names_pass_every_stage(spark, docs, stages):
+    clashing = docs.select("doc_id", "text", "lang", "source", "n_chars", *[docs["n_chars"].alias(c) for c in CLASHES])
+    for name, stage in stages.items():
+        out, plain = stage(spark, clashing, ""), stage(spark, docs, "")
+        if name == "tokens":
+            assert Counter((r["doc_id"], r["decoded_sha256"]) for r in out.collect()) == Counter((r["doc_id"], r["decoded_sha256"]) for r in plain.collect())
+        else:
+            assert out.columns == clashing.columns and counted(out) == counted(plain)
+
+
+def test_one_id_with_several_texts_gives_the_same_rows_again(spark, docs, stages):
+    more = docs.unionByName(docs.filter("doc_id = 402").withColumn("text", docs["source"]))
+    first = counted(stages["near duplicates"](spark, more.repartition(5), ""))
+    assert all(counted(stages["near duplicates"](spark, more.repartition(n), "")) == first for n in (2, 7))
