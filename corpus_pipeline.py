@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveymend.llm import langid, mixing, ngram_join, secrets, sentencepieces
-from surveymend.llm.common import cut
+from surveymend.llm.common import cut, fresh
 
 #: Ids of dropped documents that are broadcast at most: 4 MB.
 BROADCAST_IDS = 500_000
@@ -29,16 +29,17 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of null id, and texts without words, stay. Of repeated rows of one id and the same words one stays.
     """
-    others = cut(ngram_join.join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__other")).distinct())
-    out = docs.join(_few(others), F.col("doc_id").cast("long") == F.col("__other"), "left_anti")
-    repeated = cut(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__repeated")).count().filter("count > 1").select("__repeated"))
+    other, again, said = (fresh(docs, name) for name in ("other", "repeated", "words"))
+    others = cut(ngram_join.join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias(other)).distinct())
+    out = docs.join(_few(others), F.col("doc_id").cast("long") == F.col(other), "left_anti")
+    repeated = cut(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias(again)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(again))
     if repeated.isEmpty():
         return out
-    repeated, same = _few(repeated), F.col("doc_id") == F.col("__repeated")
+    repeated, same = _few(repeated), F.col("doc_id") == F.col(again)
     words = F.translate(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = out.join(repeated, same, "left_semi").withColumn("__words", words)
-    wordless = F.coalesce(F.col("__words") == "", F.lit(True))
-    once = rows.filter(~wordless).dropDuplicates(["doc_id", "__words"]).unionByName(rows.filter(wordless)).drop("__words")
+    rows = out.join(repeated, same, "left_semi").withColumn(said, words)
+    wordless = F.coalesce(F.col(said) == "", F.lit(True))
+    once = rows.filter(~wordless).dropDuplicates(["doc_id", said]).unionByName(rows.filter(wordless)).drop(said)
     return out.join(repeated, same, "left_anti").unionByName(once)
 
 
