@@ -91,22 +91,24 @@ def note(*tokens: Column) -> Column:
 
 
 def _any(c: Column, words) -> Column:
-    return c.rlike("|".join(words))
+    """Whether any of some plain words occurs; plain search is many times faster than an alternation."""
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
 def failure_class(text: Column) -> Column:
     """Why a text couldn't be resolved; a missing text reads as the word for it."""
-    t = F.trim(F.lower(F.coalesce(text, F.lit("nan"))))
     noise, private, semantic, other = FAILURES
-    return F.when(F.length(t) < 3, noise).when(_any(t, PRIVATE), private).when(_any(t, SEMANTIC), semantic).otherwise(other)
+    named = lambda t: F.when(F.length(t) < 3, noise).when(_any(t, PRIVATE), private).when(_any(t, SEMANTIC), semantic).otherwise(other)
+    return _once(F.trim(F.lower(F.coalesce(text, F.lit("nan")))), named)
 
 
 def structure_class(text: Column) -> Column:
     """By number of words, from five on, then by whether a street ending and a digit occur."""
-    t = F.trim(F.lower(F.coalesce(text, F.lit("nan"))))
-    suffix = _any(t, MARKERS)
     narrative, malformed, generic, stub = STRUCTURES
-    return F.when(F.size(F.split(t, r"\s+")) >= 5, narrative).when(suffix & t.rlike("[0-9]"), malformed).when(suffix, generic).otherwise(stub)
+    few = lambda t: F.when(_any(t, MARKERS), F.when(t.rlike("[0-9]"), malformed).otherwise(generic)).otherwise(stub)
+    # Four runs of white space, looked for from the beginning, so that a long text isn't split.
+    named = lambda t: F.when(t.rlike(r"^\S*+(?:\s++\S++){3}\s"), narrative).otherwise(few(t))
+    return _once(F.trim(F.lower(F.coalesce(text, F.lit("nan")))), named)
 
 
 def verdict(answer: Column) -> Column:

@@ -121,3 +121,14 @@ def test_weighted_ratio_known():
     assert match.weighted_ratio("", "x") == 0
     assert match.weighted_ratio("ringvej", "ringvejen") == pytest.approx(87.5)
     assert match.weighted_ratio("vej ring", "ring vej") == pytest.approx(95)
+
+
+def test_classes_of_odd_texts(spark):
+    """Words are parts at white space, as split gives them; words of classes may stand anywhere."""
+    texts = ["a b c d e", "a b c d", "\na b c d", "a\tb c\n\nd ", "a b c d\n", " a b c d ", "", None, "x", "vej 1", "Strandvej", "PRIVAT", "xhjemx", "ved  ikke", "a  b   c    d", "\u00a0a b c d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = tx.F.trim(tx.F.lower(tx.F.coalesce("t", tx.F.lit("nan"))))
+    for r in df.select("t", tx.structure_class(df["t"]).alias("s"), tx.failure_class(df["t"]).alias("f"), tx.F.size(tx.F.split(old, r"\s+")).alias("n"), old.alias("o")).collect():
+        said = any(m in r["o"] for m in tx.MARKERS)
+        assert r["s"] == tx.STRUCTURES[0 if r["n"] >= 5 else 1 if said and any(c.isdigit() for c in r["o"]) else 2 if said else 3]
+        assert r["f"] == tx.FAILURES[0 if len(r["o"]) < 3 else 1 if any(w in r["o"] for w in tx.PRIVATE) else 2 if any(w in r["o"] for w in tx.SEMANTIC) else 3]
