@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, mix64, out_batch, ready, word_hashes
+from .common import chunks, cut, mapped, mix64, out_batch, ready, word_hashes
 
 WIDE, LANES = 16, 128
 _ODD = mix64(np.arange(71, 75, dtype=np.uint64)) | np.uint64(1)
@@ -89,8 +89,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-#: Texts compared at once in a worker.
-STEP = 256
+#: Texts compared at once in a worker, and rows of one id, or none, that a task gets.
+STEP, HOT_ROWS = 256, 4096
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,27 +131,59 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def compare(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def compare(docs: DataFrame, buckets: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fingerprints of texts and of their edited texts, whose last half is replaced from the next document's start.
 
     Documents are dealt to ranges of doc_id, whose bounds (at most ``buckets`` numbers) come from the ids alone; the first
-    of each range is dealt to the range before it too, as its last document's next. Null ids come first; rows of one id
-    are ordered by text. A lone document is its own next.
+    of each range is dealt to the range before it too, as its last document's next. Null ids come first; rows of one id, or
+    none, are ordered by a hash of the text and then by the text. An id that more than ``hot_rows`` rows share, and no id,
+    is a range of its own that is cut by the hash, so no task gets all its rows. A lone document is its own next.
     """
     spark = docs.sparkSession
     ready(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(n)], 10 * n).alias("cuts"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    # Each bound is an id that is there, so it is the first id of its bucket.
-    cuts = sorted(set(known["cuts"] or []) - {known["least"]})
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
-    dealt = rows.withColumn("bucket", bucket).withColumn("closes", F.lit(False))
-    heads = dealt.filter(F.col("doc_id").isin(cuts)).groupBy("doc_id", "bucket").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", (F.col("bucket") - 1).alias("bucket"), F.lit(True).alias("closes"))
-    at_start = F.col("doc_id").isNull() if known["nulls"] else F.col("doc_id") == F.lit(known["least"]).cast("long")
-    first = dealt.filter(at_start).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", F.lit(len(cuts)).alias("bucket"), F.lit(True).alias("closes"))
-    placed = dealt.unionByName(heads).unionByName(first).repartition("bucket").sortWithinPartitions("bucket", "closes", "doc_id", "text")
+    known = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(n)], 10 * n).alias("cuts"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("rows")).first()
+    # As many slices at most as there are buckets.
+    hot_rows = max(hot_rows, known["rows"] // n)
+    cuts = known["cuts"] or []
+    # An id of many rows is several of the quantiles.
+    often = sorted({c for c in cuts if cuts.count(c) > 1})
+    hot = {r["doc_id"]: r["n"] for r in rows.filter(F.col("doc_id").isin(often)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).collect()} if often else {}
+    starts = {*cuts, *hot} | ({known["least"]} if known["least"] is not None else set())
+    if hot:
+        # A range ends with its hot id, so the next id begins another.
+        order = F.array(*[F.lit(c).cast("long") for c in sorted(hot)])
+        starts |= {r["next"] for r in rows.filter(F.col("doc_id").isNotNull() & ~F.col("doc_id").isin(list(hot))).groupBy(F.size(F.filter(order, lambda c: c < F.col("doc_id")))).agg(F.min("doc_id").alias("next")).collect()}
+    # Ranges in order: that of no id, if there is one, and those that begin with an id; how many slices of the hash each has.
+    ids = sorted(starts)
+    counts = ([known["nulls"]] if known["nulls"] else []) + [hot.get(i, 0) for i in ids]
+    slices = [max(1, -(-c // hot_rows)) for c in counts]
+    first_of = [sum(slices[:k]) for k in range(len(slices))]
+    numbers = lambda x: F.array(*[F.lit(v).cast("long") for v in x]) if x else F.array().cast("array<bigint>")
+    own = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(numbers(ids), lambda c: c <= F.col("doc_id"))) - (0 if known["nulls"] else 1))
+    many, first = F.get(numbers(slices), F.col("range")), F.get(numbers(first_of), F.col("range"))
+    part = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * many), many - 1)
+    dealt = rows.withColumn("range", own).withColumn("bucket", (first + part).cast("int")).withColumn("closes", F.lit(False)).drop("range")
+    # The first row of each bucket: of ranges in one slice by their first id, of slices by their least hash.
+    whole = [i for i, k in zip(([None] if known["nulls"] else []) + ids, slices, strict=True) if k == 1]
+    is_first = F.col("doc_id").isin([i for i in whole if i is not None]) | (F.col("doc_id").isNull() if None in whole else F.lit(False))
+    least = F.min(F.struct("h", F.coalesce("text", F.lit("")).alias("text"))).alias("least")
+    heads = dealt.filter(is_first).groupBy("bucket", "doc_id").agg(least)
+    sliced = [k for f, m in zip(first_of, slices, strict=True) if m > 1 for k in range(f, f + m)]
+    if sliced:
+        in_slice = dealt.filter((F.col("bucket") >= sliced[0]) & (F.col("bucket") <= sliced[-1]) & F.array_contains(numbers(sliced), F.col("bucket").cast("long")))
+        lowest = cut(in_slice.groupBy("bucket").agg(F.min("h").alias("lowest")))
+        at_lowest = in_slice.join(F.broadcast(lowest), "bucket").filter(F.col("h") == F.col("lowest"))
+        heads = heads.unionByName(at_lowest.groupBy("bucket", "doc_id").agg(least))
+    heads = cut(heads)
+    # A bucket's last row is followed by the first of the next bucket that has rows; the last bucket's, by the first of all.
+    full = sorted(r["bucket"] for r in heads.select("bucket").collect())
+    before = {b: full[k - 1] for k, b in enumerate(full)}
+    if full:
+        place = F.element_at(F.array(*[F.lit(before.get(b, 0)) for b in range(full[-1] + 1)]), F.col("bucket") + 1)
+        dealt = dealt.unionByName(heads.select("doc_id", "least.text", "least.h", place.alias("bucket"), F.lit(True).alias("closes")))
+    placed = dealt.repartition("bucket").sortWithinPartitions("bucket", "closes", "doc_id", "h", "text")
     return mapped(
-        placed, _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        placed.select("bucket", "doc_id", "text", "closes"), _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
