@@ -2,9 +2,10 @@
 
 Every document of a source has the same expected number of copies, target words over source words: the whole part is
 taken outright, and the fractional parts are rounded by pairs that exchange mass until one of them is integral, so a
-source's taken words stay near its target. Of a pair, one is a document and the other the pool of the smaller documents
-of its group. Groups form a reduction tree: each of about ``FAN`` documents leaves at most one fractional document, and
-those meet in groups of ``FAN`` on the next level.
+source's taken words stay near its target. Groups form a reduction tree: each of about ``FAN`` documents leaves at most
+one fractional document, and those meet in groups of ``FAN`` on the next level. On the first level all documents of a group
+have one rate, and each is paired with the pool of the smaller ones, which leaves a small one over; on the levels above,
+where rates differ, a document is paired with a document. Both keep every document's expectation.
 Ties are broken by hashes of doc_id, or of source and text where that is null, so reruns agree. Null and empty texts have
 size 0 and are never copied. A null source is a source of its own, ordered last. Rows of null or repeated ids are rounded
 one by one. An empty table gives no rows. Very long texts are only counted; one that alone exceeds its source's target
@@ -77,10 +78,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _round(units: Column, seed: int) -> Column:
-    """Settle an array of (key, anon, size, p), largest first: settled units, and the at most one left fractional.
+    """Settle an array of (key, anon, size, p) of one p, largest first: settled units, and the at most one left fractional.
 
-    Each unit is paired with the pool of those after it. Mass moves at random between the two, keeping every
-    expectation, until the unit or the whole pool is integral. The pool's probabilities are kept as a + b * p.
+    Each unit is paired with the pool of those after it, which share one probability, kept as a + b * p. Mass moves at
+    random between the two, keeping every expectation, until the unit or the whole pool is integral.
     """
 
     def pivot(s: Column, u: Column) -> Column:
@@ -117,6 +118,38 @@ def _round(units: Column, seed: int) -> Column:
     return F.aggregate(units, start, pivot)
 
 
+def _paired(units: Column, seed: int) -> Column:
+    """Settle an array of (key, anon, size, p): settled units, and the at most one left fractional.
+
+    One fractional unit is carried along and paired with the next. Words move at random from one to the other, keeping
+    their sum and both expectations, until one of the two is integral; the other is carried on.
+    """
+
+    def pivot(s: Column, u: Column) -> Column:
+        c = s["rest"]
+        w, v, p, q = c["size"].cast("double"), u["size"].cast("double"), c["p"], u["p"]
+        moves = F.struct(F.least((1 - p) * w, q * v).alias("up"), F.least(p * w, (1 - q) * v).alias("down"))
+        return F.when(c["key"].isNull(), F.struct(s["done"].alias("done"), _unit(u, q).alias("rest"))).otherwise(_let(moves, lambda m: turned(s, c, u, w, v, p, q, m)))
+
+    def turned(s, c, u, w, v, p, q, m) -> Column:
+        rise = _uniform(u["key"], c["key"], seed) * (m["up"] + m["down"]) < m["down"]
+        return _let(F.struct(rise.alias("rise"), F.when(rise, (1 - p) * w <= q * v).otherwise(p * w <= (1 - q) * v).alias("first")), lambda k: F.struct(
+            F.concat(s["done"], F.array(F.when(k["first"], _settled(c, k["rise"])).otherwise(_settled(u, ~k["rise"])))).alias("done"),
+            F.when(k["first"], _unit(u, q + F.when(k["rise"], -m["up"]).otherwise(m["down"]) / v)).otherwise(_unit(c, p + F.when(k["rise"], m["up"]).otherwise(-m["down"]) / w)).alias("rest"),
+        ))
+
+    nothing = F.struct(F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("boolean").alias("anon"), F.lit(0).cast("bigint").alias("size"), F.lit(0.0).alias("p"))
+    return F.aggregate(units, F.struct(F.array().cast(_DONE).alias("done"), nothing.alias("rest")), pivot)
+
+
+def _unit(u: Column, p: Column) -> Column:
+    return F.struct(u["key"].alias("key"), u["anon"].alias("anon"), u["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
+
+
+def _settled(u: Column, taken: Column) -> Column:
+    return F.struct(u["key"].alias("key"), u["anon"].alias("anon"), u["size"].alias("size"), taken.cast("int").alias("extra"))
+
+
 def mix(docs: DataFrame, seed: int = 20) -> DataFrame:
     """doc_id, source, size, source_size, target and copies, from 0 to 3: one row per document.
 
@@ -150,7 +183,7 @@ def _mixed(docs: DataFrame, seed: int) -> DataFrame:
     out = fixed.select("key", "anon", *of_source, "size", F.lit(0).alias("extra"))
     for k in range(LEVELS + 1):
         last = k == LEVELS
-        level = level.groupBy(*of_source, *([] if last else ["bucket"])).agg(F.array_sort(F.collect_list(unit)).alias("units")).withColumn("r", _round(F.col("units"), seed + k)).drop("units")
+        level = level.groupBy(*of_source, *([] if last else ["bucket"])).agg(F.array_sort(F.collect_list(unit)).alias("units")).withColumn("r", (_paired if k else _round)(F.col("units"), seed + k)).drop("units")
         # Each level is cut, as otherwise its plan holds those of all levels below.
         level = cut(level)
         out = out.unionByName(level.select(*of_source, F.explode("r.done").alias("d")).select("d.key", "d.anon", *of_source, "d.size", "d.extra"))

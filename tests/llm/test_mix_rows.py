@@ -1,7 +1,11 @@
 """Rows of the mix itself."""
 
+import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from surveymend.llm import mixing
 
 COLUMNS = "doc_id long, text string, source string"
@@ -59,3 +63,42 @@ def test_words_of_the_mix_equal_its_digest(spark):
     assert all(target[s] <= 3 * size[s] for s in target)
     again = Counter(tuple(r) for r in mixing.repeat(docs.repartition(7)).collect())
     assert again == Counter(tuple(r) for r in got.collect())
+
+
+@pytest.mark.parametrize("level", ["first", "above"])
+def test_rounding_keeps_every_expectation(spark, level):
+    """Over many independent groups of the same documents, each is taken as often as its rate says, and no group's words change."""
+    rng, reps = random.Random(3), 1500
+    units = [(rng.choice([1, 5, 20, 80, 300, 2000]) + rng.randint(0, 9), 0.4 if level == "first" else rng.choice([0.5, 0.2, 0.85, 0.05, 1 / 3])) for _ in range(24)]
+    rows = [(rep, [(-w, rep * 1000 + k, False, p, w) for k, (w, p) in sorted(enumerate(units), key=lambda x: (-x[1][0], x[0]))]) for rep in range(reps)]
+    df = spark.createDataFrame(rows, "rep int, units array<struct<o:long,key:long,anon:boolean,p:double,size:long>>")
+    taken, words = [0.0] * len(units), []
+    rounded = (mixing._round if level == "first" else mixing._paired)(F.col("units"), 20)
+    for r in df.select(rounded.alias("r")).collect():
+        left = r["r"]["rest"]
+        assert len(r["r"]["done"]) + (left["key"] is not None) == len(units) and all(d["extra"] in (0, 1) for d in r["r"]["done"])
+        for d in r["r"]["done"]:
+            taken[d["key"] % 1000] += d["extra"]
+        if left["key"] is not None:
+            taken[left["key"] % 1000] += left["p"]
+        words.append(sum(d["size"] * d["extra"] for d in r["r"]["done"]) + left["size"] * left["p"])
+    for (_, p), t in zip(units, taken, strict=True):
+        assert abs(t / reps - p) <= 3.5 * (p * (1 - p) / reps) ** 0.5
+    assert max(abs(w - sum(w * p for w, p in units)) for w in words) < 1e-6 * sum(w for w, _ in units)
+
+
+def test_the_tree_keeps_expectations_over_seeds(spark, monkeypatch):
+    """Documents of a whole mix, through several levels of small groups: copies average to the rate over seeds."""
+    monkeypatch.setattr(mixing, "FAN", 4)
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (1 + k * 7 % 23)), "ab"[k % 2]) for k in range(40)], COLUMNS).cache()
+    total, seeds = Counter(), 12
+    for seed in range(seeds):
+        rows = mixing.mix(docs, seed).collect()
+        for r in rows:
+            total[r["doc_id"]] += r["copies"]
+    z = []
+    for r in rows:
+        rate = r["target"] / r["source_size"]
+        part = rate - int(rate)
+        z.append((total[r["doc_id"]] / seeds - rate) / max((part * (1 - part) / seeds) ** 0.5, 1e-9) if part > 1e-9 else 0.0)
+    assert max(map(abs, z)) <= 4 and abs(sum(z)) / len(z) ** 0.5 <= 4
