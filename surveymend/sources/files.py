@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..session import cut, delete, shared_folder
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, encoding: str = "UTF-8") -> DataFrame:
@@ -40,12 +39,13 @@ def write_chunks(registry: DataFrame, path: str, code: str = "kommunekode", enco
 
 
 def through_csv(df: DataFrame, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """Write a table in the shared folder and read it again."""
+    """A table as it is after it has been written as CSV in the shared folder and read again; the files are deleted."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "csv")
     write_csv(df, path, encoding)
-    return read_csv(spark, path, schema, encoding)
+    out = cut(read_csv(spark, path, schema, encoding))
+    delete(spark, path)
+    return out
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
