@@ -486,7 +486,8 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     rel = con.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, SF)
     assert sorted(rel.columns) == sorted(df.columns)
@@ -496,6 +497,7 @@ def test_query_equals_sql(spark, name):
 @needs_data
 def test_queries_return_their_columns(spark):
     want = {
+        "op11_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op12_centroids": "vec_id cluster distance cluster_inertia inertia centroid_sha256", "op13_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
         "op1_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans", "op2_source_mix": "doc_id size source_size target taken", "op3_ngram_join": "doc_id n_shingles component_id",
         "op4_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256", "op5_neighbours": "query_id rank vec_id score", "op6_toxicity": "doc_id held_out score predicted",
         "op7_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op8_language": "doc_id held_out lang_pred score", "op9_main_text": "page_id url text n_chars",
