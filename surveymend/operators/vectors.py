@@ -44,6 +44,20 @@ class Cells:
 
     def __init__(self, pivots: np.ndarray, rows: np.ndarray, radius: np.ndarray, longest: np.ndarray):
         self.pivots, self.rows, self.radius, self.longest = pivots, rows, radius, longest
+        #: Neighbouring cells of about a block of rows in all are a group, to which a query goes once; a large cell is one of its own.
+        along = np.zeros(len(pivots))
+        if len(pivots) > 1:
+            apart = pivots - pivots.mean(axis=0)
+            along = apart @ np.linalg.svd(apart, full_matrices=False)[2][0]
+        self.group = np.zeros(len(pivots), np.int64)
+        group, held = 0, 0
+        for c in np.argsort(along, kind="stable"):
+            if held and held + rows[c] > BLOCK:
+                group, held = group + 1, 0
+            self.group[c] = group
+            held += rows[c]
+        #: Parts of about a block of rows that each group is searched in.
+        self.parts = np.maximum(1, -(-np.bincount(self.group, rows, group + 1).astype(np.int64) // BLOCK))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """The most that an inner product with a row of each cell can be: of the pivot and the radius, or the longest row.
@@ -84,16 +98,21 @@ def _read(parts: list[bytes]) -> np.ndarray:
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best rows of each query that reach its least score, ties to smaller ids.
+def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int, asks: np.ndarray, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of each query that reach its least score, ties to smaller ids, among the runs
+    of rows that it asks for.
 
     Scores are summed product by product, so that equal vectors have equal ones wherever they are.
     """
-    rough = q @ x.T
+    rough = np.full((len(q), len(x)), -np.inf)
+    for column, (begin, end) in zip(asks.T, runs, strict=True):
+        some = np.flatnonzero(column)
+        if len(some):
+            rough[some, begin:end] = q[some] @ x[begin:end].T
     most = min(k, len(ids))
     last = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
     slack = 1e-9 * (1e-300 + np.abs(q) @ np.abs(x).max(axis=0))
-    who, at = np.nonzero(rough >= np.maximum(last, least)[:, None] - slack[:, None])
+    who, at = np.nonzero((rough >= np.maximum(last, least)[:, None] - slack[:, None]) & (rough > -np.inf))
     score = np.concatenate([np.zeros(0), *((q[who[lo : lo + 65_536]] * x[at[lo : lo + 65_536]]).sum(axis=1) for lo in range(0, len(who), 65_536))])
     order = np.lexsort((ids[at], -score, who))
     who, at, score = who[order], at[order], score[order]
@@ -102,25 +121,28 @@ def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, least: np.ndarray,
     return who[keep], at[keep], score[keep]
 
 
-def _searched(k: int, products):
-    """Rows arrive by (cell, part, slice), vectors before queries: each query's best of the block."""
+def _searched(k: int, cells: int, products):
+    """Rows arrive by (group, part, slice), vectors by cell before queries: each query's best of the cells that it asks for."""
 
     def close(block: list, queries: list) -> pa.RecordBatch:
-        x, q = _read([r[1] for r in block]), _read([r[1] for r in queries])
-        ids = np.array([r[0] for r in block])
-        who, at, score = best_rows(q, x, ids, np.array([r[2] for r in queries]), k)
+        x, q = _read([r[2] for r in block]), _read([r[2] for r in queries])
+        cell, ids = np.array([r[0] for r in block]), np.array([r[1] for r in block])
+        here, begin = np.unique(cell, return_index=True)
+        runs = list(zip(begin.tolist(), [*begin[1:].tolist(), len(cell)], strict=True))
+        asks = np.unpackbits(np.stack([np.frombuffer(r[4], np.uint8) for r in queries]), axis=1, count=cells)[:, here].astype(bool)
+        who, at, score = best_rows(q, x, ids, np.array([r[3] for r in queries]), k, asks, runs)
         if products is not None:
-            products.add(len(q) * len(x))
-        return pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in queries])[who]), pa.array(ids[at]), pa.array(score)], schema=_FOUND)
+            products.add(int((asks * np.array([b - a for a, b in runs])).sum()))
+        return pa.RecordBatch.from_arrays([pa.array(np.array([r[1] for r in queries])[who]), pa.array(ids[at]), pa.array(score)], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, block, queries = None, [], []
         for batch in batches:
-            for cell, part, slice_, asks, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "slice", "asks", "id", "v", "best")), strict=True):
-                if (cell, part, slice_) != place:
+            for group, part, slice_, asks, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "slice", "asks", "cell", "id", "v", "best", "cells")), strict=True):
+                if (group, part, slice_) != place:
                     if block and queries:
                         yield close(block, queries)
-                    place, block, queries = (cell, part, slice_), [], []
+                    place, block, queries = (group, part, slice_), [], []
                 if not asks:
                     block.append(row)
                 elif block:
@@ -158,8 +180,10 @@ def _cells(rows: DataFrame, n: int) -> tuple[DataFrame, Cells]:
 
 
 def _visits(cells: Cells, many: int | None):
-    """Each query for every part of the cells that it visits now, best first, which can hold a row as good as its best so far."""
-    parts = -(-cells.rows // BLOCK)
+    """Each query once for every part of the groups that have cells that it visits now, best first, and that can hold a row as
+    good as its best so far."""
+    member = np.zeros((len(cells.rows), len(cells.parts)), np.float32)
+    member[np.arange(len(cells.rows)), cells.group] = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,12 +197,15 @@ def _visits(cells: Cells, many: int | None):
             if many is not None:
                 rank = np.argsort(np.argsort(np.where(able, -most, np.inf), axis=1, kind="stable"), axis=1)
                 able &= rank < many
-            after = [r.tobytes() for r in np.packbits(seen | able, axis=1)]
-            who, cell = np.nonzero(able)
-            part = np.concatenate([np.zeros(0, np.int64), *(np.arange(parts[c]) for c in cell)]).astype(np.int32)
-            who, cell = np.repeat(who, parts[cell]), np.repeat(cell, parts[cell]).astype(np.int32)
-            at = pa.array(who)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), batch.column("best").take(at), pa.array(after, pa.binary()).take(at), pa.array(cell), pa.array(part)], names=["id", "v", "best", "seen", "cell", "part"])
+            bits, after = ([r.tobytes() for r in np.packbits(x, axis=1)] for x in (able, seen | able))
+            who, group = np.nonzero(able.astype(np.float32) @ member)
+            times = cells.parts[group]
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at = pa.array(np.repeat(who, times))
+            taken = lambda x: pa.array(x, pa.binary()).take(at)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in ("id", "v", "best")), taken(after), taken(bits), pa.array(np.repeat(group, times).astype(np.int32)), pa.array(part.astype(np.int32))], names=["id", "v", "best", "seen", "cells", "group", "part"]
+            )
 
     return run
 
@@ -189,9 +216,9 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, k: int = 1, products=None)
     Rows lie in cells around pivots, fitted to a bounded sample. A cell's pivot and radius, or its longest row, bound the
     inner products with its rows; a query visits the most promising cell first, then the next few, then all others, each
     time only those whose bound reaches its k-th score so far. So few products are made where vectors cluster or differ in
-    length, and all of them where neither holds, as no exact method avoids. Cells meet queries by key, in blocks of
-    ``BLOCK`` rows and slices of ``ASKED`` queries, so no task holds a cell or all that ask for it. Tables of a block or
-    less are one cell. ``products``: an accumulator that counts inner products of vectors.
+    length, and all of them where neither holds, as no exact method avoids. Groups of neighbouring cells meet queries by
+    key, in blocks of about ``BLOCK`` rows and slices of ``ASKED`` queries, so no task holds a cell or all that ask for it,
+    and a query goes to a block once for all of its cells. Tables of a block or less are one cell. ``products``: an accumulator that counts inner products of vectors.
 
     Vectors that are null take no part; embeddings of both sides come from one model and have one length. A query of rows
     fewer than k gets all of them; repeated vec_ids are rows of their own. A query_id is unique.
@@ -204,8 +231,8 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, k: int = 1, products=None)
     if not n:
         return nothing
     placed, cells = _cells(have, n)
-    of_cell = F.element_at(F.array(*[F.lit(max(1, -(-int(r) // BLOCK))) for r in cells.rows]), F.col("cell") + 1)
-    blocks = placed.withColumn("part", F.pmod(F.xxhash64("id"), of_cell).cast("int"))
+    numbers = lambda x, at: F.element_at(F.array(*[F.lit(int(v)) for v in x]), at + 1)
+    blocks = placed.withColumn("group", numbers(cells.group, F.col("cell"))).withColumn("part", F.pmod(F.xxhash64("id"), numbers(cells.parts, F.col("group"))).cast("int"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
 
@@ -221,15 +248,15 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, k: int = 1, products=None)
         asked = cut(asked)
     found = None
     for many in rounds:
-        goes = asked.mapInArrow(_visits(cells, many), "id long, v binary, best double, seen binary, cell int, part int")
+        goes = asked.mapInArrow(_visits(cells, many), "id long, v binary, best double, seen binary, cells binary, group int, part int")
         if len(rounds) > 1:
             goes = cut(goes)
-        slices = few(goes.groupBy("cell").agg(F.ceil(F.count_distinct("id") / ASKED).cast("int").alias("slices")))
+        slices = few(goes.filter("part = 0").groupBy("group").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("slices")))
         every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-        held = blocks.join(slices, "cell").select("cell", "part", every, F.lit(False).alias("asks"), "id", "v", F.lit(0.0).alias("best"))
-        mine = goes.join(slices, "cell").select("cell", "part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.lit(True).alias("asks"), "id", "v", "best")
-        dealt = held.unionByName(mine).repartition("cell", "part", "slice").sortWithinPartitions("cell", "part", "slice", "asks")
-        now = dealt.mapInArrow(_searched(k, products), "query_id long, vec_id long, score double")
+        held = blocks.join(slices, "group").select("group", "part", every, F.lit(False).alias("asks"), "cell", "id", "v", F.lit(0.0).alias("best"), F.lit(None).cast("binary").alias("cells"))
+        mine = goes.join(slices, "group").select("group", "part", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.lit(True).alias("asks"), F.lit(-1).alias("cell"), "id", "v", "best", "cells")
+        dealt = held.unionByName(mine).repartition("group", "part", "slice").sortWithinPartitions("group", "part", "slice", "asks", "cell")
+        now = dealt.mapInArrow(_searched(k, len(cells.rows), products), "query_id long, vec_id long, score double")
         found = top(now if found is None else found.unionByName(now))
         if many is not None and len(rounds) > 1:
             found = cut(found)

@@ -1,6 +1,7 @@
 """Exact nearest rows: equal to brute force on any vectors, and cells that can't hold a better row are skipped."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from surveymend.operators import vectors
@@ -70,6 +71,22 @@ def test_nulls_few_rows_and_empty_tables(spark):
     assert vectors.nearest_rows(frame(spark, [], "query_id"), frame(spark, x, "vec_id")).collect() == []
 
 
+def test_a_query_goes_to_a_block_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    rng = np.random.default_rng(11)
+    pivots = rng.normal(size=(40, 5))
+    rows = rng.integers(0, 60, 40)
+    rows[7] = 450
+    cells = vectors.Cells(pivots, rows, np.full(40, 9.0), np.full(40, 9.0))
+    sizes = np.bincount(cells.group, rows)
+    assert all(n <= 100 for g, n in enumerate(sizes) if g != cells.group[7])
+    assert cells.parts[cells.group[7]] >= 5 and len(cells.parts) < 25
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([rng.normal(size=5).tobytes()]), pa.array([-np.inf]), pa.array([np.packbits(np.zeros(40, bool)).tobytes()], pa.binary())], names=["id", "v", "best", "seen"])
+    (out,) = vectors._visits(cells, None)([batch])
+    places = list(zip(out.column("group").to_pylist(), out.column("part").to_pylist(), strict=True))
+    assert len(places) == len(set(places)) == cells.parts[np.unique(cells.group[rows > 0])].sum()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(10)
     x, q = clustered(rng, 500, 6, 9), rng.normal(size=(40, 6))
