@@ -53,9 +53,11 @@ _SELF = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BOXES = frozenset("div section body html center main article header footer nav aside form".split())
 _LISTS = frozenset("div section ul ol table dl".split())
-# Words of names (fixed values): of parts that aren't content, of parts that may be, and of layout, which say nothing else.
+# Words of names (fixed values): of parts that aren't content, of boxes that aren't, though paragraphs may be, of parts that
+# may be, and of layout, which say nothing else.
 _NOT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal comment comments commentlist disqus newsletter signup subscribe pagination pager navbar navigation nav footer masthead".split())
-_MAYBE = frozenset("notice notices alert banner menu share sharing social respond skip login overlay discussion replies related recommended header topbar side aside search widget toolbar".split())
+_TOLD = frozenset("notice notices alert banner".split())
+_MAYBE = _TOLD | frozenset("menu share sharing social respond skip login overlay discussion replies related recommended header topbar side aside search widget toolbar".split())
 _LAYOUT = frozenset("list box bar area section wrap wrapper container block item items form panel row col column group holder slot unit module region link links icon icons button buttons thread title head body inner outer left right top bottom main primary secondary site page post posts article entry content global sticky fixed mobile desktop widget js ui wp".split())
 #: What the density of a part counts: by its element, by a role or a sure name, and by a name that may mean anything.
 _ELEMENTS = {"nav": 0.05, "footer": 0.05, "form": 0.1, "menu": 0.1, "dialog": 0.05, "header": 0.2, "aside": 0.2, "article": 2.0, "main": 1.25}
@@ -79,14 +81,14 @@ class Node:
         self.weight = own if parent is None else own * parent.weight
 
 
-def _speaks(name: str) -> float:
+def _speaks(name: str, tag: str) -> float:
     """What a class or id says: a name counts only if all its words are of layout, and it may be content if only a word of
     doubtful meaning stands alone."""
     words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
     told = [w for w in words if w in _NOT or w in _MAYBE]
     if not told or any(w not in _LAYOUT and w not in _NOT and w not in _MAYBE for w in words):
         return 1.0
-    return SURE if len(words) > 1 or words[0] in _NOT else UNSURE
+    return SURE if len(words) > 1 or words[0] in _NOT or words[0] in _TOLD and tag != "p" else UNSURE
 
 
 def _evidence(tag: str, attributes: str, opened: dict) -> float:
@@ -101,7 +103,7 @@ def _evidence(tag: str, attributes: str, opened: dict) -> float:
             if m[1].lower() == "role":
                 out = min(out, SURE) if value.strip() in _ROLES else out
             else:
-                out = min([out, *map(_speaks, value.split())])
+                out = min([out, *(_speaks(name, tag) for name in value.split())])
     return out
 
 

@@ -152,6 +152,24 @@ def test_parts_of_an_article_stay_whatever_their_names(part, outside):
     assert htmltext.text_of(page) == f"Head {A} {inner} {B} {C}"
 
 
+NOISE = [
+    f"<aside class='sidebar'><p>{B}</p></aside>", "<div class='ad'><p>Buy this now, because it is cheap and good for everybody here.</p></div>", "<form><label>Name</label><input><button>Send</button></form>", "<form action=/s><p>Please sign up for our letter and get all the news every day.</p></form>",
+    f"<div class='newsletter-signup'><p>{C}</p></div>", f"<section id='comments'><h2>Comments</h2><article class='comment'><p>{B}</p></article></section>", "<div class='related-links'><ul><li><a href=a>Other article one</a></li><li><a href=b>Other article two</a></li></ul></div>",
+    "<footer>Written by me, in 2020, all rights kept</footer>", "<div class='cookie-banner'>We use cookies on this site to make it better for you.</div>", "<noscript>Enable scripts please to see this page.</noscript>", "<script>var x=1;</script><style>p{}</style>", "<nav><a href=1>1</a> <a href=2>2</a> <a href=3>Next page</a></nav>",
+    "<div class=notice>This site will be down on Sunday for works.</div>", "<div role=alert>Your browser is old, please upgrade it soon.</div>", "<!-- c -->", "<div class='share-buttons'><a href=x>Share here</a><a href=f>Share there</a></div>", "<div class='breadcrumbs'><a href=/>Home</a> &gt; <a href=/n>News</a></div>",
+]
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize("noise", NOISE)
+def test_what_isnt_content_goes_wherever_it_is(noise, outer):
+    article = f"<h1>Head line</h1><p>{A}</p><p>Short.</p><p>{B}</p>%s<ul><li>One item</li><li>Two items</li></ul><p>{C}</p>"
+    want = f"Head line {A} Short. {B} One item Two items {C}"
+    for before, inside, after in ((noise, "", ""), ("", noise, ""), ("", "", noise)):
+        page = f"<title>Head line - Site</title><body><header><a href=/>Site</a><p>Our motto is good</p></header>{MENU}{before}<{outer}>{article % inside}</{outer}>{after}<aside><h3>More</h3><p>{A}</p></aside><footer><p>Copyright by the site, and all of its parts, 2021.</p></footer>"
+        assert htmltext.text_of(page) == want
+
+
 def test_articles_beside_each_other_and_short_ends_stay():
     two = f"<p>{D}</p><p>{D}</p>"
     assert htmltext.text_of(f"<body>{MENU}<article>{BODY}</article><article>{two}</article></body>") == f"{TEXT} {D} {D}"
