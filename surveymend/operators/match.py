@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut, ship
+from ..session import cut, ship, tasks
 from .grams import Names
 from .relational import few
 
@@ -230,7 +230,7 @@ def blocked_streets(queries: DataFrame, registry: DataFrame, scorer=weighted_rat
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         parts = streets.join(sizes, "block").select("block", number("street_norm", "parts").alias("part"), every("slices").alias("slice"), F.lit(False).alias("asks"), F.col("street_norm").alias("text"))
         each = asked.join(sizes, "block").select("block", every("parts").alias("part"), number("q_norm", "slices").alias("slice"), F.lit(True).alias("asks"), F.col("q_norm").alias("text"))
-        dealt = parts.unionByName(each).repartition("block", "part", "slice").sortWithinPartitions("block", "part", "slice", "asks")
+        dealt = parts.unionByName(each).repartition(tasks(queries.sparkSession), "block", "part", "slice").sortWithinPartitions("block", "part", "slice", "asks")
         found = dealt.mapInArrow(_search_parts(scorer, cutoff, top), "q_norm string, block string, street_norm string, street_score double")
         best = Window.partitionBy("q_norm", "block").orderBy(F.desc("street_score"), "street_norm")
         return found.withColumn("street_rank", F.row_number().over(best)).filter(F.col("street_rank") <= top)
@@ -402,7 +402,8 @@ def retrieve(texts: DataFrame, registry: DataFrame, text: str = "text", scorer=w
     be among a text's best are left out where the street's rows are, so texts don't meet all rows of all streets that they
     are like. The row_id is unique.
     """
-    distinct = texts.select(F.col(text).alias("text")).filter("text is not null").distinct()
+    n_tasks = tasks(texts.sparkSession)
+    distinct = texts.select(F.col(text).alias("text")).filter("text is not null").distinct().repartition(n_tasks)
     q = cut(parse_addresses(distinct, "text").withColumn("q_norm", tx.fold(F.col("street"))).filter("q_norm <> ''").select("text", "house", "postnr", "q_norm"))
     streets = blocked_streets(q, registry, scorer, cutoff, top_streets).withColumnsRenamed({"block": "__block", "q_norm": "__q"})
     pairs = cut(q.join(streets, (q["q_norm"] == streets["__q"]) & q["postnr"].eqNullSafe(streets["__block"])).drop("__q", "__block"))
@@ -421,10 +422,10 @@ def retrieve(texts: DataFrame, registry: DataFrame, text: str = "text", scorer=w
         "street_norm", every("segments").alias("segment"), F.pmod(F.xxhash64("text"), F.col("slices")).cast("int").alias("slice"), F.lit(True).alias("pair"), F.lit(None).cast("long").alias("row_id"),
         F.lit(None).cast("long").alias("post"), F.lit(None).cast("string").alias("husnr"), _digits(F.col("house")).alias("digits"), F.lit(None).cast("double").alias("less"), *_ASKED, F.when(F.col("postnr").isNotNull(), F.xxhash64("postnr")).otherwise(F.lit(-1)).alias("asked_post"),
     )
-    dealt = rows.unionByName(asked).repartition("street_norm", "segment", "slice").sortWithinPartitions("street_norm", "segment", "slice", "pair")
+    dealt = rows.unionByName(asked).repartition(n_tasks, "street_norm", "segment", "slice").sortWithinPartitions("street_norm", "segment", "slice", "pair")
     types = "street_norm string, text string, q_norm string, house string, postnr string, street_score double, street_rank int, asked_post long"
     chosen = dealt.select(*_DEALT).mapInArrow(_best_rows(top), f"{types}, row_ids array<long>, posts array<long>, scores array<double>")
-    best = chosen.repartition("text").sortWithinPartitions("text").mapInArrow(_ranked(top), "street_norm string, text string, q_norm string, house string, postnr string, street_score double, row_id long, score double, rank int")
+    best = chosen.repartition(n_tasks, "text").sortWithinPartitions("text").mapInArrow(_ranked(top), "street_norm string, text string, q_norm string, house string, postnr string, street_score double, row_id long, score double, rank int")
     hits = best.join(few(reg.drop("street_norm").withColumnRenamed("row_id", "__row")), F.col("row_id") == F.col("__row"))
     same = F.col("postnr") == F.col("r_postnr")
     # One row a postcode, which its line names, so no line is given twice.

@@ -5,6 +5,7 @@ The vocabulary is a file of the ``tokenizers`` library (JSON), which workers can
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ _open: dict[str, object] = {}
 
 def vocabulary(path: str):
     if path not in _open:
+        # A worker is one of many on its machine, so the library gets no threads of its own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         _open[path] = Tokenizer.from_file(path)

@@ -43,6 +43,11 @@ def ship(spark: SparkSession) -> None:
     setattr(sc, _SENT, True)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for work in Python that takes long for few bytes, which Spark would else put together by their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder of a new name that driver and executors share: under ``spark.checkpoint.dir``, or the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
