@@ -91,7 +91,8 @@ def parse_addresses(df: DataFrame, text: str) -> DataFrame:
     def parsed(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(x) for x in s], columns=["street", "house", "postnr"])
 
-    return df.withColumn("__p", parsed(F.col(text))).select(*df.columns, "__p.*")
+    # Else filters on what it gives would be moved below distincts and shuffles, and it would run there as well.
+    return df.withColumn("__p", parsed.asNondeterministic()(F.col(text))).select(*df.columns, "__p.*")
 
 
 def _common(a: str, b: str) -> int:
@@ -277,12 +278,11 @@ _DEALT = ["street_norm", "segment", "slice", "pair", "row_id", "post", "husnr",
 
 
 def _best_rows(top: int):
-    """A row for each text and street: the best row of each of the ``top`` best postcodes, as lists of row_id, postcode and score.
+    """A row for each text and street: the best row of each of the ``top`` best postcodes, as row_ids, postcodes and scores in bytes.
 
     A street's rows come before the texts that hit it. No other row of the street can be among a text's best: ``top``
     postcodes have a better one in the same street.
     """
-    lists = [("row_ids", pa.list_(pa.int64())), ("posts", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, by_house, street = None, [], {}, None
@@ -303,18 +303,13 @@ def _best_rows(top: int):
                 if key not in by_house:
                     by_house[key] = street.by_postcode(house, digits)
                 at.append(k)
-                found.append(street.best(by_house[key], score, name[:4] == q_norm[:4], asked, top))
+                found.append([x.tobytes() for x in street.best(by_house[key], score, name[:4] == q_norm[:4], asked, top)])
             own = batch.select(["street_norm", *_ASKED, "asked_post"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, *(_lists([f[k] for f in found], kind) for k, (_, kind) in enumerate(lists))], names=[*own.schema.names, *(n for n, _ in lists)])
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([f[k] for f in found], pa.binary()) for k in range(3))], names=[*own.schema.names, "row_ids", "posts", "scores"])
 
     return run
 
 
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind.value_type))
-
-
 class _Street:
     """Registry rows of one street as arrays, by postcode and row_id."""
 
@@ -356,10 +351,8 @@ def _ranked(top: int):
 
     def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        lists = t.column("row_ids").combine_chunks()
-        at = np.repeat(np.arange(len(t)), np.asarray(lists.value_lengths()))
-        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
-        row_id, post, score = flat("row_ids"), flat("posts"), flat("scores")
+        at = np.repeat(np.arange(len(t)), np.asarray(pc.binary_length(t.column("row_ids"))) // 8)
+        row_id, post, score = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("row_ids", np.int64), ("posts", np.int64), ("scores", np.float64)))
         text = np.asarray(t.column("text").combine_chunks().dictionary_encode().indices)[at]
         rank, same = t.column("street_rank").to_numpy()[at], post == t.column("asked_post").to_numpy()[at]
         order = np.lexsort((row_id, rank, -score, post, text))
@@ -424,7 +417,7 @@ def retrieve(texts: DataFrame, registry: DataFrame, text: str = "text", scorer=w
     )
     dealt = rows.unionByName(asked).repartition(n_tasks, "street_norm", "segment", "slice").sortWithinPartitions("street_norm", "segment", "slice", "pair")
     types = "street_norm string, text string, q_norm string, house string, postnr string, street_score double, street_rank int, asked_post long"
-    chosen = dealt.select(*_DEALT).mapInArrow(_best_rows(top), f"{types}, row_ids array<long>, posts array<long>, scores array<double>")
+    chosen = dealt.select(*_DEALT).mapInArrow(_best_rows(top), f"{types}, row_ids binary, posts binary, scores binary")
     best = chosen.repartition(n_tasks, "text").sortWithinPartitions("text").mapInArrow(_ranked(top), "street_norm string, text string, q_norm string, house string, postnr string, street_score double, row_id long, score double, rank int")
     hits = best.join(few(reg.drop("street_norm").withColumnRenamed("row_id", "__row")), F.col("row_id") == F.col("__row"))
     same = F.col("postnr") == F.col("r_postnr")
