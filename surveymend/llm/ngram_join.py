@@ -34,8 +34,10 @@ from .components import components
 WORDS = 5
 #: Similarity of a link as a fraction: 100 * intersection >= 80 * union.
 NUMERATOR, DENOMINATOR = 4, 5
-#: A shingle is popular where more documents than this, and than rows / POPULAR_SHARE, have it among their first.
-POPULAR, POPULAR_SHARE = 128, 2000
+#: A shingle is popular where more documents than this have it among their first; more, where over POPULAR_MOST would be (8 MB).
+POPULAR, POPULAR_MOST = 128, 1 << 21
+#: First shingles that a task counts at once, and from how many on those that are there once aren't passed on.
+COUNTED, ONCE = 1 << 22, 1 << 16
 #: Children of an R-tree node; blocks of up to two nodes are compared without one.
 NODE = 16
 #: Parts of the blocks of popular shingles while partners are chosen.
@@ -53,7 +55,7 @@ HOT, HOT_GROUPS = 256, 100_000
 #: Blocks of several components whose sizes are broadcast at most: 4 MB.
 BROADCAST_BLOCKS = 100_000
 #: Bits, for each id in pairs, of the filter that keeps texts without candidates out of the second shuffle, and most of all: 32 MB.
-ID_BITS, FILTER_BITS = 16, 1 << 28
+ID_BITS, FILTER_BITS = 128, 1 << 28
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -91,8 +93,12 @@ def prefix_length(n: int) -> int:
 
 
 def groups_of(n: int) -> int:
-    """Groups of a count vector: the least power of two above the set's size, from 16 to 16384, so that counts stay small."""
-    return 1 << min(14, max(4, n.bit_length()))
+    """Groups of a count vector: a power of two of which a set has 2 to 4 shingles a group, from 16 to 16384.
+
+    Of unrelated sets it bounds the overlap by about 7 in 10, where a link needs 8 in 9; more groups would bound little
+    better, and vectors, which go to every block that is searched, would be longer.
+    """
+    return 1 << min(14, max(4, n.bit_length() - 2))
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
@@ -201,16 +207,49 @@ def _label(s: np.ndarray) -> np.ndarray:
     return (s & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
-def _described(popular: np.ndarray | None):
-    """doc_id, n, two words of the set's hash, first shingles, how many of them aren't popular, and count vector; only the shingles where popular is None."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, n) of the first shingles, ``COUNTED`` at once, and a row of null label with the number of all.
+
+    Where they are many, a label that is there once is left out, so counts are short by at most one for each time.
+    """
+    held: list[np.ndarray] = []
+
+    def close() -> pa.RecordBatch:
+        all_ = np.concatenate(held)
+        held.clear()
+        label, n = np.unique(all_, return_counts=True)
+        keep = n > (1 if len(all_) > ONCE else 0)
+        return out_batch(_COUNT, {"label": pa.array([*label[keep].tolist(), None], pa.int32()), "n": np.append(n[keep], len(all_))})
+
+    size = 0
+    for batch in batches:
+        for _, _, data, offsets in chunks(batch.column("text")):
+            for s in shingle_sets(data, offsets):
+                if len(s):
+                    held.append(_label(s[: prefix_length(len(s))]))
+                    size += len(held[-1])
+            if size > COUNTED:
+                yield close()
+                size = 0
+    if held:
+        yield close()
+
+
+def _popular(text: DataFrame) -> np.ndarray:
+    """Labels of the popular shingles, sorted: at most ``POPULAR_MOST``, as each stands for so many of the first shingles."""
+    counts = cut(mapped(text.select("text"), _counted, "label int, n long").groupBy("label").agg(F.sum("n").alias("n")).filter((F.col("n") > POPULAR) | F.col("label").isNull()))
+    total = counts.filter("label is null").agg(F.sum("n")).first()[0] or 0
+    found = counts.filter((F.col("n") > max(POPULAR, total // POPULAR_MOST)) & F.col("label").isNotNull()).select("label")
+    return np.sort(np.asarray(found.toArrow().column("label"), np.int32))
+
+
+def _described(popular: np.ndarray):
+    """doc_id, n, two words of the set's hash, first shingles, how many of them aren't popular, and count vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 sets = shingle_sets(data, offsets)
-                if popular is None:
-                    yield out_batch(_FIRST, {"first": _list([_label(s[: prefix_length(len(s))]) if len(s) else _label(s) for s in sets], pa.int32())})
-                    continue
                 first, plain = [], []
                 for s in sets:
                     p = prefix_length(len(s)) if len(s) else 0
@@ -238,7 +277,7 @@ def _described(popular: np.ndarray | None):
     return run
 
 
-_FIRST = pa.schema([("first", pa.list_(pa.int32()))])
+_COUNT = pa.schema([("label", pa.int32()), ("n", pa.int64())])
 _DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("first", pa.list_(pa.int64())), ("plain", pa.int32()), ("vector", pa.binary())])
 _SET = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -381,11 +420,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ready(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.count()
-    popular = (
-        mapped(text.select("text"), _described(None), "first array<int>").select(F.explode("first").alias("h")).groupBy("h").count().filter(F.col("count") > max(POPULAR, rows // POPULAR_SHARE)).select("h")
-    )
-    # At most (shingles listed first) / POPULAR_SHARE-th of the rows each: a few hundred thousand numbers at any size.
-    late = np.sort(np.array([r[0] for r in popular.collect()], np.int32))
+    late = _popular(text)
     doc = cut(mapped(text, _described(late), "doc_id long, n long, s1 long, s2 long, first array<long>, plain int, vector binary"))
     members, hot = _members(doc, rows)
     # Copies are taken out by their ids, which are broadcast while they are few; so shingles aren't shuffled for it.
