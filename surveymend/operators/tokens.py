@@ -5,7 +5,9 @@ The vocabulary is a file of the ``tokenizers`` library (JSON), which workers can
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,10 @@ from pyspark.sql import types as T
 from ..session import ship
 from . import prompts
 
-#: Texts that are encoded at once.
-AT_ONCE = 256
+#: Texts that are encoded at once, and lines and ids that a task remembers.
+AT_ONCE, LINES, IDS = 256, 1 << 16, 1 << 21
+# Before a single line end between ASCII letters or signs.
+_LINE = re.compile(r"(?<=[!-~])(?=\n[!-~])")
 _open: dict[str, object] = {}
 
 
@@ -32,24 +36,60 @@ def vocabulary(path: str):
     return _open[path]
 
 
+def by_lines(library) -> bool:
+    """Whether lines can be encoded one by one: byte-level BPE over the usual pattern, which makes a single line end between
+    other characters a word of its own, and no step or added token that looks across it."""
+    told = json.loads(library.to_str())
+    before = told["pre_tokenizer"] or {}
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    plain = all("\n" not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told["added_tokens"])
+    return usual and plain and told["normalizer"] is None and told["truncation"] is None and told["padding"] is None and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+
+
+class Lines:
+    """Ids of texts, put together of those of their lines, so that a line that many texts have is encoded once while it is remembered."""
+
+    def __init__(self, library):
+        self.library, self.cut, self.encoded = library, _LINE.split if by_lines(library) else lambda t: [t], 0
+        self.known: dict[str, np.ndarray] = {}
+        self.held = 0
+
+    def _learn(self, lines: list[list[str]]) -> None:
+        if len(self.known) > LINES or self.held > IDS:
+            self.known.clear()
+            self.held = 0
+        new = list(dict.fromkeys(x for each in lines for x in each if x not in self.known))
+        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[x] = np.array(e.ids, np.int32)
+            self.held += len(self.known[x])
+        self.encoded += len(new)
+
+    def ids(self, texts: list[str | None]) -> pa.Array:
+        size, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        for lo in range(0, len(texts), AT_ONCE):
+            lines = [[] if t is None else self.cut(t) for t in texts[lo : lo + AT_ONCE]]
+            self._learn(lines)
+            found = [[self.known[x] for x in each] for each in lines]
+            size[lo : lo + AT_ONCE] = [sum(map(len, each)) for each in found]
+            parts.append(np.concatenate([parts[0], *(x for each in found for x in each)]))
+        missing = pa.array([t is None for t in texts])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(parts)), mask=missing)
+
+
 def encode(df: DataFrame, columns: dict[str, str], path: str, special: bool = True) -> DataFrame:
     """Add the ids of text columns, named by ``columns``; null texts have null ids. Where ``special``, the strings of special
-    tokens are those tokens, as an end mark is; else they are plain text."""
+    tokens are those tokens, as an end mark is; else they are plain text. Lines that texts share are encoded once (``Lines``)."""
     ship(df.sparkSession)
     fresh = [out for out in columns.values() if out in df.columns]
     if fresh:
         raise ValueError(f"columns of these names are there already: {fresh}")
 
-    def ids(library, texts: list) -> pa.Array:
-        have = [t for t in texts if t is not None]
-        found = iter([e.ids for lo in range(0, len(have), AT_ONCE) for e in library.encode_batch_fast(have[lo : lo + AT_ONCE], add_special_tokens=False)])
-        return pa.array([None if t is None else next(found) for t in texts], pa.list_(pa.int32()))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = vocabulary(path)
         library.encode_special_tokens = not special
+        lines = Lines(library)
         for batch in batches:
-            more = [ids(library, batch.column(c).to_pylist()) for c in columns]
+            more = [lines.ids(batch.column(c).to_pylist()) for c in columns]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *columns.values()])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in columns.values())]))

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,27 @@ def test_a_pipeline_as_a_table(spark):
     assert set(got) == {"Walk", "Car/Van"}
     assert got["Walk"]["Accurate (+/-5%)"] == 50.0 and got["Walk"]["Slight Over"] == 50.0 and got["Walk"]["Extreme (+50%+)"] == 0.0
     assert got["Car/Van"]["Slight Over"] == 50.0 and got["Car/Van"]["Under (-20%+)"] == 50.0
+
+
+def test_lines_are_encoded_once_and_give_the_ids_of_whole_texts(library):
+    said = [f"Trip {k % 5}\nFrom: a{k % 3}\nTo: b{k % 4} \n\n### End:\n" for k in range(400)]
+    rng = np.random.default_rng(2)
+    pieces = ["\n", "\n", " ", "\t", "\r", "\x1f", " ", " ", "a", "it's", "'s", "9", "#", "é", "漢", END, END[:5], "."]
+    odd = ["".join(rng.choice(pieces, rng.integers(0, 14))) for _ in range(3000)]
+    for special in (True, False):
+        library.encode_special_tokens = not special
+        lines = tokens.Lines(library)
+        for texts in (said, odd, [None, "", "a\nb", None]):
+            assert lines.ids(texts).to_pylist() == [None if t is None else library.encode(t, add_special_tokens=False).ids for t in texts]
+            if texts is said:
+                assert lines.encoded <= 12
+    library.encode_special_tokens = False
+
+
+def test_lines_stay_whole_where_a_vocabulary_looks_across_them(path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(path)
+    assert tokens.by_lines(other)
+    other.normalizer = normalizers.Replace("\na", "a")
+    assert not tokens.by_lines(other) and tokens.Lines(other).ids(["x\nab"]).to_pylist() == [other.encode("xab").ids]
