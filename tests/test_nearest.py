@@ -5,6 +5,9 @@ import pyarrow as pa
 import pytest
 
 from surveymend.operators import vectors
+from surveymend.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def frame(spark, x, key):
@@ -96,3 +99,44 @@ def test_bounds_hold():
     cells = vectors.Cells(pivots, np.bincount(cell, minlength=len(pivots)), per(far), per(np.linalg.norm(x, axis=1)))
     most = cells.bounds(q)
     assert all((q @ x.T)[:, cell == c].max(axis=1, initial=-np.inf).__le__(most[:, c]).all() for c in range(len(pivots)))
+
+
+def test_a_large_table_has_few_groups():
+    """A query that must look everywhere is sent to no more places in a table of 600,000 rows than of 60,000."""
+    rng = np.random.default_rng(4)
+    pivots = rng.normal(size=(1000, 3))
+    few, many = (vectors.Cells(pivots, np.full(1000, n), np.full(1000, 9.0), np.full(1000, 9.0)).parts.sum() for n in (60, 600))
+    assert many <= few + 8 and many <= 24
+
+
+def test_cells_are_chosen_for_few_queries_at_once():
+    rng = np.random.default_rng(6)
+    pivots = rng.normal(size=(200, 4))
+    cells = vectors.Cells(pivots, np.full(200, 2000), np.full(200, 9.0), np.full(200, 9.0))
+    n = 5000
+    none = np.packbits(np.zeros(200, bool)).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([r.tobytes() for r in rng.normal(size=(n, 4))]), pa.array(np.full(n, -np.inf)), pa.array([none] * n, pa.binary())], names=["id", "v", "best", "seen"])
+    out = list(vectors._visits(cells, None)([batch]))
+    assert sum(b.num_rows for b in out) == n * cells.parts.sum() and max(b.num_rows for b in out) <= vectors.CHOOSING * cells.parts.sum()
+
+
+def test_blocks_are_searched_in_tiles(monkeypatch):
+    monkeypatch.setattr(vectors, "AT_ONCE", 1)
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(7, 5)), np.round(rng.normal(size=(700, 5)))
+    ids, runs = rng.permutation(700), [(0, 300), (300, 310), (310, 700)]
+    asks = rng.random((7, 3)) < 0.7
+    for k in (1, 3, 90):
+        who, at, score = vectors.best_rows(q, x, ids, np.full(7, -np.inf), k, asks, runs)
+        for i in range(7):
+            rows = [j for (a, b), yes in zip(runs, asks[i], strict=True) if yes for j in range(a, b)]
+            exact = {j: (q[i] * x[j]).sum() for j in rows}
+            assert at[who == i].tolist() == sorted(rows, key=lambda j: (-exact[j], ids[j]))[:k]
+
+
+def test_trips_ends_alone_are_searched_for(spark, monkeypatch):
+    asked = []
+    whole = vectors.nearest_rows
+    monkeypatch.setattr(vectors, "nearest_rows", lambda queries, rows, *a: (asked.append(queries.count()), whole(queries, rows, *a))[1])
+    assert catalog.QUERIES["rag_augment"](spark, SF).count() > 0
+    assert asked[0] <= 20
