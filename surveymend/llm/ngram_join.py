@@ -2,15 +2,17 @@
 
 A document is its set of distinct hashed word shingles; two link at a Jaccard similarity of ``THRESHOLD`` or more.
 1. Equal sets form classes; only one document of a class goes on.
-2. Linked sets share one of their first shingles in any common order (a fifth of a set, plus one). The order is that of
-   hashes, but shingles that very many documents list first come last, so that popular passages don't make large blocks.
-   Which shingles those are changes the cost, never the result.
-3. In each block, a document is checked against one partner, with whom it shares most first shingles, if their count
-   vectors allow a link; this joins groups of copies by about one comparison a document.
-   Blocks of popular shingles are split in ``PARTS`` by a hash of the id for this, so that no task sorts one alone.
+2. Linked sets share one of their first shingles in any common order (a fifth of a set, plus one). Rare ones come first:
+   of shingles whose hash is below ``EDGE`` it is counted, by 32 bits of the hash, how many documents have them, and those that
+   one document has aren't listed at all, as they meet nothing. Popular ones, told by a number that needn't be exact, come last.
+   The order changes the cost, never the result.
+3. In each block of a shingle, a document is checked against one partner, with whom it shares most first shingles; this joins groups
+   of copies by about one comparison a document. Blocks of popular shingles are split in ``PARTS`` by a hash of the id for
+   this, so that no task sorts one alone.
 4. Where blocks of one least id still hold more than one component, their documents' count vectors (shingles hashed into a power of two
    of groups, counted) go into an R-tree: a node's largest counts bound the overlap of everything below it, by summed
-   coordinate minima. Pairs of different components that survive the bound are compared on their whole sets. Large blocks are searched
+   coordinate minima. Pairs of different components that survive the bound are compared there on their whole sets, and a link
+   joins their components, so pairs that it settles are neither looked at nor passed on. Large blocks are searched
    in cells: pieces of ``CELL`` documents of the block's largest component against pieces of the others, and those pairwise.
 
 Texts that are null, or have no word, link with nothing. Fewer words than a shingle make one shingle of the whole.
@@ -34,10 +36,13 @@ from .components import components
 WORDS = 5
 #: Similarity of a link as a fraction: 100 * intersection >= 80 * union.
 NUMERATOR, DENOMINATOR = 4, 5
-#: A shingle is popular where more documents than this have it among their first; more, where over POPULAR_MOST would be (8 MB).
-POPULAR, POPULAR_MOST = 128, 1 << 21
-#: First shingles that a task counts at once, and from how many on those that are there once aren't passed on.
+#: A shingle is popular where more documents than this have it; more, where over POPULAR_MOST would be (32 MB).
+POPULAR, POPULAR_MOST = 128, 1 << 23
+#: Shingles that a task counts at once, and from how many on those that are there once aren't passed on as popular.
 COUNTED, ONCE = 1 << 22, 1 << 16
+#: Hashes below this, about a third of a set, are counted whole, as the first fifth comes from them; numbers of documents that
+#: part them, and bits for each label that more documents have.
+EDGE, RARE, LABEL_BITS = int(0.35 * 2**64), (1, 4, 16), 16
 #: Children of an R-tree node; blocks of up to two nodes are compared without one.
 NODE = 16
 #: Parts of the blocks of popular shingles while partners are chosen.
@@ -141,29 +146,49 @@ class RTree:
         return self.order[nodes]
 
 
-def block_pairs(ids: list[int], comps: list[int], sizes: list[int], raw: list[bytes], sides: list[int], seen: set[tuple[int, int]]) -> list[tuple[int, int]]:
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sets link; both are sorted and neither is empty."""
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return both * DENOMINATOR >= (len(s) + len(t) - both) * NUMERATOR
+
+
+def block_pairs(ids: list[int], comps: list[int], sizes: list[int], raw: list[bytes], sides: list[int], seen: set[tuple[int, int]], sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Pairs of a block that are in different components and survive the bound; large blocks have a tree for each size band.
 
     sides: documents of one side, unless it is -1, are compared in another cell. seen: pairs settled in earlier blocks,
-    which are not looked at again.
+    which are not looked at again. sets: given these, only pairs that link, each of which joins its components; so
+    there are fewer of them than documents, and raw isn't needed.
     """
+    into: dict[int, int] = {}
+
+    def component(i: int) -> int:
+        c = comps[i]
+        while c in into:
+            c = into[c]
+        return c
+
     order = sorted(range(len(ids)), key=lambda i: sizes[i])
     vectors: dict[int, np.ndarray] = {}
     out = []
 
     def vector(i: int) -> np.ndarray:
         if i not in vectors:
-            vectors[i] = np.frombuffer(raw[i], np.uint8)
+            vectors[i] = np.frombuffer(raw[i], np.uint8) if sets is None else count_vector(sets[i])
         return vectors[i]
 
     def offer(i: int, j: int, known: bool) -> None:
-        if comps[i] == comps[j] or sides[i] == sides[j] >= 0:
+        one, other = component(i), component(j)
+        if one == other or sides[i] == sides[j] >= 0:
             return
         pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
         if pair in seen:
             return
         seen.add(pair)
-        if not known:
+        if sets is not None:
+            if not linked(sets[i], sets[j]):
+                return
+            into[one] = other
+        elif not known:
             v, w = vector(i), vector(j)
             size = min(len(v), len(w))
             if np.minimum(folded(v, size), folded(w, size)).sum() < need(sizes[i], sizes[j]):
@@ -208,43 +233,127 @@ def _label(s: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, n) of the first shingles, ``COUNTED`` at once, and a row of null label with the number of all.
+    """(label, n) of the shingles, ``COUNTED`` at once, and a row of null label with the number of all.
 
     Where they are many, a label that is there once is left out, so counts are short by at most one for each time.
     """
-    held: list[np.ndarray] = []
-
-    def close() -> pa.RecordBatch:
-        all_ = np.concatenate(held)
-        held.clear()
+    for all_ in _gathered(batches, lambda s: s):
         label, n = np.unique(all_, return_counts=True)
         keep = n > (1 if len(all_) > ONCE else 0)
-        return out_batch(_COUNT, {"label": pa.array([*label[keep].tolist(), None], pa.int32()), "n": np.append(n[keep], len(all_))})
+        yield out_batch(_COUNT, {"label": pa.array([*label[keep].tolist(), None], pa.int32()), "n": np.append(n[keep], len(all_))})
 
+
+def _gathered(batches: Iterator[pa.RecordBatch], part) -> Iterator[np.ndarray]:
+    """Labels of a part of each set, of about ``COUNTED`` at once."""
+    held: list[np.ndarray] = []
     size = 0
     for batch in batches:
         for _, _, data, offsets in chunks(batch.column("text")):
             for s in shingle_sets(data, offsets):
                 if len(s):
-                    held.append(_label(s[: prefix_length(len(s))]))
+                    held.append(_label(part(s)))
                     size += len(held[-1])
             if size > COUNTED:
-                yield close()
-                size = 0
+                yield np.concatenate(held)
+                held, size = [], 0
     if held:
-        yield close()
+        yield np.concatenate(held)
 
 
 def _popular(text: DataFrame) -> np.ndarray:
-    """Labels of the popular shingles, sorted: at most ``POPULAR_MOST``, as each stands for so many of the first shingles."""
+    """Labels of the popular shingles, sorted: at most ``POPULAR_MOST``, as each stands for so many of all shingles."""
     counts = cut(mapped(text.select("text"), _counted, "label int, n long").groupBy("label").agg(F.sum("n").alias("n")).filter((F.col("n") > POPULAR) | F.col("label").isNull()))
     total = counts.filter("label is null").agg(F.sum("n")).first()[0] or 0
     found = counts.filter((F.col("n") > max(POPULAR, total // POPULAR_MOST)) & F.col("label").isNotNull()).select("label")
     return np.sort(np.asarray(found.toArrow().column("label"), np.int32))
 
 
-def _described(popular: np.ndarray):
-    """doc_id, n, two words of the set's hash, first shingles, how many of them aren't popular, and count vector."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The labels of hashes below ``EDGE``, by their upper half, with the lower halves of all in two bytes each."""
+    for labels in _gathered(batches, lambda s: s[: np.searchsorted(s, np.uint64(EDGE))]):
+        labels = np.sort(labels.view(np.uint32))
+        upper = (labels >> 16).astype(np.int32)
+        at = np.flatnonzero(np.concatenate([[True], upper[1:] != upper[:-1]])) if len(upper) else np.zeros(0, np.int64)
+        offsets = np.append(at, len(labels)).astype(np.int32) * 2
+        low = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer((labels & 0xFFFF).astype("<u2").tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(upper[at]), low], names=["upper", "low"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, n) of the labels that are there more than once, from rows that arrive by upper half."""
+    last, held = None, []
+
+    def close() -> pa.RecordBatch:
+        low, n = np.unique(np.frombuffer(b"".join(held), "<u2"), return_counts=True)
+        label = (low[n > 1].astype(np.uint32) | np.uint32(last << 16)).view(np.int32)
+        return out_batch(_COUNT, {"label": label, "n": n[n > 1]})
+
+    for batch in batches:
+        out = []
+        for upper, low in zip(batch.column("upper").to_pylist(), batch.column("low").to_pylist(), strict=True):
+            if upper != last and held:
+                out.append(close())
+                held = []
+            last = upper
+            held.append(low)
+        if out:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches(max_chunksize=None)[0] if sum(len(b) for b in out) else out[0]
+    if held:
+        yield close()
+
+
+def _bits(places: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits, of the places that are there."""
+    maps = places.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in maps.collect():
+        bits[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _frequent(text: DataFrame) -> list[np.ndarray]:
+    """For each number in ``RARE``, a bitmap of the counted labels that more documents have, by their lowest bits.
+
+    Labels travel in little more than two bytes each. A bitmap holds some too many, but never too few.
+    """
+    dealt = mapped(text.select("text"), _packed, "upper int, low binary").repartition("upper").sortWithinPartitions("upper")
+    counts = cut(mapped(dealt, _repeated, "label int, n long"))
+    out = []
+    for least in RARE:
+        some = counts.filter(F.col("n") > least)
+        size = min(FILTER_BITS, 1 << max(16, (LABEL_BITS * some.count()).bit_length()))
+        out.append(_bits(some.select(F.col("label").bitwiseAND(size - 1).cast("long").alias("bit")), size))
+    return out
+
+
+def _tiers(s: np.ndarray, popular: np.ndarray, frequent: list[np.ndarray]) -> np.ndarray:
+    """0 for shingles that no other document has, 1 for those of few; 2 where that isn't known; 3 and 4 for more, 5 for popular ones."""
+    mine = _label(s)
+    tier = np.full(len(s), 2, np.uint8)
+    n = np.searchsorted(s, np.uint64(EDGE))
+    some, more, many = (_set(bits, mine[:n].view(np.uint32).astype(np.int64) & (len(bits) * 8 - 1)) for bits in frequent)
+    tier[:n] = np.where(some & more, np.where(many, 4, 3), some)
+    if len(popular):
+        tier[popular[np.minimum(np.searchsorted(popular, mine), len(popular) - 1)] == mine] = 5
+    return tier
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, and two words of the set's hash."""
+    for batch in batches:
+        for lo, hi, data, offsets in chunks(batch.column("text")):
+            sets = shingle_sets(data, offsets)
+            s1 = _signed(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64))
+            s2 = _signed(np.array([mix64(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for s in sets], np.uint64))
+            yield out_batch(_DOC, {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "n": [len(s) for s in sets], "s1": s1, "s2": s2})
+
+
+def _listed(popular: np.ndarray, frequent: list[np.ndarray]):
+    """id, n, those of the first shingles that another document may have, and how many of them aren't popular."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,54 +361,38 @@ def _described(popular: np.ndarray):
                 sets = shingle_sets(data, offsets)
                 first, plain = [], []
                 for s in sets:
-                    p = prefix_length(len(s)) if len(s) else 0
-                    rest = p
-                    if len(popular) and len(s):
-                        mine = _label(s)
-                        late = popular[np.minimum(np.searchsorted(popular, mine), len(popular) - 1)] == mine
-                        s = np.concatenate((s[~late], s[late])) if late.any() else s
-                        rest = min(p, len(s) - int(late.sum()))
-                    first.append(_signed(s[:p]))
-                    plain.append(rest)
-                yield out_batch(
-                    _DOC,
-                    {
-                        "doc_id": batch.column("doc_id").slice(lo, hi - lo),
-                        "n": [len(s) for s in sets],
-                        "s1": _signed(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)),
-                        "s2": _signed(np.array([mix64(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for s in sets], np.uint64)),
-                        "first": _list(first, pa.int64()),
-                        "plain": plain,
-                        "vector": [count_vector(s).tobytes() for s in sets],
-                    },
-                )
+                    tier = _tiers(s, popular, frequent)
+                    order = np.argsort(tier, kind="stable")[: prefix_length(len(s)) if len(s) else 0]
+                    order = order[tier[order] > 0]
+                    first.append(_signed(s[order]))
+                    plain.append(int((tier[order] < 5).sum()))
+                yield out_batch(_FIRST, {"id": batch.column("doc_id").slice(lo, hi - lo), "n": [len(s) for s in sets], "first": _list(first, pa.int64()), "plain": plain})
 
     return run
 
 
 _COUNT = pa.schema([("label", pa.int32()), ("n", pa.int64())])
-_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("first", pa.list_(pa.int64())), ("plain", pa.int32()), ("vector", pa.binary())])
+_DOC = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+_FIRST = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("plain", pa.int32())])
 _SET = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose overlap bound allows a link."""
-    for batch in batches:
-        keep = []
-        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
-            v, w = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            size = min(len(v), len(w))
-            keep.append(int(np.minimum(folded(v, size), folded(w, size)).sum()) >= need(n, m))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _where(bits: np.ndarray):
+    """The rows whose place is in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_set(bits, batch.column("bit").to_numpy(zero_copy_only=False))))
+            if batch.num_rows:
+                yield batch.select(["doc_id", "text"])
+
+    return run
 
 
 def _sets_where(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("bit").to_numpy(zero_copy_only=False)
-            keep = pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
-            batch = batch.filter(keep)
+        for batch in _where(bits)(batches):
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 yield out_batch(_SET, {"id": batch.column("doc_id").slice(lo, hi - lo), "hashes": [s.tobytes() for s in shingle_sets(data, offsets)]})
 
@@ -308,11 +401,7 @@ def _sets_where(bits: np.ndarray):
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(both * DENOMINATOR >= (len(s) + len(t) - both) * NUMERATOR)
+        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -324,16 +413,18 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         if len(seen) > SEEN_PAIRS:
             seen.clear()
-        found = block_pairs(*(list(x) for x in zip(*held, strict=True)), seen)
+        ids, comps, hashes, sides = (list(x) for x in zip(*held, strict=True))
+        sets = [np.frombuffer(x, np.uint64) for x in hashes]
+        found = block_pairs(ids, comps, [len(s) for s in sets], [], sides, seen, sets)
         return out_batch(_PAIR, {"a": [p[0] for p in found], "b": [p[1] for p in found]})
 
     for batch in batches:
-        for *cell, a, b, c, d, e in zip(*(batch.column(c).to_pylist() for c in (*_CELL, "id", "component", "n", "vector", "side")), strict=True):
+        for *cell, a, b, c, d in zip(*(batch.column(c).to_pylist() for c in (*_CELL, "id", "component", "hashes", "side")), strict=True):
             if cell != last and held:
                 yield close()
                 held = []
             last = cell
-            held.append((a, b, c, d, e))
+            held.append((a, b, c, d))
     if held:
         yield close()
 
@@ -357,32 +448,33 @@ def _cells(open_blocks: DataFrame) -> DataFrame:
         F.transform(up_to(F.col("mains")), lambda i: cell(0, i, F.col("piece"), F.when(i == 0, -1).otherwise(1))),
         F.transform(F.filter(up_to(F.col("others")), lambda j: j != F.col("piece")), lambda j: cell(1, F.least(j, "piece"), F.greatest(j, "piece"), F.col("piece") > j)),
     )
-    return rows.withColumn("cell", F.explode(F.when(F.col("main"), mine).otherwise(theirs))).select("least", "cell.*", "id", "component", "n", "vector")
+    carried = [c for c in open_blocks.columns if c not in ("least", "id", "component", "largest", "most", "rest")]
+    return rows.withColumn("cell", F.explode(F.when(F.col("main"), mine).otherwise(theirs))).select("least", "cell.*", "id", "component", *carried)
+
 
+def _place(size: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(size))
 
-def _possible(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose fine count vectors allow a link."""
-    one = pairs.join(vectors.select(F.col("id").alias("a"), "n", F.col("vector").alias("x")), "a")
-    return mapped(one.join(vectors.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("vector").alias("y")), "b").select("a", "b", "n", "m", "x", "y"), _bounded, "a long, b long")
 
+def _ids(ids: DataFrame) -> np.ndarray:
+    """A bounded bitmap of doc_ids by ``_place``; it passes some too many, more so where they are many millions, but never too few."""
+    size = min(FILTER_BITS, 1 << max(16, (ID_BITS * ids.count()).bit_length()))
+    return _bits(ids.select(_place(size).alias("bit")), size)
 
-def _verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets link.
 
-    Sets are made again from the texts, rather than kept for all documents. A bounded filter of the ids in pairs keeps
-    most other texts out of the shuffle; it passes some too many, more so where ids in pairs are many millions, but never
-    too few.
+def _sets(active: DataFrame, text: DataFrame) -> DataFrame:
+    """(id, hashes): the whole set of each of the distinct ids in ``active``.
+
+    Sets are made again from the texts, rather than kept for all documents; a filter keeps most other texts out of the
+    shuffle. Of several texts of one id the one of least set that isn't empty counts, so that reruns agree.
     """
-    active = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    size = min(FILTER_BITS, 1 << max(16, (ID_BITS * active.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    maps = active.select(place("id").alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("bits"))
-    bits = np.zeros(size // 8, np.uint8)
-    for r in maps.collect():
-        bits[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
-    sets = mapped(text.filter("doc_id is not null").select("doc_id", "text", place("doc_id").alias("bit")), _sets_where(bits), "id long, hashes binary")
-    # Of several texts of one id the one of least set counts, so that reruns agree.
-    sets = cut(sets.join(active, "id", "left_semi").groupBy("id").agg(F.min("hashes").alias("hashes")))
+    bits = _ids(active.withColumnRenamed("id", "doc_id"))
+    sets = mapped(text.filter("doc_id is not null").select("doc_id", "text", _place(len(bits) * 8).alias("bit")), _sets_where(bits), "id long, hashes binary")
+    return cut(sets.filter(F.length("hashes") > 0).join(active, "id", "left_semi").groupBy("id").agg(F.min("hashes").alias("hashes")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose whole sets link."""
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     return mapped(one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"), _linked, "a long, b long")
 
@@ -420,13 +512,20 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ready(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.count()
-    late = _popular(text)
-    doc = cut(mapped(text, _described(late), "doc_id long, n long, s1 long, s2 long, first array<long>, plain int, vector binary"))
+    doc = cut(mapped(text, _digests, "doc_id long, n long, s1 long, s2 long"))
     members, hot = _members(doc, rows)
-    # Copies are taken out by their ids, which are broadcast while they are few; so shingles aren't shuffled for it.
+    # Copies are taken out by their ids, which are broadcast while they are few; else by a bitmap of the ids that stay, so that
+    # texts aren't shuffled for it, and those that pass it wrongly by a join of what is listed.
     copies = members.filter("rep <> doc_id").select("doc_id").distinct()
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    nodes = doc.filter("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "first", "plain", "vector")
+    own, few = text.filter("doc_id is not null"), copies.count() <= BROADCAST_IDS
+    if few:
+        own = own.join(F.broadcast(copies), "doc_id", "left_anti").select("doc_id", "text")
+    else:
+        stay = _ids(members.filter("rep = doc_id").select("doc_id").distinct())
+        own = mapped(own.select("doc_id", "text", _place(len(stay) * 8).alias("bit")), _where(stay), "doc_id long, text string")
+    late = _popular(own)
+    nodes = mapped(own, _listed(late, _frequent(own)), "id long, n long, first array<long>, plain int").filter(F.size("first") > 0)
+    nodes = nodes if few else nodes.join(copies.withColumnRenamed("doc_id", "id"), "id", "left_anti")
     block = W.partitionBy("h", "part").orderBy("id")
     listed = (
         nodes.select("id", "n", "plain", F.posexplode("first").alias("at", "h"))
@@ -447,12 +546,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     star = listed.filter("least < id").filter(close("least_n")).select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(2).alias("w"))
     chain = listed.filter("before > least and before <> id").filter(close("before_n")).select(F.col("before").alias("a"), F.col("id").alias("b"), F.lit(1).alias("w"))
     partner = star.unionByName(chain).groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    vectors = nodes.select("id", "n", "vector").join(listed.select("id").distinct(), "id", "left_semi")
-    partner = cut(_possible(partner, vectors))
-    first = cut(_verified(partner, text))
+    sets = _sets(cut(listed.select("id").distinct()), text)
+    first = cut(_verified(partner, sets))
     joined = components(first).select(F.col("node").alias("id"), "component")
-    # Blocks of one least id are searched together, so that a vector is sent once for all of them.
-    placed = cut(listed.select("least", "id", "n").distinct().join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    # Blocks of one least id are searched together, so that a set is sent once for all of them.
+    placed = cut(listed.select("least", "id").distinct().join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
     several = cut(
         placed.groupBy("least", "component")
         .agg(F.count(F.lit(1)).alias("size"))
@@ -462,9 +560,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .select("least", F.col("top.component").alias("largest"), F.col("top.size").alias("most"), (F.col("all") - F.col("top.size")).alias("rest"))
     )
     several = F.broadcast(several) if several.count() <= BROADCAST_BLOCKS else several
-    open_blocks = placed.join(several, "least").join(vectors.select("id", "vector"), "id")
-    found = mapped(_cells(open_blocks).repartition(*_CELL).sortWithinPartitions(*_CELL, "id"), _searched, "a long, b long").distinct().join(partner, ["a", "b"], "left_anti")
-    return members, first.unionByName(cut(_verified(cut(found), text))), hot
+    open_blocks = placed.join(several, "least").join(sets, "id")
+    found = mapped(_cells(open_blocks).repartition(*_CELL).sortWithinPartitions(*_CELL, "id"), _searched, "a long, b long").distinct()
+    return members, first.unionByName(cut(found)), hot
 
 
 def join(docs: DataFrame) -> DataFrame:
