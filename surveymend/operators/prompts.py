@@ -36,7 +36,7 @@ def _body(start: Column, end: Column) -> Column:
     """The description of a trip that training and inference share, of columns that ``_stated`` adds."""
     mode = F.col("transportmiddel")
     return F.concat(
-        F.lit("Trip Mode: "), tx.mode_label(mode.cast("string")), F.lit(" (Code "), F.coalesce(mode.cast("string"), F.lit("nan")), F.lit(")\n"),
+        F.lit("Trip Mode: "), tx.mode_label(mode), F.lit(" (Code "), F.coalesce(mode.cast("string"), F.lit("nan")), F.lit(")\n"),
         F.lit("From: "), start, F.lit("\nTo: "), end, F.lit("\nUser Reported: "), F.col("__km").cast("string"), F.lit(" km in "), F.col("__minutes").cast("string"), F.lit(" min "),
         F.lit("(Calculated Speed: "), F.col("__kmh1"), F.lit(" km/h)\nSystem Calculated Distance: "), F.col("__system1"), F.lit(" km\nDiscrepancy: "), F.col("__gap1"), F.lit(" km difference."),
     )
@@ -46,7 +46,7 @@ def training_entry(df: DataFrame) -> DataFrame:
     """Add instruction, input and output; the label follows validation_status, whatever the flags say."""
     said = F.concat_ws(
         " ",
-        F.when(F.col("flag_speed_bad"), F.concat(F.lit(SPEEDING[0]), F.col("__kmh0"), F.lit(SPEEDING[1]), tx.mode_label(F.col("transportmiddel").cast("string")), F.lit(SPEEDING[2]))),
+        F.when(F.col("flag_speed_bad"), F.concat(F.lit(SPEEDING[0]), F.col("__kmh0"), F.lit(SPEEDING[1]), tx.mode_label(F.col("transportmiddel")), F.lit(SPEEDING[2]))),
         F.when(F.col("flag_coords_bad"), F.lit(MISPLACED)),
         F.when(F.col("flag_zero_dist"), F.lit(NOWHERE)),
     )

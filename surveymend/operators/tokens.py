@@ -7,23 +7,23 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from . import prompts
 
-#: Texts that are encoded at once, and lines and ids that a task remembers.
-AT_ONCE, LINES, IDS = 256, 1 << 16, 1 << 21
-# Before a single line end between ASCII letters or signs.
-_LINE = re.compile(r"(?<=[!-~])(?=\n[!-~])")
+#: Bytes of text that are worked on at once, lines that are encoded at once, and lines and ids that a worker remembers.
+SOME, AT_ONCE, LINES, IDS = 1 << 23, 256, 1 << 16, 1 << 21
+#: Columns of examples.
+ADDED = ("input_ids", "labels", "attention_mask")
 _open: dict[str, object] = {}
+_lines: dict[tuple[str, bool], Lines] = {}
 
 
 def vocabulary(path: str):
@@ -50,30 +50,123 @@ class Lines:
     """Ids of texts, put together of those of their lines, so that a line that many texts have is encoded once while it is remembered."""
 
     def __init__(self, library):
-        self.library, self.cut, self.encoded = library, _LINE.split if by_lines(library) else lambda t: [t], 0
-        self.known: dict[str, np.ndarray] = {}
-        self.held = 0
-
-    def _learn(self, lines: list[list[str]]) -> None:
-        if len(self.known) > LINES or self.held > IDS:
-            self.known.clear()
-            self.held = 0
-        new = list(dict.fromkeys(x for each in lines for x in each if x not in self.known))
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, np.int32)
-            self.held += len(self.known[x])
+        self.library, self.whole, self.encoded = library, not by_lines(library), 0
+        # Lines in UTF-8, and their ids as bytes; those at the end of a text by what is put after them.
+        self.known: dict[str | None, dict[bytes, bytes]] = {}
+        self.held = self.lines = 0
+
+    def _learn(self, lines: list[bytes], end: str | None) -> list[bytes]:
+        known = self.known.setdefault(end, {})
+        found = list(map(known.get, lines))
+        if None not in found:
+            return found
+        new = [x for x, ids in zip(lines, found, strict=True) if ids is None]
+        for lo in range(0, len(new), AT_ONCE):
+            texts = [x.decode() if end is None else x.decode().rstrip() + end for x in new[lo : lo + AT_ONCE]]
+            for x, e in zip(new[lo : lo + AT_ONCE], self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                known[x] = np.array(e.ids, np.int32).tobytes()
+                self.held += len(e.ids)
+        self.lines += len(new)
         self.encoded += len(new)
-
-    def ids(self, texts: list[str | None]) -> pa.Array:
-        size, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
-        for lo in range(0, len(texts), AT_ONCE):
-            lines = [[] if t is None else self.cut(t) for t in texts[lo : lo + AT_ONCE]]
-            self._learn(lines)
-            found = [[self.known[x] for x in each] for each in lines]
-            size[lo : lo + AT_ONCE] = [sum(map(len, each)) for each in found]
-            parts.append(np.concatenate([parts[0], *(x for each in found for x in each)]))
-        missing = pa.array([t is None for t in texts])
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(parts)), mask=missing)
+        return [known[x] for x in lines]
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The lines of all texts, coded, and the number of the first of each text; a null is one empty line. A cut is before
+        a single line end between ASCII letters or signs."""
+        _, at, data = texts.buffers()
+        kind = np.dtype(np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+        at = np.frombuffer(at, kind, len(texts) + 1, texts.offset * kind.itemsize).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+        at -= at[0]
+        cuts = np.zeros(0, np.int64)
+        if not self.whole and len(data) > 2:
+            ends = np.flatnonzero(data[1:-1] == 10) + 1
+            shown = lambda k: (data[k] > 32) & (data[k] < 127)
+            cuts = ends[shown(ends - 1) & shown(ends + 1)]
+            edge = np.zeros(len(data) + 1, bool)
+            edge[at] = True
+            cuts = cuts[~edge[cuts] & ~edge[cuts + 1]]
+        first = np.arange(len(at)) + np.searchsorted(cuts, at)
+        begin, own = np.empty(first[-1] + 1, np.int64), np.ones(first[-1] + 1, bool)
+        begin[first], own[first] = at, False
+        begin[own] = cuts
+        return pa.Array.from_buffers(pa.large_binary(), first[-1], [None, pa.py_buffer(begin), pa.py_buffer(data)]).dictionary_encode(), first
+
+    def coded(self, columns: list[tuple[pa.Array, str | None]]) -> list[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """For each column of texts, and what is put after them in place of spaces (None: they stay): the number of each of its
+        lines among the different ones, the first line of each text, and the ids of different lines."""
+        if self.lines > LINES or self.held > IDS:
+            self.known.clear()
+            self.held = self.lines = 0
+        out = []
+        for texts, end in columns:
+            lines, first = self._cut(texts)
+            code, different = lines.indices.to_numpy(), lines.dictionary.to_numpy(zero_copy_only=False)
+            if end is None:
+                out.append((code, first, self._learn(different.tolist(), None)))
+                continue
+            last = np.zeros(len(code), bool)
+            last[first[1:] - 1] = True
+            ids, number = [], np.zeros(len(code), np.int64)
+            for those, after in ((~last, None), (last, end)):
+                used = np.zeros(len(different), bool)
+                used[code[those]] = True
+                number[those] = (np.cumsum(used) - 1 + len(ids))[code[those]]
+                ids += self._learn(different[used].tolist(), after)
+            out.append((number, first, ids))
+        return out
+
+    def ids(self, texts: list[str | None] | pa.Array) -> pa.Array:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ((code, first, ids),) = self.coded([(texts, None)])
+        values, at = _joined(ids, code)
+        return pa.ListArray.from_arrays(pa.array(at[first], pa.int32()), pa.array(values), mask=texts.is_null())
+
+    def examples(self, prompt: pa.Array, response: pa.Array, most: int, end: str) -> tuple[pa.Array, pa.Array]:
+        """input_ids, and how many of them are the prompt's."""
+        (code_p, first_p, ids_p), (code_r, first_r, ids_r) = self.coded([(prompt, "\n"), (response, end)])
+        # The lines of a row's prompt, then those of its response.
+        code = np.empty(len(code_p) + len(code_r), np.int64)
+        code[np.arange(len(code_p)) + np.repeat(first_r[:-1], np.diff(first_p))] = code_p
+        code[np.arange(len(code_r)) + np.repeat(first_p[1:], np.diff(first_r))] = code_r + len(ids_p)
+        values, at = _joined(ids_p + ids_r, code)
+        begin, middle = at[first_p + first_r], at[first_p[1:] + first_r[:-1]]
+        of_p, of_r = middle - begin[:-1], begin[1:] - middle
+        missing = pa.compute.or_(prompt.is_null(), response.is_null())
+        whole = ~missing.to_numpy(zero_copy_only=False)
+        kept = np.where(whole, np.minimum(of_p, np.maximum(most - of_r, 0)), 0)
+        if not whole.all() or (kept < of_p).any():
+            parts = np.stack([kept, of_p - kept, of_r], 1)
+            values = values[np.repeat(np.stack([whole, np.zeros(len(whole), bool), whole], 1).ravel(), parts.ravel())]
+        size = kept + np.where(whole, of_r, 0)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(values), mask=missing), pa.array(kept, pa.int32())
+
+
+def _joined(ids: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of lines by number, one after another, and where each line's begin."""
+    out = pa.array(ids, pa.large_binary()).take(pa.array(code))
+    at = np.frombuffer(out.buffers()[1], np.int64, len(code) + 1) // 4
+    return np.frombuffer(out.buffers()[2] or b"", np.int32)[: at[-1]], at
+
+
+def _remembered(path: str, special: bool) -> Lines:
+    """What this worker remembers, also of earlier tasks."""
+    library = vocabulary(path)
+    library.encode_special_tokens = not special
+    if (path, special) not in _lines:
+        _lines[path, special] = Lines(library)
+    return _lines[path, special]
+
+
+def _some(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of at most ``SOME`` bytes of these columns, or one row."""
+    for batch in batches:
+        size = sum((np.asarray(pa.compute.binary_length(batch.column(c)).fill_null(0), np.int64) for c in columns), np.zeros(batch.num_rows, np.int64))
+        size, lo = np.cumsum(size), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SOME, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def encode(df: DataFrame, columns: dict[str, str], path: str, special: bool = True) -> DataFrame:
@@ -85,27 +178,34 @@ def encode(df: DataFrame, columns: dict[str, str], path: str, special: bool = Tr
         raise ValueError(f"columns of these names are there already: {fresh}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = vocabulary(path)
-        library.encode_special_tokens = not special
-        lines = Lines(library)
-        for batch in batches:
-            more = [lines.ids(batch.column(c).to_pylist()) for c in columns]
+        lines = _remembered(path, special)
+        for batch in _some(batches, list(columns)):
+            more = [lines.ids(batch.column(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *columns.values()])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in columns.values())]))
 
 
-def examples(df: DataFrame, prompt: Column, response: Column, path: str, most: int, end: str) -> DataFrame:
+def examples(df: DataFrame, prompt: Column, response: Column, path: str, most: int, end: str, keep: list[str] | None = None) -> DataFrame:
     """Add input_ids, attention_mask and labels: the prompt and a line end, then the response and the end mark, each without
     spaces at its end; labels ignore the prompt. Beyond ``most`` ids the prompt keeps its beginning and the response all of
-    its own. A null prompt or response gives nulls."""
-    stripped = lambda c: F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+\z", "")
-    text = df.withColumns({"__prompt": F.concat(stripped(prompt), F.lit("\n")), "__response": F.concat(stripped(response), F.lit(end))})
-    ids = encode(text, {"__prompt": "__p", "__response": "__r"}, path)
-    kept = F.slice("__p", 1, F.least(F.size("__p"), F.greatest(F.lit(most) - F.size("__r"), F.lit(0))))
-    whole = F.col("__p").isNotNull() & F.col("__r").isNotNull()
-    out = ids.withColumn("input_ids", F.when(whole, prompts.truncated(F.col("__p"), F.col("__r"), most))).withColumn("labels", F.when(whole, prompts.labels(kept, F.col("__r"))))
-    return out.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1))).drop("__prompt", "__response", "__p", "__r")
+    its own. A null prompt or response gives nulls. ``keep`` names the columns that are needed besides (all where it is None):
+    what is named travels to Python and back."""
+    ship(df.sparkSession)
+    text = df.select(*([F.col(f"`{c}`") for c in df.columns if c not in ADDED] if keep is None else keep), prompt.alias("__prompt"), response.alias("__response"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = _remembered(path, True)
+        for batch in _some(batches, ["__prompt", "__response"]):
+            *others, p, r = batch.columns
+            yield pa.RecordBatch.from_arrays([*others, *lines.examples(p, r, most, end)], names=[*batch.schema.names[:-2], "input_ids", "__kept"])
+
+    out = text.mapInArrow(run, T.StructType([*text.schema.fields[:-2], T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("__kept", T.IntegerType())]))
+    size = F.size("input_ids")
+    # Made of input_ids where they are asked for; arrays from Python are read value by value.
+    labels = F.concat(F.array_repeat(F.lit(-100), F.col("__kept")), F.slice("input_ids", F.col("__kept") + 1, size - F.col("__kept")))
+    attention = F.when(F.col("input_ids").isNotNull(), F.array_repeat(F.lit(1), size))
+    return out.withColumns({"labels": F.when(F.col("input_ids").isNotNull(), labels), "attention_mask": attention}).drop("__kept")
 
 
 def collated(df: DataFrame, size: int, pad: int, ignored: int = -100, multiple: int = 8) -> DataFrame:

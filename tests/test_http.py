@@ -125,3 +125,19 @@ def test_numbers_are_rendered_as_python_does(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for r in df.select("x", *[tx.fixed(df["x"], p).alias(f"p{p}") for p in (0, 1, 2, 4)]).collect():
         assert [r[f"p{p}"] for p in (0, 1, 2, 4)] == [f"{r['x']:.{p}f}" for p in (0, 1, 2, 4)]
+
+
+def test_numbers_next_to_a_middle_are_rendered_as_python_does(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    middles = [(2 * rng.randrange(10 ** rng.randint(1, 13)) + 1) / (2 * 10**p) for p in (0, 1, 2, 4) for _ in range(300)]
+    values = [s * v for m in middles for s in (1, -1) for v in (m, math.nextafter(m, 0), math.nextafter(m, math.inf))] + [2.0**52, 2.0**53 / 10, 5e-324, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    for r in df.select("x", *[tx.fixed(df["x"], p).alias(f"p{p}") for p in (0, 1, 2, 4)]).collect():
+        exact = [p for p in (0, 1, 2, 4) if r["x"] is None or abs(r["x"]) * 10**p < 2**53 or not math.isfinite(r["x"])]
+        assert [r[f"p{p}"] for p in exact] == [None if r["x"] is None else f"{r['x']:.{p}f}" for p in exact]
+    # Lambdas, which aren't compiled, are for numbers next to a middle only.
+    plan = df.select(tx.fixed(df["x"], 1))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("rint(") < plan.index("lambdafunction(")

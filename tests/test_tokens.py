@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,41 @@ def test_lines_stay_whole_where_a_vocabulary_looks_across_them(path):
     assert tokens.by_lines(other)
     other.normalizer = normalizers.Replace("\na", "a")
     assert not tokens.by_lines(other) and tokens.Lines(other).ids(["x\nab"]).to_pylist() == [other.encode("xab").ids]
+
+
+def test_examples_of_whole_batches(library):
+    rng = np.random.default_rng(3)
+    pieces = ["\n", "\n", " ", "\t", "\r", "\x1f", "\x85", " ", "a", "it's", "'s", "9", "#", "é", "漢", END, END[:5], "."]
+    odd = ["".join(rng.choice(pieces, rng.integers(0, 14))) if rng.random() < 0.95 else None for _ in range(3000)]
+    p, r = odd, odd[1:] + odd[:1]
+    lines = tokens.Lines(library)
+    library.encode_special_tokens = False
+    for kind in (pa.string(), pa.large_string()):
+        for lo, n in ((0, 3000), (7, 100), (3, 0)):
+            ids, kept = lines.examples(pa.array(p, kind).slice(lo, n), pa.array(r, kind).slice(lo, n), 9, END)
+            for a, b, x, k in zip(p[lo : lo + n], r[lo : lo + n], ids.to_pylist(), kept.to_pylist(), strict=True):
+                want, labels = (None, []) if a is None or b is None else direct(library, a, b, 9)
+                assert x == want and k == labels.count(-100)
+    known = lines.encoded
+    lines.examples(pa.array(p), pa.array(r), 40, END)
+    assert lines.encoded == known
+
+
+def test_batches_are_cut_by_bytes_and_memory_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(tokens, "SOME", 100)
+    monkeypatch.setattr(tokens, "LINES", 20)
+    texts = [f"line {k}\nof {k}" * (1 + 30 * (k % 7 == 3)) for k in range(60)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    some = list(tokens._some([batch], ["t"]))
+    assert pa.Table.from_batches(some) == pa.Table.from_batches([batch]) and all(b.num_rows == 1 or sum(len(t or "") for t in b["t"].to_pylist()) <= 100 for b in some)
+    lines = tokens.Lines(library)
+    assert [x for b in some for x in lines.ids(b["t"]).to_pylist()] == [None if t is None else library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(map(len, lines.known.values())) < 60 < lines.encoded
+
+
+@needs_data
+def test_only_keys_and_ids_come_back_from_python(spark):
+    plan = catalog.QUERIES["tokenized_examples"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    (line,) = [x for x in plan.splitlines() if "MapInArrow" in x]
+    assert [x.split("#")[0] for x in line.rsplit("[", 1)[1].split("]")[0].split(", ")] == ["turid", "delturnr", "input_ids", "__kept"]
+    assert "array_repeat(-100" in plan
